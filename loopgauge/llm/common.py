@@ -45,6 +45,12 @@ def dropped(*frames: DataFrame) -> None:
             remove_path(df.sparkSession, f)
 
 
+def schema_with(df: DataFrame, names: list[str], **more: str) -> str:
+    """DDL of df's columns `names` and of further ones."""
+    have = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in names]
+    return ", ".join([*have, *(f"`{k}` {v}" for k, v in more.items())])
+
+
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, mod 4; null for a null id."""
     return F.crc32(doc_id.cast("string")) % 4
