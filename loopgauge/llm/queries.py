@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import langid, licenses, quality, simhash
+from . import flac, langid, licenses, quality, simhash
 
 QUERIES = {
     "op1_compression_quality": quality.op1,
     "op2_hyperdimensional_langid": langid.op2,
     "op3_license_rules": licenses.op3,
+    "op9_flac_media": flac.op9,
     "op10_simhash_near_dedup": simhash.op10,
 }
 
