@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from . import flac, langid, licenses, quality, simhash
+from . import flac, langid, licenses, mixing, quality, simhash, warc
 
 QUERIES = {
     "op1_compression_quality": quality.op1,
     "op2_hyperdimensional_langid": langid.op2,
     "op3_license_rules": licenses.op3,
+    "op5_warc_normaliser": warc.op5,
+    "op7_pfair_mixing": mixing.op7,
     "op9_flac_media": flac.op9,
     "op10_simhash_near_dedup": simhash.op10,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_warc_normaliser": warc.ORACLE,
+    "op7_pfair_mixing": mixing.ORACLE,
+}
