@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import flac, langid, licenses, mixing, quality, simhash, warc
+from . import decontaminate, flac, langid, licenses, linedup, mixing, quality, simhash, warc
 
 QUERIES = {
     "op1_compression_quality": quality.op1,
     "op2_hyperdimensional_langid": langid.op2,
     "op3_license_rules": licenses.op3,
+    "op4_latent_decontamination": decontaminate.op4,
     "op5_warc_normaliser": warc.op5,
     "op7_pfair_mixing": mixing.op7,
+    "op8_line_chunk_dedup": linedup.op8,
     "op9_flac_media": flac.op9,
     "op10_simhash_near_dedup": simhash.op10,
 }
