@@ -33,8 +33,11 @@ WINDOW = 2 * STEP
 RANK, OVER = 128, 32
 #: Words in more than this share of documents carry no weight.
 COMMON = 0.2
-#: Smallest cosine of a candidate; shares of a passage's words in common order and of its answer that make a finding.
-COSINE, OVERLAP, ANSWER = 0.3, 0.7, 0.5
+#: Smallest cosine of a candidate, and smallest share of the passage's length that the window reaches in its direction:
+#: without it, any window with a single weighted word would point somewhere.
+COSINE, REACH = 0.3, 0.3
+#: Shares of a passage's words in common order and of its answer that make a finding.
+OVERLAP, ANSWER = 0.7, 0.5
 #: Weighted words whose vectors a task adds up at a time.
 HITS = 60_000
 
@@ -76,6 +79,7 @@ class Model:
     index: dict[bytes, int]
     vectors: np.ndarray
     latent: np.ndarray
+    lengths: np.ndarray
 
 
 def document_frequencies(docs: DataFrame, vocabulary: list[bytes]) -> tuple[np.ndarray, int]:
@@ -149,10 +153,11 @@ def fit(docs: DataFrame, bench: list[tuple[object, list[bytes]]]) -> Model | Non
     basis = randomised_svd(rows, len(index))
     vectors = (basis * idf[:, None]).astype(np.float32)
     latent = np.array([sum((vectors[index[w]] for w in p if w in index), np.zeros(vectors.shape[1], np.float32)) for _, p in bench])
-    latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
+    lengths = np.maximum(np.linalg.norm(latent, axis=1), 1e-9).astype(np.float32)
+    latent /= lengths[:, None]
     rare = {w for w, k in index.items() if idf[k] >= np.median(idf)}
     answers = [{w for w in p[2 * len(p) // 3 :] if w in rare} or {w for w in p if w in rare} for _, p in bench]
-    return Model([i for i, _ in bench], [p for _, p in bench], answers, index, vectors, latent)
+    return Model([i for i, _ in bench], [p for _, p in bench], answers, index, vectors, latent, lengths)
 
 
 def candidates(model: Model, texts: list[list[bytes]]):
@@ -177,23 +182,23 @@ def candidates(model: Model, texts: list[list[bytes]]):
         have = (where < len(used)) & (used[np.minimum(where, len(used) - 1)] == at + shift)
         full[:-1][have] += sums[where[have]]
     norm = np.maximum(np.linalg.norm(full[:-1], axis=1, keepdims=True), 1e-9)
-    cos = (full[:-1] @ model.latent.T) / norm
+    reach = full[:-1] @ model.latent.T
+    chosen = (reach >= COSINE * norm) & (reach >= REACH * model.lengths)
     text_of = np.searchsorted(np.array(first_block), at, side="right") - 1
-    for w, passage in zip(*np.nonzero(cos >= COSINE), strict=True):
+    for w, passage in zip(*np.nonzero(chosen), strict=True):
         t = int(text_of[w])
-        yield t, int(at[w]) - first_block[t], int(passage), float(cos[w, passage])
+        yield t, int(at[w]) - first_block[t], int(passage), float(reach[w, passage] / norm[w, 0])
 
 
 def verified(model: Model, words: list[bytes], block: int, passage: int) -> tuple[float, float] | None:
     """(overlap, answer) of a candidate if both reach their limits."""
-    p = model.passages[passage]
+    p, answer = model.passages[passage], model.answers[passage]
     near = words[max(0, (block - 1) * STEP) : (block + 3) * STEP]
-    overlap = common_subsequence(p, near) / len(p)
-    if overlap < OVERLAP:
+    share = len(answer.intersection(near)) / len(answer) if answer else 1.0
+    if share < ANSWER:
         return None
-    answer = model.answers[passage]
-    share = len(answer & set(near)) / len(answer) if answer else 1.0
-    return (overlap, share) if share >= ANSWER else None
+    overlap = common_subsequence(p, near) / len(p)
+    return (overlap, share) if overlap >= OVERLAP else None
 
 
 def _search(docs: DataFrame, model: Model) -> DataFrame:
