@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, flac, langid, licenses, linedup, mixing, quality, simhash, warc
+from . import decontaminate, flac, langid, licenses, linedup, mixing, quality, simhash, suffixdedup, warc
 
 QUERIES = {
     "op1_compression_quality": quality.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_license_rules": licenses.op3,
     "op4_latent_decontamination": decontaminate.op4,
     "op5_warc_normaliser": warc.op5,
+    "op6_suffix_dedup": suffixdedup.op6,
     "op7_pfair_mixing": mixing.op7,
     "op8_line_chunk_dedup": linedup.op8,
     "op9_flac_media": flac.op9,
