@@ -20,7 +20,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -85,12 +85,12 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def links_within(tile: np.ndarray, fp: np.ndarray, radius: int) -> np.ndarray:
     """For rows sorted by tile and population count: the smallest row that links reach inside the tile."""
-    pop = np.bitwise_count(fp).astype(np.int16)
+    pop = np.bitwise_count(fp).sum(axis=1, dtype=np.int16)
     at, out_a, out_b, gathered, step, label = np.arange(len(fp) - 1), [], [], 0, 1, np.arange(len(fp))
     while len(at):
         keep = (tile[at] == tile[at + step]) & (pop[at + step] - pop[at] <= radius)  # counts only drift apart at later steps
         at = at[keep]
-        near = at[np.bitwise_count(fp[at] ^ fp[at + step]) <= radius]
+        near = at[np.bitwise_count(fp[at] ^ fp[at + step]).sum(axis=1, dtype=np.int16) <= radius]
         out_a.append(near)
         out_b.append(near + step)
         gathered += len(near)
@@ -102,10 +102,14 @@ def links_within(tile: np.ndarray, fp: np.ndarray, radius: int) -> np.ndarray:
     return label
 
 
-def _bins(group: pa.Table, radius: int) -> pa.Table:
-    c, key, fp, node = (group[x].to_numpy() for x in ("c", "key", "fp", "node"))
-    fp = fp.view(np.uint64)
-    order = np.lexsort((np.bitwise_count(fp), key, c))
+def _words(group: pa.Table, words: list[str]) -> np.ndarray:
+    return np.stack([group[w].to_numpy() for w in words], axis=1).view(np.uint64)
+
+
+def _bins(group: pa.Table, words: list[str], radius: int) -> pa.Table:
+    c, key, node = (group[x].to_numpy() for x in ("c", "key", "node"))
+    fp = _words(group, words)
+    order = np.lexsort((np.bitwise_count(fp).sum(axis=1), key, c))
     c, key, fp, node = c[order], key[order], fp[order], node[order]
     tile = np.cumsum(np.r_[False, (c[1:] != c[:-1]) | (key[1:] != key[:-1])])
     label = links_within(tile, fp, radius)
@@ -113,35 +117,34 @@ def _bins(group: pa.Table, radius: int) -> pa.Table:
     return pa.table({"a": node[linked], "b": node[label[linked]]})
 
 
-def _tile_pair(group: pa.Table, radius: int) -> pa.Table:
-    right, fp, node = group["is_right"].to_numpy(zero_copy_only=False), group["fp"].to_numpy().view(np.uint64), group["node"].to_numpy()
+def _tile_pair(group: pa.Table, words: list[str], radius: int) -> pa.Table:
+    right, fp, node = group["is_right"].to_numpy(zero_copy_only=False), _words(group, words), group["node"].to_numpy()
     left_i, right_i = np.flatnonzero(~right), np.flatnonzero(right)
     if not len(right_i):  # a tile with itself
         right_i = left_i
     found_a, found_b = [], []
-    for i in range(0, len(left_i), 256):
-        x, y = np.nonzero(np.bitwise_count(fp[left_i[i : i + 256], None] ^ fp[None, right_i]) <= radius)
+    for i in range(0, len(left_i), 128):
+        differ = sum(np.bitwise_count(fp[left_i[i : i + 128], None, w] ^ fp[None, right_i, w]).astype(np.int16) for w in range(len(words)))
+        x, y = np.nonzero(differ <= radius)
         label = forest(len(fp), left_i[i + x], right_i[y])
         moved = np.flatnonzero(label != np.arange(len(fp)))
         found_a.append(moved)
         found_b.append(label[moved])
-    label = forest(len(fp), np.concatenate(found_a), np.concatenate(found_b))
+    label = forest(len(fp), np.concatenate(found_a or [[]]).astype(int), np.concatenate(found_b or [[]]).astype(int))
     moved = np.flatnonzero(label != np.arange(len(fp)))
     return pa.table({"a": node[moved], "b": node[label[moved]]})
 
 
-def links(points: DataFrame, radius: int = 4, extra: int = 2) -> DataFrame:
-    """Edges (a, b) that span the links among distinct points (fp long, node long)."""
-    keyed = points.select(
-        F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks(radius, extra)])).alias("c", "key"), "fp", "node"
-    )
+def links(points: DataFrame, radius: int, keys: list[Column], words: list[str]) -> DataFrame:
+    """Edges (a, b) that span the links among distinct points (fingerprint columns `words`, node long) that agree on any of the keys."""
+    keyed = points.select(F.posexplode(F.array(*keys)).alias("c", "key"), *words, "node")
     sized = keyed.groupBy("c", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = common.stored(keyed.join(sized, ["c", "key"]).withColumn("pop", F.bit_count("fp")), "tiles")
+    shared = common.stored(keyed.join(sized, ["c", "key"]).withColumn("pop", sum(F.bit_count(w) for w in words)), "tiles")
     small, big = shared.filter(F.col("n") <= TILE), shared.filter(F.col("n") > TILE)
     bins = max(1, math.ceil(small.count() / BIN))
     within = (
-        small.select(F.pmod(F.xxhash64("c", "key"), F.lit(bins)).alias("bin"), "c", "key", "fp", "node")
-        .groupBy("bin").applyInArrow(lambda g: _bins(g, radius), "a long, b long")
+        small.select(F.pmod(F.xxhash64("c", "key"), F.lit(bins)).alias("bin"), "c", "key", *words, "node")
+        .groupBy("bin").applyInArrow(lambda g: _bins(g, words, radius), "a long, b long")
     )
     cuts = big.groupBy("c", "key", "pop").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
     left, other = cuts.alias("l"), cuts.alias("o")
@@ -150,26 +153,76 @@ def links(points: DataFrame, radius: int = 4, extra: int = 2) -> DataFrame:
         F.collect_list(F.struct(F.col("o.pop").alias("pop"), F.col("o.parts").alias("parts"))).alias("near")
     )
     mine = F.struct("pop", F.col("part").alias("part"))
-    tiles = big.join(partners, ["c", "key", "pop"]).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    tiles = big.join(partners, ["c", "key", "pop"]).withColumn("part", F.pmod(F.xxhash64(*words), F.col("parts")).cast("int"))
     dealt = (
         tiles.withColumn("o", F.explode("near"))
         .withColumn("o_part", F.explode(F.sequence(F.lit(0), F.col("o.parts") - 1)))
         .withColumn("theirs", F.struct(F.col("o.pop").alias("pop"), F.col("o_part").alias("part")))
-        .select("c", "key", F.least(mine, "theirs").alias("lo"), F.greatest(mine, "theirs").alias("hi"), (mine > F.col("theirs")).alias("is_right"), "fp", "node")
+        .select("c", "key", F.least(mine, "theirs").alias("lo"), F.greatest(mine, "theirs").alias("hi"), (mine > F.col("theirs")).alias("is_right"), *words, "node")
     )
-    across = dealt.groupBy("c", "key", "lo", "hi").applyInArrow(lambda g: _tile_pair(g, radius), "a long, b long")
+    across = dealt.groupBy("c", "key", "lo", "hi").applyInArrow(lambda g: _tile_pair(g, words, radius), "a long, b long")
     return within.union(across)
 
 
+def block_keys(radius: int = 4, extra: int = 2) -> list[Column]:
+    """Keys of 64-bit fingerprints of which linked ones share at least one."""
+    return [F.col("fp").bitwiseAND(F.lit(m)) for m in masks(radius, extra)]
+
+
 def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
     """(doc_id, fp, component_id) of every row of docs (doc_id, text); component_id is the smallest doc_id that links reach."""
     prints = common.stored(fingerprints(docs, width), "fingerprints")
     points = common.stored(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "points")
-    found = common.components(links(points.filter("node IS NOT NULL"), radius))
+    found = common.components(links(points.filter("node IS NOT NULL"), radius, block_keys(radius), ["fp"]))
     named = points.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+#: Wide fingerprints, for text copies that share SIMILAR of their shingles of five words: 256 bits, of which such copies differ
+#: in 39 on average (the angle between their sets of distinct shingles), so the radius lies two deviations above. KEYS keys of KEY_BITS
+#: sampled bits find such a pair with a chance of 0.98; a pair inside a tile is compared exactly.
+WIDE, SIMILAR, WIDE_RADIUS, KEYS, KEY_BITS = ["f0", "f1", "f2", "f3"], 0.8, 50, 56, 16
+
+
+def wide_fingerprint(shingles: list[bytes]) -> bytes:
+    counts, digest = np.zeros(256, np.int64), xxhash.xxh3_128_digest
+    for i in range(0, len(shingles), 8192):
+        h = np.frombuffer(b"".join([digest(s, 1) + digest(s, 2) for s in shingles[i : i + 8192]]), np.uint8).reshape(-1, 32)
+        counts += np.unpackbits(h, axis=1).sum(axis=0, dtype=np.uint32)
+    return np.packbits(counts * 2 > len(shingles)).tobytes()
+
+
+def wide_fingerprints(docs: DataFrame, width: int = 5) -> DataFrame:
+    """(doc_id, f0, f1, f2, f3)."""
+
+    def run(batches):
+        for b in batches:
+            fps = np.frombuffer(b"".join(wide_fingerprint(sorted(set(shingle_bytes(t, width)))) for t in b["text"].to_pylist()), ">i8").astype(np.int64).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([b["doc_id"].cast(pa.int64()), *(pa.array(np.ascontiguousarray(fps[:, i])) for i in range(4))], ["doc_id", *WIDE])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, f0 long, f1 long, f2 long, f3 long")
+
+
+def sampled_keys() -> list[Column]:
+    """Keys of wide fingerprints: KEYS choices of KEY_BITS of the 256 bits."""
+    rng, out = np.random.default_rng(5), []
+    for _ in range(KEYS):
+        bits = np.zeros(256, np.uint8)
+        bits[rng.choice(256, KEY_BITS, replace=False)] = 1
+        mask = np.packbits(bits).view(">i8").tolist()
+        out.append(F.xxhash64(*[F.col(w).bitwiseAND(F.lit(m)) for w, m in zip(WIDE, mask, strict=True)]))
+    return out
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, component_id) of every row, by wide fingerprints of five-word shingles."""
+    prints = common.stored(wide_fingerprints(docs), "wide-fingerprints")
+    points = common.stored(prints.groupBy(*WIDE).agg(F.min("doc_id").alias("node")), "wide-points")
+    found = common.components(links(points.filter("node IS NOT NULL"), WIDE_RADIUS, sampled_keys(), WIDE))
+    named = points.join(found, "node", "left").select(*WIDE, F.coalesce("component", "node").alias("component_id"))
+    return prints.join(named, WIDE).select("doc_id", "component_id")
+
+
 def op10(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(common.table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
