@@ -90,6 +90,9 @@ SENTENCES = [
     ("copyright", r"copyright (?:c|©)", "copyright"),
 ]
 
+#: Fixed value: words before a license's name.
+LEAD = r"(?:(?:licen[sc]ed|released|distributed|available|published) )?(?:under|subject to) (?:the )?(?:terms of )?(?:the )?"
+
 #: Bytes that are no word: everything in ASCII but digits and letters. A-Z are lower-cased.
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -118,10 +121,10 @@ def build_rules() -> list[Rule]:
             named = label + "-" + v.replace(" ", ".").removesuffix(".0")
             version = rf"(?: licen[sc]e)?(?: version| v)? ?{v}"
             rules.append(_rule(named, rf"spdx licen[sc]e identifier {short} {v}(?: only| or later)?", "spdx", 1, 1.0))
-            rules.append(_rule(named + "+", rf"(?:{names}){version} or (?:any later version|later)", anchors, 3, 0.98))
-            rules.append(_rule(named, rf"(?:under|subject to) (?:the )?(?:terms of )?(?:the )?(?:{names}){version}", anchors, 4, 0.95))
+            rules.append(_rule(named + "+", rf"(?:{LEAD})?(?:{names}){version} or (?:any later version|later)", anchors, 3, 0.98))
+            rules.append(_rule(named, rf"{LEAD}(?:{names}){version}", anchors, 4, 0.95))
             rules.append(_rule(named, rf"(?:{names}){version}", anchors, 5, 0.9))
-        rules.append(_rule(label, rf"(?:licen[sc]ed|released|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?(?:{names})", anchors, 6, 0.9))
+        rules.append(_rule(label, rf"{LEAD}(?:{names})", anchors, 6, 0.9))
         if label not in ("boost", "apache", "cecill"):
             rules.append(_rule(label, names, anchors, 8, 0.7))
     for elements, name in zip(CC_ELEMENTS, CC_NAMES, strict=True):
