@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from . import common
 
@@ -113,8 +114,10 @@ def _bins(group: pa.Table, words: list[str], radius: int) -> pa.Table:
     c, key, fp, node = c[order], key[order], fp[order], node[order]
     tile = np.cumsum(np.r_[False, (c[1:] != c[:-1]) | (key[1:] != key[:-1])])
     label = links_within(tile, fp, radius)
-    linked = label != np.arange(len(fp))
-    return pa.table({"a": node[linked], "b": node[label[linked]]})
+    nodes, at = np.unique(node, return_inverse=True)  # a point lies in several tiles of a bin
+    least = forest(len(nodes), at, at[label])
+    linked = least != np.arange(len(nodes))
+    return pa.table({"a": nodes[linked], "b": nodes[least[linked]]})
 
 
 def _tile_pair(group: pa.Table, words: list[str], radius: int) -> pa.Table:
@@ -161,7 +164,9 @@ def links(points: DataFrame, radius: int, keys: list[Column], words: list[str])
         .select("c", "key", F.least(mine, "theirs").alias("lo"), F.greatest(mine, "theirs").alias("hi"), (mine > F.col("theirs")).alias("is_right"), *words, "node")
     )
     across = dealt.groupBy("c", "key", "lo", "hi").applyInArrow(lambda g: _tile_pair(g, words, radius), "a long, b long")
-    return within.union(across)
+    # a point has at most one link for each tile it is in; its neighbours are tied to the smallest of them, of which there are few
+    tied = common.stored(within.union(across).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).withColumn("m", F.min("b").over(W.partitionBy("a"))), "links")
+    return tied.select("a", F.col("m").alias("b")).union(tied.filter("b <> m").select("b", "m")).distinct()
 
 
 def block_keys(radius: int = 4, extra: int = 2) -> list[Column]:
