@@ -4,7 +4,7 @@ Benchmark items are cut into passages of WINDOW words. Their TF-IDF rows (docume
 all documents) get a randomised SVD: tasks multiply their rows with a random matrix, small Gram and projection matrices meet
 on the driver. Every window of every document is projected into the same latent space and
 compared with all benchmark passages by cosine; candidates are checked by their longest common subsequence of
-words with the passage and by whether the passage's answer, the rarer words of its last third, occurs nearby.
+words with the passage and by whether the passage's answer, the weighted words of its last third, occurs nearby.
 
 The benchmark is a stated query set. It is handled in blocks of BLOCK passages, so what a task holds of it is bounded:
 BLOCK x WINDOW words and as many vectors of RANK numbers at most. Each block reads the documents once more.
@@ -155,8 +155,7 @@ def fit(docs: DataFrame, bench: list[tuple[object, list[bytes]]]) -> Model | Non
     latent = np.array([sum((vectors[index[w]] for w in p if w in index), np.zeros(vectors.shape[1], np.float32)) for _, p in bench])
     lengths = np.maximum(np.linalg.norm(latent, axis=1), 1e-9).astype(np.float32)
     latent /= lengths[:, None]
-    rare = {w for w, k in index.items() if idf[k] >= np.median(idf)}
-    answers = [{w for w in p[2 * len(p) // 3 :] if w in rare} or {w for w in p if w in rare} for _, p in bench]
+    answers = [{w for w in p[2 * len(p) // 3 :] if w in index} or {w for w in p if w in index} for _, p in bench]
     return Model([i for i, _ in bench], [p for _, p in bench], answers, index, vectors, latent, lengths)
 
 

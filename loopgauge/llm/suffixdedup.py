@@ -229,7 +229,7 @@ def merged(runs: list[Run]):
     best = -1
     for r in range(n):
         best = max(best, play(r, (r + n) // 2))
-    while known[best] >= 0:
+    while n and known[best] >= 0:
         run = runs[best]
         yield run.now, known[best], run, run.i
         known[best] = run.next()
