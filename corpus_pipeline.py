@@ -66,9 +66,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents; the last one's rows."""
-    docs = common.table(spark, sf_dir, "documents")
+    docs, before = common.table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        path = f"{common.shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
+        mark, path = len(common.stored_since()), f"{common.shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        common.clean(spark, [*before, *common.stored_since(mark)])  # the last stage's rows, and what this one stored on its way
+        before = [path]
     return docs

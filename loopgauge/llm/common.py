@@ -25,9 +25,13 @@ def shared_dir(spark: SparkSession) -> str:
 _fallback: dict[str, str] = {}
 
 
+_stored: list[str] = []
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: cuts the lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    _stored.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -60,6 +64,18 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(fold(doc_id) == 2, F.lit(False))
 
 
+def stored_since(mark: int = 0) -> list[str]:
+    """Paths that stored() has written, from the mark-th on; len() of an earlier list serves as mark."""
+    return _stored[mark:]
+
+
+def clean(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes stored tables. Call it once the results that read them are written."""
+    for path in paths:
+        remove_path(spark, path)
+    _stored[:] = [p for p in _stored if p not in set(paths)]
+
+
 def by_bytes(items: list, sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
     """Ranges [i, j) of items whose sizes sum to at most `most`; a larger item stands alone."""
     i, total = 0, 0

@@ -169,6 +169,10 @@ def links(points: DataFrame, radius: int, keys: list[Column], words: list[str])
     return tied.select("a", F.col("m").alias("b")).union(tied.filter("b <> m").select("b", "m")).distinct()
 
 
+#: Points above which buckets are keyed by three blocks (27 bits) in place of two (21 bits); both are exact.
+MANY = 1 << 27
+
+
 def block_keys(radius: int = 4, extra: int = 2) -> list[Column]:
     """Keys of 64-bit fingerprints of which linked ones share at least one."""
     return [F.col("fp").bitwiseAND(F.lit(m)) for m in masks(radius, extra)]
@@ -178,7 +182,8 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFra
     """(doc_id, fp, component_id) of every row of docs (doc_id, text); component_id is the smallest doc_id that links reach."""
     prints = common.stored(fingerprints(docs, width), "fingerprints")
     points = common.stored(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "points")
-    found = common.components(links(points.filter("node IS NOT NULL"), radius, block_keys(radius), ["fp"]))
+    extra = 2 if points.count() < MANY else 3
+    found = common.components(links(points.filter("node IS NOT NULL"), radius, block_keys(radius, extra), ["fp"]))
     named = points.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
