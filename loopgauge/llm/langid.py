@@ -28,6 +28,8 @@ DIM, N, SYMBOLS = 1024, 3, 64
 #: The prototypes are fitted on about this many training rows, chosen by a hash of the id.
 TRAIN_ROWS = 20_000
 PIECE, BATCH = 1_000_000, 1_500_000
+#: Cells of the largest matrix of counts, texts by n-grams.
+CELLS = 10_000_000
 UNKNOWN = "und"
 
 
@@ -55,8 +57,8 @@ class Encoder:
             out *= self.at[i][codes // SYMBOLS ** (N - 1 - i) % SYMBOLS]
         return out
 
-    def counts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(codes, counts): counts has a row for each text and a column for each n-gram that occurs."""
+    def grams(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(text, n-gram code) of every n-gram of texts; runs of other characters count as one, and none is a gram's middle."""
         pieces = [(i, t[k : k + PIECE + N - 1]) for i, t in enumerate(texts) if t for k in range(0, max(1, len(t) - N + 1), PIECE)]
         joined = np.frombuffer("".join(f" {t} " for _, t in pieces).encode("utf-32-le", "surrogatepass"), np.uint32)
         owner = np.repeat(np.array([i for i, _ in pieces], np.int64), [len(t) + 2 for _, t in pieces])
@@ -65,20 +67,28 @@ class Encoder:
         keep[1:] = (s[1:] > 0) | (s[:-1] > 0) | (owner[1:] != owner[:-1])
         s, owner = s[keep], owner[keep]
         if len(s) < N:
-            return np.zeros(0, np.int64), np.zeros((len(texts), 0), np.float32)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         code = sum(s[i : len(s) - N + 1 + i] * SYMBOLS ** (N - 1 - i) for i in range(N))
         inside = (owner[N - 1 :] == owner[: len(owner) - N + 1]) & (s[1 : len(s) - N + 2] > 0)
-        code, owner = code[inside], owner[: len(inside)][inside]
-        present = np.zeros(SYMBOLS**N, bool)
-        present[code] = True
-        codes = np.flatnonzero(present)
-        column = np.cumsum(present) - 1
-        flat = np.bincount(owner * len(codes) + column[code], minlength=len(texts) * len(codes))
-        return codes, flat.reshape(len(texts), len(codes)).astype(np.float32)
+        return owner[: len(inside)][inside], code[inside]
+
+    def sum(self, code: np.ndarray) -> np.ndarray:
+        """The bundle of some n-grams, in whole numbers."""
+        counts = np.bincount(code, minlength=SYMBOLS**N)
+        have = np.flatnonzero(counts)
+        return (counts[have].astype(np.float64) @ self.vectors(have).astype(np.float32)).astype(np.int64)
 
     def bundle(self, texts: list[str | None]) -> np.ndarray:
-        codes, counts = self.counts(texts)
-        return counts @ self.vectors(codes).astype(np.float32)
+        """A row for each text."""
+        owner, code = self.grams(texts)
+        present = np.zeros(SYMBOLS**N, bool)
+        present[code] = True
+        codes, column = np.flatnonzero(present), np.cumsum(present) - 1
+        if len(texts) > 1 and len(texts) * len(codes) > CELLS:
+            half = len(texts) // 2
+            return np.concatenate([self.bundle(texts[:half]), self.bundle(texts[half:])])
+        counts = np.bincount(owner * len(codes) + column[code], minlength=len(texts) * len(codes)).reshape(len(texts), len(codes))
+        return counts.astype(np.float32) @ self.vectors(codes).astype(np.float32)
 
 
 def _groups(texts: list[str | None]):
@@ -97,11 +107,9 @@ def prototypes(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
         for b in batches:
             texts, langs = b["text"].to_pylist(), np.array(b["lang"].to_pylist())
             for i, j in _groups(texts):
-                codes, counts = encoder.counts(texts[i:j])
-                vectors = encoder.vectors(codes).astype(np.float32)
-                for lang in set(langs[i:j]):
-                    total = counts[langs[i:j] == lang].sum(axis=0, dtype=np.float64) @ vectors
-                    sums[lang] = sums.get(lang, 0) + total.astype(np.int64)
+                owner, code = encoder.grams(texts[i:j])
+                for lang in set(langs[i:j].tolist()):
+                    sums[lang] = sums.get(lang, 0) + encoder.sum(code[(langs[i:j] == lang)[owner]])
         for lang, v in sums.items():
             yield pa.RecordBatch.from_pydict({"lang": [lang] * DIM, "at": np.arange(DIM), "value": v})
 

@@ -119,3 +119,11 @@ def test_op3(spark, sf, odd, empty):
         assert (r.first_word, r.last_word) == ((base[0][0], base[-1][0]) if base else (None, None))
         assert set(r.base_labels.split(",")) - {""} <= set(r.labels.split(",")) and 0 <= r.score <= 1
     assert licenses.scanned(odd).count() == odd.count() and licenses.scanned(empty).count() == 0
+
+
+def test_many_kinds_of_letters_are_split(monkeypatch):
+    e = langid.Encoder()
+    texts = ["".join(chr(c) for c in range(a, a + 400)) for a in (0x61, 0x400, 0x4E00, 0xAC00)]
+    whole = e.bundle(texts)
+    monkeypatch.setattr(langid, "CELLS", 100)
+    assert (langid.Encoder().bundle(texts) == whole).all()
