@@ -27,8 +27,8 @@ def histogram(done: DataFrame, with_unknown: bool = False) -> DataFrame:
 
 def chart_heights(counts: DataFrame, height: int = 100) -> DataFrame:
     """Bar heights of a histogram: whole numbers against its maximum."""
-    top = counts.agg(F.greatest(F.max("n"), F.lit(1)).alias("top"))
-    return counts.join(F.broadcast(top)).select("position", "complexity", "n", F.expr(f"n * {height} div top").alias("height"))
+    top = F.greatest(F.max("n").over(W.partitionBy()), F.lit(1))  # a row for each class
+    return counts.select("position", "complexity", "n", top.alias("top")).select("position", "complexity", "n", F.expr(f"n * {height} div top").alias("height"))
 
 
 def source_kind(kind: Column) -> Column:
@@ -116,9 +116,11 @@ def review_text(done: DataFrame, edges: DataFrame | None = None) -> DataFrame:
 
 def project_review(done: DataFrame) -> DataFrame:
     """One row (text): the verdict, the histogram and the hotspots."""
-    counts = histogram(done).filter("n > 0").agg(F.array_join(F.array_sort(F.collect_list(F.format_string("%d|%s: %d", "position", "complexity", "n"))), "\n").alias("counts"))
-    spots = hotspots(done, 20).agg(F.array_join(F.array_sort(F.collect_list(F.format_string("%s:%06d %s %s", "file_path", "start_line", "name", "complexity"))), "\n").alias("spots"))
-    return project_verdict(done).join(counts).join(spots).select(F.concat_ws("\n", F.concat(F.lit("verdict: "), "verdict"), F.regexp_replace("counts", r"(?m)^\d+\|", ""), F.nullif("spots", F.lit(""))).alias("text"))
+    head = project_verdict(done).select(F.lit(0).alias("part"), F.lit("").alias("key"), F.concat(F.lit("verdict: "), "verdict").alias("line"))
+    counts = histogram(done).filter("n > 0").select(F.lit(1), F.format_string("%02d", "position"), F.format_string("%s: %d", "complexity", "n"))
+    spots = hotspots(done, 20).select(F.lit(2), F.format_string("%s:%09d", "file_path", "start_line"), F.format_string("%s:%d %s %s", "file_path", "start_line", "name", "complexity"))
+    lines = head.union(counts).union(spots).agg(F.array_sort(F.collect_list(F.struct("part", "key", "line"))).alias("lines"))  # 30 rows at most
+    return lines.select(F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("text"))
 
 
 def recommendations(texts: DataFrame, limit: int = 5) -> DataFrame:
