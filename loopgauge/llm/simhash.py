@@ -188,49 +188,53 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFra
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Wide fingerprints, for text copies that share SIMILAR of their shingles of five words: 256 bits, of which such copies differ
-#: in 39 on average (the angle between their sets of distinct shingles), so the radius lies two deviations above. KEYS keys of KEY_BITS
-#: sampled bits find such a pair with a chance of 0.98; a pair inside a tile is compared exactly.
-WIDE, SIMILAR, WIDE_RADIUS, KEYS, KEY_BITS = ["f0", "f1", "f2", "f3"], 0.8, 50, 56, 16
+#: Wide fingerprints, for text copies that share SIMILAR of their distinct shingles of five words: 256 bits, of which such copies differ
+#: in 39 on average (the angle between their sets of shingles), so the radius lies two deviations above. Their tiles are keyed by the
+#: smallest shingles: KEYS keys of the minima under KEY_MINIMA hash orders. Such copies agree on a key with a chance of SIMILAR ** KEY_MINIMA,
+#: so 0.999 of them meet in a tile; texts that share little hardly do, however many there are. Inside a tile all pairs are compared.
+WIDE, SIMILAR, WIDE_RADIUS, KEYS, KEY_MINIMA = ["f0", "f1", "f2", "f3"], 0.8, 50, 10, 3
+TILE_KEYS = [f"k{i}" for i in range(KEYS)]
+_ORDERS = np.random.default_rng(5).integers(1, 2**62, KEYS * KEY_MINIMA, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def wide_fingerprint(shingles: list[bytes]) -> bytes:
+def wide_fingerprint(shingles: list[bytes]) -> tuple[bytes, np.ndarray]:
+    """256 bits and KEYS tile keys of distinct shingles."""
     counts, digest = np.zeros(256, np.int64), xxhash.xxh3_128_digest
+    least = np.full(len(_ORDERS), np.uint64(2**64 - 1))
     for i in range(0, len(shingles), 8192):
         h = np.frombuffer(b"".join([digest(s, 1) + digest(s, 2) for s in shingles[i : i + 8192]]), np.uint8).reshape(-1, 32)
         counts += np.unpackbits(h, axis=1).sum(axis=0, dtype=np.uint32)
-    return np.packbits(counts * 2 > len(shingles)).tobytes()
+        x = h.view(np.uint64)[:, 0]
+        for k, odd in enumerate(_ORDERS):
+            y = x * odd
+            least[k] = min(least[k], (y ^ y >> np.uint64(32)).min())
+    mixed = least.reshape(KEYS, KEY_MINIMA) * np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)[:KEY_MINIMA]
+    return np.packbits(counts * 2 > len(shingles)).tobytes(), np.bitwise_xor.reduce(mixed, axis=1)
 
 
 def wide_fingerprints(docs: DataFrame, width: int = 5) -> DataFrame:
-    """(doc_id, f0, f1, f2, f3)."""
+    """(doc_id, f0 to f3, k0 to k9)."""
+    names = ["doc_id", *WIDE, *TILE_KEYS]
 
     def run(batches):
         for b in batches:
-            fps = np.frombuffer(b"".join(wide_fingerprint(sorted(set(shingle_bytes(t, width)))) for t in b["text"].to_pylist()), ">i8").astype(np.int64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([b["doc_id"].cast(pa.int64()), *(pa.array(np.ascontiguousarray(fps[:, i])) for i in range(4))], ["doc_id", *WIDE])
+            both = [wide_fingerprint(sorted(set(shingle_bytes(t, width)))) for t in b["text"].to_pylist()]
+            fps = np.frombuffer(b"".join(f for f, _ in both), ">i8").astype(np.int64).reshape(-1, 4)
+            keys = np.array([k for _, k in both], np.uint64).view(np.int64).reshape(-1, KEYS)
+            columns = [pa.array(np.ascontiguousarray(c)) for c in (*fps.T, *keys.T)]
+            yield pa.RecordBatch.from_arrays([b["doc_id"].cast(pa.int64()), *columns], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, f0 long, f1 long, f2 long, f3 long")
-
-
-def sampled_keys() -> list[Column]:
-    """Keys of wide fingerprints: KEYS choices of KEY_BITS of the 256 bits."""
-    rng, out = np.random.default_rng(5), []
-    for _ in range(KEYS):
-        bits = np.zeros(256, np.uint8)
-        bits[rng.choice(256, KEY_BITS, replace=False)] = 1
-        mask = np.packbits(bits).view(">i8").tolist()
-        out.append(F.xxhash64(*[F.col(w).bitwiseAND(F.lit(m)) for w, m in zip(WIDE, mask, strict=True)]))
-    return out
+    return docs.select("doc_id", "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, component_id) of every row, by wide fingerprints of five-word shingles."""
+    identity = [*WIDE, *TILE_KEYS]
     prints = common.stored(wide_fingerprints(docs), "wide-fingerprints")
-    points = common.stored(prints.groupBy(*WIDE).agg(F.min("doc_id").alias("node")), "wide-points")
-    found = common.components(links(points.filter("node IS NOT NULL"), WIDE_RADIUS, sampled_keys(), WIDE))
-    named = points.join(found, "node", "left").select(*WIDE, F.coalesce("component", "node").alias("component_id"))
-    return prints.join(named, WIDE).select("doc_id", "component_id")
+    points = common.stored(prints.groupBy(*identity).agg(F.min("doc_id").alias("node")), "wide-points")
+    found = common.components(links(points.filter("node IS NOT NULL"), WIDE_RADIUS, [F.col(k) for k in TILE_KEYS], WIDE))
+    named = points.join(found, "node", "left").select(*identity, F.coalesce("component", "node").alias("component_id"))
+    return prints.join(named, identity).select("doc_id", "component_id")
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@ import numpy as np
 import pytest
 
 import verify
-from loopgauge.llm import common, mixing
+from loopgauge.llm import mixing
 
 
 @pytest.mark.parametrize("weights", [{"a": 1, "b": 1}, {"a": 70, "b": 20, "c": 9, "d": 1}, {"a": 333, "b": 333, "c": 334}, {"x": 1}, {str(i): i * i + 1 for i in range(30)}])
