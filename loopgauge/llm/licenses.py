@@ -164,10 +164,12 @@ class Scanner:
                 hits.append((rule.priority, first - last, first, i, last))
                 at = m.start() + 1 if rule.priority == 0 else m.end()
         out["base"] = sorted((h[2], self.rules[h[3]].label) for h in hits if h[0] == 0)
-        kept: list[tuple[int, int]] = []
+        reach: dict[int, int] = {}  # of the accepted intervals: where the longest one from each first word ends
+        longest = max((h[4] - h[2] for h in hits), default=0)
         for _, _, first, i, last in sorted(hits):
-            if not any(a <= first and last <= b for a, b in kept) or self.rules[i].priority == 0:
-                kept.append((first, last))
+            inside = any(reach.get(a, -1) >= last for a in range(max(0, last - longest), first + 1))
+            if not inside or self.rules[i].priority == 0:
+                reach[first] = max(last, reach.get(first, -1))
                 out["detections"].append((first, last, self.rules[i].label, self.rules[i].confidence))
         return out
 

@@ -111,6 +111,13 @@ def test_rules_overlap():
     assert len(SCANNER.rules) > 300
 
 
+@given(st.lists(st.sampled_from(PARTS), max_size=30).map(" ".join))
+def test_suppressed_detections_lie_inside_accepted_ones(text):
+    found = [(a, z) for a, z, _, _ in SCANNER.scan(text)["detections"]]
+    base = {(i, i + len(phrase.split()) - 1) for i, label in plain_scan(text)[1] for phrase, name in licenses.BASE.items() if name == label}
+    assert all(not (a <= c and d <= b) for k, (c, d) in enumerate(found) if (c, d) not in base for a, b in found[:k])
+
+
 def test_op3(spark, sf, odd, empty):
     texts = {r.doc_id: r.text for r in common.table(spark, sf, "documents").collect()}
     for r in licenses.op3(spark, sf).collect():
