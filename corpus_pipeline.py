@@ -1,6 +1,6 @@
 """From raw documents to a training mixture: five stages, each written as Parquet and read again.
 
-Language ID drops what has no language, line dedup cuts repeated chunks of lines, SimHash keeps one of each group
+Language ID drops what has no language, line dedup cuts repeated runs of lines, SimHash keeps one of each group
 of near copies, decontamination drops documents that hold benchmark passages, and mixing gives the rest their places.
 
 Every stage keeps rows with null ids or texts unless its rule names them; see the operators' docstrings for empty tables, ties and
@@ -28,8 +28,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts repeated chunks of lines; documents of which nothing stays are copies and go."""
-    found = linedup.deduplicated(docs)
+    """Cuts repeated runs of two or more lines; documents of which nothing stays are copies and go."""
+    found = linedup.deduplicated(docs, linedup.windows)
     kept = found.filter((F.col("n_removed") == 0) | (F.trim("text") != ""))
     return kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(*docs.columns)
 

@@ -5,6 +5,10 @@ the content and survive insertions elsewhere. Chunks of at least MIN_LINES lines
 than once are compared byte for byte with their first occurrence (smallest doc_id, then place) and removed
 where they are equal to it.
 
+A chunk goes only if both its ends lie inside the shared passage, so short passages between other lines mostly stay. With
+windows in place of chunks every pair of neighbouring lines is such a unit, and each line of a repeated run of two or
+more lines goes, wherever the run lies. The pipeline uses windows; op8 is defined on chunks.
+
 Only hashes are gathered for all chunks; texts meet only for chunks with a repeated hash. A chunk that a
 third of all documents share is one kept row joined with many, which the engine splits by size.
 
@@ -43,12 +47,23 @@ def chunks(lines: list[bytes]) -> list[tuple[int, int]]:
     return out
 
 
+def windows(lines: list[bytes]) -> list[tuple[int, int]]:
+    """(first line, MIN_LINES) at every line: the repeated ones cover all repeated runs of at least MIN_LINES lines."""
+    return [(i, MIN_LINES) for i in range(len(lines) - MIN_LINES + 1)]
+
+
+def _blank_between(lines: list[str], drop: set[int]) -> set[int]:
+    """Lines without a visible character whose stretch lies between dropped lines."""
+    at = sorted(drop)
+    return {x for a, b in zip(at, at[1:], strict=False) if not "".join(lines[a + 1 : b]).strip() for x in range(a + 1, b)}
+
+
 def _lines(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split(b"\n") if text else []
 
 
-def chunk_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, k, chunk, first, n, h) of the chunks that could be removed."""
+def chunk_table(docs: DataFrame, units=chunks) -> DataFrame:
+    """(doc_id, k, chunk, first, n, h) of the chunks (or windows) that could be removed."""
     names = ["doc_id", "k", "chunk", "first", "n", "h"]
 
     def run(batches):
@@ -56,7 +71,7 @@ def chunk_table(docs: DataFrame) -> DataFrame:
             rows = []
             for doc, k, text in zip(*(b[c].to_pylist() for c in ("doc_id", "k", "text")), strict=True):
                 lines = _lines(text)
-                for c, (first, n) in enumerate(chunks(lines) if len(lines) >= MIN_LINES else []):
+                for c, (first, n) in enumerate(units(lines) if len(lines) >= MIN_LINES else []):
                     if n >= MIN_LINES:
                         data = b"\n".join(lines[first : first + n])
                         if data.strip():
@@ -87,11 +102,11 @@ def _same_row(left: str, right: str) -> Column:
     return (F.col(f"{left}.k") == F.col(f"{right}.k")) & F.col(f"{left}.doc_id").eqNullSafe(F.col(f"{right}.doc_id"))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs with repeated chunks cut out of text, n_lines (before) and n_removed."""
+def deduplicated(docs: DataFrame, units=chunks) -> DataFrame:
+    """docs with repeated chunks (with windows: repeated runs) cut out of text, n_lines (before) and n_removed."""
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed", "k")]
     keyed = docs.select(*names, F.xxhash64("doc_id", "text").alias("k"))
-    table = common.stored(chunk_table(keyed).distinct(), "line-chunks")
+    table = common.stored((chunk_table(keyed) if units is chunks else chunk_table(keyed, units)).distinct(), "line-chunks")
     repeated = table.groupBy("h").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "k", "chunk")).alias("keep")).filter("times > 1").select("h", "keep")
     found = table.join(repeated, "h").withColumn("keeper", F.struct("doc_id", "k", "chunk").eqNullSafe(F.col("keep")))
     by_doc = common.stored(found.groupBy("doc_id", "k").agg(F.collect_list(F.struct("chunk", "first", "n", "h", "keeper")).alias("found")), "line-found")
@@ -109,6 +124,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
                 lines = text.split("\n") if text else []
                 total.append(len(lines))
                 drop = {i for p in parts or [] for i in range(p["first"], p["first"] + p["n"])}
+                if units is windows:
+                    drop |= _blank_between(lines, drop)
                 removed.append(len(drop))
                 texts.append("\n".join(x for i, x in enumerate(lines) if i not in drop) if drop else text)
             have = [pa.array(texts, pa.string()) if c == "text" else b[c] for c in names]

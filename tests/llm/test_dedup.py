@@ -64,6 +64,41 @@ def test_odd_lines(spark, odd, empty):
     assert linedup.deduplicated(empty).count() == 0
 
 
+def plain_runs(rows):
+    """Lines inside a run of two or more lines (not all blank) that stands at an earlier place, by comparing all pairs of places."""
+    at = [(k, i) for k, (_, t) in enumerate(rows) for i in range(t.count("\n") + 1)]
+    lines = [t.split("\n") for _, t in rows]
+    gone = [set() for _ in rows]
+    for p, (k, i) in enumerate(at):
+        for m, j in at[:p]:
+            n = 0
+            while i + n < len(lines[k]) and j + n < len(lines[m]) and lines[k][i + n] == lines[m][j + n]:
+                n += 1
+            if n >= 2 and "".join(lines[k][i : i + n]).strip():
+                gone[k] |= set(range(i, i + n))
+    return {doc: (len(gone[k]), "\n".join(x for i, x in enumerate(lines[k]) if i not in gone[k])) for k, (doc, _) in enumerate(rows)}
+
+
+def test_pipeline_cuts_repeated_runs_whole(spark):
+    import corpus_pipeline
+
+    rng, rows = random.Random(12), []
+    runs = [[f"run {r} line {i} {rng.random()}" for i in range(n)] for r, n in enumerate((2, 2, 3, 3, 4, 5, 6, 8, 12))]
+    runs.append(["before a gap", "", " ", "", "after the gap"])
+    for doc in range(60):
+        own = [f"own {doc} {i} {rng.random()}" for i in range(rng.randint(1, 6))]
+        at = rng.randint(0, len(own))
+        own[at:at] = rng.choice(runs)
+        rows.append((doc, "\n".join(own)))
+    rows += [(90, "\n".join(runs[4])), (91, "once more\nonce more\nonce more"), (92, "\n".join([*runs[0], "its own end"]))]
+    want = plain_runs(rows)
+    df = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: (r.n_removed, r.text) for r in linedup.deduplicated(df, linedup.windows).collect()}
+    assert got == want and sum(n for n, _ in want.values()) > 150
+    stage = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.line_dedup(spark, df, None).collect()}
+    assert stage == {i: (t, len(t)) for i, (n, t) in want.items() if t.strip()} and 90 not in stage
+
+
 def plain_suffixes(rows):
     counts, out = collections.Counter(), []
     data = [(i, (t or "").encode()) for i, t in rows]
