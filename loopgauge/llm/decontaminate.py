@@ -6,6 +6,10 @@ on the driver. Every window of every document is projected into the same latent
 compared with all benchmark passages by cosine; candidates are checked by their longest common subsequence of
 words with the passage and by whether the passage's answer, the weighted words of its last third, occurs nearby.
 
+Words in more than COMMON of the documents have no weight, unless a passage would keep fewer than FEW weighted words: then all of its words
+are weighed, so that passages that stand in very many documents, and those of small tables, can be found. Verbatim copies do not depend
+on the latent search: each passage's rarest word is looked up in the documents and the words around it are compared.
+
 The benchmark is a stated query set. It is handled in blocks of BLOCK passages, so what a task holds of it is bounded:
 BLOCK x WINDOW words and as many vectors of RANK numbers at most. Each block reads the documents once more.
 
@@ -33,6 +37,8 @@ WINDOW = 2 * STEP
 RANK, OVER = 128, 32
 #: Words in more than this share of documents carry no weight.
 COMMON = 0.2
+#: A passage with fewer different weighted words than this has all its words weighed.
+FEW = 8
 #: Smallest cosine of a candidate, and smallest share of the passage's length that the window reaches in its direction:
 #: without it, any window with a single weighted word would point somewhere.
 COSINE, REACH = 0.3, 0.3
@@ -80,6 +86,7 @@ class Model:
     vectors: np.ndarray
     latent: np.ndarray
     lengths: np.ndarray
+    anchors: dict[bytes, list[tuple[int, int]]]
 
 
 def document_frequencies(docs: DataFrame, vocabulary: list[bytes]) -> tuple[np.ndarray, int]:
@@ -140,8 +147,10 @@ def fit(docs: DataFrame, bench: list[tuple[object, list[bytes]]]) -> Model | Non
     vocabulary = sorted({w for _, p in bench for w in p})
     df, n = document_frequencies(docs, vocabulary)
     idf = np.where(df <= COMMON * n, np.log((1 + n) / (1 + df)), 0.0)
-    if not (idf > 0).any():
-        idf = np.log((1 + n) / (1 + df)) + 1e-3  # every word is common: weigh them all
+    at_of = {w: i for i, w in enumerate(vocabulary)}
+    every = [sorted({at_of[w] for w in p}) for _, p in bench]
+    thin = sorted({i for at in every if (idf[at] > 0).sum() < FEW for i in at})
+    idf[thin] = np.where(idf[thin] > 0, idf[thin], np.log1p(n / np.maximum(df[thin], 1)))
     kept = np.flatnonzero(idf > 0)
     index, idf = {vocabulary[i]: k for k, i in enumerate(kept)}, idf[kept]
     sparse = []
@@ -156,7 +165,21 @@ def fit(docs: DataFrame, bench: list[tuple[object, list[bytes]]]) -> Model | Non
     lengths = np.maximum(np.linalg.norm(latent, axis=1), 1e-9).astype(np.float32)
     latent /= lengths[:, None]
     answers = [{w for w in p[2 * len(p) // 3 :] if w in index} or {w for w in p if w in index} for _, p in bench]
-    return Model([i for i, _ in bench], [p for _, p in bench], answers, index, vectors, latent, lengths)
+    anchors: dict[bytes, list[tuple[int, int]]] = {}
+    for k, (_, p) in enumerate(bench):
+        first = min(range(len(p)), key=lambda i: (df[at_of[p[i]]], i))
+        anchors.setdefault(p[first], []).append((k, first))
+    return Model([i for i, _ in bench], [p for _, p in bench], answers, index, vectors, latent, lengths, anchors)
+
+
+def verbatim(model: Model, words: list[bytes]) -> set[int]:
+    """The passages whose words stand in words, one after the other."""
+    found: set[int] = set()
+    for i, w in enumerate(words):
+        for k, before in model.anchors.get(w, ()):
+            if i >= before and k not in found and words[i - before : i - before + len(model.passages[k])] == model.passages[k]:
+                found.add(k)
+    return found
 
 
 def candidates(model: Model, texts: list[list[bytes]]):
@@ -214,6 +237,9 @@ def _search(docs: DataFrame, model: Model) -> DataFrame:
                     if got := verified(m, words[t], block, passage):
                         key = (ids[i + t], m.items[passage])
                         best[key] = max(best.get(key, (0, 0, 0)), (got[0], got[1], cos))
+                for t, text in enumerate(words):
+                    for passage in verbatim(m, text):
+                        best.setdefault((ids[i + t], m.items[passage]), (1.0, 1.0, 1.0))
             cols = [[k[0] for k in best], [k[1] for k in best], *([v[c] for v in best.values()] for c in range(3))]
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "item_id", "overlap", "answer", "cosine"])

@@ -250,6 +250,39 @@ def test_blocks_of_the_benchmark(spark, monkeypatch):
     assert got == {(i, i) for i in range(30)}
 
 
+def found_pairs(spark, docs, items):
+    return {(r.doc_id, r.item_id) for r in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+
+
+def test_passages_in_a_third_of_all_documents(spark):
+    rng = random.Random(21)
+    filler = words(rng, 2000)
+    items = [(i, " ".join(words(rng, 40))) for i in range(12)]  # the first is hot, the others keep the index alive
+    docs = [(i, " ".join([*rng.choices(filler, k=80), *(items[0][1].split() if i % 3 == 0 else []), *rng.choices(filler, k=80)])) for i in range(90)]
+    docs += [(100 + i, " ".join([*rng.choices(filler, k=50), t])) for i, t in items[1:]]
+    near = items[0][1].split()
+    for at in (5, 12, 19, 26):
+        near[at] = rng.choice(filler)  # a paraphrase of the hot passage
+    docs.append((200, " ".join([*rng.choices(filler, k=60), *near, *rng.choices(filler, k=60)])))
+    assert found_pairs(spark, docs, items) == {(i, 0) for i in range(0, 90, 3)} | {(100 + i, i) for i in range(1, 12)} | {(200, 0)}
+
+
+@pytest.mark.parametrize("n", [3, 4, 5])
+def test_passages_in_small_tables(spark, n):
+    rng = random.Random(n)
+    items = [(i, " ".join(words(rng, 30))) for i in range(2)]
+    docs = [(i, " ".join([*words(rng, 60), *(items[0][1].split() if i < 2 else []), *(items[1][1].split() if i == 2 else [])])) for i in range(n)]
+    assert found_pairs(spark, docs, items) == {(0, 0), (1, 0), (2, 1)}
+
+
+def test_verbatim_copies_need_no_candidates(spark, monkeypatch):
+    rng = random.Random(8)
+    items = [(i, " ".join(words(rng, 20 + 30 * i))) for i in range(5)]
+    docs = [(i, " ".join([*words(rng, 37 * i), t, *words(rng, 50)])) for i, t in items]
+    monkeypatch.setattr(decontaminate, "COSINE", 9.0)
+    assert found_pairs(spark, docs, items) == {(i, i) for i in range(5)}
+
+
 def test_randomised_svd(spark):
     rng = np.random.default_rng(1)
     a = rng.random((40, 30)) * (rng.random((40, 30)) < 0.3)
