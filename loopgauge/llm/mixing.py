@@ -11,7 +11,7 @@ documents in lower ranges plus its place in its own, so that no source is ordere
 
 Defined cases: a null source is a source of its own, the last; rows that repeat an id keep a place each, ties by nothing but the engine's order
 where whole rows are equal; null texts stay; a source without a given weight gets weight 0, which is at
-least one slot a cycle; an empty table gives an empty result; columns whose names clash with the
+least one slot a cycle, as do negative weights and those that are no number; weights need not be whole numbers; an empty table gives an empty result; columns whose names clash with the
 added ones (slot, block, place, source_block) are replaced. The cycle is computed in one row: it is bounded by SLOTS plus the number of sources, which is
 meant to be a few thousand at most.
 """
@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import IntegralType
 
 from . import common
 
@@ -50,8 +51,14 @@ def shares(docs: DataFrame, weights: DataFrame | None = None, slots: int = SLOTS
     if weights is None:
         counts = counts.withColumn("weight", F.floor(F.sqrt("n")).cast("long"))
     else:
-        given = weights.groupBy(F.col("source").alias("w_source")).agg(F.max("weight").cast("long").alias("weight"))
-        counts = counts.join(F.broadcast(given), F.col("source").eqNullSafe(F.col("w_source")), "left").withColumn("weight", F.greatest(F.coalesce("weight", F.lit(0)), F.lit(0)))
+        whole = isinstance(weights.schema["weight"].dataType, IntegralType)
+        kind = "long" if whole else "double"
+        known = weights if whole else weights.filter(~F.isnan(F.col("weight").cast(kind)))
+        given = known.groupBy(F.col("source").alias("w_source")).agg(F.max(F.col("weight").cast(kind)).alias("weight"))
+        counts = counts.join(F.broadcast(given), F.col("source").eqNullSafe(F.col("w_source")), "left").withColumn("weight", F.greatest(F.coalesce("weight", F.lit(0).cast(kind)), F.lit(0).cast(kind)))
+        if not whole:  # as shares of the largest weight, in whole numbers, so that their sum does not depend on its order
+            largest = F.max("weight").over(W.partitionBy())
+            counts = counts.withColumn("weight", F.when(largest > 0, F.floor(F.col("weight") / largest * F.lit(1e12) + 0.5)).otherwise(0).cast("long"))
     sized = counts.withColumn("total", F.greatest(F.sum("weight").over(W.partitionBy()), F.lit(1)))  # one row a source
     q = F.greatest(F.lit(1), F.expr(f"(2 * {slots} * weight + total) div (2 * total)")).cast("long")
     return sized.select("source", (F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1).alias("rank"), q.alias("q"))

@@ -43,3 +43,15 @@ def test_odd_rows(spark, odd, empty):
     got = mixing.mixed(odd)
     assert got.count() == odd.count() and got.select("place").distinct().count() == odd.count()
     assert mixing.mixed(empty).count() == 0
+
+
+@pytest.mark.parametrize("weights", [{"a": 0.6, "b": 0.3, "c": 0.1}, {"a": 6e-9, "b": 3e-9, "c": 1e-9}, {"a": 2.5, "b": 7.5}])
+def test_fractional_weights_are_kept(spark, weights):
+    total = sum(weights.values())
+    docs = spark.createDataFrame([(i, s) for i, s in enumerate(weights)], "doc_id long, source string")
+    given = spark.createDataFrame(list(weights.items()), "source string, weight double")
+    plan = mixing.schedule(mixing.shares(docs, given)).toPandas()
+    cycle = int(plan.cycle.iloc[0])
+    for s, g in plan.groupby("source"):
+        ran = np.cumsum(np.tile(np.isin(np.arange(cycle), g.cycle_slot), 5))  # five cycles against the weights themselves
+        assert np.abs(ran - np.arange(1, 5 * cycle + 1) * weights[s] / total).max() < 1
