@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -15,9 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one only where that is unset (tests, one machine)."""
+    """The folder in spark.checkpoint.dir; a local one only where that is unset and all tasks run on this machine (tests)."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or _fallback.get(spark.sparkContext.applicationId)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = _fallback[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="shared-")
     return path.rstrip("/")
 
@@ -76,6 +78,26 @@ def clean(spark: SparkSession, paths: list[str]) -> None:
     _stored[:] = [p for p in _stored if p not in set(paths)]
 
 
+#: A key is hot from this share of all rows on: one in HOT, so fewer than HOT keys are.
+HOT = 1000
+
+
+def join_repeated(rows: DataFrame, repeated: DataFrame, key: str) -> DataFrame:
+    """rows joined with repeated (a row for each key, its number of rows in column times); both are stored tables.
+
+    Hot keys, fewer than HOT by definition, come by broadcast, so their rows stay where they are; the others are dealt by key, and
+    none of them fills a task.
+    """
+    hot = F.col("times") * HOT > rows.count()
+    few = F.broadcast(repeated.filter(hot))
+    return rows.join(few, key).unionByName(rows.join(few.select(key), key, "left_anti").join(repeated.filter(~hot), key))
+
+
+def salts(times: Column, total: int) -> Column:
+    """Tasks that the rows of a key are dealt to: one, and one more for each HOT-th of all rows."""
+    return (F.floor(times * HOT / F.lit(max(1, total))) + 1).cast("int")
+
+
 def by_bytes(items: list, sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
     """Ranges [i, j) of items whose sizes sum to at most `most`; a larger item stands alone."""
     i, total = 0, 0
@@ -105,9 +127,11 @@ def components(edges: DataFrame) -> DataFrame:
         offers = seen.select(F.explode(F.array("a", "label_a")).alias("node"), "label_b").groupBy("node").agg(F.min("label_b").alias("offer"))
         hooked = labels.join(offers, "node", "left").select("node", F.col("label").alias("was"), F.least("label", "offer").alias("label"))
         up = hooked.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        new = stored(hooked.join(up, "label", "left").select("node", F.coalesce("up", "label").alias("label"), (F.coalesce("up", "label") != F.col("was")).alias("moved")), "labels")
-        changed = new.filter("moved").limit(1).count()
-        old, labels = labels, new.select("node", "label")
-        dropped(old)
-        if not changed:
+        jumped = hooked.join(up, "label", "left").select("node", F.coalesce("up", "label").alias("label"), "was")
+        seen_moves = Observation()
+        new = stored(jumped.observe(seen_moves, F.count_if(F.col("label") != F.col("was")).alias("moved")).select("node", "label"), "labels")
+        dropped(labels)
+        labels = new
+        if not seen_moves.get.get("moved"):
+            dropped(both)
             return labels.select("node", F.col("label").alias("component"))

@@ -8,8 +8,9 @@ A bucket above TILE rows is cut by population count and hash into several tiles;
 whose counts lie beyond the radius are skipped, all others are compared. Nothing is capped.
 
 Defined cases: null and empty texts and texts without words have fingerprint zero and link like any
-other; rows that repeat an id or a text share a fingerprint; a null doc_id gets the component of its
-fingerprint; an empty table gives an empty result; extra columns are ignored.
+other; rows of one text share a fingerprint, rows of one id with different texts do not and are not tied by the id; a null doc_id gets the
+component of its fingerprint and links like any other, and a component without any id is null; an empty table gives an empty result; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -169,72 +170,223 @@ def links(points: DataFrame, radius: int, keys: list[Column], words: list[str])
     return tied.select("a", F.col("m").alias("b")).union(tied.filter("b <> m").select("b", "m")).distinct()
 
 
-#: Points above which buckets are keyed by three blocks (27 bits) in place of two (21 bits); both are exact.
-MANY = 1 << 27
-
-
 def block_keys(radius: int = 4, extra: int = 2) -> list[Column]:
     """Keys of 64-bit fingerprints of which linked ones share at least one."""
     return [F.col("fp").bitwiseAND(F.lit(m)) for m in masks(radius, extra)]
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
-    """(doc_id, fp, component_id) of every row of docs (doc_id, text); component_id is the smallest doc_id that links reach."""
+    """(doc_id, fp, component_id) of every row of docs (doc_id, text); component_id is the smallest doc_id that links reach.
+
+    Points are the distinct fingerprints and are named by themselves, so neither repeated nor null ids decide which of them are linked.
+    """
     prints = common.stored(fingerprints(docs, width), "fingerprints")
-    points = common.stored(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "points")
-    extra = 2 if points.count() < MANY else 3
-    found = common.components(links(points.filter("node IS NOT NULL"), radius, block_keys(radius, extra), ["fp"]))
-    named = points.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    points = common.stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "points")
+    found = common.components(links(points.select("fp", F.col("fp").alias("node")), radius, block_keys(radius), ["fp"]))
+    placed = points.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    least = common.stored(placed.groupBy("component").agg(F.min("least").alias("component_id")), "component-ids")
+    named = common.stored(placed.join(least, "component").select("fp", "component_id"), "point-ids")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Wide fingerprints, for text copies that share SIMILAR of their distinct shingles of five words: 256 bits, of which such copies differ
-#: in 39 on average (the angle between their sets of shingles), so the radius lies two deviations above. Their tiles are keyed by the
-#: smallest shingles: KEYS keys of the minima under KEY_MINIMA hash orders. Such copies agree on a key with a chance of SIMILAR ** KEY_MINIMA,
-#: so 0.999 of them meet in a tile; texts that share little hardly do, however many there are. Inside a tile all pairs are compared.
-WIDE, SIMILAR, WIDE_RADIUS, KEYS, KEY_MINIMA = ["f0", "f1", "f2", "f3"], 0.8, 50, 10, 3
+#: Near copies share SIMILAR of their distinct shingles of WIDTH words. Wide fingerprints find the candidates: 256 bits, of which such copies
+#: differ in 39 on average with a deviation of 6 (the angle between their sets of shingles), so the radius lies over four deviations above.
+#: Their tiles are keyed by the smallest shingles: KEYS keys of the minima under KEY_MINIMA hash orders. Such copies agree on a key with a chance
+#: of SIMILAR ** KEY_MINIMA, so 0.999 of them meet in a tile; texts that share little hardly do, however many there are.
+WIDE, SIMILAR, WIDTH, WIDE_RADIUS, KEYS, KEY_MINIMA = ["f0", "f1", "f2", "f3"], 0.8, 5, 65, 10, 3
 TILE_KEYS = [f"k{i}" for i in range(KEYS)]
 _ORDERS = np.random.default_rng(5).integers(1, 2**62, KEYS * KEY_MINIMA, np.uint64) * np.uint64(2) + np.uint64(1)
+#: Candidates of one group that a task compares at a time, and cells of the largest matrix of texts by shingles.
+CHUNK, CELLS = 512, 4_000_000
+
 
+def shingle_hashes(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """Sorted distinct 128-bit hashes of a text's shingles: rows of two words."""
+    digest, parts = xxhash.xxh3_128_digest, shingle_bytes(text, width)
+    h = np.frombuffer(b"".join([digest(x, 1) for x in set(parts)]), np.uint64).reshape(-1, 2)
+    return h[np.lexsort((h[:, 1], h[:, 0]))]
 
-def wide_fingerprint(shingles: list[bytes]) -> tuple[bytes, np.ndarray]:
+
+def wide_fingerprint(h: np.ndarray) -> tuple[bytes, np.ndarray]:
     """256 bits and KEYS tile keys of distinct shingles."""
-    counts, digest = np.zeros(256, np.int64), xxhash.xxh3_128_digest
-    least = np.full(len(_ORDERS), np.uint64(2**64 - 1))
-    for i in range(0, len(shingles), 8192):
-        h = np.frombuffer(b"".join([digest(s, 1) + digest(s, 2) for s in shingles[i : i + 8192]]), np.uint8).reshape(-1, 32)
-        counts += np.unpackbits(h, axis=1).sum(axis=0, dtype=np.uint32)
-        x = h.view(np.uint64)[:, 0]
+    counts, least = np.zeros(256, np.int64), np.full(len(_ORDERS), np.uint64(2**64 - 1))
+    for i in range(0, len(h), 8192):
+        x = h[i : i + 8192]
+        more = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)  # the other 128 bits: mixed again, each word with the other one's turn
+        wide = np.concatenate([x, more[:, ::-1] ^ more >> np.uint64(32)], axis=1)
+        counts += np.unpackbits(wide.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint32)
         for k, odd in enumerate(_ORDERS):
-            y = x * odd
+            y = x[:, 0] * odd
             least[k] = min(least[k], (y ^ y >> np.uint64(32)).min())
     mixed = least.reshape(KEYS, KEY_MINIMA) * np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)[:KEY_MINIMA]
-    return np.packbits(counts * 2 > len(shingles)).tobytes(), np.bitwise_xor.reduce(mixed, axis=1)
+    return np.packbits(counts * 2 > len(h)).tobytes(), np.bitwise_xor.reduce(mixed, axis=1)
+
+
+def _set_digest(h: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(h.tobytes(), 9)
 
 
-def wide_fingerprints(docs: DataFrame, width: int = 5) -> DataFrame:
-    """(doc_id, f0 to f3, k0 to k9)."""
-    names = ["doc_id", *WIDE, *TILE_KEYS]
+#: A set of shingles is named by 128 bits of it.
+SET = ["s0", "s1"]
+
+
+def wide_fingerprints(docs: DataFrame) -> DataFrame:
+    """(doc_id, k, s0, s1, f0 to f3, k0 to k9) of docs (doc_id, k, text)."""
+    names = ["doc_id", "k", *SET, *WIDE, *TILE_KEYS]
 
     def run(batches):
         for b in batches:
-            both = [wide_fingerprint(sorted(set(shingle_bytes(t, width)))) for t in b["text"].to_pylist()]
-            fps = np.frombuffer(b"".join(f for f, _ in both), ">i8").astype(np.int64).reshape(-1, 4)
-            keys = np.array([k for _, k in both], np.uint64).view(np.int64).reshape(-1, KEYS)
-            columns = [pa.array(np.ascontiguousarray(c)) for c in (*fps.T, *keys.T)]
-            yield pa.RecordBatch.from_arrays([b["doc_id"].cast(pa.int64()), *columns], names)
+            sets, bits, keys = [], [], []
+            for t in b["text"].to_pylist():
+                h = shingle_hashes(t)
+                f, k = wide_fingerprint(h)
+                sets.append(_set_digest(h))
+                bits.append(f)
+                keys.append(k)
+            columns = [np.frombuffer(b"".join(sets), np.int64).reshape(-1, 2), np.frombuffer(b"".join(bits), np.int64).reshape(-1, 4), np.array(keys, np.uint64).view(np.int64).reshape(-1, KEYS)]
+            flat = [pa.array(np.ascontiguousarray(c)) for x in columns for c in x.T]
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["k"], *flat], names)
+
+    return docs.select("doc_id", "k", "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    """(node, grp, f0 to f3, hashes) from docs (text, node, grp, s0, s1, f0 to f3): the sorted shingle hashes of those texts that have the wanted set."""
+    names = ["node", "grp", *WIDE]
+
+    def run(batches):
+        seen: set[int] = set()  # rows that repeat id and text
+        for b in batches:
+            nodes = b["node"].to_pylist()
+            wanted = np.stack([b[c].to_numpy() for c in SET], axis=1)
+            for i, j in common.by_bytes(list(range(len(b))), [len(t or "") for t in b["text"].to_pylist()], 4 << 20):
+                sets = [shingle_hashes(t) for t in b["text"].slice(i, j - i).to_pylist()]
+                at = [r for r, h in enumerate(sets) if nodes[i + r] not in seen and _set_digest(h) == wanted[i + r].tobytes()]
+                seen.update(nodes[i + r] for r in at)
+                take = pa.array(np.array(at, np.int64) + i)
+                yield pa.RecordBatch.from_arrays([*(b[c].take(take) for c in names), pa.array([sets[r].tobytes() for r in at], pa.binary())], [*names, "hashes"])
+
+    return docs.select("text", *SET, *names).mapInArrow(run, ", ".join(f"{n} long" for n in names) + ", hashes binary")
+
+
+def similar_sets(fp: np.ndarray, sets: list[np.ndarray], label: np.ndarray) -> np.ndarray:
+    """Smallest index that links of similarity SIMILAR reach, among texts of one group; texts with one label are tied beforehand.
+
+    Pairs of different labels within the radius are candidates. Shared shingles are counted by products of the texts' incidence matrix, a stretch of shingles at a time.
+    """
+    n, size = len(fp), np.array([len(h) for h in sets])
+    first = np.unique(label, return_inverse=True)[1]
+    base = np.full(n, n)
+    np.minimum.at(base, first, np.arange(n))
+    start = forest(n, np.arange(n), base[first])
+    near = np.zeros((n, n), bool)
+    for i in range(0, n, 64):
+        near[i : i + 64] = sum(np.bitwise_count(fp[i : i + 64, None, w] ^ fp[None, :, w]).astype(np.int16) for w in range(fp.shape[1])) <= WIDE_RADIUS
+    near &= (start[:, None] != start[None]) & (np.minimum.outer(size, size) >= SIMILAR * np.maximum.outer(size, size))
+    use = np.flatnonzero(near.any(axis=1))
+    if not len(use):
+        return start
+    owner = np.repeat(np.arange(len(use)), size[use])
+    every = np.concatenate([sets[i] for i in use])
+    order = np.lexsort((every[:, 1], every[:, 0]))
+    new = np.r_[True, (every[order][1:] != every[order][:-1]).any(axis=1)]
+    number = np.cumsum(new) - 1
+    times = np.bincount(number)
+    keep = times[number] > 1
+    column, row = (np.cumsum(times > 1) - 1)[number[keep]], owner[order][keep]
+    shared, step = np.zeros((len(use), len(use)), np.float32), max(1, CELLS // len(use))
+    for c in range(0, int(column.max(initial=-1)) + 1, step):
+        a, b = np.searchsorted(column, [c, c + step])
+        part = np.zeros((len(use), step), np.float32)
+        part[row[a:b], column[a:b] - c] = 1
+        shared += part @ part.T
+    total = size[use][:, None] + size[use][None] - shared
+    x, y = np.nonzero(near[np.ix_(use, use)] & (shared >= SIMILAR * total - 1e-6))
+    return forest(n, np.r_[np.arange(n), use[x]], np.r_[start, use[y]])
+
+
+def _edges_of(group: pa.Table, cut: list[str]) -> pa.Table:
+    """Links inside each value of the columns `cut` of a table (cut, node, label, f0 to f3, hashes)."""
+    keys, fp, node, label = np.stack([group[c].to_numpy() for c in cut], axis=1), _words(group, WIDE), group["node"].to_numpy(), group["label"].to_numpy()
+    order = np.lexsort(keys.T[::-1])
+    ends = np.flatnonzero(np.r_[(keys[order][1:] != keys[order][:-1]).any(axis=1), True]) + 1
+    hashes, a, b = group["hashes"], [], []
+    for i, j in zip(np.r_[0, ends[:-1]], ends, strict=True):
+        at = order[i:j]
+        if len(at) > 1:
+            low = similar_sets(fp[at], [np.frombuffer(hashes[int(r)].as_py(), np.uint64).reshape(-1, 2) for r in at], label[at])
+            moved = np.flatnonzero(low != np.arange(len(at)))
+            a.append(node[at[moved]])
+            b.append(node[at[low[moved]]])
+    none = np.zeros(0, np.int64)
+    return pa.table({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
+
+
+def verified_links(members: DataFrame) -> DataFrame:
+    """Edges (a, b) that span all links of SIMILAR among the texts of each group grp; members is a stored table (node, grp, f0 to f3, hashes).
+
+    A group above CHUNK texts is cut by hash. Its chunks are compared inside, then the first texts of what was found there; where the group has
+    not become one by then, all texts outside its largest part meet every chunk. So groups of true copies cost one comparison a text, and others are compared whole.
+    """
+    sizes = common.stored(members.groupBy("grp").agg(F.count("*").alias("n")).withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int")), "group-sizes")
+    cut = lambda chunks: F.pmod(F.xxhash64("node"), chunks).cast("int")
+    dealt = members.join(sizes, "grp").withColumn("chunk", cut(F.col("chunks")))
+    bins = max(1, math.ceil(members.count() / (2 * CHUNK)))
+    by_bin = dealt.withColumn("label", F.col("node")).withColumn("bin", F.pmod(F.xxhash64("grp", "chunk"), F.lit(bins)))
+    edges = common.stored(by_bin.groupBy("bin").applyInArrow(lambda g: _edges_of(g, ["grp", "chunk"]), "a long, b long"), "verified")
+    large = sizes.filter("chunks > 1")
+    if not large.limit(1).count():
+        return edges
+    rest = common.stored(members.join(large.select("grp", "chunks"), "grp"), "large-groups")
+
+    def labelled(edges: DataFrame) -> DataFrame:
+        return rest.join(common.components(edges), "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+
+    heads = common.stored(labelled(edges).filter("label = node"), "heads")
+    parts = heads.groupBy("grp").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts"))
+    heads = heads.join(parts, "grp").withColumn("chunk", cut(F.col("parts")))
+    more = heads.groupBy("grp", "chunk").applyInArrow(lambda g: _edges_of(g, ["grp", "chunk"]), "a long, b long")
+    edges = common.stored(edges.union(more), "verified")
+    now = common.stored(labelled(edges), "labelled")
+    counts = now.groupBy("grp", "label").agg(F.count("*").alias("n")).groupBy("grp").agg(F.max_by("label", "n").alias("main"), F.count("*").alias("labels"))
+    open_groups = common.stored(counts.filter("labels > 1"), "open-groups")
+    if not open_groups.limit(1).count():
+        return edges
+    left = now.join(open_groups, "grp").withColumn("chunk", cut(F.col("chunks")))
+    outside = left.filter("label <> main")
+    outer = outside.groupBy("grp").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("outer"))
+    chunks = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    columns = ["grp", "chunk", "part", "node", "label", *WIDE, "hashes"]
+    here = left.join(outer, "grp").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("outer") - 1))).select(*columns)
+    visitors = outside.withColumnRenamed("chunk", "own").join(outer, "grp").withColumn("part", cut(F.col("outer"))).withColumn("chunk", chunks).filter("chunk <> own").select(*columns)
+    across = here.union(visitors).groupBy("grp", "chunk", "part").applyInArrow(lambda g: _edges_of(g, ["grp", "chunk", "part"]), "a long, b long")
+    return common.stored(edges.union(across), "verified")
+
+
+def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """Tells rows of one id with different texts apart."""
+    return F.xxhash64(F.col(doc_id).cast("long"), text)
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
-    """(doc_id, component_id) of every row, by wide fingerprints of five-word shingles."""
-    identity = [*WIDE, *TILE_KEYS]
-    prints = common.stored(wide_fingerprints(docs), "wide-fingerprints")
-    points = common.stored(prints.groupBy(*identity).agg(F.min("doc_id").alias("node")), "wide-points")
-    found = common.components(links(points.filter("node IS NOT NULL"), WIDE_RADIUS, [F.col(k) for k in TILE_KEYS], WIDE))
-    named = points.join(found, "node", "left").select(*identity, F.coalesce("component", "node").alias("component_id"))
-    return prints.join(named, identity).select("doc_id", "component_id")
+    """(doc_id, k, component_id, first) of every row: k is its row_key(), first tells whether no smaller (doc_id, k) is in its component; null ids go last.
+
+    Texts with equal sets of shingles are one point. Candidates are linked by wide fingerprints and stay linked only where the sets of
+    five-word shingles themselves share SIMILAR.
+    """
+    keyed = docs.select(F.col("doc_id").cast("long"), "text", row_key().alias("k"))
+    prints = common.stored(wide_fingerprints(keyed), "wide-fingerprints")
+    at = F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "k")
+    same = prints.groupBy(*SET, *WIDE, *TILE_KEYS).agg(F.min(at).alias("least"), F.min("k").alias("text_key"))
+    points = common.stored(same.withColumn("node", F.monotonically_increasing_id()), "wide-points")
+    near = common.components(links(points, WIDE_RADIUS, [F.col(k) for k in TILE_KEYS], WIDE))
+    wanted = points.join(near, "node").select("text_key", "node", F.col("component").alias("grp"), *SET, *WIDE)
+    members = common.stored(shingle_sets(keyed.join(wanted, F.col("k") == F.col("text_key"))), "shingle-sets")
+    found = common.components(verified_links(members))
+    placed = points.join(found, "node", "left").select(*SET, "least", F.coalesce("component", "node").alias("component"))
+    least = common.stored(placed.groupBy("component").agg(F.min("least").alias("least")), "component-ids")
+    named = common.stored(placed.drop("least").join(least, "component").select(*SET, "least"), "point-ids")
+    return prints.join(named, SET).select("doc_id", "k", F.col("least.doc_id").alias("component_id"), at.eqNullSafe(F.col("least")).alias("first"))
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

@@ -26,6 +26,7 @@ def odd(spark):
     return df.withColumns({
         "lang": F.when(F.col("doc_id") == 3, None).otherwise("en"), "source": F.when(F.col("doc_id") == 4, None).otherwise("s1"), "n_chars": F.length("text").cast("long"),
         "k": F.lit("clash"), "score": F.lit("clash"), "fp": F.lit("clash"), "slot": F.lit("clash"), "n": F.lit("clash"), "h": F.lit(None).cast("string"), "page_id": F.col("doc_id"),
+        **{c: F.lit("clash") for c in ("found", "gone", "cycle_slot", "_before", "before", "block", "bucket", "row", "first", "lang_pred", "gone_id", "keep", "times", "node", "ranges")},
     })
 
 

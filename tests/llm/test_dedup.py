@@ -3,37 +3,39 @@
 import collections
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from loopgauge.llm import common, decontaminate, linedup, suffixdedup
 
 
 def plain_lines(rows):
-    """Chunks seen before, in order of (id, text), are cut."""
+    """Pairs of neighbouring lines seen before, in order of (id, place), are cut, and blank lines between cut ones."""
     seen, out = set(), {}
     for doc, text in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0)):
-        lines = text.encode().split(b"\n") if text else []
+        lines = text.split("\n") if text else []
         gone = set()
-        for first, n in linedup.chunks(lines) if len(lines) > 1 else []:
-            data = b"\n".join(lines[first : first + n])
-            if n > 1 and data.strip():
-                if data in seen:
-                    gone |= set(range(first, first + n))
-                seen.add(data)
-        out[doc, text] = (len(lines), len(gone), text if not gone else b"\n".join(x for i, x in enumerate(lines) if i not in gone).decode())
+        for i in range(len(lines) - 1):
+            pair = (lines[i], lines[i + 1])
+            if "".join(pair).strip():
+                gone |= {i, i + 1} if pair in seen else set()
+                seen.add(pair)
+        marks = "".join("x" if i in gone else " " if not x.strip() else "o" for i, x in enumerate(lines))
+        gone |= {i for m in re.finditer("(?<=x) +(?=x)", marks) for i in range(*m.span())}
+        out[doc, text] = (len(lines), len(gone), text if not gone else "\n".join(x for i, x in enumerate(lines) if i not in gone))
     return out
 
 
-def test_chunks_resist_shifts():
+def test_windows_resist_shifts():
     rng = random.Random(2)
     lines = [str(rng.random()).encode() for _ in range(300)]
-    cut = lambda ls: {b"\n".join(ls[a : a + n]) for a, n in linedup.chunks(ls)}
-    assert len(cut(lines) & cut([b"new"] * 3 + lines)) >= 0.9 * len(cut(lines))
-    assert [x for a, n in linedup.chunks(lines) for x in range(a, a + n)] == list(range(300))
+    assert set(linedup.rolling(lines)) < set(linedup.rolling([b"new"] * 3 + lines + [b"end"]))
+    assert len(linedup.rolling(lines[:1])) == 0 and linedup.rolling([b"a", b"b"]) != linedup.rolling([b"b", b"a"])
 
 
 def test_lines_against_brute_force(spark, sf):
@@ -46,8 +48,6 @@ def test_lines_against_brute_force(spark, sf):
 
 
 def test_equal_hashes_of_different_chunks_stay(spark, monkeypatch):
-    from pyspark.sql import functions as F
-
     real = linedup.chunk_table
     monkeypatch.setattr(linedup, "chunk_table", lambda docs: real(docs).withColumn("h", F.lit(1).cast("long")))
     rows = [(i, f"line {i}\nother {i}\nthird {i % 2}") for i in range(6)] + [(9, "line 0\nother 0\nthird 0")]
@@ -58,12 +58,22 @@ def test_equal_hashes_of_different_chunks_stay(spark, monkeypatch):
 def test_odd_lines(spark, odd, empty):
     got = linedup.deduplicated(odd)
     rows = {(r.doc_id, r.n_removed, r.text) for r in got.collect()}
-    assert got.count() == odd.count() and set(odd.columns) - {"k"} <= set(got.columns)
+    assert got.count() == odd.count() and got.columns == [*odd.columns, "n_lines", "n_removed"]
+    assert all(r.k == r.score == r.found == "clash" for r in got.collect())
     assert (3, 0, None) in rows and (4, 0, "") in rows and (1, 0, "The of and that.\nSecond line here.\nThird line.") in rows
     assert {x[1] for x in rows if x[0] == 2} != {0}
     assert linedup.deduplicated(empty).count() == 0
 
 
+def test_a_very_common_chunk_is_dealt_to_many_tasks(spark):
+    rows = [(i, f"own {i}\nthe same line\nand another\nend {i}") for i in range(400)] + [(900 + i, f"rare {i % 20}\nlines {i % 20}\n{i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.text): (r.n_lines, r.n_removed) for r in linedup.deduplicated(df).collect()}
+    want = plain_lines(rows)
+    assert got == {(doc, out): (n, m) for (doc, _), (n, m, out) in want.items()}
+    assert max(r.s for r in df.select(common.salts(F.lit(400), 1000).alias("s")).collect()) > 100
+
+
 def plain_runs(rows):
     """Lines inside a run of two or more lines (not all blank) that stands at an earlier place, by comparing all pairs of places."""
     at = [(k, i) for k, (_, t) in enumerate(rows) for i in range(t.count("\n") + 1)]
@@ -93,7 +103,7 @@ def test_pipeline_cuts_repeated_runs_whole(spark):
     rows += [(90, "\n".join(runs[4])), (91, "once more\nonce more\nonce more"), (92, "\n".join([*runs[0], "its own end"]))]
     want = plain_runs(rows)
     df = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long")
-    got = {r.doc_id: (r.n_removed, r.text) for r in linedup.deduplicated(df, linedup.windows).collect()}
+    got = {r.doc_id: (r.n_removed, r.text) for r in linedup.deduplicated(df).collect()}
     assert got == want and sum(n for n, _ in want.values()) > 150
     stage = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.line_dedup(spark, df, None).collect()}
     assert stage == {i: (t, len(t)) for i, (n, t) in want.items() if t.strip()} and 90 not in stage

@@ -6,16 +6,17 @@ import verify
 from loopgauge.llm import mixing
 
 
-@pytest.mark.parametrize("weights", [{"a": 1, "b": 1}, {"a": 70, "b": 20, "c": 9, "d": 1}, {"a": 333, "b": 333, "c": 334}, {"x": 1}, {str(i): i * i + 1 for i in range(30)}])
+@pytest.mark.parametrize("weights", [{"a": 1, "b": 1}, {"a": 70, "b": 20, "c": 9, "d": 1}, {"a": 333, "b": 333, "c": 334}, {"x": 1}, {str(i): i * i + 1 for i in range(30)}, {"a": 1, "b": 100_000}, {"a": 7, "b": 11_003, "c": 13}])
 def test_deviation_is_under_one_block(spark, weights):
     docs = spark.createDataFrame([(i, s) for i, s in enumerate(weights)], "doc_id long, source string")
     given = spark.createDataFrame(list(weights.items()), "source string, weight long")
     plan = mixing.schedule(mixing.shares(docs, given)).toPandas()
     cycle = int(plan.cycle.iloc[0])
     assert sorted(plan.cycle_slot) == list(range(cycle))
-    for _, g in plan.groupby("source"):
-        ran = np.cumsum(np.isin(np.arange(cycle), g.cycle_slot))
-        assert np.abs(ran - np.arange(1, cycle + 1) * int(g.q.iloc[0]) / cycle).max() < 1
+    total = sum(weights.values())
+    for s, g in plan.groupby("source"):
+        ran = np.cumsum(np.tile(np.isin(np.arange(cycle), g.cycle_slot), 3))  # three cycles against the weights themselves
+        assert np.abs(ran - np.arange(1, 3 * cycle + 1) * weights[s] / total).max() < 1
 
 
 def test_op7_against_sql(spark, sf):
@@ -55,3 +56,19 @@ def test_fractional_weights_are_kept(spark, weights):
     for s, g in plan.groupby("source"):
         ran = np.cumsum(np.tile(np.isin(np.arange(cycle), g.cycle_slot), 5))  # five cycles against the weights themselves
         assert np.abs(ran - np.arange(1, 5 * cycle + 1) * weights[s] / total).max() < 1
+
+
+def test_sources_without_weight_get_no_slot(spark):
+    docs = spark.createDataFrame([(i, "abcd"[i % 4]) for i in range(400)] + [(900, None)], "doc_id long, source string")
+    given = spark.createDataFrame([("a", 3.0), ("b", 0.0), ("c", float("nan")), ("a", 1.0), (None, 1.0)], "source string, weight double")
+    got = mixing.mixed(docs, given).toPandas()
+    assert len(got) == 401 and got[got.source.isin(["b", "c", "d"])].slot.isna().all()
+    placed = got[got.slot.notna()]
+    assert len(placed) == 101 and placed.place.is_unique and placed[placed.source == "a"].slot.max() < 10
+
+
+def test_weights_with_a_too_long_cycle_are_rounded(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CYCLE", 900)
+    docs = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "doc_id long, source string")
+    given = spark.createDataFrame([("a", 1 / 3), ("b", 2 / 3), ("c", 1e-9)], "source string, weight double")
+    assert {r.source: r.q for r in mixing.shares(docs, given).collect()} == {"a": 300, "b": 600, "c": 1}

@@ -21,8 +21,12 @@ def test_stages(spark, sf):
 
 def test_stages_take_odd_and_empty_rows(spark, sf, odd, empty):
     for rows in (odd, empty):
-        for _, stage in corpus_pipeline.STAGES[:-1]:
-            assert stage(spark, rows.select("doc_id", "text", "lang", "source", "n_chars"), sf).count() <= rows.count()
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, rows, sf)
+            places = ["source_block", "slot", "place"] if name == "source_mixing" else []
+            assert out.columns == [c for c in rows.columns if c not in places] + places
+            got = out.collect()
+            assert len(got) <= rows.count() and all(r.found == r.block == r.score == r.k == "clash" for r in got if rows is odd)
 
 
 def test_run_equals_its_stages(spark, sf):
