@@ -22,23 +22,26 @@ LEAST, LONG = 0.1, 200
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter, and long ones that resemble no language."""
-    found = langid.identified(docs)
+    rest = F.struct(*[c for c in docs.columns if c != "text"])  # so that no column's name can clash with the result's
+    found = langid.identified(docs.select("doc_id", "text", "lang", rest.alias("row")))
     rejected = (F.col("lang_pred") == langid.UNKNOWN) | ((F.col("score") < LEAST) & (F.length("text") > LONG))
-    return found.filter(~rejected).select(*docs.columns)
+    return found.filter(~rejected).select(*["text" if c == "text" else f"row.{c}" for c in docs.columns])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts repeated runs of two or more lines; documents of which nothing stays are copies and go."""
-    found = linedup.deduplicated(docs, linedup.windows)
-    kept = found.filter((F.col("n_removed") == 0) | (F.trim("text") != ""))
+    found = linedup.deduplicated(docs)
+    kept = found.filter((F.col("n_removed") == 0) | (F.trim("text") != ""))  # n_removed is the operator's: it replaces a column of that name
     return kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near copies."""
     found = simhash.near_copies(docs)
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = found.filter("NOT first").select(F.col("doc_id").alias("gone_id"), "k").distinct()
+    here = docs.select(F.struct("*").alias("row"))
+    same = (simhash.row_key("row.doc_id", "row.text") == F.col("k")) & F.col("row.doc_id").eqNullSafe(F.col("gone_id"))
+    return here.join(gone, same, "left_anti").select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
