@@ -9,10 +9,12 @@
    are only compared beyond it. Neighbours that share GRAM bytes form a class; inside it the shared prefixes to the
    right and to the left tell exactly which WIDTH-byte strings around the minimizer occur twice.
 5. The byte ranges come back to their documents by one join.
+6. Suffixes whose first GRAM bytes stand at more than LIMIT places do not go through a merge, which would have to hold them all. Their entries
+   are refined by counting (see refined), which no frequency of a string can crowd into one task.
 
 Defined cases: null and empty texts and those shorter than WIDTH bytes keep all bytes; a document may match
 itself, overlaps included; rows that repeat id and text are different places of the same string and so are removed;
-a null doc_id is an id like any other; an empty table gives an empty result; extra columns are ignored.
+a null doc_id is an id like any other; strings that begin at the gram of very many places are compared by MD5; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ LEFT = GRAMS - 1
 ENTRY, FILL = WIDTH + LEFT, b"\xff"
 #: Bytes hashed at a time, entries of a sorted run, entries that one merge should get.
 BATCH, RUN, MERGE = 2 << 20, 60_000, 80_000
+#: Places of a gram that a merge takes; widths of the bands of offsets in which entries with more frequent grams are refined.
+LIMIT, BANDS = 20_000, (40, 8, 1)
 NO_ID = -(2**63)
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -67,7 +71,7 @@ class Hasher:
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(29)
         h *= np.uint64(0x94D049BB133111EB)
-        low = (h >> np.uint64(32)).astype(np.uint32)
+        low = np.maximum((h >> np.uint64(32)).astype(np.uint32), 1)  # 0 stands for none
         least = _sliding(low, GRAMS, np.minimum)  # of the grams under the string that starts at each byte
         inside = np.zeros(len(least) + 1, np.int32)
         np.add.at(inside, begin, 1)
@@ -331,16 +335,75 @@ def _union(ranges: list[dict]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def hot_entries(docs: DataFrame) -> DataFrame:
+    """(entry, lo, hi, places) of docs (k, doc_id, text, found): equal entries of a batch are one row; lo to hi are the offsets inside the text."""
+    place = pa.struct([("k", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32())])
+    names = ["entry", "lo", "hi", "places"]
+
+    def run(batches):
+        for b in batches:
+            entries: dict[bytes, list] = {}
+            for k, doc, text, found in zip(*(b[c].to_pylist() for c in ("k", "doc_id", "text", "found")), strict=True):
+                data = text.encode("utf-8", "replace")
+                for pos in found:
+                    entries.setdefault(entry(data, pos), []).append({"k": k, "doc_id": doc, "pos": pos})
+            lo, hi = zip(*map(_valid, entries), strict=True) if entries else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(list(entries), pa.binary()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(list(entries.values()), pa.list_(place))], names)
+
+    return docs.mapInArrow(run, "entry binary, lo int, hi int, places array<struct<k:bigint,doc_id:bigint,pos:int>>")
+
+
+def refined(entries: DataFrame) -> DataFrame:
+    """(id, o0, o1): bands of offsets all of whose strings are repeated, of a stored table (id, entry, weight).
+
+    A band of offsets has a core, the bytes that all its strings share, and a hull, the bytes under any of them. Entries whose hulls are equal have equal strings at all
+    offsets; entries whose cores differ have none. Only entries with equal cores and different hulls go on, in narrower
+    bands, one entry for each hull. Strings are counted by MD5, with partial counts before each shuffle.
+    """
+    digest = lambda right, left: F.unhex(F.md5(F.expr(f"concat(encode(concat(o0, ' ', o1, ' '), 'UTF-8'), substring(entry, 1, {WIDTH} - {right}), substring(entry, {WIDTH + 1}, {left}))")))
+    cut = lambda width: F.explode(F.expr(f"transform(sequence(o0, o1, {width}), x -> named_struct('o0', x, 'o1', least(o1, x + {width - 1})))"))
+    active, out = entries.select("id", "weight", F.lit(0).alias("o0"), F.lit(LEFT).alias("o1")), None
+    for width in BANDS:
+        bands = active.select("id", "weight", cut(width).alias("band")).groupBy("id").agg(F.collect_list(F.struct("band.o0", "band.o1", "weight")).alias("bands"))
+        each = bands.join(entries.select("id", "entry"), "id").select("id", "entry", F.inline("bands"))
+        keyed = common.stored(each.select("id", "o0", "o1", "weight", digest("o1", "o0").alias("core"), digest("o0", "o1").alias("hull")), "bands")
+        hulls = common.stored(keyed.groupBy("core", "hull", "o0", "o1").agg(F.sum("weight").alias("n"), F.min("id").alias("id")), "hulls")
+        equal = common.join_repeated(keyed, hulls.filter("n > 1").select("hull", F.col("n").alias("times")), "hull").select("id", "o0", "o1")
+        out = equal if out is None else out.unionByName(equal)
+        cores = common.stored(hulls.groupBy("core").agg(F.count("*").alias("times"), F.count_if(F.col("n") == 1).alias("open")).filter("times > 1 AND open > 0"), "cores")
+        active = common.join_repeated(hulls, cores, "core").select("id", F.col("n").alias("weight"), "o0", "o1")
+    return out
+
+
+def hot_ranges(docs: DataFrame) -> DataFrame:
+    """Byte ranges (k, doc_id, start, stop) of repeated strings around the places in docs (k, doc_id, text, found)."""
+    table = common.stored(hot_entries(docs).withColumn("id", F.monotonically_increasing_id()).withColumn("weight", F.size("places").cast("long")), "hot-entries")
+    bands = refined(table.select("id", "entry", "weight")).distinct().groupBy("id").agg(F.collect_list(F.struct("o0", "o1")).alias("bands"))
+    each = table.drop("entry", "weight").join(bands, "id").select("lo", "hi", "bands", F.explode("places").alias("p")).select("lo", "hi", "p.*", F.inline("bands"))
+    inside = each.withColumns({"o0": F.greatest("o0", "lo"), "o1": F.least("o1", "hi")}).filter("o0 <= o1")
+    return inside.select("k", "doc_id", (F.col("pos") - F.col("o1")).cast("long").alias("start"), (F.col("pos") - F.col("o0") + WIDTH).cast("long").alias("stop"))
+
+
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """(doc_id, text, ranges): ranges are the maximal byte ranges (start, stop) under repeated strings, null if none."""
-    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k"))
+    keyed = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("doc_id", "text").alias("k"))
     table = common.stored(anchors(keyed), "anchors")
-    again = table.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1").select("key")
-    found = common.stored(table.join(again, "key").groupBy("k", "doc_id").agg(F.collect_set("pos").alias("found")), "anchors-found")
-    hits = found.agg(F.sum(F.size("found"))).first()[0] or 0
+    again = common.stored(table.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1"), "anchors-repeated")
+    places = common.join_repeated(table, again, "key").groupBy("k", "doc_id").agg(
+        F.collect_set(F.when(F.col("times") <= LIMIT, F.col("pos"))).alias("found"), F.collect_set(F.when(F.col("times") > LIMIT, F.col("pos"))).alias("hot")
+    )
+    found = common.stored(places, "anchors-found")
+    common.dropped(table)
+    hits, hot = found.agg(F.coalesce(F.sum(F.size("found")), F.lit(0)), F.coalesce(F.sum(F.size("hot")), F.lit(0))).first()
     parts = max(1, math.ceil(hits / MERGE))
-    runs = sorted_runs(keyed.alias("d").join(found.alias("f"), _same_row("d", "f")).select("d.k", "d.doc_id", "d.text", "f.found"), parts)
-    ranges = runs.groupBy("p").applyInArrow(merge_ranges, "k long, doc_id long, start long, stop long")
+
+    def beside(column: str) -> DataFrame:
+        here = found.filter(F.size(column) > 0).select("k", "doc_id", F.col(column).alias("found"))
+        return keyed.alias("d").join(here.alias("f"), _same_row("d", "f")).select("d.k", "d.doc_id", "d.text", "f.found")
+
+    ranges = sorted_runs(beside("found"), parts).groupBy("p").applyInArrow(merge_ranges, "k long, doc_id long, start long, stop long")
+    if hot:
+        ranges = ranges.union(hot_ranges(beside("hot")))
     by_doc = ranges.groupBy("k", "doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
     return keyed.alias("d").join(by_doc.alias("r"), _same_row("d", "r"), "left").select("d.doc_id", "d.text", "r.ranges")
 

@@ -134,9 +134,10 @@ def test_op6_against_brute_force(spark, sf):
     assert got == plain_suffixes(rows)
 
 
-@pytest.mark.parametrize("run", [7, 60_000])
-def test_suffixes_of_shaped_texts(spark, monkeypatch, run):
-    rng = random.Random(run)
+@pytest.mark.parametrize("limit", [0, 4, 20_000])
+def test_suffixes_of_shaped_texts(spark, monkeypatch, limit):
+    rng = random.Random(7)
+    monkeypatch.setattr(suffixdedup, "LIMIT", limit)  # 0: every repeated gram counts as hot
     base = "".join(rng.choice("ab cdé") for _ in range(1500))
     rows = [(1, base), (2, base[:700] + "X" + base[700:]), (3, base[200:600]), (4, None), (5, ""), (6, "short"), (7, "a" * 600), (8, "xy" * 300), (9, "q" + "a" * 199), (10, base[100:299]), (11, base[700:900]), (None, base[:500]), (12, base[:500]), (12, base[:500]), (13, "z" * 200), (14, "k" * 201)]
     for j in range(25):
@@ -149,6 +150,14 @@ def test_suffixes_of_shaped_texts(spark, monkeypatch, run):
     assert found_suffixes(df) == plain_suffixes(rows)
 
 
+def test_a_hot_phrase_in_many_contexts(spark, monkeypatch):
+    rng = random.Random(3)
+    phrase, letters = "".join(rng.choices("abcdefgh ", k=330)), "ijklmnop"
+    rows = [(i, "".join(rng.choices(letters, k=rng.randint(0, 150))) + phrase[: rng.choice((170, 199, 200, 230, 330))] + "".join(rng.choices(letters, k=rng.randint(0, 150)))) for i in range(300)]
+    monkeypatch.setattr(suffixdedup, "LIMIT", 50)
+    assert found_suffixes(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)) == plain_suffixes(rows)
+
+
 def test_odd_suffixes(spark, odd, empty):
     rows = [(r.doc_id, r.text) for r in odd.filter("doc_id IS NULL OR doc_id <> 5").collect()]
     assert found_suffixes(odd.filter("doc_id IS NULL OR doc_id <> 5")) == plain_suffixes(rows)
