@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 #: Limits of excerpts and recommendations.
 EXCERPT_LINES, RECOMMENDATION_LINES, RECOMMENDATION_CHARS, SIMILAR_FROM = 80, 45, 180, 40
@@ -17,9 +18,20 @@ def lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
+#: Every line end, as Python's splitlines() knows them.
+LINE_END = r"\r\n|[\n\r\x0b\f\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
+
+
+def line_starts(texts: DataFrame, key: str, column: str = "text") -> DataFrame:
+    """(key, line, start): the byte offset of every line, a running sum of lengths."""
+    each = texts.select(key, F.posexplode(lines(F.col(column))).alias("line", "text")).withColumn("n", F.octet_length("text") + 1)
+    before = W.partitionBy(key).orderBy("line").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return each.select(key, "line", (F.sum("n").over(before) - F.col("n")).cast("bigint").alias("start"))
+
+
 def normalised_source(text: Column) -> Column:
     """Each line up to its first #, trimmed, spaces collapsed, empty ones dropped."""
-    bare = F.transform(lines(text), lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, "#.*$", ""), r"[ \t\r\x0b\f]+", " ")))
+    bare = F.transform(F.split(text, LINE_END, -1), lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, "#.*$", ""), r"[ \t\r\x0b\f]+", " ")))
     return F.array_join(F.filter(bare, lambda x: x != ""), "\n")
 
 

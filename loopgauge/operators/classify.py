@@ -155,12 +155,18 @@ def analyse(blocks: DataFrame, edges: DataFrame | None = None) -> DataFrame:
         else:
             costs = call_costs(now, usable.join(now.select(F.col("node").alias("source")), "source", "left_semi"), known)
         done = graph.cut(merge(local_rules(now.join(costs, "node", "left"), F.col("project_calls"))).select(*RESULT))
-        known = done if known is None else graph.cut(known.unionByName(done))
+        known = done if known is None else known.unionByName(done)  # each level is written once
     if known is None:
         return skipped
     return kinds(known, "rule").unionByName(skipped)
 
 
+def short_label() -> Column:
+    """The class, or O(?) where there is none."""
+    shown = F.coalesce("complexity", F.lit("unknown"))
+    return F.when(shown == "unknown", "O(?)").otherwise(shown)
+
+
 def needs_scoring() -> Column:
     c = F.col
     return c("complexity").isNull() | (c("complexity") == "unknown") | c("needs_review") | (c("confidence") == "low")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -18,9 +18,11 @@ EDGE_COLUMNS = ["source", "target", "call_name", "edge_type", "resolved", "state
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared folder (spark.checkpoint.dir) and read again; checkpoint() where that is unset."""
+    """df written to the shared folder (spark.checkpoint.dir) and read again; checkpoint() to a local folder only where that is unset and all tasks run here."""
     path = df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not df.sparkSession.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
             import tempfile
 
@@ -75,17 +77,21 @@ def resolve(blocks: DataFrame) -> DataFrame:
     w = W.partitionBy("t_qualified").orderBy(F.desc("t_file"), F.desc("t_ordinal"))
     last_qualified = known.filter("t_qualified <> ''").withColumn("_n", F.row_number().over(w)).filter("_n = 1").select("target", "t_qualified")
     other = F.col("source") != F.col("target")
+    same_name = (F.col("call_name") == F.col("t_name"))
     found = [
         live.filter((F.col("receiver") == "self") & F.col("own_class").isNotNull()).join(known, (F.col("own_class") == F.col("t_class")) & (F.col("call_name") == F.col("t_name"))).select(*key, "target", F.lit(0).alias("priority")),
         from_module.join(known, ["t_module", "t_name"]).select(*key, "target", F.lit(1).alias("priority")),
         from_any.join(known, "t_name").select(*key, "target", F.lit(1).alias("priority")),
         live.join(last_qualified, F.col("hint") == F.col("t_qualified")).filter(other).select(*key, "target", F.lit(2).alias("priority")),
         live.join(known, (F.col("call_name") == F.col("t_name")) & (F.col("file_path") == F.col("t_file"))).filter(other).select(*key, "target", F.lit(3).alias("priority")),
-        live.join(known, F.col("call_name") == F.col("t_name")).filter(other).select(*key, "target", F.lit(4).alias("priority")),
     ]
     tagged = found[0]
     for f in found[1:]:
         tagged = tagged.unionByName(f)
+    tagged = cut(tagged)
+    # only calls that nothing nearer settles meet the definitions of their name in the whole project
+    rest = live.join(tagged.select(*key).distinct(), key, "left_anti")
+    tagged = tagged.unionByName(rest.join(known, same_name).filter(other).select(*key, "target", F.lit(4).alias("priority")))
     by_priority = tagged.groupBy(*key, "priority").agg(F.array_sort(F.collect_set("target")).alias("candidates"))
     best = by_priority.groupBy(*key).agg(F.min_by("candidates", "priority").alias("candidates"), F.min("priority").alias("priority"))
     out = calls.join(best, key, "left")
@@ -121,49 +127,71 @@ def import_edges(blocks: DataFrame) -> DataFrame:
     )
 
 
+def structure(blocks: DataFrame, edges: DataFrame) -> DataFrame:
+    """The whole graph: call edges with those of containment and imports."""
+    return edges.unionByName(contains_edges(blocks), allowMissingColumns=True).unionByName(import_edges(blocks), allowMissingColumns=True)
+
+
+def callees(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Targets of the resolved calls of nodes (node)."""
+    calls = edges.filter("edge_type = 'CALLS' AND resolved")
+    return calls.join(nodes.select(F.col("node").alias("source")), "source", "left_semi").select("source", "target").distinct()
+
+
+def callers(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Sources of the resolved calls to nodes (node)."""
+    calls = edges.filter("edge_type = 'CALLS' AND resolved")
+    return calls.join(nodes.select(F.col("node").alias("target")), "target", "left_semi").select("source", "target").distinct()
+
+
+def in_order(left: DataFrame, right: DataFrame, keys: list[str], left_order: list[Column], right_order: list[Column]) -> DataFrame:
+    """The k-th row of left beside the k-th of right for each value of keys, with column k (from 1); rows without a partner go."""
+    number = lambda df, order: df.withColumn("k", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
+    return number(left, left_order).join(number(right, right_order), [*keys, "k"])
+
+
+def sites_of_edges(blocks: DataFrame, edges: DataFrame) -> DataFrame:
+    """Call edges beside the call site they came from: the k-th edge of a name in a block with its k-th site."""
+    sites = call_sites(blocks).select("source", "call_name", F.col("site").alias("at"), F.col("start_line").alias("site_line"), F.col("depth").alias("site_depth"))
+    return in_order(edges.filter("edge_type = 'CALLS'"), sites, ["source", "call_name"], [F.col("site")], [F.col("at")])
+
+
 def strongly_connected(edges: DataFrame) -> DataFrame:
     """(node, component) of nodes on cycles of edges (source, target): groups of several nodes and self loops; component is the smallest node.
 
-    Nodes that no cycle can pass are stripped first. Then rounds of colouring: the smallest node that reaches each node
-    (forward labels) and, among nodes of one colour, those that reach the colour's root form a component; the rest goes on.
+    Rounds of colouring. The smallest label that reaches each node goes forward along the edges; among nodes of one
+    label those that reach the label's node form a component. Edges between different labels lie on no cycle and go, so
+    the rest is smaller in every round and done when no edge is left.
     """
     left = cut(edges.filter("source IS NOT NULL AND target IS NOT NULL").select("source", "target").distinct())
     out = left.filter("source = target").select(F.col("source").alias("node"), F.col("source").alias("component"))
     left = left.filter("source <> target")
     while True:
-        while True:  # strip nodes without way in or out
-            n = left.count()
-            left = cut(left.join(left.select(F.col("source").alias("target")).distinct(), "target", "left_semi").join(left.select(F.col("target").alias("source")).distinct(), "source", "left_semi").select("source", "target"))
-            if left.count() == n:
-                break
-        if n == 0:
+        # a node without way in or out is on no cycle
+        left = cut(left.join(left.select(F.col("source").alias("target")).distinct(), "target", "left_semi").join(left.select(F.col("target").alias("source")).distinct(), "source", "left_semi").select("source", "target"))
+        if left.isEmpty():
             break
-        colour = left.select(F.explode(F.array("source", "target")).alias("node")).distinct().withColumn("colour", F.col("node"))
-        colour = spread(left, colour, "colour")
-        same = cut(
-            left.join(colour.select(F.col("node").alias("source"), F.col("colour").alias("a")), "source")
-            .join(colour.select(F.col("node").alias("target"), F.col("colour").alias("b")), "target").filter("a = b").select("source", "target", F.col("a").alias("colour"))
-        )
+        colour = spread(left, left.select(F.explode(F.array("source", "target")).alias("node")).distinct().withColumn("label", F.col("node")))
+        of = lambda end, name: colour.select(F.col("node").alias(end), F.col("label").alias(name))
+        same = cut(left.join(of("source", "a"), "source").join(of("target", "b"), "target").filter("a = b").select("source", "target"))
         back = same.select(F.col("target").alias("source"), F.col("source").alias("target"))
-        start = colour.withColumn("root", F.when(F.col("node") == F.col("colour"), F.col("node")))
-        reached = spread(back, start, "root").filter("root IS NOT NULL").select("node", F.col("root").alias("component"))
-        found = cut(reached.join(reached.groupBy("component").agg(F.count("*").alias("n")).filter("n > 1"), "component").select("node", "component"))
+        reached = spread(back, colour.select("node", F.when(F.col("node") == F.col("label"), F.col("node")).alias("label"))).filter("label IS NOT NULL")
+        several = reached.join(reached.groupBy("label").agg(F.count("*").alias("n")).filter("n > 1"), "label")
+        out = cut(out.unionByName(several.select("node", F.col("label").alias("component"))))
         done = reached.select("node")
-        out = out.unionByName(found)
-        left = cut(left.join(done.withColumnRenamed("node", "source"), "source", "left_anti").join(done.withColumnRenamed("node", "target"), "target", "left_anti").select("source", "target"))
+        left = same.join(done.withColumnRenamed("node", "source"), "source", "left_anti").join(done.withColumnRenamed("node", "target"), "target", "left_anti").select("source", "target")
     return out.groupBy("node").agg(F.min("component").alias("component"))
 
 
-def spread(edges: DataFrame, values: DataFrame, name: str) -> DataFrame:
-    """values (node, name, ...) after the smallest value has gone along all edges (source, target) as far as it gets."""
-    keep = [c for c in values.columns if c not in ("node", name)]
+def spread(edges: DataFrame, values: DataFrame) -> DataFrame:
+    """values (node, label) after the smallest label has gone along all edges (source, target) as far as it gets: a table for each step."""
     values = cut(values)
     while True:
-        offers = edges.join(values.select(F.col("node").alias("source"), F.col(name).alias("offer")), "source").groupBy(F.col("target").alias("node")).agg(F.min("offer").alias("offer"))
-        new = cut(values.join(offers, "node", "left").select("node", *keep, F.least(name, "offer").alias(name), (F.coalesce(F.col("offer") < F.col(name), F.col(name).isNull() & F.col("offer").isNotNull())).alias("moved")))
-        moved = new.filter("moved").limit(1).count()
-        values = new.drop("moved")
-        if not moved:
+        offers = edges.join(values.select(F.col("node").alias("source"), F.col("label").alias("offer")), "source").groupBy(F.col("target").alias("node")).agg(F.min("offer").alias("offer"))
+        better = F.coalesce(F.col("offer") < F.col("label"), F.col("label").isNull() & F.col("offer").isNotNull())
+        seen = Observation()
+        values = cut(values.join(offers, "node", "left").observe(seen, F.count_if(better).alias("n")).select("node", F.least("label", "offer").alias("label")))
+        if not seen.get.get("n"):
             return values
 
 

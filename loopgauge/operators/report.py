@@ -80,9 +80,20 @@ def hotspots(done: DataFrame, limit: int = 10) -> DataFrame:
 def recommended_blocks(done: DataFrame, limit: int = 5) -> DataFrame:
     """The worst blocks: by class, then unknown ones, nesting and calls, all falling; ties in source order."""
     c = F.col
-    unknown = F.coalesce(c("complexity"), F.lit("unknown")) == "unknown"
-    picked = done.filter(is_analyzable() & (c("complexity").isin(*lattice.HEAVY) | unknown | (c("max_loop_depth") >= 2)))
-    return picked.orderBy(lattice.rank("complexity").desc(), unknown.desc(), c("max_loop_depth").desc(), F.size("calls").desc(), "file_path", "ordinal").limit(limit)
+    picked = done.filter(is_analyzable() & (c("complexity").isin(*lattice.HEAVY) | _is_unknown() | (c("max_loop_depth") >= 2)))
+    return picked.orderBy(*_order()).limit(limit)
+
+
+def _is_unknown() -> Column:
+    return F.coalesce("complexity", F.lit("unknown")) == "unknown"
+
+
+def _order() -> list[Column]:
+    return [lattice.rank("complexity").desc(), _is_unknown().desc(), F.col("max_loop_depth").desc(), F.size("calls").desc(), F.col("file_path").asc(), F.col("ordinal").asc()]
+
+
+def _worst_first():
+    return W.partitionBy().orderBy(*_order())  # over recommended_blocks only
 
 
 def overlay(done: DataFrame) -> DataFrame:
@@ -123,13 +134,33 @@ def project_review(done: DataFrame) -> DataFrame:
     return lines.select(F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("text"))
 
 
+def fallback_texts(done: DataFrame, limit: int = 5) -> DataFrame:
+    """(node, seq, text) for recommended_blocks without a model: a sentence for each block from its class, loops and calls."""
+    what = (
+        F.when(F.col("complexity").isin(*lattice.HEAVY), F.concat(F.lit("cut the work of "), F.col("complexity"), F.lit(" with an index or a cheaper structure")))
+        .when(F.coalesce("complexity", F.lit("unknown")) == "unknown", F.lit("make its calls and loop bounds explicit"))
+        .otherwise(F.concat(F.lit("flatten its "), F.col("max_loop_depth").cast("string"), F.lit(" nested loops")))
+    )
+    picked = recommended_blocks(done, limit).select(node_id().alias("node"), F.row_number().over(_worst_first()).alias("seq"), display_name().alias("name"), "file_path", "start_line", what.alias("what"))
+    return picked.select("node", "seq", F.format_string("%s (%s:%d): %s.", "name", "file_path", "start_line", "what").alias("text"))
+
+
+def replies_to_blocks(replies: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(position, node, text): replies (position, block_id, name, text) beside blocks (node, name, position): by id, else by name, else by place."""
+    by_id = blocks.select(F.col("node").alias("block_id"), F.col("node").alias("by_id"))
+    by_name = blocks.groupBy("name").agg(F.min_by("node", "position").alias("by_name"))
+    by_place = blocks.select("position", F.col("node").alias("by_place"))
+    found = replies.join(by_id, "block_id", "left").join(by_name, "name", "left").join(by_place, "position", "left")
+    return found.select("position", F.coalesce("by_id", "by_name", "by_place").alias("node"), "text").filter("node IS NOT NULL")
+
+
 def recommendations(texts: DataFrame, limit: int = 5) -> DataFrame:
     """The first `limit` recommendations (seq, text) that are not similar to an earlier kept one.
 
-    At most a few dozen candidates reach this step (they are made for recommended_blocks), so one array holds them.
+    Texts of equal keys are one before they are folded in one row, in order of seq; an estimator makes them for recommended_blocks, so they are few.
     """
     clean = texts.withColumn("text", text.sanitised(F.col("text"))).filter("text <> ''").withColumn("key", text.similarity_key(F.col("text")))
-    rows = clean.orderBy("seq").limit(50).agg(F.array_sort(F.collect_list(F.struct("seq", "text", "key"))).alias("rows"))
+    rows = clean.groupBy("key").agg(F.min_by("text", "seq").alias("text"), F.min("seq").alias("seq")).agg(F.array_sort(F.collect_list(F.struct("seq", "text", "key"))).alias("rows"))
     empty = F.filter("rows", lambda x: F.lit(False))
     kept = F.aggregate("rows", empty, lambda acc, x: F.when((F.size(acc) < limit) & ~F.exists(acc, lambda y: text.similar(x["key"], y["key"])), F.array_append(acc, x)).otherwise(acc))
     return rows.select(F.explode(kept).alias("r")).select("r.seq", "r.text")

@@ -41,6 +41,17 @@ def payloads(uncertain: DataFrame) -> DataFrame:
     return uncertain.select("node", F.to_json(F.struct("name", "kind", "language", F.col("complexity").alias("rule_complexity"), text.excerpt(F.col("source")).alias("source"), facts.alias("features"))).alias("payload"), conservative(uncertain).alias("fallback"))
 
 
+def outcome(scored: DataFrame) -> DataFrame:
+    """One row: blocks that a model scored, and those that fell back."""
+    return scored.agg(F.count_if(F.col("analyzer_kind") == "llm").alias("scored"), F.count_if(F.col("analyzer_kind") == "llm_error").alias("errors"))
+
+
+def compact(uncertain: DataFrame) -> DataFrame:
+    """(node, payload) for recommendations: shorter excerpts and lists than those for estimates."""
+    facts = F.struct("loop_count", "max_loop_depth", F.slice("call_sites", 1, 8).alias("calls"), F.slice("loops", 1, 6).alias("loops"), F.slice("container_operations", 1, 5).alias("container_ops"))
+    return uncertain.select("node", F.to_json(F.struct("name", "kind", "complexity", text.excerpt(F.col("source"), text.RECOMMENDATION_LINES).alias("source"), facts.alias("features"))).alias("payload"))
+
+
 def score(uncertain: DataFrame, estimator: Estimator | None = None, budget: int = MAX_BLOCKS) -> DataFrame:
     """(node, complexity, confidence, needs_review, analyzer_kind): the first `budget` uncertain blocks in source order go to the estimator, all others fall back."""
     estimator = estimator or Offline()

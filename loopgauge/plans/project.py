@@ -11,6 +11,7 @@ from ..operators import classify, graph, scoring
 from ..operators.blocks import is_analyzable, node_id
 from ..sources import files as sources
 from ..sources.python_blocks import extract
+from ..sources.store import Store
 
 
 @dataclass
@@ -19,6 +20,15 @@ class Analysis:
     edges: DataFrame
     results: DataFrame
 
+    def graph(self) -> DataFrame:
+        """All edges: calls, containment and imports."""
+        return graph.structure(self.blocks, self.edges)
+
+    def save(self, store: Store, files: DataFrame, run_id: str) -> None:
+        """Files, blocks, features and the whole graph."""
+        store.save_index(files, self.blocks, run_id)
+        store.save_edges(self.graph())
+
     def joined(self) -> DataFrame:
         """Blocks with their results, the input of operators.report."""
         return self.blocks.withColumn("node", node_id()).join(self.results, "node", "left")

@@ -7,15 +7,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+from pyspark.sql.types import ArrayType, BooleanType
 
 from ..functions import lattice, patterns, text
 from ..operators import classify, graph, report
 from ..operators.blocks import callers
-from ..sources.python_blocks import KEYWORDS, extract
-from .project import analyse_files
+from ..sources import store
+from ..sources.python_blocks import KEYWORDS, block_schema, extract
+from .project import analyse_files, live_only, overlapping
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -36,6 +37,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def as_blocks(df: DataFrame, **given) -> DataFrame:
+    """Rows as blocks: the given columns, functions by default, empty lists and nulls for the rest of the block schema."""
+    given = {"kind": F.lit("function"), "is_container": F.lit(False), **given}
+
+    def column(field):
+        if field.name in given:
+            return given[field.name]
+        return F.array().cast(field.dataType) if isinstance(field.dataType, ArrayType) else F.lit(None).cast(field.dataType)
+
+    return df.select(*[column(f).cast(f.dataType).alias(f.name) for f in block_schema().fields])
+
+
+def text_of(kind: str, key: str):
+    return F.concat(F.lit(kind), F.col(key).cast("string"))
+
+
+def one_call(name):
+    """Call sites with a single plain call of that name."""
+    value = lambda f: name if f.name == "call_name" else F.lit(False) if isinstance(f.dataType, BooleanType) else F.lit(None)
+    return F.array(F.struct(*[value(f).cast(f.dataType).alias(f.name) for f in block_schema()["call_sites"].dataType.elementType.fields]))
+
+
 #: (id, code, class that the detectors give or null)
 SNIPPETS = [
     (1, "def find(xs, t):\n    left, right = 0, len(xs)\n    while left < right:\n        mid = (left + right) // 2\n        left = mid + 1\n"),
@@ -136,7 +159,7 @@ def chart_scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.chart_heights(report.histogram(_orders_as_blocks(spark, sf_dir)))
 
 
-_NORMAL = r"""list_aggregate(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(regexp_replace(x, '#.*$', ''), '[ \t\r\x0b\f]+', ' ', 'g'))), lambda x: x <> ''), 'string_agg', chr(10))"""
+_NORMAL = r"""list_aggregate(list_filter(list_transform(string_split_regex(text, '\r\n|[\n\r\x0b\f\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]'), lambda x: trim(regexp_replace(regexp_replace(x, '#.*$', ''), '[ \t\r\x0b\f]+', ' ', 'g'))), lambda x: x <> ''), 'string_agg', chr(10))"""
 
 
 @query(f"SELECT h, count(*) AS n, min(doc_id) AS first_id FROM (SELECT doc_id, sha1(coalesce({_NORMAL}, '')) AS h FROM documents WHERE text IS NOT NULL) GROUP BY h HAVING count(*) > 1")
@@ -186,25 +209,29 @@ def pattern_hits_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT l_orderkey, count(*) AS n, min(l_linenumber)::BIGINT AS first_line FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-WHERE l_shipdate BETWEEN o_orderdate AND o_orderdate + INTERVAL 7 DAY GROUP BY 1
+SELECT cost, has_while, count(*) AS n, count(DISTINCT l_orderkey) AS orders FROM (
+ SELECT l_orderkey, d BETWEEN 20 AND 70 AS has_while, CASE WHEN d BETWEEN 0 AND 60 AND d BETWEEN 20 AND 70 THEN 'O(n log n)' WHEN d BETWEEN 0 AND 60 THEN 'O(n)' WHEN d BETWEEN 20 AND 70 THEN 'O(log n)' ELSE 'O(1)' END AS cost
+ FROM (SELECT l_orderkey, date_diff('day', o_orderdate, l_shipdate) AS d FROM lineitem JOIN orders ON l_orderkey = o_orderkey)) GROUP BY 1, 2
 """)
 def interval_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items shipped inside the week of their order: an interval test behind an equal key."""
+    """The cost of the loops around each call: days of an order as lines, with a for loop on days 0 to 60 and a while loop on days 20 to 70."""
     items, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    joined = items.join(orders, items.l_orderkey == orders.o_orderkey).filter((F.col("l_shipdate") >= F.col("o_orderdate")) & (F.col("l_shipdate") <= F.expr("o_orderdate + INTERVAL 7 DAY")))
-    return joined.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.min("l_linenumber").cast("bigint").alias("first_line"))
+    line = F.date_diff("l_shipdate", "o_orderdate")
+    loop = lambda kind, a, b, cost: F.struct(F.lit(kind).alias("kind"), F.lit(a).alias("start_line"), F.lit(b).alias("end_line"), F.lit(cost).alias("estimated_complexity"))
+    each = items.join(orders, items.l_orderkey == orders.o_orderkey).select("l_orderkey", line.alias("line"), F.array(loop("for", 0, 60, "O(n)"), loop("while", 20, 70, "O(log n)")).alias("loops"))
+    costs = each.select("l_orderkey", classify.loop_cost(F.col("line"), F.col("line")).alias("c")).select("l_orderkey", "c.*")
+    return costs.groupBy("cost", "has_while").agg(F.count("*").alias("n"), F.count_distinct("l_orderkey").alias("orders"))
 
 
 @query("""
 WITH r AS (SELECT user_id, event_type, min(event_id) AS a, max(event_id) AS b FROM events GROUP BY ALL)
-SELECT user_id, event_type FROM r x WHERE EXISTS (SELECT 1 FROM r y WHERE y.user_id = x.user_id AND y.event_type <> x.event_type AND greatest(x.a, y.a) <= least(x.b, y.b))
+SELECT user_id, event_type FROM r x WHERE event_type IN ('click', 'view') AND EXISTS (SELECT 1 FROM r y WHERE y.user_id = x.user_id AND y.event_type NOT IN ('click', 'view') AND greatest(x.a, y.a) <= least(x.b, y.b))
 """)
 def overlap_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranges of a user's events that overlap a range of another type."""
-    r = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("a"), F.max("event_id").alias("b"))
-    x, y = r.alias("x"), r.alias("y")
-    return x.join(y, (F.col("x.user_id") == F.col("y.user_id")) & (F.col("x.event_type") != F.col("y.event_type")) & (F.greatest("x.a", "y.a") <= F.least("x.b", "y.b")), "left_semi").select("user_id", "event_type")
+    """A user's ranges of two event types, as selections, that overlap a range of another type, as taken ones."""
+    r = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("file_path"), "event_type").agg(F.min("event_id").alias("start_line"), F.max("event_id").alias("end_line"))
+    selected = F.col("event_type").isin("click", "view")
+    return overlapping(r.filter(selected), r.filter(~selected)).select(F.col("file_path").alias("user_id"), "event_type")
 
 
 @query("""
@@ -212,103 +239,131 @@ WITH k AS (SELECT conv_id, role, turn, row_number() OVER (PARTITION BY conv_id,
 SELECT u.conv_id, u.k, u.turn AS user_turn, a.turn AS assistant_turn FROM k u JOIN k a ON u.conv_id = a.conv_id AND u.k = a.k WHERE u.role = 'user' AND a.role = 'assistant'
 """)
 def positional_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The k-th turn of a user with the k-th answer."""
-    w = W.partitionBy("conv_id", "role").orderBy(F.col("turn").asc_nulls_last(), F.col("text").asc_nulls_last())
-    k = table(spark, sf_dir, "conversations").select("conv_id", "role", "turn", F.row_number().over(w).cast("bigint").alias("k"))
-    u, a = (k.filter(F.col("role") == r).select("conv_id", "k", F.col("turn").alias(f"{r}_turn")) for r in ("user", "assistant"))
-    return u.join(a, ["conv_id", "k"])
+    """The k-th turn of a user with the k-th answer."""
+    u, a = (table(spark, sf_dir, "conversations").filter(F.col("role") == r).select("conv_id", F.col("turn").alias(f"{r}_turn"), F.col("text").alias(f"{r}_text")) for r in ("user", "assistant"))
+    order = lambda r: [F.col(f"{r}_turn").asc_nulls_last(), F.col(f"{r}_text").asc_nulls_last()]
+    return graph.in_order(u, a, ["conv_id"], order("user"), order("assistant")).select("conv_id", F.col("k").cast("bigint").alias("k"), "user_turn", "assistant_turn")
 
 
 @query("SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
 def latest_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The latest event of each user and type, as a store keeps it: a pre-aggregated maximum, not a sort."""
-    row = F.struct("ts", "event_id", "value")
-    return table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.max(row).alias("r")).select("user_id", "event_type", "r.event_id", "r.value")
+    """The latest event of each user and type, as a store keeps it."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id", "value")
+    return store.keep_latest(events, ["user_id", "event_type"], "ts", "event_id").drop("ts")
 
 
-@query("""
-SELECT p_partkey, n, qty FROM (SELECT l_partkey AS p_partkey, count(*) AS n, sum(l_quantity)::BIGINT AS qty, count(DISTINCT l_suppkey) AS s FROM lineitem GROUP BY 1) ORDER BY n DESC, s DESC, qty DESC, p_partkey LIMIT 5
+@query(f"""
+SELECT name, complexity, max_loop_depth, n_calls FROM (SELECT 'f' || o_orderkey AS name, {_priority_case} AS complexity, o_custkey % 4 AS max_loop_depth, o_orderkey % 7 AS n_calls, o_orderstatus, o_orderkey FROM orders)
+WHERE complexity IN {lattice.HEAVY} OR complexity = 'unknown' OR complexity IS NULL OR max_loop_depth >= 2
+ORDER BY {_rank_sql('complexity')} DESC, coalesce(complexity, 'unknown') = 'unknown' DESC, max_loop_depth DESC, n_calls DESC, o_orderstatus, o_orderkey LIMIT 5
 """)
 def topk_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O2: top 5 by several falling columns, ties by key."""
-    sums = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("n"), F.sum("l_quantity").cast("bigint").alias("qty"), F.count_distinct("l_suppkey").alias("s"))
-    return sums.orderBy(F.desc("n"), F.desc("s"), F.desc("qty"), "p_partkey").limit(5).select("p_partkey", "n", "qty")
+    """O2: the five worst blocks by several falling columns, ties in source order."""
+    blocks = as_blocks(
+        table(spark, sf_dir, "orders"), name=text_of("f", "o_orderkey"), file_path=F.col("o_orderstatus"), ordinal=F.col("o_orderkey"), max_loop_depth=F.expr("o_custkey % 4"),
+        calls=F.expr("array_repeat('g', CAST(o_orderkey % 7 AS INT))"), language=F.col("o_orderpriority"),
+    )
+    to_class = F.create_map(*[F.lit(x) for kv in _PRIORITY_CLASS.items() for x in kv])
+    done = blocks.withColumn("complexity", F.try_element_at(to_class, F.col("language")))
+    return report.recommended_blocks(done).select("name", "complexity", F.col("max_loop_depth").cast("bigint").alias("max_loop_depth"), F.size("calls").cast("bigint").alias("n_calls"))
 
 
 @query("""
-WITH m AS (SELECT s_nationkey AS nation, min(s_suppkey) AS target, count(*) AS n FROM supplier GROUP BY 1),
- r AS (SELECT n_regionkey AS region, min(target) AS target, sum(n)::BIGINT AS n FROM m JOIN nation ON nation = n_nationkey GROUP BY 1)
-SELECT c_custkey, coalesce(m.target, r.target) AS target, CASE WHEN coalesce(m.n, r.n) IS NULL THEN 'unresolved' WHEN coalesce(m.n, r.n) = 1 THEN 'resolved' ELSE 'ambiguous' END AS state
-FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN m ON m.nation = c_nationkey LEFT JOIN r ON r.region = n_regionkey
+WITH f AS (SELECT 's:' || s_suppkey AS target, s_suppkey % 60 AS name, s_nationkey AS file FROM supplier), c AS (SELECT c_custkey, c_custkey % 70 AS name, c_nationkey AS file FROM customer),
+ near AS (SELECT c_custkey, count(*) AS n, min(target) AS target FROM c JOIN f USING (name, file) GROUP BY 1), far AS (SELECT c_custkey, count(*) AS n, min(target) AS target FROM c JOIN f USING (name) GROUP BY 1)
+SELECT 'c:' || c_custkey AS source, CASE WHEN coalesce(near.n, far.n) = 1 THEN coalesce(near.target, far.target) END AS target,
+ CASE WHEN coalesce(near.n, far.n) IS NULL THEN 'unresolved' WHEN coalesce(near.n, far.n) = 1 THEN 'resolved' ELSE 'ambiguous' END AS state,
+ CASE WHEN coalesce(near.n, far.n) = 1 THEN 'high' ELSE 'low' END AS confidence, coalesce(near.n, far.n, 0)::BIGINT AS candidates
+FROM c LEFT JOIN near USING (c_custkey) LEFT JOIN far USING (c_custkey)
 """)
 def resolve_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A customer's supplier by nation, else by region; several make it ambiguous."""
-    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-    m = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.min("s_suppkey").alias("m_target"), F.count("*").alias("m_n"))
-    r = m.join(nation, m.nation == nation.n_nationkey).groupBy(F.col("n_regionkey").alias("region")).agg(F.min("m_target").alias("r_target"), F.sum("m_n").alias("r_n"))
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    joined = c.join(nation, c.c_nationkey == nation.n_nationkey, "left").join(m, F.col("nation") == F.col("c_nationkey"), "left").join(r, F.col("region") == F.col("n_regionkey"), "left")
-    n = F.coalesce("m_n", "r_n")
-    return joined.select("c_custkey", F.coalesce("m_target", "r_target").alias("target"), F.when(n.isNull(), "unresolved").when(n == 1, "resolved").otherwise("ambiguous").alias("state"))
+    """Customers as blocks that call a supplier's name: the definition in their own file (nation), else anywhere."""
+    called = table(spark, sf_dir, "supplier").withColumn("f", F.expr("concat('f', s_suppkey % 60)"))
+    calling = table(spark, sf_dir, "customer").withColumn("f", F.expr("concat('f', c_custkey % 70)"))
+    blocks = as_blocks(called, stable_id=text_of("s:", "s_suppkey"), name=F.col("f"), qualified_name=F.col("f"), file_path=text_of("n", "s_nationkey"), ordinal=F.col("s_suppkey")).unionByName(
+        as_blocks(calling, stable_id=text_of("c:", "c_custkey"), name=text_of("c", "c_custkey"), qualified_name=text_of("c", "c_custkey"), file_path=text_of("n", "c_nationkey"), ordinal=F.col("c_custkey"), call_sites=one_call(F.col("f")))
+    )
+    return graph.resolve(blocks).select("source", "target", "state", "confidence", F.size("candidates").cast("bigint").alias("candidates"))
 
 
 @query("SELECT doc_id, source FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 def prune_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows that still have a counterpart."""
-    return table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    """Cached rows whose block still exists."""
+    cached = table(spark, sf_dir, "documents").select("doc_id", "source", F.col("doc_id").cast("string").alias("node"))
+    return live_only(cached, as_blocks(table(spark, sf_dir, "labels"), stable_id=F.col("doc_id"))).select("doc_id", "source")
 
 
 @query("SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 def delete_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows left after a deletion by ids."""
-    return table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
+    return store.without(table(spark, sf_dir, "documents").select("doc_id", "source"), table(spark, sf_dir, "labels"), "doc_id")
 
 
 @query("""
-SELECT 'region:' || r_regionkey AS source, 'nation:' || n_nationkey AS target, 'CONTAINS' AS edge_type FROM region JOIN nation ON n_regionkey = r_regionkey
-UNION ALL SELECT 'nation:' || n_nationkey, 'customer:' || c_custkey, 'CONTAINS' FROM nation JOIN customer ON c_nationkey = n_nationkey
+WITH b AS (SELECT 'nation:' || n_nationkey AS id, NULL AS parent, 'region:' || n_regionkey AS file FROM nation UNION ALL
+ SELECT 'customer:' || c_custkey, 'nation:' || c_nationkey, 'region:' || n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT 'file:' || file AS source, id AS target, 'CONTAINS' AS edge_type FROM b UNION ALL SELECT parent, id, 'CONTAINS' FROM b WHERE parent IS NOT NULL
 """)
 def contains_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two kinds of containment as one edge list."""
-    region, nation, customer = (table(spark, sf_dir, t) for t in ("region", "nation", "customer"))
-    name = lambda kind, key: F.concat(F.lit(kind + ":"), F.col(key).cast("string"))
-    top = region.join(nation, F.col("n_regionkey") == F.col("r_regionkey")).select(name("region", "r_regionkey").alias("source"), name("nation", "n_nationkey").alias("target"))
-    low = nation.join(customer, F.col("c_nationkey") == F.col("n_nationkey")).select(name("nation", "n_nationkey").alias("source"), name("customer", "c_custkey").alias("target"))
-    return top.unionByName(low).withColumn("edge_type", F.lit("CONTAINS"))
+    """Containment edges of files (regions), containers (nations) and their blocks (customers)."""
+    nation = table(spark, sf_dir, "nation")
+    customer = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    file = text_of("region:", "n_regionkey")
+    blocks = as_blocks(nation, stable_id=text_of("nation:", "n_nationkey"), file_path=file, kind=F.lit("class"), is_container=F.lit(True)).unionByName(
+        as_blocks(customer, stable_id=text_of("customer:", "c_custkey"), parent_id=text_of("nation:", "n_nationkey"), file_path=file)
+    )
+    return graph.contains_edges(blocks).select("source", "target", "edge_type")
 
 
 @query("""
-WITH RECURSIVE t AS (SELECT DISTINCT conv_id, turn FROM conversations), w(conv_id, turn, level) AS (
- SELECT conv_id, turn, 0 FROM t x WHERE NOT EXISTS (SELECT 1 FROM t y WHERE y.conv_id = x.conv_id AND y.turn = x.turn - 1)
- UNION ALL SELECT t.conv_id, t.turn, level + 1 FROM w JOIN t ON t.conv_id = w.conv_id AND t.turn = w.turn + 1)
-SELECT conv_id, turn, level::BIGINT AS level FROM w
+SELECT 'r' || r_regionkey AS node, 0 AS level FROM region UNION ALL SELECT 'n' || n_nationkey, 1 FROM nation UNION ALL SELECT 'c' || c_custkey, 2 FROM customer
 """)
 def dag_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The level of each turn in its chain: runs of consecutive turns by a window, no rounds needed."""
-    w = W.partitionBy("conv_id").orderBy("turn")
-    t = table(spark, sf_dir, "conversations").filter("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn").distinct()
-    runs = t.withColumn("run", F.col("turn") - F.row_number().over(w))
-    return runs.select("conv_id", "turn", (F.col("turn") - F.min("turn").over(W.partitionBy("conv_id", "run"))).cast("bigint").alias("level"))
+    """Processing levels, callees first: regions, the nations that call them, and the customers that call those."""
+    region, nation, customer = (table(spark, sf_dir, t) for t in ("region", "nation", "customer"))
+    blocks = as_blocks(region, stable_id=text_of("r", "r_regionkey"), file_path=F.lit("a")).unionByName(as_blocks(nation, stable_id=text_of("n", "n_nationkey"), file_path=F.lit("b"))).unionByName(as_blocks(customer, stable_id=text_of("c", "c_custkey"), file_path=F.lit("c")))
+    up = nation.select(text_of("n", "n_nationkey").alias("source"), text_of("r", "n_regionkey").alias("target")).unionByName(customer.select(text_of("c", "c_custkey").alias("source"), text_of("n", "c_nationkey").alias("target")))
+    levels, _ = graph.processing_levels(blocks, up.withColumns({"edge_type": F.lit("CALLS"), "resolved": F.lit(True)}))
+    return levels.select("node", "level")
 
 
-@query("SELECT conv_id, turn, role, sum(n) OVER (PARTITION BY conv_id ORDER BY turn, role, n ROWS UNBOUNDED PRECEDING)::BIGINT AS stop FROM (SELECT conv_id, turn, role, strlen(coalesce(text, '')) + 1 AS n FROM conversations)")
+@query("""
+SELECT doc_id, line, (sum(strlen(x) + 1) OVER (PARTITION BY doc_id ORDER BY line) - strlen(x) - 1)::BIGINT AS start
+FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents WHERE text IS NOT NULL)
+""")
 def running_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Byte offsets of a conversation's turns."""
-    w = W.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_last(), "n").rowsBetween(W.unboundedPreceding, 0)
-    return table(spark, sf_dir, "conversations").withColumn("n", F.octet_length(F.coalesce("text", F.lit(""))) + 1).select("conv_id", "turn", "role", F.sum("n").over(w).cast("bigint").alias("stop"))
+    """The byte offset of every line of every text."""
+    starts = text.line_starts(table(spark, sf_dir, "documents").filter("text IS NOT NULL"), "doc_id")
+    return starts.select("doc_id", F.col("line").cast("bigint").alias("line"), "start")
 
 
-@query("SELECT l_orderkey, sha1(string_agg(p, '|' ORDER BY p)) AS dependency_hash FROM (SELECT l_orderkey, l_partkey || ':' || l_suppkey AS p FROM lineitem) GROUP BY 1")
+@query("SELECT 'o' || l_orderkey AS node, sha1(string_agg(p, '|' ORDER BY p)) AS dependency_hash FROM (SELECT l_orderkey, 'p' || l_partkey || '|s' || l_suppkey || '|' || CASE WHEN l_returnflag = 'R' THEN 'false' ELSE 'true' END AS p FROM lineitem) GROUP BY 1")
 def dependency_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A10: a hash of the sorted parts of each order."""
-    part = F.concat_ws(":", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"))
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sha1(F.array_join(F.array_sort(F.collect_list(part)), "|")).alias("dependency_hash"))
+    """A10: a hash of the sorted calls of each block: orders that call parts."""
+    edges = table(spark, sf_dir, "lineitem").select(text_of("o", "l_orderkey").alias("source"), text_of("p", "l_partkey").alias("target"), text_of("s", "l_suppkey").alias("call_name"), (F.col("l_returnflag") != "R").alias("resolved"), F.lit("CALLS").alias("edge_type"))
+    return store.dependency_hash(edges)
 
 
-@query("SELECT source, lang, count(*) AS n, count(*) FILTER (WHERE n_chars >= 2000) AS long_ones FROM documents GROUP BY ALL")
+@query(f"""
+WITH b AS (SELECT o_orderkey, o_custkey, o_orderstatus, {_priority_case} AS complexity FROM orders)
+SELECT 'file' AS kind, o_orderstatus AS name, complexity, count(*) AS n FROM b GROUP BY ALL
+UNION ALL SELECT 'class', CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE '<?>' END, complexity, count(*) FROM b JOIN customer ON c_custkey = o_custkey GROUP BY ALL
+UNION ALL SELECT 'edges', 'resolved', NULL, count(*) FILTER (WHERE l_returnflag <> 'R') FROM lineitem UNION ALL SELECT 'edges', 'unresolved', NULL, count(*) FILTER (WHERE l_returnflag = 'R') FROM lineitem
+""")
 def group_file_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts by two keys and by condition."""
-    return table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"), F.count_if(F.col("n_chars") >= 2000).alias("long_ones"))
+    """Counts by file (order status), by enclosing class (customers, every second one known), and of edges."""
+    orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    to_class = F.create_map(*[F.lit(x) for kv in _PRIORITY_CLASS.items() for x in kv])
+    blocks = as_blocks(orders, stable_id=text_of("o", "o_orderkey"), parent_id=text_of("c", "o_custkey"), name=text_of("f", "o_orderkey"), file_path=F.col("o_orderstatus"), language=F.col("o_orderpriority"))
+    classes = as_blocks(customer.filter("c_custkey % 2 = 0"), stable_id=text_of("c", "c_custkey"), name=F.col("c_mktsegment"), kind=F.lit("class"), is_container=F.lit(True))
+    done = blocks.unionByName(classes).withColumn("complexity", F.try_element_at(to_class, F.coalesce("language", F.lit(""))))
+    edges = table(spark, sf_dir, "lineitem").select(F.lit("CALLS").alias("edge_type"), (F.col("l_returnflag") != "R").alias("resolved"))
+    totals = report.edge_counts(edges).select(F.explode(F.create_map(F.lit("resolved"), "resolved", F.lit("unresolved"), "unresolved")).alias("name", "n"))
+    return (
+        report.by_file(done).select(F.lit("file").alias("kind"), F.col("file_path").alias("name"), "complexity", "n")
+        .unionByName(report.by_class(done).select(F.lit("class").alias("kind"), F.col("group").alias("name"), "complexity", "n"))
+        .unionByName(totals.select(F.lit("edges").alias("kind"), "name", F.lit(None).cast("string").alias("complexity"), "n"))
+    )
 
 
 @query("SELECT event_type, count(*) AS n, count(j) AS parsed FROM (SELECT event_type, CASE WHEN json_valid(props) AND starts_with(trim(props), '{') THEN props END AS j FROM events) GROUP BY 1")
@@ -318,28 +373,35 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT source_id, n_callers FROM (SELECT c1.c_custkey AS source_id, count(DISTINCT s.s_suppkey) AS n_callers FROM customer c1 JOIN supplier s ON s.s_nationkey = c1.c_nationkey AND s.s_suppkey <> c1.c_custkey GROUP BY 1)
+SELECT 'c' || c_custkey AS block_id, count(DISTINCT s_suppkey) AS n_callers, 's' || min(s_suppkey::VARCHAR) AS first_caller FROM customer JOIN supplier ON s_nationkey = c_nationkey GROUP BY 1
 """)
 def called_by_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct others that share a key: counted once for each key, then corrected for the row itself."""
-    per_key = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.count_distinct("s_suppkey").alias("n"))
-    own = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("c_custkey"), F.col("s_nationkey").alias("k"), F.lit(1).alias("self"))
-    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("k"))
-    counted = c.join(per_key, "k").join(own.distinct(), ["c_custkey", "k"], "left").withColumn("n_callers", F.col("n") - F.coalesce("self", F.lit(0)))
-    return counted.filter("n_callers > 0").select(F.col("c_custkey").alias("source_id"), "n_callers")
+    """Callers by bare name: suppliers that call a nation's name, which its customers bear."""
+    supplier, customer = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "customer")
+    blocks = as_blocks(supplier, block_id=text_of("s", "s_suppkey"), name=text_of("s", "s_suppkey"), calls=F.array(text_of("n", "s_nationkey"))).unionByName(as_blocks(customer, block_id=text_of("c", "c_custkey"), name=text_of("n", "c_nationkey")))
+    return callers(blocks).select("block_id", F.size("called_by").cast("bigint").alias("n_callers"), F.col("called_by")[0].alias("first_caller"))
 
 
 @query("SELECT a.n_nationkey AS source, min(b.n_nationkey) AS component FROM nation a JOIN nation b USING (n_regionkey) GROUP BY 1")
 def recursive_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strongly connected groups of a graph in which each region's nations form a ring."""
-    w = W.partitionBy("n_regionkey").orderBy("n_nationkey")
+    w = Window.partitionBy("n_regionkey").orderBy("n_nationkey")
     nation = table(spark, sf_dir, "nation")
-    ring = nation.select(F.col("n_nationkey").alias("source"), F.coalesce(F.lead("n_nationkey").over(w), F.min("n_nationkey").over(W.partitionBy("n_regionkey"))).alias("target"))
+    ring = nation.select(F.col("n_nationkey").alias("source"), F.coalesce(F.lead("n_nationkey").over(w), F.min("n_nationkey").over(Window.partitionBy("n_regionkey"))).alias("target"))
     return graph.strongly_connected(ring).select(F.col("node").alias("source"), "component")
 
 
-def _corpus(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(f"pkg/s{i}.py", "python", code) for i, code in SNIPPETS], "file_path string, language string, content string")
+#: Further files, that call the snippets and each other.
+CALLING = [
+    (11, "def run(xs):\n    for x in xs:\n        pairs(x)\n"),
+    (12, "class Box:\n    def total(self):\n        return self.size()\n\n    def size(self):\n        return len(self.items)\n"),
+    (13, "from pkg.s3 import scan as look\n\ndef outer(xs):\n    look(xs)\n    plain(1)\n"),
+    (14, "def ping(n):\n    return pong(n)\n\ndef pong(n):\n    return ping(n - 1)\n"),
+]
+
+
+def _corpus(spark: SparkSession, snippets=SNIPPETS) -> DataFrame:
+    return spark.createDataFrame([(f"pkg/s{i}.py", "python", code) for i, code in snippets], "file_path string, language string, content string")
 
 
 @query(f"""
@@ -352,14 +414,27 @@ def classify_local(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.local_rules(classify.features(blocks)).select("name", "complexity", "confidence")
 
 
-@query()
+@query(f"""
+SELECT 'pkg/' || file || '.py' AS file_path, qualified_name, kind, complexity, confidence, false AS needs_review, rule FROM {_values([
+    ('s1', 'find', 'function', 'O(log n)', 'high', 'pattern'), ('s2', 'pairs', 'function', 'O(n^2)', 'medium', 'pattern'), ('s3', 'scan', 'function', 'O(n log n)', 'medium', 'pattern'),
+    ('s4', 'two', 'function', 'O(n)', 'high', 'pattern'), ('s5', 'window', 'function', 'O(n)', 'high', 'pattern'), ('s6', 'step', 'function', 'O(n)', 'medium', 'pattern'),
+    ('s7', 'plain', 'function', 'O(1)', 'high', 'constant'), ('s8', 'éwhile', 'function', 'O(1)', 'high', 'constant'), ('s9', 'both', 'function', 'O(n^2)', 'medium', 'pattern'),
+    ('s10', 'nothing', 'function', 'O(1)', 'high', 'constant'), ('s11', 'run', 'function', 'O(n)', 'high', 'one_loop'), ('s12', 'Box', 'class', 'N/A', 'high', 'container'),
+    ('s12', 'Box.total', 'method', 'O(1)', 'high', 'constant'), ('s12', 'Box.size', 'method', 'O(1)', 'high', 'constant'), ('s13', 'outer', 'function', 'O(n log n)', 'high', 'constant'),
+    ('s14', 'ping', 'function', 'O(1)', 'high', 'constant'), ('s14', 'pong', 'function', 'O(1)', 'high', 'constant')], 'file, qualified_name, kind, complexity, confidence, rule')}
+""")
 def analyse_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole analysis of the snippets with their graph."""
-    done = analyse_files(_corpus(spark)).joined()
+    done = analyse_files(_corpus(spark, SNIPPETS + CALLING)).joined()
     return done.select("file_path", "qualified_name", "kind", "complexity", "confidence", "needs_review", "rule")
 
 
-@query()
+@query(f"""
+SELECT 'pkg/' || block AS block_id, called_by FROM {_values([
+    ('s2.py:pairs', 'pkg/s11.py:run'), ('s7.py:plain', 'pkg/s13.py:outer'), ('s12.py:Box.total', 'pkg/s12.py:Box'), ('s12.py:Box.size', 'pkg/s12.py:Box,pkg/s12.py:Box.total'),
+    ('s14.py:ping', 'pkg/s14.py:pong'), ('s14.py:pong', 'pkg/s14.py:ping')], 'block, called_by')}
+""")
 def called_by(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J1, A1 on blocks: who calls a block's name."""
-    return callers(extract(_corpus(spark)))
+    names = extract(_corpus(spark, SNIPPETS + CALLING)).withColumn("block_id", F.concat("file_path", F.lit(":"), "qualified_name"))
+    return callers(names).select("block_id", F.array_join("called_by", ",").alias("called_by"))

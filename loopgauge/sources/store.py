@@ -10,16 +10,20 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 #: Fixed value: version of JSON caches that are read.
 CACHE_VERSION = 2
 
 
 def keep_latest(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
-    """One row for each key: the largest by `order`, then in its column order."""
-    w = W.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
-    return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    """One row for each key: the largest by `order`, then by its other columns in turn; a maximum that is taken before the shuffle, not a sort."""
+    rest = [c for c in rows.columns if c not in keys and c not in order]
+    return rows.groupBy(*keys).agg(F.max(F.struct(*order, *rest)).alias("latest")).select(*[c if c in keys else f"latest.`{c}`" for c in rows.columns])
+
+
+def without(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is not among ids."""
+    return rows.join(ids.select(key), key, "left_anti")
 
 
 class Store:
@@ -59,7 +63,24 @@ class Store:
         old = self.read(name)
         if old is not None:
             everything = ids is None or ids.limit(1).count() == 0
-            self.replace(name, old.limit(0) if everything else old.join(ids.select(key), key, "left_anti"))
+            self.replace(name, old.limit(0) if everything else without(old, ids, key))
+
+    def delete_files(self, paths: DataFrame) -> None:
+        """Deletes files (file_path) and all that hangs on them: blocks, their features and edges, then results and reviews of blocks that are gone."""
+        blocks = self.read("blocks")
+        gone = blocks.join(paths.select("file_path"), "file_path", "left_semi").select("stable_id") if blocks is not None else None
+        if gone is not None and gone.limit(1).count():
+            self.replace("deleted", gone.distinct())  # the ids outlive the tables they came from
+            ids = self.read("deleted")
+            for name, key in (("block_features", "stable_id"), ("edges", "source"), ("edges", "target"), ("results", "node"), ("reviews", "node"), ("blocks", "stable_id")):
+                if self.exists(name):
+                    self.delete(name, ids.withColumnRenamed("stable_id", key), key)
+        if self.exists("files"):
+            self.delete("files", paths, "file_path")
+
+    def save_edges(self, edges: DataFrame) -> None:
+        """The whole graph in place of the stored one."""
+        self.replace("edges", edges)
 
     def save_index(self, files: DataFrame, blocks: DataFrame, run_id: str) -> None:
         """Files, blocks without their text, and features apart."""
@@ -107,10 +128,16 @@ def cache_key(blocks: DataFrame, versions: list[str], model: str = "") -> DataFr
 
 def read_json_cache(spark: SparkSession, path: str) -> DataFrame:
     """Items (key, row as JSON) of a JSON cache file of the right version; none otherwise."""
-    doc = spark.read.text(path, wholetext=True).select(F.from_json("value", "version int, items map<string,string>").alias("d"))
+    lines = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", r"\n(?=\{\"version\")")).alias("value"))
+    doc = lines.select(F.from_json("value", "version int, items map<string,string>").alias("d"))
     return doc.filter(F.col("d.version") == CACHE_VERSION).select(F.explode("d.items").alias("key", "row"))
 
 
 def write_json_cache(items: DataFrame, path: str) -> None:
-    """Items (key, row) as JSON lines with the version; partitions are written side by side."""
-    items.select(F.lit(CACHE_VERSION).alias("version"), "key", "row").write.mode("overwrite").json(path)
+    """Items (key, row) in the layout that read_json_cache reads, an object in each part; partitions are written side by side.
+
+    An object holds the items of a hash range, some thousand at most on average.
+    """
+    parts = max(1, items.count() // 1000)
+    pairs = items.dropDuplicates(["key"]).groupBy(F.pmod(F.xxhash64("key"), F.lit(parts)).alias("part")).agg(F.map_from_entries(F.collect_list(F.struct("key", "row"))).alias("items"))
+    pairs.select(F.to_json(F.struct(F.lit(CACHE_VERSION).alias("version"), "items")).alias("value")).write.mode("overwrite").text(path)

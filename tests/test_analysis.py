@@ -143,6 +143,60 @@ def test_scan_and_store(spark, tmp_path):
     assert stores.read_json_cache(spark, str(tmp_path / "cache.json")).count() == 0
 
 
+def test_json_cache_reads_what_it_writes(spark, tmp_path):
+    items = [(f"k{i}", '{"a": "line\\n\\n{\\"version\\": 1}", "n": %d}' % i) for i in range(3000)]
+    stores.write_json_cache(spark.createDataFrame(items, "key string, row string"), str(tmp_path / "c"))
+    assert sorted(tuple(r) for r in stores.read_json_cache(spark, str(tmp_path / "c")).collect()) == sorted(items)
+    stores.write_json_cache(spark.createDataFrame([], "key string, row string"), str(tmp_path / "none"))
+    assert stores.read_json_cache(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_deleting_files_takes_all_that_hangs_on_them(spark, tmp_path, analysis):
+    store = stores.Store(spark, str(tmp_path / "store"))
+    files = spark.createDataFrame([(p, "python", c) for p, c in CODE.items()], "file_path string, language string, content string")
+    analysis.save(store, files, "r1")
+    store.save_results(analysis.results.withColumn("cache_key", F.col("node")))
+    edges = store.read("edges")
+    assert {r.edge_type for r in edges.select("edge_type").distinct().collect()} == {"CALLS", "CONTAINS", "IMPORTS"} and edges.count() == analysis.graph().count()
+    store.delete_files(files.filter("file_path = 'a/m2.py'"))
+    gone = analysis.blocks.filter("file_path = 'a/m2.py'").select("stable_id")
+    assert store.read("files").count() == len(CODE) - 1 and store.read("blocks").filter("file_path = 'a/m2.py'").count() == 0
+    for name, key in (("block_features", "stable_id"), ("edges", "source"), ("edges", "target"), ("results", "node")):
+        assert store.read(name).count() and store.read(name).join(gone.withColumnRenamed("stable_id", key), key).count() == 0
+
+
+def test_relative_paths(spark):
+    df = spark.createDataFrame([("/x/a/b.py",), ("/xa/b.py",)], "p string")
+    assert [r[0] for r in df.select(sources.relative_path(F.col("p"), "/x/")).collect()] == ["a/b.py", "/xa/b.py"]
+    ignored = spark.createDataFrame([("/x/old/b.py", b"1"), ("/x/new/b.py", b"1")], "path string, content binary")
+    assert [r.file_path for r in sources.decoded(ignored, ("old",)).collect()] == ["/x/new/b.py"]
+
+
+def test_sites_and_neighbours_of_edges(spark, analysis):
+    code = "def f(x):\n    return x\n\ndef g(x):\n    f(1)\n    for i in x:\n        f(i)\n"
+    blocks = pb.extract(spark.createDataFrame([("s.py", "python", code)], "file_path string, language string, content string"))
+    got = graph.sites_of_edges(blocks, graph.resolve(blocks)).orderBy("k").collect()
+    assert [(r.k, r.site_line, r.site_depth, r.start_line) for r in got] == [(1, 5, 0, 5), (2, 7, 1, 7)]
+    pair = [(r.source, r.target) for r in graph.callees(analysis.edges, analysis.blocks.filter("name = 'twice'").select(F.col("stable_id").alias("node"))).collect()]
+    assert len(pair) == 1
+    back = graph.callers(analysis.edges, spark.createDataFrame([(pair[0][1],)], "node string")).collect()
+    assert [(r.source, r.target) for r in back] == pair
+
+
+def test_texts_without_a_model(spark, analysis):
+    done = graph.cut(analysis.joined())
+    texts = report.fallback_texts(done)
+    assert report.recommendations(texts).count() == texts.count() == report.recommended_blocks(done).count() > 1
+    assert texts.orderBy("seq").first().text == "outer (a/m2.py:4): cut the work of O(n^2 log n) with an index or a cheaper structure."
+    blocks = spark.createDataFrame([("i1", "a", 1), ("i2", "b", 2), ("i3", "c", 3)], "node string, name string, position int")
+    replies = spark.createDataFrame([(3, "i1", "b", "x"), (9, "no", "b", "y"), (3, None, "no", "z"), (7, None, None, "w")], "position int, block_id string, name string, text string")
+    assert {(r.node, r.text) for r in report.replies_to_blocks(replies, blocks).collect()} == {("i1", "x"), ("i2", "y"), ("i3", "z")}
+    facts = classify.features(analysis.blocks, analysis.edges).join(analysis.results, "node")
+    assert "excerpt" not in scoring.compact(facts).first().payload and scoring.outcome(scoring.score(facts)).first().errors >= 2
+    labels = {r.x for r in done.select(classify.short_label().alias("x")).distinct().collect()}
+    assert "O(?)" in labels and "unknown" not in labels
+
+
 def test_cache_keys(analysis):
     deps = stores.dependency_hash(analysis.edges)
     keyed = stores.cache_key(analysis.blocks.withColumn("node", F.col("stable_id")).join(deps, "node", "left"), ["1", "2"])
