@@ -39,7 +39,9 @@ ENTRY, FILL = WIDTH + LEFT, b"\xff"
 #: Bytes hashed at a time, entries of a sorted run, entries that one merge should get.
 BATCH, RUN, MERGE = 2 << 20, 60_000, 80_000
 #: Places of a gram that a merge takes; widths of the bands of offsets in which entries with more frequent grams are refined.
-LIMIT, BANDS = 20_000, (40, 8, 1)
+LIMIT, BANDS = 20_000, (41, 11, 3, 1)
+#: Grams of more than LIMIT places that are looked up at a time: 8 MB for a task.
+KEYS = 1_000_000
 NO_ID = -(2**63)
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -335,53 +337,87 @@ def _union(ranges: list[dict]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def hot_entries(docs: DataFrame) -> DataFrame:
-    """(entry, lo, hi, places) of docs (k, doc_id, text, found): equal entries of a batch are one row; lo to hi are the offsets inside the text."""
+def hot_entries(docs: DataFrame, keys: list[int]) -> DataFrame:
+    """(entry, lo, hi, places) at the minimizers of docs (k, doc_id, text) whose hashes are in keys: equal entries of a batch are one row; lo to hi are the offsets inside the text."""
     place = pa.struct([("k", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32())])
-    names = ["entry", "lo", "hi", "places"]
+    wanted = docs.sparkSession.sparkContext.broadcast(np.sort(np.array(keys, np.int64)))
 
     def run(batches):
+        hasher, sought = Hasher(), wanted.value
         for b in batches:
-            entries: dict[bytes, list] = {}
-            for k, doc, text, found in zip(*(b[c].to_pylist() for c in ("k", "doc_id", "text", "found")), strict=True):
-                data = text.encode("utf-8", "replace")
-                for pos in found:
-                    entries.setdefault(entry(data, pos), []).append({"k": k, "doc_id": doc, "pos": pos})
-            lo, hi = zip(*map(_valid, entries), strict=True) if entries else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(list(entries), pa.binary()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(list(entries.values()), pa.list_(place))], names)
+            texts = _utf8(b["text"].to_pylist())
+            for i, j in common.by_bytes(texts, [len(t) for t in texts], BATCH):
+                rows = [r for r in range(i, j) if len(texts[r]) >= WIDTH]
+                if not rows:
+                    continue
+                owner, at, h = hasher.minimizers([texts[r] for r in rows])
+                h = h.view(np.int64)
+                hit = np.flatnonzero(sought[np.minimum(np.searchsorted(sought, h), len(sought) - 1)] == h)
+                ks, ids = b["k"].to_pylist(), b["doc_id"].to_pylist()
+                entries: dict[bytes, list] = {}
+                for r, pos in zip(np.array(rows)[owner[hit]].tolist(), at[hit].tolist(), strict=True):
+                    entries.setdefault(entry(texts[r], pos), []).append({"k": ks[r], "doc_id": ids[r], "pos": pos})
+                lo, hi = zip(*map(_valid, entries), strict=True) if entries else ((), ())
+                yield pa.RecordBatch.from_arrays([pa.array(list(entries), pa.binary()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(list(entries.values()), pa.list_(place))], ["entry", "lo", "hi", "places"])
 
-    return docs.mapInArrow(run, "entry binary, lo int, hi int, places array<struct<k:bigint,doc_id:bigint,pos:int>>")
+    return docs.select("k", "doc_id", "text").mapInArrow(run, "entry binary, lo int, hi int, places array<struct<k:bigint,doc_id:bigint,pos:int>>")
 
 
 def refined(entries: DataFrame) -> DataFrame:
-    """(id, o0, o1): bands of offsets all of whose strings are repeated, of a stored table (id, entry, weight).
+    """(id, o0, o1): bands of offsets none of whose strings is repeated, of a table (id, entry, weight); all other strings are.
 
-    A band of offsets has a core, the bytes that all its strings share, and a hull, the bytes under any of them. Entries whose hulls are equal have equal strings at all
-    offsets; entries whose cores differ have none. Only entries with equal cores and different hulls go on, in narrower
-    bands, one entry for each hull. Strings are counted by MD5, with partial counts before each shuffle.
+    A band of offsets has a core, the bytes that all its strings share, and bytes to the right and left of it that only some of them hold.
+    An entry alone with its core has no repeated string in the band. Entries alike in all these bytes are equal at all its offsets and go on as one;
+    those that share no more than the core go on in narrower bands. Strings are counted by MD5, with partial counts before each shuffle.
     """
-    digest = lambda right, left: F.unhex(F.md5(F.expr(f"concat(encode(concat(o0, ' ', o1, ' '), 'UTF-8'), substring(entry, 1, {WIDTH} - {right}), substring(entry, {WIDTH + 1}, {left}))")))
-    cut = lambda width: F.explode(F.expr(f"transform(sequence(o0, o1, {width}), x -> named_struct('o0', x, 'o1', least(o1, x + {width - 1})))"))
-    active, out = entries.select("id", "weight", F.lit(0).alias("o0"), F.lit(LEFT).alias("o1")), None
+    sub = f"transform(sequence(o0, o1, %d), x -> named_struct('p0', x, 'p1', least(o1, x + %d)))"  # noqa: F541
+    state = entries.select("id", "weight", F.lit(0).alias("o0"), F.lit(LEFT).alias("o1"), F.expr(f"substring(entry, 1, {GRAM})").alias("core"), F.expr(f"substring(entry, {GRAM + 1}, {LEFT})").alias("er"), F.expr(f"substring(entry, {WIDTH + 1}, {LEFT})").alias("el"))
+    out = None
     for width in BANDS:
-        bands = active.select("id", "weight", cut(width).alias("band")).groupBy("id").agg(F.collect_list(F.struct("band.o0", "band.o1", "weight")).alias("bands"))
-        each = bands.join(entries.select("id", "entry"), "id").select("id", "entry", F.inline("bands"))
-        keyed = common.stored(each.select("id", "o0", "o1", "weight", digest("o1", "o0").alias("core"), digest("o0", "o1").alias("hull")), "bands")
-        hulls = common.stored(keyed.groupBy("core", "hull", "o0", "o1").agg(F.sum("weight").alias("n"), F.min("id").alias("id")), "hulls")
-        equal = common.join_repeated(keyed, hulls.filter("n > 1").select("hull", F.col("n").alias("times")), "hull").select("id", "o0", "o1")
-        out = equal if out is None else out.unionByName(equal)
-        cores = common.stored(hulls.groupBy("core").agg(F.count("*").alias("times"), F.count_if(F.col("n") == 1).alias("open")).filter("times > 1 AND open > 0"), "cores")
-        active = common.join_repeated(hulls, cores, "core").select("id", F.col("n").alias("weight"), "o0", "o1")
+        bands = state.select("*", F.inline(F.expr(sub % (width, width - 1))))
+        keyed = common.stored(bands.selectExpr(
+            "id", "weight", "p0 AS o0", "p1 AS o1", "unhex(md5(concat(core, encode(concat(p0, ' ', p1, ' '), 'UTF-8'), substring(er, 1, o1 - p1), substring(el, 1, p0 - o0)))) AS core",
+            "substring(er, o1 - p1 + 1, p1 - p0) AS er", "substring(el, p0 - o0 + 1, p1 - p0) AS el",
+        ), "bands")
+        cores = common.stored(keyed.groupBy("core").agg(F.sum("weight").alias("times"), F.min("id").alias("id"), F.min("o0").alias("o0"), F.min("o1").alias("o1")), "cores")
+        alone = cores.filter("times = 1").select("id", "o0", "o1")
+        out = alone if out is None else out.unionByName(alone)
+        if width == 1:
+            break
+        shared = common.stored(cores.filter("times > 1").select("core", "times"), "shared-cores")
+        alike = ["core", "o0", "o1", "er", "el"]
+        hulls = common.stored(common.join_repeated(keyed, shared, "core").groupBy(*alike).agg(F.sum("weight").alias("weight"), F.min("id").alias("id")), "hulls")
+        common.dropped(keyed)
+        still = hulls.groupBy("core").agg(F.count("*").alias("times"), F.count_if(F.col("weight") == 1).alias("open")).filter("times > 1 AND open > 0")
+        state = common.join_repeated(hulls, common.stored(still.select("core", "times"), "open-cores"), "core").select("id", "weight", *alike)
     return out
 
 
-def hot_ranges(docs: DataFrame) -> DataFrame:
-    """Byte ranges (k, doc_id, start, stop) of repeated strings around the places in docs (k, doc_id, text, found)."""
-    table = common.stored(hot_entries(docs).withColumn("id", F.monotonically_increasing_id()).withColumn("weight", F.size("places").cast("long")), "hot-entries")
-    bands = refined(table.select("id", "entry", "weight")).distinct().groupBy("id").agg(F.collect_list(F.struct("o0", "o1")).alias("bands"))
-    each = table.drop("entry", "weight").join(bands, "id").select("lo", "hi", "bands", F.explode("places").alias("p")).select("lo", "hi", "p.*", F.inline("bands"))
-    inside = each.withColumns({"o0": F.greatest("o0", "lo"), "o1": F.least("o1", "hi")}).filter("o0 <= o1")
-    return inside.select("k", "doc_id", (F.col("pos") - F.col("o1")).cast("long").alias("start"), (F.col("pos") - F.col("o0") + WIDTH).cast("long").alias("stop"))
+def _kept_ranges(batches):
+    """Byte ranges around the places of each entry at the offsets from lo to hi that are in none of its bands `alone`."""
+    for b in batches:
+        out: list[tuple] = []
+        for lo, hi, places, alone in zip(*(b[c].to_pylist() for c in ("lo", "hi", "places", "alone")), strict=True):
+            flag = np.ones(GRAMS, bool)
+            for x in alone or []:
+                flag[x["o0"] : x["o1"] + 1] = False
+            edges = np.flatnonzero(np.diff(np.r_[False, flag[lo : hi + 1], False])).tolist()
+            out += [(p["k"], p["doc_id"], p["pos"] - (lo + z - 1), p["pos"] - (lo + a) + WIDTH) for a, z in zip(edges[::2], edges[1::2], strict=True) for p in places]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 4)], ["k", "doc_id", "start", "stop"])
+
+
+def hot_ranges(docs: DataFrame, hot: DataFrame) -> DataFrame:
+    """Byte ranges (k, doc_id, start, stop) of repeated strings around the places of the grams in hot (key), in docs (k, doc_id, text).
+
+    The grams are handled in blocks of about KEYS, which tasks look up in the texts that they read once more for each block.
+    """
+    found, blocks = None, math.ceil(hot.count() / KEYS)
+    for i in range(blocks):
+        part = hot_entries(docs, [r.key for r in hot.filter(F.pmod(F.xxhash64("key"), F.lit(blocks)) == i).select("key").collect()])
+        found = part if found is None else found.union(part)
+    table = common.stored(found.withColumn("id", F.monotonically_increasing_id()).withColumn("weight", F.size("places").cast("long")), "hot-entries")
+    alone = refined(table.select("id", "entry", "weight")).groupBy("id").agg(F.collect_list(F.struct("o0", "o1")).alias("alone"))
+    return table.drop("entry", "weight").join(alone, "id", "left").mapInArrow(_kept_ranges, "k long, doc_id long, start long, stop long")
 
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
@@ -389,21 +425,15 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     keyed = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("doc_id", "text").alias("k"))
     table = common.stored(anchors(keyed), "anchors")
     again = common.stored(table.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1"), "anchors-repeated")
-    places = common.join_repeated(table, again, "key").groupBy("k", "doc_id").agg(
-        F.collect_set(F.when(F.col("times") <= LIMIT, F.col("pos"))).alias("found"), F.collect_set(F.when(F.col("times") > LIMIT, F.col("pos"))).alias("hot")
-    )
-    found = common.stored(places, "anchors-found")
+    found = common.stored(common.join_repeated(table, again, "key").filter(F.col("times") <= LIMIT).groupBy("k", "doc_id").agg(F.collect_set("pos").alias("found")), "anchors-found")
     common.dropped(table)
-    hits, hot = found.agg(F.coalesce(F.sum(F.size("found")), F.lit(0)), F.coalesce(F.sum(F.size("hot")), F.lit(0))).first()
+    hits = found.agg(F.sum(F.size("found"))).first()[0] or 0
     parts = max(1, math.ceil(hits / MERGE))
-
-    def beside(column: str) -> DataFrame:
-        here = found.filter(F.size(column) > 0).select("k", "doc_id", F.col(column).alias("found"))
-        return keyed.alias("d").join(here.alias("f"), _same_row("d", "f")).select("d.k", "d.doc_id", "d.text", "f.found")
-
-    ranges = sorted_runs(beside("found"), parts).groupBy("p").applyInArrow(merge_ranges, "k long, doc_id long, start long, stop long")
-    if hot:
-        ranges = ranges.union(hot_ranges(beside("hot")))
+    beside = keyed.alias("d").join(found.alias("f"), _same_row("d", "f")).select("d.k", "d.doc_id", "d.text", "f.found")
+    ranges = sorted_runs(beside, parts).groupBy("p").applyInArrow(merge_ranges, "k long, doc_id long, start long, stop long")
+    hot = again.filter(F.col("times") > LIMIT)
+    if not hot.isEmpty():
+        ranges = ranges.union(hot_ranges(keyed, hot))
     by_doc = ranges.groupBy("k", "doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
     return keyed.alias("d").join(by_doc.alias("r"), _same_row("d", "r"), "left").select("d.doc_id", "d.text", "r.ranges")
 
