@@ -10,8 +10,8 @@ Words in more than COMMON of the documents have no weight, unless a passage woul
 are weighed, so that passages that stand in very many documents, and those of small tables, can be found. Verbatim copies do not depend
 on the latent search: each passage's rarest word is looked up in the documents and the words around it are compared.
 
-The benchmark is a stated query set. It is handled in blocks of BLOCK passages, so what a task holds of it is bounded:
-BLOCK x WINDOW words and as many vectors of RANK numbers at most. Each block reads the documents once more.
+The benchmark is a stated query set. Document frequencies of its words come from one read of the documents. Then it is handled in blocks of about BLOCK passages,
+each with its own decomposition and one more read, so what a task holds of it is bounded: BLOCK x WINDOW words and as many vectors of RANK numbers at most.
 
 Defined cases: null and empty texts match nothing; an item without words is ignored; texts are read whole, in windows that
 overlap by half; items or rows that repeat give one finding for each pair of ids; null ids are carried as nulls; an empty table
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Words of a block of text; a window is two blocks. Passages of the benchmark that are searched at a time.
-STEP, BLOCK = 24, 1024
+STEP, BLOCK = 24, 2048
 WINDOW = 2 * STEP
 #: Latent dimensions and further random directions.
 RANK, OVER = 128, 32
@@ -142,10 +142,28 @@ def randomised_svd(rows: DataFrame, width: int, rank: int = RANK, over: int = OV
     return basis @ turn[:, keep[values[keep] > 1e-9]]
 
 
-def fit(docs: DataFrame, bench: list[tuple[object, list[bytes]]]) -> Model | None:
-    """The model of one block of passages (item_id, words)."""
+def weighted_rows(passages: DataFrame, index: dict[bytes, int], idf: np.ndarray) -> DataFrame:
+    """(at, weight): the TF-IDF rows of passages (words), of length one."""
+    held = passages.sparkSession.sparkContext.broadcast((index, idf))
+
+    def run(batches):
+        at_of, weights = held.value
+        for b in batches:
+            rows = []
+            for words in b["words"].to_pylist():
+                at, tf = np.unique(np.array([at_of[w] for w in words.split(b" ") if w in at_of], np.int64), return_counts=True)
+                w = tf * weights[at]
+                rows.append((at.tolist(), (w / (np.linalg.norm(w) or 1)).tolist()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.float64()))], ["at", "weight"])
+
+    return passages.select("words").mapInArrow(run, "at array<int>, weight array<double>")
+
+
+def fit(passages: DataFrame, frequency: dict[bytes, int], n: int) -> Model:
+    """The model of one block of passages (item_id, n, words), with the number of documents and those that hold each word."""
+    bench = [(r.item_id, bytes(r.words).split(b" ")) for r in passages.orderBy("item_id", "n").collect()]
     vocabulary = sorted({w for _, p in bench for w in p})
-    df, n = document_frequencies(docs, vocabulary)
+    df = np.array([frequency[w] for w in vocabulary], np.int64)
     idf = np.where(df <= COMMON * n, np.log((1 + n) / (1 + df)), 0.0)
     at_of = {w: i for i, w in enumerate(vocabulary)}
     every = [sorted({at_of[w] for w in p}) for _, p in bench]
@@ -153,13 +171,7 @@ def fit(docs: DataFrame, bench: list[tuple[object, list[bytes]]]) -> Model | Non
     idf[thin] = np.where(idf[thin] > 0, idf[thin], np.log1p(n / np.maximum(df[thin], 1)))
     kept = np.flatnonzero(idf > 0)
     index, idf = {vocabulary[i]: k for k, i in enumerate(kept)}, idf[kept]
-    sparse = []
-    for _, p in bench:
-        at, tf = np.unique([index[w] for w in p if w in index], return_counts=True)
-        weight = tf * idf[at.astype(int)]
-        sparse.append((at.astype(int).tolist(), (weight / (np.linalg.norm(weight) or 1)).tolist()))
-    rows = docs.sparkSession.createDataFrame(sparse, "at array<int>, weight array<double>").repartition(8)
-    basis = randomised_svd(rows, len(index))
+    basis = randomised_svd(common.stored(weighted_rows(passages, index, idf), "tfidf-rows"), len(index))
     vectors = (basis * idf[:, None]).astype(np.float32)
     latent = np.array([sum((vectors[index[w]] for w in p if w in index), np.zeros(vectors.shape[1], np.float32)) for _, p in bench])
     lengths = np.maximum(np.linalg.norm(latent, axis=1), 1e-9).astype(np.float32)
@@ -257,15 +269,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             cols = list(zip(*got, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["item_id", "n", "words"])
 
-    bench = benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(cut, "item_id long, n long, words binary").distinct()
-    total = bench.count()
-    blocks = math.ceil(total / (BLOCK * 0.8)) or 1  # hashed blocks stay under BLOCK, or are cut again below
-    out = None
+    bench = common.stored(benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(cut, "item_id long, n long, words binary").distinct(), "passages")
+    blocks = math.ceil(bench.count() / (BLOCK * 0.8))
+    word = F.explode(F.split(F.decode("words", "ISO-8859-1"), " "))  # a character for each byte
+    vocabulary = sorted(r.word.encode("latin-1") for r in bench.select(word.alias("word")).distinct().collect())
+    frequencies, n = document_frequencies(docs, vocabulary)
+    frequency, out = dict(zip(vocabulary, frequencies.tolist(), strict=True)), None
     for k in range(blocks):
-        rows = bench.filter(F.pmod(F.xxhash64("item_id", "n"), F.lit(blocks)) == k).orderBy("item_id", "n").collect() if total else []
-        for i in range(0, len(rows), BLOCK):
-            model = fit(docs, [(r.item_id, bytes(r.words).split(b" ")) for r in rows[i : i + BLOCK]])
-            found = _search(docs, model)
+        part = bench.filter(F.pmod(F.xxhash64("item_id", "n"), F.lit(blocks)) == k)
+        if not part.isEmpty():
+            found = _search(docs, fit(part, frequency, n))
             out = found if out is None else out.union(found)
     if out is None:
         return spark.createDataFrame([], "doc_id long, item_id long, overlap double, answer double, cosine double")

@@ -9,7 +9,8 @@ sum with fewer operations.
 Defined cases: a text that is null or has no letter gets `und` and score 0; texts of any length are
 read whole, in pieces of PIECE characters that overlap by N - 1; a null lang never trains; repeated rows
 count once each; without any training row all texts get `und`; an empty table gives an empty
-result; a null doc_id is never held out and never trains; extra columns are ignored.
+result; a null doc_id is never held out and never trains; extra columns are ignored. Letters other than a to z share the 37 remaining
+symbols by a hash, so scripts with many letters are told apart more coarsely.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from . import common
 
 #: Dimensions, letters of an n-gram, symbols (0: anything but letters; 1-26: a-z; the rest: other letters, hashed).
 DIM, N, SYMBOLS = 1024, 3, 64
-#: The prototypes are fitted on about this many training rows, chosen by a hash of the id.
-TRAIN_ROWS = 20_000
+#: A language's prototype is fitted on about this many training rows, chosen by a hash of the id, or on all where it has fewer.
+TRAIN_ROWS = 5_000
 PIECE, BATCH = 1_000_000, 1_500_000
 #: Cells of the largest matrix of counts, texts by n-grams.
 CELLS = 10_000_000
@@ -148,10 +149,13 @@ def predict(docs: DataFrame, langs: list[str], protos: np.ndarray, keep: list[st
 
 
 def training_rows(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """Rows with a language outside the held-out fold, thinned to about `rows` by a hash of the id."""
+    """Rows with a language outside the held-out fold, those of each language thinned to about `rows` by a hash of the id; rare languages keep all."""
     fit = docs.filter((common.fold(F.col("doc_id")) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n = fit.select(F.count("*")).first()[0]
-    share = math.ceil(2**20 * min(1.0, rows / max(1, n)))
+    large = fit.groupBy("lang").agg(F.count("*").alias("n")).filter(F.col("n") > rows).collect()  # a number for each frequent language
+    share = F.lit(2**20)
+    if large:
+        shares = F.create_map(*[F.lit(x) for r in large for x in (r.lang, math.ceil(2**20 * rows / r.n))])
+        share = F.coalesce(F.try_element_at(shares, F.col("lang")), share)
     return fit.filter(F.pmod(F.xxhash64("doc_id"), F.lit(2**20)) < share)
 
 

@@ -16,6 +16,7 @@ import bisect
 import re
 from dataclasses import dataclass
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -90,6 +91,193 @@ SENTENCES = [
     ("copyright", r"copyright (?:c|©)", "copyright"),
 ]
 
+#: Hand-written signatures, a label and the words of a notice, title or clause as a regex. The words before the first sign of a
+#: regex, three at most, are the rule's anchor.
+NOTICES = """
+mit|the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software
+mit|to deal in the software without restriction including without limitation the rights to use copy modify merge publish
+mit|in no event shall the authors or copyright holders be liable for any claim damages or other liability
+mit|this software is (?:released|licensed|distributed|available) under (?:the )?terms of the mit
+mit|mit style licen[sc]e
+apache-2|you may not use this file except in compliance with the license
+apache-2|you may not use this (?:project|software|work|module|package) except in compliance with the license
+apache-2|unless required by applicable law or agreed to in writing software
+apache-2|distributed on an as is basis without warranties or conditions of any kind
+apache-2|see the notice file distributed with this work for additional information
+apache-2|licensed to the apache software foundation
+apache-1.1|this product includes software developed by the apache software foundation
+gpl|this program is distributed in the hope that it will be useful but without any warranty
+gpl|without even the implied warranty of merchantability or fitness for a particular purpose see the gnu
+gpl|you should have received a copy of the gnu general public licen[sc]e
+gpl|along with this program if not (?:see|write to)
+gpl|write to the free software foundation
+gpl|everyone is permitted to copy and distribute verbatim copies of this license document
+gpl-2+|either version 2 of the licen[sc]e or (?:at your option )?any later version
+gpl-3+|either version 3 of the licen[sc]e or (?:at your option )?any later version
+gpl-2|gnu general public licen[sc]e version 2 only
+gpl-3|gnu general public licen[sc]e version 3 only
+gpl-exception|as a special exception the copyright holders (?:of this library )?give (?:you )?permission to link
+gpl-exception|linking this library statically or dynamically with other modules
+gpl-exception|if other files instantiate templates or use macros or inline functions from this file
+lgpl|this library is free software you can redistribute it
+lgpl|you should have received a copy of the gnu (?:lesser|library) general public licen[sc]e
+lgpl-2.1+|either version 2 1 of the licen[sc]e or (?:at your option )?any later version
+agpl|you should have received a copy of the gnu affero general public licen[sc]e
+agpl|all users interacting with it remotely through a computer network
+gfdl|permission is granted to copy distribute and or modify this document
+gfdl|with no invariant sections no front cover texts and no back cover texts
+bsd|redistributions of source code must retain the above copyright notice
+bsd|redistributions in binary form must reproduce the above copyright notice
+bsd|this software is provided by the (?:regents|author|authors|copyright holders?)(?: and contributors)? as is
+bsd-2-clause|the views and conclusions contained in the software and documentation are those of the authors
+bsd-3-clause|may be used to endorse or promote products derived from this software without specific prior written permission
+bsd-4-clause|all advertising materials mentioning features or use of this software must display
+bsd-3-clause-clear|no express or implied licenses to any party s patent rights are granted
+bsd|use of this source code is governed by a bsd style licen[sc]e
+0bsd|permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted
+isc|the software is provided as is and the author disclaims all warranties
+hpnd|permission to use copy modify distribute and sell this software and its documentation for any purpose
+hpnd|permission to use copy modify and distribute this software and its documentation for any purpose and without fee
+postgresql|permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement
+mpl-2|this source code form is subject to the terms of the mozilla public licen[sc]e
+mpl-2|if a copy of the mpl was not distributed with this file
+mpl-1.1|the contents of this file are subject to the mozilla public licen[sc]e version 1 1
+mpl-2|this source code form is incompatible with secondary licenses
+epl|this program and the accompanying materials are made available under the terms of the eclipse public licen[sc]e
+cddl|the contents of this file are subject to the terms of the common development and distribution licen[sc]e
+cddl|you can obtain a copy of the license at usr src opensolaris
+zlib|the origin of this software must not be misrepresented
+zlib|altered source versions must be plainly marked as such
+zlib|this notice may not be removed or altered from any source distribution
+boost|permission is hereby granted free of charge to any person or organization obtaining a copy of the software
+boost|see accompanying file license 1 0 txt
+unlicense|anyone is free to copy modify publish use compile sell or distribute this software
+unlicense|the author or authors of this code dedicate any and all copyright interest
+cc0|the person who associated a work with this deed has dedicated the work
+cc0|to the extent possible under law .{1,60}? has waived all copyright
+public-domain|this (?:file|work|code|software|image) is in the public domain
+public-domain|no copyright is claimed
+public-domain|this is a work of the u s government
+cc|this (?:work|article|document|text|image|page|site) is licensed under a creative commons
+cc|except where otherwise noted content on this site is licensed under
+cc|some rights reserved
+cc-by|you must give appropriate credit provide a link to the licen[sc]e
+cc-by|you are free to share copy and redistribute the material in any medium or format
+cc-by-nc|you may not use the material for commercial purposes
+cc-by-nd|if you remix transform or build upon the material you may not distribute the modified material
+cc-by-sa|if you remix transform or build upon the material you must distribute your contributions under the same licen[sc]e
+cc-by-sa|text is available under the creative commons attribution sharealike licen[sc]e
+ofl|this font software is licensed under the sil open font licen[sc]e
+ofl|the fonts including any derivative works can be bundled embedded redistributed
+ofl|with reserved font name
+artistic|you may make and give away verbatim copies of the source form
+artistic|under the same terms as perl itself
+php|this product includes php software
+python|psf is making python .{0,20}?available to licensee on an as is basis
+openssl|this product includes software developed by the openssl project
+ssleay|this product includes cryptographic software written by eric young
+beerware|as long as you retain this notice you can do whatever you want with this stuff
+beerware|you can buy me a beer in return
+json|the software shall be used for good not evil
+lppl|this work may be distributed and or modified under the conditions of the latex project public licen[sc]e
+libpng|the png reference library is supplied as is
+ijg|this software is based in part on the work of the independent jpeg group
+freetype|portions of this software are copyright .{0,20}?the freetype project
+bzip2|julian seward jseward acm org
+info-zip|info zip grants permission
+curl|permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice
+w3c|w3c software (?:and document )?notice and licen[sc]e
+w3c|by obtaining using and or copying this work you the licensee agree
+unicode|unicode (?:data files and software )?licen[sc]e agreement
+unicode|to deal in the data files or software without restriction
+ncsa|university of illinois ncsa open source licen[sc]e
+ncsa|to deal with the software without restriction
+ecl|educational community licen[sc]e
+efl|eiffel forum licen[sc]e
+fair|usage of the works is permitted provided that this instrument is retained with the works
+qpl|q public licen[sc]e
+ipl|ibm public licen[sc]e
+apsl|apple public source licen[sc]e
+spl|sun public licen[sc]e
+intel|intel open source licen[sc]e
+nokia|nokia open source licen[sc]e
+nasa|nasa open source agreement
+ngpl|nethack general public licen[sc]e
+oclc|oclc research public licen[sc]e
+rpsl|real ?networks public source licen[sc]e
+rpl|reciprocal public licen[sc]e
+simpl|simple public licen[sc]e
+sleepycat|redistributions in any form must be accompanied by information on how to obtain complete source code
+vsl|vovida software licen[sc]e
+watcom|sybase open watcom public licen[sc]e
+xfree86|xfree86 licen[sc]e
+miros|miros licen[sc]e
+mulan|mulan (?:psl|permissive software licen[sc]e)
+blueoak|blue oak model licen[sc]e
+hippocratic|hippocratic licen[sc]e
+anti-996|anti 996 licen[sc]e
+parity|parity public licen[sc]e
+prosperity|prosperity public licen[sc]e
+cern-ohl|cern open hardware licen[sc]e
+tapr-ohl|tapr open hardware licen[sc]e
+solderpad|solderpad hardware licen[sc]e
+free-art|free art licen[sc]e
+ogl|open gam(?:e|ing) licen[sc]e
+ruby|ruby s licen[sc]e
+vim|vim licen[sc]e
+odbl|this .{1,60}? database is made available under the open database licen[sc]e
+odbl|any rights in individual contents of the database are licensed under the database contents licen[sc]e
+pddl|open data commons public domain dedication
+cdla-permissive|community data licen[sc]e agreement permissive
+cdla-sharing|community data licen[sc]e agreement sharing
+ogl-uk|contains public sector information licensed under the open government licen[sc]e
+ogl-uk|open government licen[sc]e
+etalab|licence ouverte
+dl-de|datenlizenz deutschland
+bsl-business|business source licen[sc]e
+sspl|server side public licen[sc]e
+elastic|elastic licen[sc]e
+commons-clause|commons clause licen[sc]e condition
+commons-clause|the license does not grant to you the right to sell the software
+polyform|polyform (?:noncommercial|small business|shield|strict|internal use) licen[sc]e
+rsal|redis source available licen[sc]e
+confluent|confluent community licen[sc]e
+openrail|openrail m
+openrail|openrail licen[sc]e
+openrail|creativeml open rail m
+openrail|responsible ai licen[sc]e
+llama|llama (?:2 |3 )?community licen[sc]e
+gemma|gemma terms of use
+noncommercial|for non ?commercial (?:use|purposes) only
+noncommercial|commercial use is (?:prohibited|not permitted|not allowed|strictly prohibited)
+noncommercial|for (?:educational|research|academic)(?: and research)? (?:use|purposes) only
+noncommercial|free for personal use
+proprietary|this software is the confidential and proprietary information
+proprietary|no part of this (?:publication|book|document|work|software) may be reproduced
+proprietary|reproduction in whole or in part without (?:written |prior )?permission is (?:strictly )?prohibited
+proprietary|licensed materials property of
+proprietary|for internal use only
+proprietary|may not be (?:copied|reproduced|redistributed|published) (?:or distributed )?without (?:the )?(?:express|prior|written)
+proprietary|this product is licensed not sold
+proprietary|end user licen[sc]e agreement
+proprietary|by (?:installing|downloading|using) this software you agree to
+proprietary|trade secrets? of
+proprietary|unpublished rights reserved under the copyright laws
+proprietary|reverse engineering .{0,40}?is prohibited
+permissive|free to use for any purpose
+permissive|use at your own risk no warranty
+permissive|do whatever you want with (?:it|this|this code|this software)
+attribution|used with permission
+attribution|reprinted with permission
+attribution|courtesy of the copyright holder
+copyleft|licensed under the same terms
+dual|dual licensed under
+dual|available under (?:either|both) of the following licenses
+""".strip()
+
+#: Labels of general statements, which go after all names of licenses.
+WEAK = ("proprietary", "copyright", "noncommercial", "permissive", "attribution", "copyleft", "dual")
+
 #: Fixed value: words before a license's name.
 LEAD = r"(?:(?:licen[sc]ed|released|distributed|available|published) )?(?:under|subject to) (?:the )?(?:terms of )?(?:the )?"
 
@@ -111,6 +299,15 @@ def _rule(label: str, pattern: str, anchors: str, priority: int, confidence: flo
     return Rule(label, regex, tuple(a.encode() for a in anchors.split("|")), priority, confidence)
 
 
+def anchor_of(pattern: str) -> str:
+    """The literal words that a pattern begins with, three at most; those of each branch where it begins with a choice."""
+    if pattern.startswith("(?:"):
+        return "|".join(anchor_of(branch) for branch in pattern[3 : pattern.index(")")].split("|"))
+    literal = re.match(r"[^?(\[.]*", pattern)[0]
+    whole = literal if len(literal) == len(pattern) else literal[: literal.rfind(" ") + 1]
+    return " ".join(whole.split()[:3])
+
+
 def build_rules() -> list[Rule]:
     """All rules in order: base, SPDX, sentences, licensed-under with version, names with version, bare names, general."""
     rules = [_rule(label, phrase, phrase, 0, 1.0) for phrase, label in BASE.items()]
@@ -135,6 +332,9 @@ def build_rules() -> list[Rule]:
         rules.append(_rule(label, rf"cc {elements}", "cc by", 7, 0.85))
         rules.append(_rule(label, rf"creative commons {name}", "creative commons", 7, 0.85))
     rules += [_rule(label, p, a, 2 if label not in ("proprietary", "copyright") else 9, 0.9 if label not in ("proprietary", "copyright") else 0.5) for label, p, a in SENTENCES]
+    for label, pattern in (line.split("|", 1) for line in NOTICES.splitlines()):
+        weak = label in WEAK
+        rules.append(_rule(label, pattern, anchor_of(pattern), 9 if weak else 2, 0.5 if weak else 0.9))
     return sorted(rules, key=lambda r: r.priority)
 
 
@@ -145,14 +345,17 @@ class Scanner:
         for i, r in enumerate(self.rules):
             for a in r.anchors:
                 self.by_anchor.setdefault(a, []).append(i)
-        self.gate = re.compile(rb" (" + b"|".join(sorted(map(re.escape, self.by_anchor), key=len, reverse=True)) + rb")")
+        self.gate = ahocorasick.Automaton()
+        for a in self.by_anchor:
+            self.gate.add_word(" " + a.decode("latin-1"), a)
+        self.gate.make_automaton()
 
     def scan(self, text: str | None) -> dict:
         """Word count, base places, and the detections that survive."""
         words = (text or "").encode("utf-8", "replace").translate(_WORDS).split()
         out = {"n_words": len(words), "base": [], "detections": []}
         line = b" " + b" ".join(words) + b" "
-        anchors = {m for m in self.by_anchor if b" " + m in line} if self.gate.search(line) else set()
+        anchors = {a for _, a in self.gate.iter(line.decode("latin-1"))}  # a character for each byte
         if not anchors:
             return out
         starts = [m.start() for m in re.finditer(rb" ", line)]  # the k-th space stands before word k

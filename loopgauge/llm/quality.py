@@ -22,10 +22,9 @@ from pyspark.sql import functions as F
 from . import common
 
 BLOCK, LEVEL, DICT_BYTES = 512, 3, 256 * 1024
-#: Labelled rows of each class that the dictionaries and the curve are fitted on, at most.
-DICT_ROWS, CURVE_ROWS = 2500, 4000
-#: Bytes that a row gives to its dictionary: one stretch of its text, at a place that its id's hash names.
-STRETCH = 4 * BLOCK
+#: Labelled rows of each class that the dictionaries and the curve are fitted on, at most, and blocks of those rows' texts that make a dictionary, at most:
+#: drawn by hash from all their blocks, so every part of a text counts alike.
+DICT_ROWS, CURVE_ROWS, DICT_BLOCKS = 2500, 4000, 10_000
 THRESHOLD = 0.7
 
 
@@ -35,7 +34,7 @@ def blocks(text: str | None) -> list[bytes]:
 
 
 def build_dictionary(samples: list[bytes]) -> bytes:
-    """A trained dictionary, or the samples themselves where they are too few to train on."""
+    """A trained dictionary, or the samples themselves (the last DICT_BYTES of them) where they are too few to train on."""
     try:
         return zstandard.train_dictionary(DICT_BYTES, samples, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
@@ -99,17 +98,17 @@ def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[bytes, bytes, float, float] | None:
     """Dictionaries and curve from bounded samples of labelled rows."""
-    chosen = F.broadcast(labelled_ids(labels, 0, DICT_ROWS))
-    data = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    stretches = F.greatest(F.lit(1), F.ceil(F.length(data) / STRETCH)).cast("long")
-    block = F.substring(data, (F.pmod(F.xxhash64("doc_id"), stretches) * STRETCH + 1).cast("int"), F.lit(STRETCH))
-    samples = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "quality", block.alias("data")).collect()
-    samples.sort(key=lambda r: (r.doc_id, bytes(r.data)))
-    by = {q: [bytes(r.data[i : i + BLOCK]) for r in samples if r.quality == q for i in range(0, len(r.data), BLOCK)] for q in (0, 1)}
+    chosen = docs.select("doc_id", "text").join(F.broadcast(labelled_ids(labels, 0, DICT_ROWS)), "doc_id").filter(F.length("text") > 0)
+    data = chosen.select("doc_id", "quality", F.encode("text", "UTF-8").alias("data"))
+    parts = data.select("doc_id", "quality", "data", F.explode(F.sequence(F.lit(0), F.expr(f"CAST((length(data) - 1) div {BLOCK} AS INT)"))).alias("i"))
+    blocks = parts.select("doc_id", "quality", "i", F.expr(f"substring(data, i * {BLOCK} + 1, {BLOCK})").alias("data")).withColumn("h", F.xxhash64("doc_id", "i"))
+    by = {q: [bytes(r.data) for r in blocks.filter(F.col("quality") == q).orderBy("h", "doc_id", "i", "data").limit(DICT_BLOCKS).collect()] for q in (0, 1)}
     if not by[0] or not by[1]:
         return None
     good, bad = build_dictionary(by[1]), build_dictionary(by[0])
-    rows = with_feature(docs.select("doc_id", "text").join(F.broadcast(labelled_ids(labels, 1, CURVE_ROWS)), "doc_id"), good, bad).select("feature", "quality").collect()
+    scored = with_feature(docs.select("doc_id", "text").join(F.broadcast(labelled_ids(labels, 1, CURVE_ROWS)), "doc_id"), good, bad).withColumn("h", F.xxhash64("doc_id"))
+    # limited once more: an id may stand in any number of rows
+    rows = [r for q in (0, 1) for r in scored.filter(F.col("quality") == q).orderBy("h", "doc_id", "feature").limit(CURVE_ROWS).select("feature", "quality").collect()]
     a, b = fit_curve(np.array([r.feature for r in rows]), np.array([r.quality for r in rows]))
     return good, bad, a, b
 

@@ -309,3 +309,71 @@ def test_randomised_svd(spark):
     v = decontaminate.randomised_svd(spark.createDataFrame(rows, "at array<int>, weight array<double>").repartition(3), 30, rank=5, over=25)
     exact = np.linalg.svd(a)[2][:5]
     assert np.allclose(np.abs(exact @ v), np.eye(5), atol=1e-6)
+
+
+def plain_search(docs, items, rank):
+    """Contaminated (doc, item) pairs by an exact decomposition, all cosines and plain longest common subsequences."""
+    d = decontaminate
+    passages = [(i, p) for i, t in items for p in d.passages_of(d.words_of(t))]
+    texts = [(i, d.words_of(t)) for i, t in docs]
+    vocabulary = {w: k for k, w in enumerate(sorted({w for _, p in passages for w in p}))}
+    df = collections.Counter(w for _, t in texts for w in set(t) & vocabulary.keys())
+    n, idf = len(texts), np.zeros(len(vocabulary))
+    for w, k in vocabulary.items():
+        idf[k] = np.log((1 + n) / (1 + df[w])) if df[w] <= d.COMMON * n else 0
+    for _, p in passages:
+        if len({w for w in p if idf[vocabulary[w]] > 0}) < d.FEW:
+            for w in p:
+                k = vocabulary[w]
+                idf[k] = idf[k] or np.log1p(n / max(1, df[w]))
+
+    def bag(words):
+        v = np.zeros(len(vocabulary))
+        for w in words:
+            if w in vocabulary:
+                v[vocabulary[w]] += idf[vocabulary[w]]
+        return v
+
+    rows = np.array([bag(p) for _, p in passages])
+    unit = rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
+    basis = np.linalg.svd(unit, full_matrices=False)[2][:rank].T
+    latent = rows @ basis
+    lengths = np.linalg.norm(latent, axis=1)
+    found = set()
+    for doc, t in texts:
+        for block in range(-1, len(t) // d.STEP + 1):
+            window = bag(t[max(0, block * d.STEP) : (block + 2) * d.STEP]) @ basis
+            if not (norm := np.linalg.norm(window)):
+                continue
+            reach = latent @ window / np.maximum(lengths, 1e-12)
+            for k in np.flatnonzero((reach >= d.COSINE * norm) & (reach >= d.REACH * lengths)):
+                item, p = passages[k]
+                near = t[max(0, (block - 1) * d.STEP) : max(0, block + 3) * d.STEP]
+                weighted = {w for w in p if idf[vocabulary[w]] > 0}
+                answer = {w for w in p[2 * len(p) // 3 :] if w in weighted} or weighted
+                row = [0] * (len(near) + 1)
+                for x in p:
+                    new = [0]
+                    for j, y in enumerate(near):
+                        new.append(max(row[j + 1], new[j], row[j] + (x == y)))
+                    row = new
+                if row[-1] >= d.OVERLAP * len(p) and len(answer & set(near)) >= d.ANSWER * len(answer):
+                    found.add((doc, item))
+        line = b" " + b" ".join(t) + b" "
+        found |= {(doc, item) for item, p in passages if b" " + b" ".join(p) + b" " in line}
+    return found
+
+
+def test_op4_against_plain_search(spark, sf):
+    docs = [(r.doc_id, r.text) for r in common.table(spark, sf, "documents").collect()]
+    items = [(r.item_id, r.text) for r in common.table(spark, sf, "benchmark").collect()]
+    assert {(r.doc_id, r.item_id) for r in decontaminate.op4(spark, sf).collect()} == plain_search(docs, items, decontaminate.RANK)
+    rng, planted = random.Random(13), []
+    for i in range(80):  # paraphrases from equal to beyond recognition
+        words = rng.choice(items)[1].split()
+        for at in rng.sample(range(len(words)), int(len(words) * rng.choice((0, 0.1, 0.2, 0.28, 0.33, 0.5)))):
+            words[at] = rng.choice(docs[rng.randrange(50)][1].split() or ["x"])
+        planted.append((10_000 + i, docs[i][1] + " " + " ".join(words) + " " + docs[i + 80][1]))
+    want = plain_search(docs + planted, items, decontaminate.RANK)
+    got = found_pairs(spark, docs + planted, items)
+    assert 80 > len(want) > 30 and len(got ^ want) <= 0.04 * len(want)  # the basis is random, so pairs at a limit may fall on either side

@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from loopgauge.llm import common, langid, licenses, quality
 
@@ -134,3 +135,53 @@ def test_many_kinds_of_letters_are_split(monkeypatch):
     whole = e.bundle(texts)
     monkeypatch.setattr(langid, "CELLS", 100)
     assert (langid.Encoder().bundle(texts) == whole).all()
+
+
+def shortest(parsed):
+    """A text that a parsed regex matches: first branches, fewest repeats."""
+    out = ""
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(arg)
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            out += shortest(arg[2]) * arg[0]
+        elif name == "SUBPATTERN":
+            out += shortest(arg[3])
+        elif name == "BRANCH":
+            out += shortest(arg[1][0])
+        elif name == "IN":
+            out += next((chr(a) for o, a in arg if str(o) == "LITERAL"), "7")  # else a digit
+        elif name == "ANY":
+            out += "x"
+    return out
+
+
+def test_every_license_rule_finds_its_text():
+    import re._parser as parser
+
+    scanner = licenses.Scanner()
+    assert len(licenses.NOTICES.splitlines()) > 150 and len(scanner.rules) > 500
+    for rule in scanner.rules:
+        text = shortest(parser.parse(rule.regex.pattern.decode().removeprefix("(?<= )").removesuffix("(?= )")))
+        found = scanner.scan(f"Before it, {text}. After.")["detections"]
+        covered = {i for a, z, _, _ in found for i in range(a, z + 1)}
+        assert covered >= set(range(2, 2 + len(text.split()))), (rule.label, text, found)
+
+
+def test_rare_languages_keep_all_training_rows(spark):
+    df = spark.createDataFrame([(i, "text", "big" if i % 10 else "rare") for i in range(4000)] + [(9999, "x", None)], "doc_id long, text string, lang string")
+    got = {r.lang: r["count"] for r in langid.training_rows(df, 500).groupBy("lang").count().collect()}
+    every = {r.lang: r["count"] for r in langid.training_rows(df, 10**6).groupBy("lang").count().collect()}
+    assert got["rare"] == every["rare"] < 500 and 350 < got["big"] < 650 < every["big"]
+
+
+def test_repeated_ids_do_not_swell_the_fit(spark, monkeypatch):
+    monkeypatch.setattr(quality, "CURVE_ROWS", 30)
+    monkeypatch.setattr(quality, "DICT_BLOCKS", 40)
+    rows = [(i, f"good words {i} of prose " * 60 if i % 2 else f"zzz!!! {i} buy now " * 60) for i in range(200)] + [(7, "good words of prose " * 900)] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    got = quality.scored(docs, quality.fit(docs, labels)).groupBy((F.col("doc_id") % 2).alias("good")).agg(F.avg("score").alias("s")).collect()
+    by = {r.good: r.s for r in got}
+    assert by[1] > 0.7 > 0.3 > by[0]
