@@ -79,6 +79,10 @@ def test_checksums():
     assert got.tolist() == [crc_by_bits(d, 0x8005, 16) for d in (data, data[:256], data[7:38])]
 
 
+def unpacked(streams):
+    return [b"".join(b[-1] for b in blocks) for blocks in flac.decode(streams)]
+
+
 LPCS = [None, ((3, -2), 1), ((100, 20, -30, 7), 7)]
 
 
@@ -86,17 +90,17 @@ LPCS = [None, ((3, -2), 1), ((100, 20, -30, 7), 7)]
 @given(st.lists(st.one_of(st.binary(min_size=1, max_size=200), st.text(max_size=400).map(lambda t: t.encode("utf-8", "replace"))), min_size=1, max_size=5), st.sampled_from(LPCS))
 def test_round_trip(parts, lpc):
     payloads = [p * 12 + bytes(-len(p * 12) % 64 or 64) for p in parts]
-    assert [p for p, _ in flac.decode(flac.encode(payloads, lpc))] == payloads
+    assert unpacked(flac.encode(payloads, lpc)) == payloads
 
 
 def test_predictors_and_long_streams():
     t = np.arange(300_000)
     wave = (128 + 100 * np.sin(t / 300)).astype(np.uint8).tobytes()
     noise, flat = os.urandom(6400), b"\x07" * 6400
-    got = flac.decode(flac.encode([wave, noise, flat]))
-    assert [p for p, _ in got] == [wave, noise, flat]
-    assert {flac.FIXED + 1, flac.FIXED + 2} & {k for k, _ in got[0][1]["kinds"]}
-    assert {k for k, _ in got[1][1]["kinds"]} == {flac.VERBATIM} and {k for k, _ in got[2][1]["kinds"]} == {flac.CONSTANT}
+    streams = flac.encode([wave, noise, flat])
+    assert unpacked(streams) == [wave, noise, flat]
+    kinds = [{b[3] for b in blocks} for blocks in flac.decode(streams)]
+    assert kinds[0] & {flac.FIXED + 1, flac.FIXED + 2, flac.LPC + flac.ORDER - 1} and kinds[1] == {flac.VERBATIM} and kinds[2] == {flac.CONSTANT}
     assert [flac.parse_header(flac.frame_header(n, 1024)) for n in (0, 127, 128, 70_000, 3_000_000)] == [(n, 1024) for n in (0, 127, 128, 70_000, 3_000_000)]
 
 
@@ -109,15 +113,73 @@ def test_damage_is_seen():
             flac.decode([stream[:at] + bytes([stream[at] ^ 1 << rng.randrange(8)]) + stream[at + 1 :]])
 
 
+def test_linear_predictors_are_chosen_and_depend_on_the_frame_alone():
+    rng = np.random.default_rng(3)
+    x = np.zeros(40_000)
+    for i in range(2, len(x)):
+        x[i] = 1.6 * x[i - 1] - 0.8 * x[i - 2] + rng.normal(0, 6)
+    payload = (np.clip(x, -120, 120) + 128).astype(np.uint8).tobytes()
+    blocks = flac.decode(flac.encode([payload]))[0]
+    assert sum(b[3] == flac.LPC + flac.ORDER - 1 for b in blocks) > 30 and b"".join(b[-1] for b in blocks) == payload
+    words = b"plain words of a text, again " * 40
+    assert flac.encode([payload, words, b"z" * 64])[1] == flac.encode([words])[0]
+    for first, _, offset, *_, pcm in blocks:  # the offset leads to the frame of that sample
+        assert flac.parse_header(flac.encode([payload])[0][offset : offset + flac.header_length(flac.encode([payload])[0], offset)])[0] == first // flac.FRAME and pcm == payload[first : first + flac.FRAME]
+
+
+def frame(number: int, samples: int, subframe: str) -> bytes:
+    head = flac.frame_header(number, samples)
+    body = head + int(subframe + "0" * (-len(subframe) % 8), 2).to_bytes(-(-len(subframe) // 8), "big")
+    return body + crc_by_bits(body, 0x8005, 16).to_bytes(2, "big")
+
+
+def stream_of(samples: list[int], frames: list[bytes], table: bytes = b"") -> bytes:
+    raw = np.array(samples, np.int8).tobytes()
+    info = bytes([0, 64, 0, 64]) + bytes(6) + (8000 << 44 | 7 << 36 | len(raw)).to_bytes(8, "big") + hashlib.md5(raw).digest()
+    seek = b"\x03" + len(table).to_bytes(3, "big") + table if table else b""
+    return b"fLaC" + b"\x00" + len(info).to_bytes(3, "big") + info + seek + b"\x81" + bytes([0, 0, 2]) + bytes(2) + b"".join(frames)
+
+
+def bits(v: int, n: int) -> str:
+    return format(v & (1 << n) - 1, f"0{n}b") if n else ""
+
+
+def rice(v: int, k: int) -> str:
+    u = v << 1 if v >= 0 else -2 * v - 1
+    return "0" * (u >> k) + "1" + bits(u, k)
+
+
+def test_streams_of_other_writers():
+    """Escaped partitions, 5-bit parameters, wasted bits, and frames that no seek table lists, written bit by bit."""
+    rng = random.Random(5)
+    a = [rng.randrange(-128, 128) for _ in range(64)]
+    cut = "".join
+    escaped = "0" + bits(flac.FIXED, 6) + "0" + "00" + bits(1, 4) + bits(15, 4) + bits(8, 5) + cut(bits(v, 8) for v in a[:32]) + bits(3, 4) + cut(rice(v, 3) for v in a[32:])
+    b = [rng.randrange(-128, 128) for _ in range(64)]
+    five = "0" + bits(flac.FIXED + 1, 6) + "0" + bits(b[0], 8) + "01" + bits(0, 4) + bits(5, 5) + cut(rice(v - u, 5) for u, v in zip(b, b[1:]))
+    c = [4 * rng.randrange(-32, 32) for _ in range(64)]
+    wasted = "0" + bits(flac.FIXED, 6) + "1" + "01" + "00" + bits(0, 4) + bits(4, 4) + cut(rice(v // 4, 4) for v in c)
+    d = [2 * rng.randrange(-64, 64) for _ in range(64)]
+    verbatim = "0" + bits(flac.VERBATIM, 6) + "1" + "1" + cut(bits(v // 2, 7) for v in d)
+    e = [7] * 64
+    zero_wide = "0" + bits(flac.FIXED + 1, 6) + "0" + bits(7, 8) + "00" + bits(0, 4) + bits(15, 4) + bits(0, 5)
+    frames = [frame(i, 64, s) for i, s in enumerate([escaped, five, wasted, verbatim, zero_wide])]
+    want = bytes((np.array(a + b + c + d + e) + 128).astype(np.uint8))
+    point = (0).to_bytes(8, "big") + (0).to_bytes(8, "big") + (64).to_bytes(2, "big")
+    assert unpacked([stream_of(a + b + c + d + e, frames), stream_of(a + b + c + d + e, frames, point), flac.encode([want])[0]]) == [want] * 3
+    with pytest.raises(ValueError):
+        flac.decode([stream_of(a + b + c + d + e, [frames[0], frames[1][:-1] + b"\x00", *frames[2:]])])
+
+
 def test_op9(spark, sf, odd, empty):
     texts = {r.doc_id: r.text for r in common.table(spark, sf, "documents").collect()}
     for r in flac.op9(spark, sf).collect():
         raw = (texts[r.doc_id] or "").encode()
         payload = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
-    rows = flac.media_digest(flac.media_column(odd)).collect()
+    rows = flac.media_digest(flac.pcm_column(flac.media_column(odd))).collect()
     assert len(rows) == odd.count() and len({(r.media_sha256, r.feature) for r in rows if r.doc_id in (1, 2)}) == 1
-    assert flac.media_digest(flac.media_column(empty)).count() == 0
+    assert flac.media_digest(flac.pcm_column(flac.media_column(empty))).count() == 0
 
 
 def test_pcm_blocks(spark, odd):
