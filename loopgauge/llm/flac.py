@@ -21,6 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -473,23 +474,25 @@ def media_column(docs: DataFrame) -> DataFrame:
 
 
 BLOCK = pa.struct([("first_sample", pa.int64()), ("n_samples", pa.int64()), ("frame_offset", pa.int64()), ("kind", pa.int64()), ("rice", pa.int64()), ("pcm", pa.binary())])
+STORED = ["doc_id", "n_bytes", "media"]
 
 
-def pcm_column(media: DataFrame) -> DataFrame:
-    """media with column blocks: the PCM blocks of the stored stream in order, each with its first sample and the place of its frame."""
+def block_batches(batches):
+    """Arrow batches of media_column with column blocks in addition, few streams at a time."""
+    for b in batches:
+        sizes = pc.binary_length(b["media"]).to_pylist()
+        for i, j in common.by_bytes(sizes, sizes, 4 << 20):
+            blocks = decode(b["media"][i:j].to_pylist())
+            starts = pa.array(np.cumsum([0, *map(len, blocks)]), pa.int32())
+            fields = zip(*(x for d in blocks for x in d), strict=True)
+            flat = pa.StructArray.from_arrays([pa.array(v, t.type) for v, t in zip(fields, BLOCK, strict=True)], fields=list(BLOCK))
+            yield pa.RecordBatch.from_arrays([*(b[c][i:j] for c in STORED), pa.ListArray.from_arrays(starts, flat)], [*STORED, "blocks"])
 
-    def run(batches):
-        for b in batches:
-            streams = b["media"].to_pylist()
-            for i, j in common.by_bytes(streams, [len(s) for s in streams], 4 << 20):
-                blocks = decode(streams[i:j])
-                starts = pa.array(np.cumsum([0, *map(len, blocks)]), pa.int32())
-                fields = zip(*(x for d in blocks for x in d), strict=True)
-                flat = pa.StructArray.from_arrays([pa.array(v, t.type) for v, t in zip(fields, BLOCK, strict=True)], fields=list(BLOCK))
-                yield pa.RecordBatch.from_arrays([b[c][i:j] for c in ("doc_id", "n_bytes", "media")] + [pa.ListArray.from_arrays(starts, flat)], ["doc_id", "n_bytes", "media", "blocks"])
 
+def pcm_column(media: DataFrame) -> DataFrame:
+    """media with column blocks: the PCM blocks of the stored stream in order, each with its first sample and the place of its frame."""
     kinds = ", ".join(f"{t.name}: {'binary' if t.name == 'pcm' else 'long'}" for t in BLOCK)
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id long, n_bytes long, media binary, blocks array<struct<{kinds}>>")
+    return media.select(*STORED).mapInArrow(block_batches, f"doc_id long, n_bytes long, media binary, blocks array<struct<{kinds}>>")
 
 
 def pcm_blocks(media: DataFrame) -> DataFrame:
@@ -505,12 +508,15 @@ def features(payload: bytes, kinds: list[int], rice: list[int]) -> str:
     return f"frames={len(kinds)};predictors={'+'.join(used)};rice={min(some, default=0)}-{max(some, default=0)};sum={int(x.sum())};peak={int(x.max())}"
 
 
-def media_digest(blocks: DataFrame) -> DataFrame:
-    """A row of digests and features for each row of pcm_column."""
+def media_digest(media: DataFrame) -> DataFrame:
+    """Reads the stored streams back as PCM blocks: a row of digests and features of the blocks for each.
+
+    The blocks pass from one step to the next inside the task: as a column between two steps they would double what a task holds.
+    """
     kinds = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string()}
 
     def run(batches):
-        for b in batches:
+        for b in block_batches(batches):
             flat, starts = b["blocks"].flatten(), b["blocks"].offsets.to_numpy()
             starts = starts - starts[0]
             pcm, kind, rice = flat.field("pcm"), flat.field("kind").to_pylist(), flat.field("rice").to_pylist()
@@ -521,8 +527,8 @@ def media_digest(blocks: DataFrame) -> DataFrame:
             cols = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["n_bytes"], *(pa.array(c, k) for c, k in zip(cols, kinds.values(), strict=True))], ["doc_id", "n_bytes", *kinds])
 
-    return blocks.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.select(*STORED).mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
-    return media_digest(pcm_column(media_column(common.table(spark, sf_dir, "documents"))))
+    return media_digest(media_column(common.table(spark, sf_dir, "documents")))
