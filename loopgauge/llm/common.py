@@ -82,8 +82,8 @@ def clean(spark: SparkSession, paths: list[str]) -> None:
 HOT = 1000
 
 
-def join_repeated(rows: DataFrame, repeated: DataFrame, key: str) -> DataFrame:
-    """rows joined with repeated (a row for each key, its number of rows in column times); both are stored tables.
+def join_repeated(rows: DataFrame, repeated: DataFrame, key: str | list[str]) -> DataFrame:
+    """rows joined with repeated (a row for each key, its number of rows in column times); repeated is a stored table, and rows one or a few columns made of one.
 
     Hot keys, fewer than HOT by definition, come by broadcast, so their rows stay where they are; the others are dealt by key, and
     none of them fills a task.
@@ -113,25 +113,29 @@ def by_bytes(items: list, sizes: list[int], most: int) -> Iterator[tuple[int, in
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a long, b long): rows (node, component), component the smallest node.
 
-    Min-hooking with pointer jumping; each round is joins and pre-aggregated minima, so a node
-    with very many edges stays split over tasks. Each round's labels are written to the shared folder.
+    Min-hooking with pointer jumping. Each round takes the minimum over a node's neighbours, aggregated before it is joined, and
+    two joins that may meet hot keys: a node with very many edges, and a label that very many nodes carry. Both go through
+    join_repeated(), so the rows of neither meet in a task. Each round's labels are written to the shared folder.
     """
     both = stored(
         edges.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b").union(edges.filter("a <> b").select("b", "a")).distinct(),
         "edges",
     )
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "labels")
+    degrees = stored(both.groupBy(F.col("a").alias("b")).agg(F.count("*").alias("times"), F.min("b").alias("least")), "degrees")
+    labels = stored(degrees.select(F.col("b").alias("node"), F.least("b", "least").alias("label")), "labels")
     while True:
-        at_a, at_b = (labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")) for x in "ab")
-        seen = both.join(at_b, "b").join(at_a, "a").filter("label_b < label_a")
-        offers = seen.select(F.explode(F.array("a", "label_a")).alias("node"), "label_b").groupBy("node").agg(F.min("label_b").alias("offer"))
-        hooked = labels.join(offers, "node", "left").select("node", F.col("label").alias("was"), F.least("label", "offer").alias("label"))
+        near = stored(degrees.select("b", "times").join(labels.withColumnRenamed("node", "b"), "b"), "degree-labels")
+        offer = join_repeated(both, near, "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("offer"))
+        lower = labels.join(offer, "node").filter("offer < label")
+        offers = lower.select(F.explode(F.array("node", "label")).alias("node"), "offer").groupBy("node").agg(F.min("offer").alias("offer"))
+        hooked = stored(labels.join(offers, "node", "left").select("node", F.col("label").alias("was"), F.least("label", "offer").alias("label")), "hooked")
         up = hooked.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        jumped = hooked.join(up, "label", "left").select("node", F.coalesce("up", "label").alias("label"), "was")
+        ups = stored(hooked.groupBy("label").agg(F.count("*").alias("times")).join(up, "label"), "label-ups")
         seen_moves = Observation()
+        jumped = join_repeated(hooked, ups, "label").select("node", F.col("up").alias("label"), "was")
         new = stored(jumped.observe(seen_moves, F.count_if(F.col("label") != F.col("was")).alias("moved")).select("node", "label"), "labels")
-        dropped(labels)
+        dropped(labels, near, hooked, ups)
         labels = new
         if not seen_moves.get.get("moved"):
-            dropped(both)
+            dropped(both, degrees)
             return labels.select("node", F.col("label").alias("component"))

@@ -142,22 +142,23 @@ def _tile_pair(group: pa.Table, words: list[str], radius: int) -> pa.Table:
 def links(points: DataFrame, radius: int, keys: list[Column], words: list[str]) -> DataFrame:
     """Edges (a, b) that span the links among distinct points (fingerprint columns `words`, node long) that agree on any of the keys."""
     keyed = points.select(F.posexplode(F.array(*keys)).alias("c", "key"), *words, "node")
-    sized = keyed.groupBy("c", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = common.stored(keyed.join(sized, ["c", "key"]).withColumn("pop", sum(F.bit_count(w) for w in words)), "tiles")
+    sized = common.stored(keyed.groupBy("c", "key").agg(F.count("*").alias("times")).filter("times > 1"), "tile-sizes")
+    met = common.join_repeated(keyed, sized, ["c", "key"]).withColumnRenamed("times", "n")
+    shared = common.stored(met.withColumn("pop", sum(F.bit_count(w) for w in words)), "tiles")
     small, big = shared.filter(F.col("n") <= TILE), shared.filter(F.col("n") > TILE)
     bins = max(1, math.ceil(small.count() / BIN))
     within = (
         small.select(F.pmod(F.xxhash64("c", "key"), F.lit(bins)).alias("bin"), "c", "key", *words, "node")
         .groupBy("bin").applyInArrow(lambda g: _bins(g, words, radius), "a long, b long")
     )
-    cuts = big.groupBy("c", "key", "pop").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
+    cuts = common.stored(big.groupBy("c", "key", "pop").agg(F.count("*").alias("times")).withColumn("parts", F.ceil(F.col("times") / TILE).cast("int")), "tile-cuts")
     left, other = cuts.alias("l"), cuts.alias("o")
     pairs = left.join(other, (F.col("l.c") == F.col("o.c")) & (F.col("l.key") == F.col("o.key"))).filter(F.abs(F.col("l.pop") - F.col("o.pop")) <= radius)
-    partners = pairs.groupBy(F.col("l.c").alias("c"), F.col("l.key").alias("key"), F.col("l.pop").alias("pop"), F.col("l.parts").alias("parts")).agg(
-        F.collect_list(F.struct(F.col("o.pop").alias("pop"), F.col("o.parts").alias("parts"))).alias("near")
-    )
+    whose = [F.col(f"l.{x}").alias(x) for x in ("c", "key", "pop", "parts", "times")]
+    near = F.collect_list(F.struct(F.col("o.pop").alias("pop"), F.col("o.parts").alias("parts"))).alias("near")  # one for each population count
+    partners = common.stored(pairs.groupBy(*whose).agg(near), "tile-partners")
     mine = F.struct("pop", F.col("part").alias("part"))
-    tiles = big.join(partners, ["c", "key", "pop"]).withColumn("part", F.pmod(F.xxhash64(*words), F.col("parts")).cast("int"))
+    tiles = common.join_repeated(big, partners, ["c", "key", "pop"]).withColumn("part", F.pmod(F.xxhash64(*words), F.col("parts")).cast("int"))
     dealt = (
         tiles.withColumn("o", F.explode("near"))
         .withColumn("o_part", F.explode(F.sequence(F.lit(0), F.col("o.parts") - 1)))
@@ -181,12 +182,12 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFra
     Points are the distinct fingerprints and are named by themselves, so neither repeated nor null ids decide which of them are linked.
     """
     prints = common.stored(fingerprints(docs, width), "fingerprints")
-    points = common.stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "points")
+    points = common.stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("times")), "points")
     found = common.components(links(points.select("fp", F.col("fp").alias("node")), radius, block_keys(radius), ["fp"]))
-    placed = points.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    least = common.stored(placed.groupBy("component").agg(F.min("least").alias("component_id")), "component-ids")
-    named = common.stored(placed.join(least, "component").select("fp", "component_id"), "point-ids")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    placed = common.stored(points.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.col("times").alias("rows"), F.coalesce("component", "fp").alias("component")), "placed")
+    least = common.stored(placed.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("times")), "component-ids")
+    named = common.stored(common.join_repeated(placed, least, "component").select("fp", "component_id", F.col("rows").alias("times")), "point-ids")
+    return common.join_repeated(prints, named, "fp").select("doc_id", "fp", "component_id")
 
 
 #: Near copies share SIMILAR of their distinct shingles of WIDTH words. Wide fingerprints find the candidates: 256 bits, of which such copies
@@ -328,37 +329,37 @@ def verified_links(members: DataFrame) -> DataFrame:
     A group above CHUNK texts is cut by hash. Its chunks are compared inside, then the first texts of what was found there; where the group has
     not become one by then, all texts outside its largest part meet every chunk. So groups of true copies cost one comparison a text, and others are compared whole.
     """
-    sizes = common.stored(members.groupBy("grp").agg(F.count("*").alias("n")).withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int")), "group-sizes")
+    sizes = common.stored(members.groupBy("grp").agg(F.count("*").alias("times")).withColumn("chunks", F.ceil(F.col("times") / CHUNK).cast("int")), "group-sizes")
     cut = lambda chunks: F.pmod(F.xxhash64("node"), chunks).cast("int")
-    dealt = members.join(sizes, "grp").withColumn("chunk", cut(F.col("chunks")))
+    dealt = common.join_repeated(members, sizes, "grp").withColumn("chunk", cut(F.col("chunks")))
     bins = max(1, math.ceil(members.count() / (2 * CHUNK)))
     by_bin = dealt.withColumn("label", F.col("node")).withColumn("bin", F.pmod(F.xxhash64("grp", "chunk"), F.lit(bins)))
     edges = common.stored(by_bin.groupBy("bin").applyInArrow(lambda g: _edges_of(g, ["grp", "chunk"]), "a long, b long"), "verified")
     large = sizes.filter("chunks > 1")
     if not large.limit(1).count():
         return edges
-    rest = common.stored(members.join(large.select("grp", "chunks"), "grp"), "large-groups")
+    rest = common.stored(common.join_repeated(members, large, "grp").drop("times"), "large-groups")
 
     def labelled(edges: DataFrame) -> DataFrame:
         return rest.join(common.components(edges), "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
 
     heads = common.stored(labelled(edges).filter("label = node"), "heads")
-    parts = heads.groupBy("grp").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts"))
-    heads = heads.join(parts, "grp").withColumn("chunk", cut(F.col("parts")))
+    parts = common.stored(heads.groupBy("grp").agg(F.count("*").alias("times")).withColumn("parts", F.ceil(F.col("times") / CHUNK).cast("int")), "head-parts")
+    heads = common.join_repeated(heads, parts, "grp").withColumn("chunk", cut(F.col("parts")))
     more = heads.groupBy("grp", "chunk").applyInArrow(lambda g: _edges_of(g, ["grp", "chunk"]), "a long, b long")
     edges = common.stored(edges.union(more), "verified")
     now = common.stored(labelled(edges), "labelled")
-    counts = now.groupBy("grp", "label").agg(F.count("*").alias("n")).groupBy("grp").agg(F.max_by("label", "n").alias("main"), F.count("*").alias("labels"))
+    outer = F.ceil((F.sum("n") - F.max("n")) / CHUNK).cast("int").alias("outer")  # parts of the texts outside the largest part
+    counts = now.groupBy("grp", "label").agg(F.count("*").alias("n")).groupBy("grp").agg(F.max_by("label", "n").alias("main"), F.count("*").alias("labels"), F.sum("n").alias("times"), outer)
     open_groups = common.stored(counts.filter("labels > 1"), "open-groups")
     if not open_groups.limit(1).count():
         return edges
-    left = now.join(open_groups, "grp").withColumn("chunk", cut(F.col("chunks")))
+    left = common.join_repeated(now, open_groups, "grp").withColumn("chunk", cut(F.col("chunks")))
     outside = left.filter("label <> main")
-    outer = outside.groupBy("grp").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("outer"))
     chunks = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     columns = ["grp", "chunk", "part", "node", "label", *WIDE, "hashes"]
-    here = left.join(outer, "grp").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("outer") - 1))).select(*columns)
-    visitors = outside.withColumnRenamed("chunk", "own").join(outer, "grp").withColumn("part", cut(F.col("outer"))).withColumn("chunk", chunks).filter("chunk <> own").select(*columns)
+    here = left.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("outer") - 1))).select(*columns)
+    visitors = outside.withColumnRenamed("chunk", "own").withColumn("part", cut(F.col("outer"))).withColumn("chunk", chunks).filter("chunk <> own").select(*columns)
     across = here.union(visitors).groupBy("grp", "chunk", "part").applyInArrow(lambda g: _edges_of(g, ["grp", "chunk", "part"]), "a long, b long")
     return common.stored(edges.union(across), "verified")
 
@@ -377,16 +378,16 @@ def near_copies(docs: DataFrame) -> DataFrame:
     keyed = docs.select(F.col("doc_id").cast("long"), "text", row_key().alias("k"))
     prints = common.stored(wide_fingerprints(keyed), "wide-fingerprints")
     at = F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "k")
-    same = prints.groupBy(*SET, *WIDE, *TILE_KEYS).agg(F.min(at).alias("least"), F.min("k").alias("text_key"))
+    same = prints.groupBy(*SET, *WIDE, *TILE_KEYS).agg(F.min(at).alias("least"), F.min("k").alias("text_key"), F.count("*").alias("rows"))
     points = common.stored(same.withColumn("node", F.monotonically_increasing_id()), "wide-points")
     near = common.components(links(points, WIDE_RADIUS, [F.col(k) for k in TILE_KEYS], WIDE))
     wanted = points.join(near, "node").select("text_key", "node", F.col("component").alias("grp"), *SET, *WIDE)
     members = common.stored(shingle_sets(keyed.join(wanted, F.col("k") == F.col("text_key"))), "shingle-sets")
     found = common.components(verified_links(members))
-    placed = points.join(found, "node", "left").select(*SET, "least", F.coalesce("component", "node").alias("component"))
-    least = common.stored(placed.groupBy("component").agg(F.min("least").alias("least")), "component-ids")
-    named = common.stored(placed.drop("least").join(least, "component").select(*SET, "least"), "point-ids")
-    return prints.join(named, SET).select("doc_id", "k", F.col("least.doc_id").alias("component_id"), at.eqNullSafe(F.col("least")).alias("first"))
+    placed = common.stored(points.join(found, "node", "left").select(*SET, "least", "rows", F.coalesce("component", "node").alias("component")), "placed")
+    least = common.stored(placed.groupBy("component").agg(F.min("least").alias("least"), F.count("*").alias("times")), "component-ids")
+    named = common.stored(common.join_repeated(placed.drop("least"), least, "component").select(*SET, "least", F.col("rows").alias("times")), "point-ids")
+    return common.join_repeated(prints, named, SET).select("doc_id", "k", F.col("least.doc_id").alias("component_id"), at.eqNullSafe(F.col("least")).alias("first"))
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
