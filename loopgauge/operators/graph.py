@@ -6,6 +6,7 @@ compared pairwise, and each join's keys are (name) or finer.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, Observation
@@ -17,17 +18,17 @@ from .blocks import is_analyzable, node_id
 EDGE_COLUMNS = ["source", "target", "call_name", "edge_type", "resolved", "state", "confidence", "start_line", "inside_loop_depth", "site", "candidates"]
 
 
+_local: dict[str, str] = {}
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared folder (spark.checkpoint.dir) and read again; checkpoint() to a local folder only where that is unset and all tasks run here."""
-    path = df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir")
+    """df written to the shared folder (spark.checkpoint.dir) and read again; to a local one only where that is unset and all tasks run on this machine."""
+    context = df.sparkSession.sparkContext
+    path = context.getConf().get("spark.checkpoint.dir") or _local.get(context.applicationId)
     if not path:
-        if not df.sparkSession.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        if not df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-            import tempfile
-
-            df.sparkSession.sparkContext.setCheckpointDir(tempfile.mkdtemp())
-        return df.checkpoint()
+        path = _local[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="cut-")
     target = f"{path.rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.parquet(target)
     return df.sparkSession.read.schema(df.schema).parquet(target)
