@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, flac, langid, licenses, linedup, mixing, quality, simhash, suffixdedup, warc
+from . import decontaminate, fim, flac, langid, licenses, linedup, mixing, quality, simhash, suffixdedup, variants, warc
 
 QUERIES = {
     "op1_compression_quality": quality.op1,
@@ -15,9 +15,12 @@ QUERIES = {
     "op8_line_chunk_dedup": linedup.op8,
     "op9_flac_media": flac.op9,
     "op10_simhash_near_dedup": simhash.op10,
+    "op12_fill_in_middle": fim.op12,
+    "op13_spelling_variants": variants.op13,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_warc_normaliser": warc.ORACLE,
     "op7_pfair_mixing": mixing.ORACLE,
+    "op12_fill_in_middle": fim.ORACLE,
 }
