@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fim, flac, langid, licenses, linedup, mixing, quality, simhash, suffixdedup, variants, warc
+from . import decontaminate, digest, fim, flac, langid, licenses, linedup, mixing, quality, simhash, suffixdedup, variants, warc
 
 QUERIES = {
     "op1_compression_quality": quality.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_line_chunk_dedup": linedup.op8,
     "op9_flac_media": flac.op9,
     "op10_simhash_near_dedup": simhash.op10,
+    "op11_improbable_features": digest.op11,
     "op12_fill_in_middle": fim.op12,
     "op13_spelling_variants": variants.op13,
 }
