@@ -305,7 +305,7 @@ def edited(docs: DataFrame, rank_of: np.ndarray, part_bytes: int = PART) -> Data
     here = F.struct(F.col("at.part").alias("part"), F.lit(False).alias("borrowed"))
     before = F.struct(F.pmod(F.col("at.part") - 1, F.lit(max(1, len(heads)))).cast("int").alias("part"), F.lit(True).alias("borrowed"))
     dealt = own.withColumn("to", F.explode(F.when(F.col("at.head"), F.array(here, before)).otherwise(F.array(here)))).select("to.*", "none", "down", "digest", "doc_id", "text", "times")
-    rows = dealt.repartition(n_parts, "part").sortWithinPartitions("part", "borrowed", "none", "down", "digest", "text").select("part", "borrowed", "doc_id", "text", "times")
+    rows = dealt.repartitionById(n_parts, "part").sortWithinPartitions("part", "borrowed", "none", "down", "digest", "text").select("part", "borrowed", "doc_id", "text", "times")
 
     def run(batches):
         each = (r for b in batches for r in zip(*(b[c].to_pylist() for c in ("part", "borrowed", "doc_id", "text", "times")), strict=True))
