@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loopgauge.functions import lattice, patterns, text
 from loopgauge.sources import python_blocks as pb
+from loopgauge.sources import records
 
 ALL = [*lattice.CLASSES, "unknown", "N/A", "container", None]
 
@@ -98,10 +99,55 @@ def test_blocks_of_a_file():
 
 @pytest.mark.parametrize("code, hint", [("for i in range(10): pass", "constant"), ("for i in range(0, 10): pass", "linear"), ("for i in [1, 2]: pass", "constant"), ("for i in xs: pass", "data_dependent"), ("while n:\n  n //= 2", "logarithmic"), ("while n:\n  n -= 1", "linear"), ("while n: f()", "unknown")])
 def test_bound_hints(code, hint):
-    assert pb.bound_hint("while" if code.startswith("while") else "for", code) == hint
+    assert records.bound_hint("while" if code.startswith("while") else "for", code) == hint
 
 
-def test_broken_file_is_one_flagged_block():
+def test_a_broken_file_gives_what_parses():
     (b,) = pb.blocks("x.py", "def f(:\n  go(1)\n")
-    assert b["error_state"] and b["calls"] == ["go"]
+    assert b["error_state"] and b["calls"] == ["go"] and (b["kind"], b["name"]) == ("function", "f")
     assert pb.blocks("x.py", "") == []
+    (b,) = pb.blocks("x.py", "((((")
+    assert b["kind"] == "top_level_executable" and b["error_state"]
+
+
+GOOD = [
+    "import os",
+    "X = '''\ndef not_this(:\n'''",
+    "@deco\nclass A(Base):\n    \"\"\"doc\"\"\"\n    y = 1\n\n    def one(self):\n        for i in range(3):\n            go(i)\n\n    @property\n    def two(self):\n        def deep():\n            return 1\n        return deep()\n\n    class In:\n        def three(self):\n            return 2",
+    "def f(x):\n    while x:\n        x -= 1",
+    "TABLE = [\n1,\n2,\n]",
+    "async def g(a):\n    s = '''\nmulti\n'''\n    return s",
+    "if __name__ == '__main__':\n    f(1)\nelse:\n    f(2)",
+]
+
+
+@given(st.data())
+def test_damage_stays_in_its_function(data):
+    """A line of one function is spoiled: that function and the classes around it are flagged, all other blocks stay as they were."""
+    text = "\n\n".join(GOOD) + "\n"
+    whole = pb.blocks("x.py", text)
+    assert not any(b["error_state"] for b in whole)
+    hit = data.draw(st.sampled_from([b for b in whole if b["kind"] in ("function", "method") and b["name"] != "deep"]))
+    damage = data.draw(st.sampled_from(["((", "= =", "for in", "x = [", "return (1", "def", "\u00a7", "'open"]))
+    lines = text.split("\n")
+    at = data.draw(st.integers(hit["body_start_line"] if hit["name"] != "g" else hit["body_end_line"], hit["body_end_line"])) - 1
+    lines[at] = lines[at][: len(lines[at]) - len(lines[at].lstrip())] + damage
+    got = {b["qualified_name"]: b for b in pb.blocks("x.py", "\n".join(lines))}
+    inside = {"deep"} if hit["name"] == "two" else set()
+    around = {b["qualified_name"] for b in whole if b["kind"] == "class" and b["start_line"] <= hit["start_line"] <= b["end_line"]}
+    for b in whole:
+        name, now = b["qualified_name"], got.get(b["qualified_name"])
+        if name == hit["qualified_name"]:
+            assert now["error_state"] and (now["start_line"], now["kind"]) == (b["start_line"], b["kind"])
+        elif name == "<top-level>" or b["name"] in inside:
+            continue
+        elif name in around:
+            assert now["error_state"] and (now["start_line"], now["end_line"]) == (b["start_line"], b["end_line"])
+        else:
+            assert not now["error_state"] and all(now[k] == b[k] for k in ("start_line", "end_line", "kind", "calls", "loop_count", "source"))
+
+
+@given(st.text(alphabet="def class():\n\t '\"\\#@x=[]é", max_size=200))
+def test_any_text_gives_blocks(code):
+    for b in pb.blocks("x.py", code):
+        assert 1 <= b["start_line"] <= b["end_line"] and 0 <= b["start_byte"] <= b["end_byte"] <= len(code.encode())
