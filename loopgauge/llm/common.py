@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -27,13 +29,24 @@ def shared_dir(spark: SparkSession) -> str:
 _fallback: dict[str, str] = {}
 
 
-_stored: list[str] = []
+_stored: ContextVar[list[str]] = ContextVar("stored", default=[])
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths that stored() writes in this context, and in no other thread's."""
+    paths: list[str] = []
+    token = _stored.set(paths)
+    try:
+        yield paths
+    finally:
+        _stored.reset(token)
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: cuts the lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    _stored.append(path)
+    _stored.get().append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -66,16 +79,10 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(fold(doc_id) == 2, F.lit(False))
 
 
-def stored_since(mark: int = 0) -> list[str]:
-    """Paths that stored() has written, from the mark-th on; len() of an earlier list serves as mark."""
-    return _stored[mark:]
-
-
 def clean(spark: SparkSession, paths: list[str]) -> None:
     """Deletes stored tables. Call it once the results that read them are written."""
     for path in paths:
         remove_path(spark, path)
-    _stored[:] = [p for p in _stored if p not in set(paths)]
 
 
 #: A key is hot from this share of all rows on: one in HOT, so fewer than HOT keys are.

@@ -3,7 +3,8 @@
 A rolling hash over the hashes of WINDOW neighbouring lines is taken at every line. A chunk is a stretch of lines whose windows all
 stand at an earlier place too; it begins and ends where the windows stop repeating, so its boundaries follow the
 content and survive insertions elsewhere. Windows with a repeated hash are compared byte for byte with their first occurrence
-(smallest doc_id, then place) and go where they are equal to it; stretches of blank lines between removed lines go too.
+(smallest doc_id, then place) and go where they are equal to it, but for lines that are part of another window's first occurrence: each window
+that is cut anywhere stands whole in the result. Stretches of blank lines between removed lines go too.
 
 Only hashes are gathered for all windows; texts meet only for windows with a repeated hash. Windows that hold over one in common.HOT
 of all rows are joined by broadcast, and compared with their first occurrence in several tasks.
@@ -105,16 +106,19 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     keepers = texts.filter("keeper").dropDuplicates(["h"]).select("h", F.col("data").alias("kept"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     others = texts.filter("NOT keeper").withColumn("salt", F.pmod(F.xxhash64("k", "first"), F.col("salts")).cast("int"))
     equal = others.join(keepers, ["h", "salt"]).filter("data = kept")
-    gone = equal.groupBy("doc_id", "k").agg(F.collect_set("first").alias("gone"))
-    joined = keyed.alias("d").join(gone.alias("g"), _same_row("d", "g"), "left").select("d.*", "g.gone")
+    # the first occurrence of a repeated window stays whole, whatever else its lines belong to
+    needed = by_doc.select("doc_id", "k", F.explode(F.filter("found", lambda f: f["keeper"])).alias("f")).select("doc_id", "k", F.col("f.first").alias("kept"))
+    marks = equal.select("doc_id", "k", F.col("first").alias("gone")).unionByName(needed, allowMissingColumns=True)
+    gone = marks.groupBy("doc_id", "k").agg(F.collect_set("gone").alias("gone"), F.collect_set("kept").alias("kept")).filter(F.size("gone") > 0)
+    joined = keyed.alias("d").join(gone.alias("g"), _same_row("d", "g"), "left").select("d.*", "g.gone", "g.kept")
 
     def cut(batches):
         for b in batches:
             texts, total, removed = [], [], []
-            for text, parts in zip(b["text"].to_pylist(), b["gone"].to_pylist(), strict=True):
+            for text, parts, needed in zip(b["text"].to_pylist(), b["gone"].to_pylist(), b["kept"].to_pylist(), strict=True):
                 lines = text.split("\n") if text else []
                 total.append(len(lines))
-                drop = {i for p in parts or [] for i in range(p, p + WINDOW)}
+                drop = {i for p in parts or [] for i in range(p, p + WINDOW)} - {i for p in needed or [] for i in range(p, p + WINDOW)}
                 drop |= _blank_between(lines, drop)
                 removed.append(len(drop))
                 texts.append("\n".join(x for i, x in enumerate(lines) if i not in drop) if drop else text)

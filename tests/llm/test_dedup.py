@@ -15,16 +15,23 @@ from loopgauge.llm import common, decontaminate, linedup, suffixdedup
 
 
 def plain_lines(rows):
-    """Pairs of neighbouring lines seen before, in order of (id, place), are cut, and blank lines between cut ones."""
-    seen, out = set(), {}
-    for doc, text in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0)):
+    """Pairs of neighbouring lines seen before, in order of (id, place), are cut but for lines of a pair's first place, and blank lines between cut ones."""
+    places, out = collections.defaultdict(list), {}
+    rows = sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0))
+    for n, (_, text) in enumerate(rows):
         lines = text.split("\n") if text else []
-        gone = set()
         for i in range(len(lines) - 1):
-            pair = (lines[i], lines[i + 1])
-            if "".join(pair).strip():
-                gone |= {i, i + 1} if pair in seen else set()
-                seen.add(pair)
+            if (lines[i] + lines[i + 1]).strip():
+                places[lines[i], lines[i + 1]].append((n, i))
+    drop, keep = collections.defaultdict(set), collections.defaultdict(set)
+    for at in places.values():
+        if len(at) > 1:
+            keep[at[0][0]] |= {at[0][1], at[0][1] + 1}
+        for n, i in at[1:]:
+            drop[n] |= {i, i + 1}
+    for n, (doc, text) in enumerate(rows):
+        lines = text.split("\n") if text else []
+        gone = drop[n] - keep[n]
         marks = "".join("x" if i in gone else " " if not x.strip() else "o" for i, x in enumerate(lines))
         gone |= {i for m in re.finditer("(?<=x) +(?=x)", marks) for i in range(*m.span())}
         out[doc, text] = (len(lines), len(gone), text if not gone else "\n".join(x for i, x in enumerate(lines) if i not in gone))
@@ -75,7 +82,7 @@ def test_a_very_common_chunk_is_dealt_to_many_tasks(spark):
 
 
 def plain_runs(rows):
-    """Lines inside a run of two or more lines (not all blank) that stands at an earlier place, by comparing all pairs of places."""
+    """Lines inside a run of two or more lines (not all blank) that stands at an earlier place, by comparing all pairs of places; first places of repeated pairs stay."""
     at = [(k, i) for k, (_, t) in enumerate(rows) for i in range(t.count("\n") + 1)]
     lines = [t.split("\n") for _, t in rows]
     gone = [set() for _ in rows]
@@ -86,6 +93,14 @@ def plain_runs(rows):
                 n += 1
             if n >= 2 and "".join(lines[k][i : i + n]).strip():
                 gone[k] |= set(range(i, i + n))
+    first, again = {}, set()
+    for k, i in at:
+        pair = tuple(lines[k][i : i + 2])
+        if len(pair) == 2 and "".join(pair).strip():
+            again |= {pair} if first.setdefault(pair, (k, i)) != (k, i) else set()
+    for pair in again:
+        k, i = first[pair]
+        gone[k] -= {i, i + 1}
     return {doc: (len(gone[k]), "\n".join(x for i, x in enumerate(lines[k]) if i not in gone[k])) for k, (doc, _) in enumerate(rows)}
 
 
@@ -109,6 +124,17 @@ def test_pipeline_cuts_repeated_runs_whole(spark):
     assert stage == {i: (t, len(t)) for i, (n, t) in want.items() if t.strip()} and 90 not in stage
 
 
+def test_what_is_cut_stands_elsewhere(spark):
+    rng, rows = random.Random(3), [(1, "alpha one\nbeta two"), (2, "alpha one\nbeta two\ngamma three"), (3, "beta two\ngamma three")]
+    rows += [(i, "\n".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 7)))) for i in range(10, 60)]
+    found = linedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.doc_id: (r.n_removed, r.text) for r in found.collect()}
+    assert got[2] == (1, "beta two\ngamma three") and got[3] == (2, "") and sum(n for n, _ in got.values()) > 30
+    pairs = lambda texts: collections.Counter(p for t in texts for p in zip(t.split("\n"), t.split("\n")[1:], strict=False))
+    repeated = {p for p, n in pairs(t for _, t in rows).items() if n > 1}
+    assert len(repeated) > 40 and repeated <= set(pairs(t for _, t in got.values()))
+
+
 def plain_suffixes(rows):
     counts, out = collections.Counter(), []
     data = [(i, (t or "").encode()) for i, t in rows]

@@ -2,6 +2,7 @@ import collections
 import subprocess
 import sys
 import zlib
+from concurrent.futures import ThreadPoolExecutor
 
 import duckdb
 import numpy as np
@@ -37,6 +38,26 @@ def test_stages_take_odd_and_empty_rows(spark, sf, odd, empty):
             assert len(got) <= rows.count() and all(r.found == r.block == r.score == r.k == "clash" for r in got if rows is odd)
 
 
+def test_repeated_and_missing_ids_and_clashing_names(spark, sf):
+    bad = common.table(spark, sf, "benchmark").first().text
+    own = lambda i: " ".join(f"{w}{i}" for w in "some words of a document that is unlike all others here".split())
+    rows = [(1, own(1)), (1, bad + " " + own(2)), (None, bad + " " + own(3)), (None, own(4)), (5, own(5) + "\nshared line one\nshared line two"), (6, own(6) + "\nshared line one\nshared line two")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 77, 88) for i, t in rows], "doc_id long, text string, lang string, source string, n_removed long, n_lines long")
+    left = corpus_pipeline.decontamination(spark, docs, sf)
+    assert left.columns == docs.columns and sorted((r.text for r in left.collect())) == sorted(t for _, t in rows if bad not in t)
+    cut = corpus_pipeline.line_dedup(spark, docs, sf)  # a table without n_chars
+    assert cut.columns == docs.columns and {(r.n_removed, r.n_lines) for r in cut.collect()} == {(77, 88)} and cut.filter("doc_id = 6").first().text == own(6)
+    kept = corpus_pipeline.near_dedup(spark, left.union(left.filter("doc_id = 1")), sf)
+    assert sorted(r.text for r in kept.collect()) == sorted([own(1), *(t for _, t in rows if bad not in t)])  # rows that repeat id and text are one document
+    assert corpus_pipeline.language_id(spark, docs, sf).count() == len(rows)
+
+
+def test_two_runs_side_by_side(spark, sf):
+    with ThreadPoolExecutor(2) as pool:
+        a, b = pool.map(lambda _: sorted(r.doc_id for r in corpus_pipeline.run(spark, sf).collect()), range(2))
+    assert a == b and a
+
+
 def test_run_equals_its_stages(spark, sf):
     first = corpus_pipeline.run(spark, sf).collect()
     assert sorted(r.doc_id for r in first) == sorted(r.doc_id for r in corpus_pipeline.run(spark, sf).collect())
@@ -63,7 +84,7 @@ def plain_languages(rows):
     for r, v in zip(rows, profiles):
         if norm := np.linalg.norm(v):
             best = max(v @ p / norm / np.linalg.norm(p) for p in sums.values())
-            if best >= corpus_pipeline.LEAST or len(r[1]) <= corpus_pipeline.LONG:
+            if max(0.0, best) >= corpus_pipeline.LEAST - corpus_pipeline.DEVIATIONS / len(r[1]) ** 0.5:
                 kept.append(r)
     return kept
 
