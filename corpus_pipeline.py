@@ -4,7 +4,8 @@ Language ID drops what has no language, line dedup cuts repeated runs of lines,
 of near copies, decontamination drops documents that hold benchmark passages, and mixing gives the rest their places.
 
 Every stage keeps rows with null ids or texts unless its rule names them; see the operators' docstrings for empty tables, ties and
-repeated rows. Rows that repeat an id stay or go together.
+repeated rows. Documents are told apart by id and text: rows that repeat both stay or go together, while of rows that repeat an id alone
+each is judged by its text. Other columns pass unchanged, whatever their names; n_chars is renewed where there is one.
 """
 
 from __future__ import annotations
@@ -16,23 +17,25 @@ from pyspark.sql import functions as F
 
 from loopgauge.llm import common, decontaminate, langid, linedup, mixing, simhash
 
-#: Texts of more than LONG characters whose cosine with every language is below LEAST are no language.
-LEAST, LONG = 0.1, 200
+#: A text is no language if its cosine with every one is below LEAST, less DEVIATIONS of a cosine of that many characters: short texts vary more.
+LEAST, DEVIATIONS = 0.1, 3.0
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter, and long ones that resemble no language."""
+    """Drops documents without a letter, and those that resemble no language by more than their length explains."""
     rest = F.struct(*[c for c in docs.columns if c != "text"])  # so that no column's name can clash with the result's
     found = langid.identified(docs.select("doc_id", "text", "lang", rest.alias("row")))
-    rejected = (F.col("lang_pred") == langid.UNKNOWN) | ((F.col("score") < LEAST) & (F.length("text") > LONG))
-    return found.filter(~rejected).select(*["text" if c == "text" else f"row.{c}" for c in docs.columns])
+    least = LEAST - DEVIATIONS / F.sqrt(F.greatest(F.length("text"), F.lit(1)))  # at 900 characters 0, at 10,000 0.07
+    rejected = (F.col("lang_pred") == langid.UNKNOWN) | (F.col("score") < least)
+    return found.filter(~F.coalesce(rejected, F.lit(False))).select(*["text" if c == "text" else f"row.{c}" for c in docs.columns])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts repeated runs of two or more lines; documents of which nothing stays are copies and go."""
-    found = linedup.deduplicated(docs)
-    kept = found.filter((F.col("n_removed") == 0) | (F.trim("text") != ""))  # n_removed is the operator's: it replaces a column of that name
-    return kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(*docs.columns)
+    found = linedup.deduplicated(docs.select("doc_id", "text", F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("row")))
+    kept = found.filter((F.col("n_removed") == 0) | (F.trim("text") != ""))
+    renewed = lambda c: F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col(f"row.{c}")).cast(docs.schema[c].dataType).alias(c)
+    return kept.select(*["text" if c == "text" else renewed(c) if c == "n_chars" else f"row.{c}" for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +49,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in which a benchmark passage was found."""
-    found = decontaminate.contaminated(docs, common.table(spark, sf_dir, "benchmark"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    keyed = docs.select(F.struct("*").alias("row"), F.xxhash64("doc_id", "text").alias("doc_id"), "text")
+    found = decontaminate.contaminated(keyed.select("doc_id", "text"), common.table(spark, sf_dir, "benchmark"))
+    return keyed.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select("row.*")
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,9 +75,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents; the last one's rows."""
     docs, before = common.table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        mark, path = len(common.stored_since()), f"{common.shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        path = f"{common.shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
+        with common.recorded() as stored:
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
-        common.clean(spark, [*before, *common.stored_since(mark)])  # the last stage's rows, and what this one stored on its way
+        common.clean(spark, [*before, *stored])  # the last stage's rows, and what this one stored on its way
         before = [path]
     return docs
