@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 #: Limits of excerpts and recommendations.
 EXCERPT_LINES, RECOMMENDATION_LINES, RECOMMENDATION_CHARS, SIMILAR_FROM = 80, 45, 180, 40
@@ -80,3 +81,21 @@ def regex_calls(code: Column, keywords: list[str]) -> Column:
     body = F.when(F.size(parts) > 1, F.array_join(F.slice(parts, F.lit(2), F.greatest(F.lit(0), F.size(parts) - 1)), "\n")).otherwise(code)
     found = F.regexp_extract_all(body, F.lit(r"(?:^|[^\p{L}\p{N}_])([A-Za-z_][A-Za-z0-9_]*)[ \t\r\n]*\("), F.lit(1))
     return F.filter(found, lambda x: ~x.isin(*keywords))
+
+
+def canonical(value: Column, kind: DataType) -> Column:
+    """A value as JSON whose objects have sorted names and keep nulls, whatever the order of a struct's fields: equal content, equal text."""
+    if isinstance(kind, StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        inner = [F.concat(F.lit(f'{"," if i else ""}"{f.name}":'), canonical(value.getField(f.name), f.dataType)) for i, f in enumerate(fields)]
+        text = F.concat(F.lit("{"), *inner, F.lit("}"))
+    elif isinstance(kind, ArrayType):
+        text = F.concat(F.lit("["), F.array_join(F.transform(value, lambda x: canonical(x, kind.elementType)), ","), F.lit("]"))
+    elif isinstance(kind, MapType):
+        pairs = F.transform(F.map_entries(value), lambda e: F.concat(canonical(e["key"], kind.keyType), F.lit(":"), canonical(e["value"], kind.valueType)))
+        text = F.concat(F.lit("{"), F.array_join(F.array_sort(pairs), ","), F.lit("}"))
+    elif isinstance(kind, StringType):
+        text = F.regexp_replace(F.to_json(F.array(value)), r"^\[|\]$", "")
+    else:
+        text = value.cast("string")
+    return F.when(value.isNull(), "null").otherwise(text)

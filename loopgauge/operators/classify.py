@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -133,32 +135,110 @@ def merge(local: DataFrame) -> DataFrame:
 RESULT = ["node", "complexity", "confidence", "needs_review", "rule", "flags"]
 
 
-def analyse(blocks: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+def skipped(blocks: DataFrame) -> DataFrame:
+    """Results of blocks that are not analysed."""
+    return blocks.filter(~is_analyzable()).select(node_id().alias("node"), F.lit("N/A").alias("complexity"), F.lit("high").alias("confidence"), F.lit(False).alias("needs_review"), F.lit("container").alias("rule"), F.expr(_NONE).alias("flags"), F.lit("none").alias("analyzer_kind"))
+
+
+@dataclass
+class Graph:
+    """What the analysis of a project starts from: facts of each analysable block, the calls that results flow along, and their (source, target)."""
+
+    facts: DataFrame
+    calls: DataFrame
+    flow: DataFrame
+
+    @classmethod
+    def of(cls, blocks: DataFrame, edges: DataFrame) -> Graph:
+        edges = graph.cut(edges)
+        cycles = graph.cut(graph.strongly_connected(edges.filter("edge_type = 'CALLS' AND resolved")))
+        facts = graph.cut(features(blocks, edges, cycles).dropDuplicates(["node"]))
+        flow = graph.flow_of(blocks, edges, cycles)
+        return cls(facts, graph.cut(edges.filter("edge_type = 'CALLS'").join(flow, ["source", "target"], "left_semi")), flow)
+
+
+def evaluate(now: DataFrame, calls: DataFrame, known: DataFrame | None) -> DataFrame:
+    """RESULT of facts `now`, given the results (node, complexity) of the blocks they call."""
+    if known is None:
+        costs = now.select("node", F.lit(0).alias("project_calls"), F.lit(None).cast("string").alias("callee_max"), F.lit(False).alias("no_product"), F.lit(False).alias("has_while"))
+    else:
+        costs = call_costs(now, calls.join(now.select(F.col("node").alias("source")), "source", "left_semi"), known)
+    return merge(local_rules(now.join(costs, "node", "left"), F.col("project_calls")))
+
+
+def settled(done: DataFrame, sent: list[str]) -> DataFrame:
+    """Rows of evaluate() in a run that leaves nothing open: uncertain blocks get a conservative class, which their callers see, but for those that are sent to an estimator."""
+    falls = needs_scoring() & ~F.col("node").isin(sent)
+    return done.select(
+        "node", F.when(falls, conservative(done)).otherwise(F.col("complexity")).alias("complexity"), F.when(falls, "low").otherwise(F.col("confidence")).alias("confidence"),
+        (F.col("needs_review") | needs_scoring()).alias("needs_review"), "rule", "flags", F.when(falls, "llm_error").otherwise("rule").alias("analyzer_kind"),
+    )
+
+
+class Run:
+    """Results of a graph, level by level: callees before callers.
+
+    fallback: uncertain blocks get a conservative class at once, and callers see it; the first `budget` of them in processing order (level, then place in the source)
+    keep the rules' class and are left in `sent` for an estimator. old: results of the last run of the same nodes; those that are `usable` are taken.
+    Then only blocks without a usable one and the callers of blocks whose class is not what it was are computed.
+    """
+
+    def __init__(self, found: Graph, fallback: bool = False, budget: int = 0, old: DataFrame | None = None):
+        self.found, self.fallback, self.budget, self.sent, self.computed = found, fallback, budget, [], 0
+        self.old = self.before = None
+        if old is not None:
+            before = graph.cut(old.select(*RESULT, "analyzer_kind", "usable").dropDuplicates(["node"]))
+            self.old, self.before = before.filter("usable").drop("usable"), before.select("node", F.col("complexity").alias("was"), F.lit(True).alias("known"))
+
+    def results(self) -> DataFrame:
+        facts, flow = self.found.facts, self.found.flow
+        nodes = facts.select("node")
+        changed = nodes
+        if self.old is not None:
+            changed = graph.cut(nodes.join(self.old, "node", "left_anti"))
+            nodes = graph.upward(flow, changed)  # no other block can get another class
+        levels = graph.levels_of(nodes, flow)
+        known = graph.Growing(facts.sparkSession)
+        if self.old is not None:
+            known.add(self.old.join(nodes, "node", "left_anti"))
+        for (level,) in levels.select("level").distinct().orderBy("level").collect():  # as many as the longest chain of calls among them
+            here = levels.filter(F.col("level") == level).select("node")
+            todo = here
+            if self.old is not None:
+                told = flow.join(self._other(known), "target", "left_semi").select(F.col("source").alias("node")) if known.parts else changed
+                todo = graph.cut(here.join(changed.unionByName(told), "node", "left_semi"))
+                known.add(self.old.join(here.join(todo, "node", "left_anti"), "node", "left_semi"))
+            known.add(self._level(facts.join(todo, "node", "left_semi"), known.read()))
+        return known.read()
+
+    def _other(self, known: graph.Growing) -> DataFrame:
+        """(target): blocks whose class is not what it was, or was not known."""
+        now = known.read().select("node", "complexity").join(self.before, "node", "left")
+        return now.filter(~(F.coalesce("known", F.lit(False)) & F.col("complexity").eqNullSafe(F.col("was")))).select(F.col("node").alias("target"))
+
+    def _level(self, now: DataFrame, known: DataFrame) -> DataFrame:
+        seen = Observation()
+        done = graph.cut(evaluate(now, self.found.calls, known).observe(seen, F.count("*").alias("n")))
+        self.computed += seen.get["n"]
+        if not self.fallback:
+            return done.select(*RESULT, F.lit("rule").alias("analyzer_kind"))
+        left = self.budget - len(self.sent)
+        now_sent = [r.node for r in done.filter(needs_scoring()).orderBy("file_path", "ordinal").limit(left).select("node").collect()] if left > 0 else []
+        self.sent += now_sent
+        return settled(done, now_sent)
+
+
+def analyse(blocks: DataFrame, edges: DataFrame | None = None, fallback: bool = False) -> DataFrame:
     """Results (node, complexity, confidence, needs_review, rule, flags, analyzer_kind) of all blocks; containers get N/A.
 
     With edges, callees are done before callers, a level of the call graph at a time; each level is a few joins.
     """
-    kinds = lambda df, k: df.select(*RESULT, F.lit(k).alias("analyzer_kind"))
-    skipped = blocks.filter(~is_analyzable()).select(node_id().alias("node"), F.lit("N/A").alias("complexity"), F.lit("high").alias("confidence"), F.lit(False).alias("needs_review"), F.lit("container").alias("rule"), F.expr(_NONE).alias("flags"), F.lit("none").alias("analyzer_kind"))
     if edges is None:
-        return kinds(local_rules(features(blocks)), "rule").unionByName(skipped)
-    edges = graph.cut(edges)
-    cycles = graph.strongly_connected(edges.filter("edge_type = 'CALLS' AND resolved"))
-    facts = graph.cut(features(blocks, edges, cycles).dropDuplicates(["node"]))
-    levels, flow = graph.processing_levels(blocks, edges)
-    usable = graph.cut(edges.filter("edge_type = 'CALLS'").join(flow, ["source", "target"], "left_semi"))
-    known = None
-    for (level,) in levels.select("level").distinct().orderBy("level").collect():  # as many as the longest chain of calls
-        now = facts.join(levels.filter(F.col("level") == level).select("node"), "node", "left_semi")
-        if known is None:
-            costs = now.select("node", F.lit(0).alias("project_calls"), F.lit(None).cast("string").alias("callee_max"), F.lit(False).alias("no_product"), F.lit(False).alias("has_while"))
-        else:
-            costs = call_costs(now, usable.join(now.select(F.col("node").alias("source")), "source", "left_semi"), known)
-        done = graph.cut(merge(local_rules(now.join(costs, "node", "left"), F.col("project_calls"))).select(*RESULT))
-        known = done if known is None else known.unionByName(done)  # each level is written once
-    if known is None:
-        return skipped
-    return kinds(known, "rule").unionByName(skipped)
+        done = local_rules(features(blocks))
+        rows = settled(done, []) if fallback else done.select(*RESULT, F.lit("rule").alias("analyzer_kind"))
+    else:
+        rows = Run(Graph.of(blocks, edges), fallback).results()
+    return rows.unionByName(skipped(blocks))
 
 
 def short_label() -> Column:

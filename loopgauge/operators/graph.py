@@ -21,19 +21,40 @@ EDGE_COLUMNS = ["source", "target", "call_name", "edge_type", "resolved", "state
 _local: dict[str, str] = {}
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared folder (spark.checkpoint.dir) and read again; to a local one only where that is unset and all tasks run on this machine."""
-    context = df.sparkSession.sparkContext
+def shared_path(spark) -> str:
+    """The folder in spark.checkpoint.dir; a local one only where that is unset and all tasks run on this machine."""
+    context = spark.sparkContext
     path = context.getConf().get("spark.checkpoint.dir") or _local.get(context.applicationId)
     if not path:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = _local[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="cut-")
-    target = f"{path.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    return path.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again."""
+    target = f"{shared_path(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(target)
     return df.sparkSession.read.schema(df.schema).parquet(target)
 
 
+class Growing:
+    """A table that parts are added to, in one folder of the shared storage: however many there are, it is read as one."""
+
+    def __init__(self, spark):
+        self.spark, self.path, self.schema, self.parts = spark, f"{shared_path(spark)}/growing-{uuid.uuid4().hex}", None, 0
+
+    def add(self, rows: DataFrame) -> None:
+        self.schema = self.schema or rows.schema
+        rows.write.parquet(f"{self.path}/part={self.parts}")
+        self.parts += 1
+
+    def read(self) -> DataFrame | None:
+        """All parts; none before the first."""
+        return self.spark.read.schema(self.schema).option("recursiveFileLookup", "true").parquet(self.path) if self.parts else None
+
+
 def module_name(path: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")
 
@@ -196,6 +217,38 @@ def spread(edges: DataFrame, values: DataFrame) -> DataFrame:
             return values
 
 
+def upward(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(node): seeds and all nodes that reach one along edges (source, target); each round goes on from the nodes that the last one added."""
+    reached = fresh = cut(seeds.select("node").distinct())
+    while True:
+        more = edges.join(fresh.withColumnRenamed("node", "target"), "target", "left_semi").select(F.col("source").alias("node")).distinct()
+        fresh = cut(more.join(reached, "node", "left_anti"))
+        if fresh.isEmpty():
+            return reached
+        reached = cut(reached.unionByName(fresh))
+
+
+def flow_of(blocks: DataFrame, edges: DataFrame, cycles: DataFrame) -> DataFrame:
+    """(source, target) that a result can flow along, without cycles. Blocks on cycles (node) or above them are handled in source order, so among
+    them only callees that come earlier count."""
+    nodes = cut(blocks.filter(is_analyzable()).select(node_id().alias("node"), F.struct("file_path", "ordinal").alias("pos")).groupBy("node").agg(F.min("pos").alias("pos")))
+    calls = edges.filter("edge_type = 'CALLS' AND resolved AND target IS NOT NULL").select("source", "target").distinct()
+    calls = cut(calls.join(nodes.select(F.col("node").alias("source")), "source", "left_semi").join(nodes.select(F.col("node").alias("target")), "target", "left_semi"))
+    stuck = upward(calls, cycles)
+    if stuck.isEmpty():
+        return calls
+    late = nodes.join(stuck, "node")
+    a, b = (late.select(F.col("node").alias(x), F.col("pos").alias(p)) for x, p in (("source", "ps"), ("target", "pt")))
+    backward = calls.join(a, "source").join(b, "target").filter("pt >= ps").select("source", "target")
+    return cut(calls.join(backward, ["source", "target"], "left_anti"))
+
+
+def levels_of(nodes: DataFrame, flow: DataFrame) -> DataFrame:
+    """(node, level) of nodes, callees before callers, by edges (source, target) without cycles between them."""
+    inner = flow.join(nodes.select(F.col("node").alias("source")), "source", "left_semi").join(nodes.select(F.col("node").alias("target")), "target", "left_semi")
+    return _levels(nodes.select("node"), cut(inner), 0)[0]
+
+
 def processing_levels(blocks: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(levels, deps). levels: (node, level), callees before callers. deps: (source, target) that a result can flow along.
 

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import queue
+import threading
+import time
+from collections import deque
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
@@ -13,8 +17,8 @@ from pyspark.sql import functions as F
 from ..functions import lattice, text
 from .classify import conservative, needs_scoring
 
-#: Blocks that are scored in a run.
-MAX_BLOCKS = 32
+#: Blocks that are scored in a run, requests at a time, and seconds for each.
+MAX_BLOCKS, WORKERS, DEADLINE = 32, 4, 12.0
 
 
 class Estimator(Protocol):
@@ -52,8 +56,42 @@ def compact(uncertain: DataFrame) -> DataFrame:
     return uncertain.select("node", F.to_json(F.struct("name", "kind", "complexity", text.excerpt(F.col("source"), text.RECOMMENDATION_LINES).alias("source"), facts.alias("features"))).alias("payload"))
 
 
-def score(uncertain: DataFrame, estimator: Estimator | None = None, budget: int = MAX_BLOCKS) -> DataFrame:
-    """(node, complexity, confidence, needs_review, analyzer_kind): the first `budget` uncertain blocks in source order go to the estimator, all others fall back."""
+def failure(reason: str) -> str:
+    return json.dumps({"error": reason})
+
+
+def asked(estimator: Estimator, payloads: list[str], workers: int = WORKERS, deadline: float = DEADLINE, answered: Callable[[], None] = lambda: None) -> list[str]:
+    """Replies in the payloads' order: up to `workers` requests at a time, each given up after `deadline` seconds; a request that fails or is given up costs no other."""
+    replies, waiting, running, came = [failure("none")] * len(payloads), deque(range(len(payloads))), {}, queue.SimpleQueue()
+
+    def ask(i: int) -> None:
+        try:
+            came.put((i, estimator.estimate(payloads[i])))
+        except Exception as e:  # an estimator's failure is a result, not an end of the job
+            came.put((i, failure(str(e))))
+
+    while waiting or running:
+        while waiting and len(running) < workers:
+            i = waiting.popleft()
+            running[i] = time.monotonic() + deadline
+            threading.Thread(target=ask, args=(i,), daemon=True).start()
+        try:
+            i, reply = came.get(timeout=max(0.0, min(running.values()) - time.monotonic()))
+            done = {i: reply} if i in running else {}  # a late reply to a request that was given up
+        except queue.Empty:
+            done = {i: failure("deadline") for i, t in running.items() if t <= time.monotonic()}
+        for i, reply in done.items():
+            replies[i] = reply
+            del running[i]
+            answered()
+    return replies
+
+
+def score(uncertain: DataFrame, estimator: Estimator | None = None, budget: int = MAX_BLOCKS, workers: int = WORKERS, deadline: float = DEADLINE, progress=None) -> DataFrame:
+    """(node, complexity, confidence, needs_review, analyzer_kind): the first `budget` uncertain blocks in source order go to the estimator, all others fall back.
+
+    progress: an accumulator that counts the blocks answered or given up, visible on the driver as tasks end.
+    """
     estimator = estimator or Offline()
     todo = uncertain.filter(needs_scoring())
     chosen = todo.orderBy("file_path", "ordinal").limit(budget).select("node", F.lit(True).alias("sent"))
@@ -62,13 +100,10 @@ def score(uncertain: DataFrame, estimator: Estimator | None = None, budget: int
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ready = estimator.is_available()
         for frame in frames:
-            replies = []
-            for payload, sent in zip(frame["payload"], frame["sent"], strict=True):
-                try:
-                    replies.append(estimator.estimate(payload) if ready and sent else None)
-                except Exception as e:  # an estimator's failure is a result, not an end of the job
-                    replies.append(json.dumps({"error": str(e)}))
-            yield frame[["node", "fallback"]].assign(reply=replies)
+            reply = pd.Series([None] * len(frame), dtype=object, index=frame.index)
+            if ready and frame["sent"].any():
+                reply[frame["sent"]] = asked(estimator, frame.loc[frame["sent"], "payload"].tolist(), workers, deadline, (lambda: progress.add(1)) if progress is not None else lambda: None)
+            yield frame[["node", "fallback"]].assign(reply=reply)
 
     said = rows.mapInPandas(run, "node string, fallback string, reply string").withColumn("object", text.json_object(F.col("reply")))
     got = said.withColumn("label", lattice.normalise(F.coalesce(F.get_json_object("object", "$.complexity"), F.lit("")))).withColumn("ok", lattice.is_ranked("label"))

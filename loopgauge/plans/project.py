@@ -11,7 +11,11 @@ from ..operators import classify, graph, scoring
 from ..operators.blocks import is_analyzable, node_id
 from ..sources import files as sources
 from ..sources.python_blocks import extract
-from ..sources.store import Store
+from ..sources.store import Store, result_keys
+
+
+#: What keys of cached results depend on besides the block: a change of the rules makes all of them anew.
+VERSIONS = [classify.RULES_VERSION, "analysis-1", "prompt-1"]
 
 
 @dataclass
@@ -19,6 +23,8 @@ class Analysis:
     blocks: DataFrame
     edges: DataFrame
     results: DataFrame
+    computed: int | None = None  # blocks whose result was not taken from a store, where results flow along a graph
+    scored: int = 0  # blocks that went to an estimator
 
     def graph(self) -> DataFrame:
         """All edges: calls, containment and imports."""
@@ -34,17 +40,36 @@ class Analysis:
         return self.blocks.withColumn("node", node_id()).join(self.results, "node", "left")
 
 
-def analyse_files(files: DataFrame, with_graph: bool = True, estimator: scoring.Estimator | None = None, budget: int = scoring.MAX_BLOCKS, rescore: bool = False) -> Analysis:
-    """Analyses files (file_path, language, content). rescore: uncertain blocks go to the estimator or get a conservative class."""
+def analyse_files(
+    files: DataFrame, with_graph: bool = True, estimator: scoring.Estimator | None = None, budget: int = scoring.MAX_BLOCKS, rescore: bool = False, store: Store | None = None, model: str = "",
+) -> Analysis:
+    """Analyses files (file_path, language, content).
+
+    rescore: uncertain blocks get a conservative class that their callers see; the first `budget` of them in processing order go to the estimator,
+    if there is one, once all others are done. store: results of unchanged blocks come from there, those of this run go there, and
+    those of blocks that are gone leave it.
+    """
     blocks = graph.cut(extract(files))
     edges = graph.cut(graph.resolve(blocks))
-    results = classify.analyse(blocks, edges if with_graph else None)
-    if rescore:
-        facts = classify.features(blocks, edges if with_graph else None).join(results.drop("analyzer_kind"), "node")
-        better = graph.cut(scoring.score(facts, estimator, budget))
-        left = results.join(better.select("node"), "node", "left_anti")
-        results = left.unionByName(better.join(results.select("node", "rule", "flags"), "node").select(left.columns))
-    return Analysis(blocks, edges, results)
+    if not with_graph:
+        return Analysis(blocks, edges, classify.analyse(blocks, None, rescore))
+    found = classify.Graph.of(blocks, edges)
+    keys = graph.cut(result_keys(found.facts, found.calls, [*VERSIONS, f"fallback={rescore}"], model)) if store is not None else None
+    ready = rescore and estimator is not None and estimator.is_available()
+    run = classify.Run(found, rescore, budget if ready else 0, store.stored_results(keys) if store is not None else None)
+    results = run.results()
+    if results is None:
+        return Analysis(blocks, edges, classify.skipped(blocks), 0)
+    if run.sent:
+        sent = found.facts.filter(F.col("node").isin(run.sent))
+        better = graph.cut(scoring.score(sent.join(results.drop("analyzer_kind"), "node"), estimator, len(run.sent)))
+        results = results.join(better.select("node"), "node", "left_anti").unionByName(better.join(results.select("node", "rule", "flags"), "node"), allowMissingColumns=True)
+    results = graph.cut(results)
+    if store is not None:
+        kept = results.join(keys, "node").withColumn("created_at", F.unix_micros(F.current_timestamp()) / 1e6)
+        store.save_results(kept)
+        store.replace("results", live_only(store.read("results"), blocks))
+    return Analysis(blocks, edges, results.unionByName(classify.skipped(blocks)), run.computed, len(run.sent))
 
 
 def analyse_tree(spark: SparkSession, root: str, **options) -> Analysis:

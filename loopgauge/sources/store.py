@@ -11,8 +11,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text
+
 #: Fixed value: version of JSON caches that are read.
 CACHE_VERSION = 2
+NO_RESULTS = "node string, cache_key string, complexity string, confidence string, needs_review boolean, rule string, flags array<string>, analyzer_kind string"
 
 
 def keep_latest(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
@@ -98,11 +101,21 @@ class Store:
         self.upsert("runs", self.spark.createDataFrame([(run_id, status, at)], "run_id string, status string, at double"), ["run_id"])
 
     def save_results(self, results: DataFrame) -> None:
-        self.upsert("results", results, ["cache_key"])
+        self.upsert("results", results, ["node", "cache_key"])
 
     def save_reviews(self, reviews: DataFrame) -> None:
         self.upsert("reviews", reviews, ["node", "payload_hash", "prompt_version"])
 
+    def stored_results(self, wanted: DataFrame) -> DataFrame:
+        """The last run's result of each node of wanted (node, cache_key), whatever its key; usable: its key is the wanted one, and it is neither unknown nor failed."""
+        kept = self.read("results")
+        if kept is None:
+            kept = self.spark.createDataFrame([], f"{NO_RESULTS}, created_at double")
+        last = keep_latest(kept, ["node"], "created_at").withColumnRenamed("cache_key", "last_key")
+        usable = (F.col("last_key") == F.col("cache_key")) & F.col("complexity").isNotNull() & (F.col("complexity") != "unknown") & (F.col("analyzer_kind") != "llm_error")
+        return wanted.select("node", "cache_key").join(last, "node").withColumn("usable", F.coalesce(usable, F.lit(False)))
+
+
     def cached(self, wanted: DataFrame) -> DataFrame:
         """Stored results for wanted (node, cache_key): the latest of each, without unknown and failed ones."""
         kept = self.read("results")
@@ -120,10 +133,32 @@ def dependency_hash(edges: DataFrame) -> DataFrame:
 
 def cache_key(blocks: DataFrame, versions: list[str], model: str = "") -> DataFrame:
     """blocks with cache_key: language, kind, name, normalised text, dependencies, versions and model decide."""
-    from ..functions.text import normalised_hash
+    parts = blocks.select("*", F.struct("language", "kind", "qualified_name", text.normalised_hash(F.col("source")).alias("text"), F.coalesce("dependency_hash", F.lit("")).alias("deps"), F.lit("|".join(versions)).alias("versions"), F.lit(model).alias("model")).alias("_key"))
+    return parts.withColumn("cache_key", F.sha1(text.canonical(F.col("_key"), parts.schema["_key"].dataType))).drop("_key")
+
 
-    parts = F.struct("language", "kind", "qualified_name", normalised_hash(F.col("source")).alias("text"), F.coalesce("dependency_hash", F.lit("")).alias("deps"), F.lit("|".join(versions)).alias("versions"), F.lit(model).alias("model"))
-    return blocks.withColumn("cache_key", F.sha1(F.to_json(parts)))
+def json_cache_key(blocks: DataFrame) -> DataFrame:
+    """blocks with json_key, their key in a JSON cache: place, kind, name and text."""
+    parts = blocks.select("*", F.struct("file_path", "start_line", "end_line", "kind", "name", "source_hash").alias("_key"))
+    return parts.withColumn("json_key", F.sha1(text.canonical(F.col("_key"), parts.schema["_key"].dataType))).drop("_key")
+
+
+#: Of a block's facts, those that come from outside its text or tell where it stands.
+_OUTSIDE = ("start_line", "base_flags", "edge_names", "unresolved", "loop_edges", "unresolved_count", "on_cycle")
+
+
+def result_keys(facts: DataFrame, calls: DataFrame, versions: list[str], model: str = "") -> DataFrame:
+    """(node, dependency_hash, cache_key) of blocks, given their facts and the calls that results flow along.
+
+    The key covers all that decides a block's result but the classes of the blocks it calls: whether one of those has changed is for the run to tell.
+    """
+    kind = calls.select("call_name", "target", "site", "start_line", "end_line").schema
+    one = text.canonical(F.struct(*kind.names), kind)
+    deps = calls.groupBy(F.col("source").alias("node")).agg(F.array_sort(F.collect_list(one)).alias("deps"))
+    all_ = facts.join(deps, "node", "left").withColumn("_seen", F.struct(*[(F.array_sort(c) if t.startswith("array") else F.col(c)).alias(c) for c, t in facts.select(*_OUTSIDE).dtypes]))
+    outside = text.canonical(F.col("_seen"), all_.schema["_seen"].dataType)
+    all_ = all_.withColumn("dependency_hash", F.sha1(F.concat_ws("|", outside, F.array_join(F.coalesce("deps", F.array()), "|"))))
+    return cache_key(all_, versions, model).select("node", "dependency_hash", "cache_key")
 
 
 def read_json_cache(spark: SparkSession, path: str) -> DataFrame:

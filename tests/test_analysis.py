@@ -197,6 +197,104 @@ def test_texts_without_a_model(spark, analysis):
     assert "O(?)" in labels and "unknown" not in labels
 
 
+CHAIN = {
+    "c/base.py": "def base(n):\n    return n\n",
+    "c/mid.py": "def mid(n):\n    for i in range(n):\n        base(i)\n",
+    "c/top.py": "def top(n):\n    mid(n)\n\ndef far(n):\n    return n\n",
+    "c/peak.py": "def peak(n):\n    top(n)\n",
+    "c/odd.py": "def odd(x):\n    return eval(x)\n\ndef asks(x):\n    odd(x)\n    for i in range(x):\n        odd(i)\n\ndef asks_asks(x):\n    asks(x)\n",
+    "c/ring.py": "def ring(n):\n    return gnir(n)\n\ndef gnir(n):\n    return ring(n)\n\ndef above(n):\n    ring(n)\n",
+}
+
+
+def project_files(spark, code):
+    return spark.createDataFrame([(p, "python", c) for p, c in code.items()], "file_path string, language string, content string")
+
+
+def rows_of(done):
+    return sorted((r.file_path, r.qualified_name, r.complexity, r.confidence, r.needs_review, r.rule, tuple(r.flags), r.analyzer_kind) for r in done.joined().collect())
+
+
+def test_second_run_computes_what_changed_and_what_hangs_on_it(spark, tmp_path):
+    store = stores.Store(spark, str(tmp_path / "store"))
+    run = lambda code, kept=store: project.analyse_files(project_files(spark, code), rescore=True, store=kept)
+    first = run(CHAIN)
+    assert first.computed == 11
+    fell = [r for r in rows_of(first) if r[7] == "llm_error"]  # a result that only falls back is no result to keep
+    second = run(CHAIN)
+    assert second.computed == len(fell) and "odd" in {r[1] for r in fell} and rows_of(second) == rows_of(first)
+    same = {**CHAIN, "c/base.py": "def base(n):\n    return n + 1\n"}  # another text of the same class: its caller sees another block, nobody beyond it
+    assert run(same).computed == len(fell) + 2
+    dearer = {**same, "c/base.py": "def base(n):\n    return sorted(n)\n", "c/ring.py": CHAIN["c/ring.py"].replace("return ring", "return n + ring")}
+    del dearer["c/odd.py"]
+    third = run(dearer)
+    assert third.computed == 4 + 3 and rows_of(third) == rows_of(run(dearer, None))
+    assert {r[1]: r[2] for r in rows_of(third)}["peak"] == "O(n^2 log n)"
+    assert {r.node for r in store.read("results").collect()} <= {r.node for r in third.results.collect()}  # what is gone has left the cache
+
+
+def test_callers_see_the_class_of_an_uncertain_callee(spark):
+    by = lambda done: {r[1]: r for r in rows_of(done)}
+    plain, fell = by(project.analyse_files(project_files(spark, CHAIN))), by(project.analyse_files(project_files(spark, CHAIN), rescore=True))
+    assert plain["odd"][2] == "unknown" and plain["asks"][2] == "O(n)"
+    assert fell["odd"][2:4] == ("O(n)", "low") and fell["odd"][7] == "llm_error" and fell["asks"][2] == "O(n^2)" and fell["asks_asks"][2] == "O(n^2)"
+    model = Fake('{"complexity": "O(n^3)", "confidence": "high"}')
+    done = project.analyse_files(project_files(spark, CHAIN), rescore=True, estimator=model, budget=1)
+    sent = by(done)
+    assert done.scored == 1 and sent["odd"][2] == "O(n^3)" and sent["odd"][7] == "llm"
+    assert sent["asks"][2] == "O(n)"  # computed before the estimator's answer came, as the rules left its callee open
+
+
+def test_budget_goes_by_processing_order(spark):
+    code = {"a.py": "def late(x):\n    early(x)\n    eval(x)\n", "b.py": "def early(x):\n    return eval(x)\n"}
+    done = project.analyse_files(project_files(spark, code), rescore=True, estimator=Fake('{"complexity": "O(1)"}'), budget=1)
+    assert {r[1]: r[7] for r in rows_of(done)} == {"late": "llm_error", "early": "llm"}
+
+
+def test_requests_at_a_time_and_deadlines():
+    import threading
+    import time
+
+    class Slow:
+        def __init__(self):
+            self.now, self.most, self.lock = 0, 0, threading.Lock()
+
+        def estimate(self, payload):
+            with self.lock:
+                self.now += 1
+                self.most = max(self.most, self.now)
+            time.sleep(30 if payload == "hang" else 0.05)
+            with self.lock:
+                self.now -= 1
+            if payload == "fail":
+                raise ValueError("no")
+            return payload.upper()
+
+    slow, ticks, began = Slow(), [], time.time()
+    got = scoring.asked(slow, ["a", "hang", "b", "fail", *"cdefgh"], 4, 0.6, lambda: ticks.append(1))
+    assert time.time() - began < 5 and slow.most == 4 and len(ticks) == 10
+    assert got[0] == "A" and got[2] == "B" and got[4:] == list("CDEFGH") and "deadline" in got[1] and "no" in got[3]
+    assert scoring.asked(slow, []) == []
+
+
+def test_progress_of_scoring(spark, analysis):
+    facts = classify.features(analysis.blocks, analysis.edges).join(analysis.results.drop("analyzer_kind"), "node")
+    count = spark.sparkContext.accumulator(0)
+    n = scoring.score(facts, Fake('{"complexity": "O(1)"}'), progress=count).count()
+    assert count.value == n > 1
+
+
+def test_canonical_form(spark):
+    from loopgauge.functions import text
+
+    one = spark.sql("SELECT named_struct('b', 1, 'a', array(named_struct('y', null, 'x', 'q\"')), 'm', map('k', 1.5D, 'c', 2D)) AS v")
+    two = spark.sql("SELECT named_struct('m', map('c', 2D, 'k', 1.5D), 'a', array(named_struct('x', 'q\"', 'y', null)), 'b', 1) AS v")
+    texts = [df.select(text.canonical(F.col("v"), df.schema["v"].dataType).alias("t")).first().t for df in (one, two)]
+    assert texts[0] == texts[1] == '{"a":[{"x":"q\\"","y":null}],"b":1,"m":{"c":2.0,"k":1.5}}'
+    none = spark.sql("SELECT CAST(null AS STRUCT<a INT>) AS v")
+    assert none.select(text.canonical(F.col("v"), none.schema["v"].dataType).alias("t")).first().t == "null"
+
+
 def test_cache_keys(analysis):
     deps = stores.dependency_hash(analysis.edges)
     keyed = stores.cache_key(analysis.blocks.withColumn("node", F.col("stable_id")).join(deps, "node", "left"), ["1", "2"])
