@@ -36,10 +36,23 @@ def distinct_blocks(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("node", node_id()).withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
+def caller_rows(blocks: DataFrame) -> DataFrame:
+    """(name, caller): the blocks that call each name, a row for each."""
+    return blocks.select(F.col("block_id").alias("caller"), F.explode(F.array_distinct("calls")).alias("name")).distinct()
+
+
 def callers(blocks: DataFrame) -> DataFrame:
-    """(block_id, called_by): sorted ids of other blocks that call a block's name."""
-    calls = blocks.select(F.col("block_id").alias("caller"), F.explode(F.array_distinct("calls")).alias("name"))
-    return (
-        blocks.select("block_id", "name").join(calls, "name").filter("caller <> block_id")
-        .groupBy("block_id").agg(F.array_sort(F.collect_set("caller")).alias("called_by"))
-    )
+    """(block_id, name, n_callers, first_caller) of blocks whose name another block calls: the callers of a name are counted once for all blocks that bear it."""
+    rows = caller_rows(blocks)
+    first = rows.groupBy("name").agg(F.count("*").alias("n"), F.min("caller").alias("first"))
+    second = rows.join(first, "name").filter("caller <> first").groupBy("name").agg(F.min("caller").alias("second"))
+    own = blocks.select("block_id", "name", F.array_contains("calls", F.col("name")).alias("calls_itself"))
+    each = own.join(first, "name").join(second, "name", "left").withColumn("itself", F.coalesce("calls_itself", F.lit(False)).cast("long"))
+    found = each.select("block_id", "name", (F.col("n") - F.col("itself")).alias("n_callers"), F.when((F.col("itself") == 1) & (F.col("first") == F.col("block_id")), F.col("second")).otherwise(F.col("first")).alias("first_caller"))
+    return found.filter("n_callers > 0")
+
+
+def called_by(blocks: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(block_id, called_by): sorted ids of other blocks that call the name of each chosen block (block_id). The lists are as long as a name has callers: choose the blocks first."""
+    wanted = blocks.join(chosen.select("block_id").distinct(), "block_id", "left_semi").select("block_id", "name")
+    return wanted.join(caller_rows(blocks), "name").filter("caller <> block_id").groupBy("block_id").agg(F.array_sort(F.collect_set("caller")).alias("called_by"))

@@ -1,7 +1,7 @@
 """Call resolution and the dependency graph: edges by joins, strongly connected groups and order by rounds of joins.
 
-Candidates for a call come from five joins, tagged with a priority; the best priority that has any decides. Names are joined, never
-compared pairwise, and each join's keys are (name) or finer.
+Definitions form classes (one name in one scope) that carry their number and two members; a call is joined with the classes it may mean,
+so neither names nor calls are ever compared or listed in pairs.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 
 from .blocks import is_analyzable, node_id
 
-EDGE_COLUMNS = ["source", "target", "call_name", "edge_type", "resolved", "state", "confidence", "start_line", "inside_loop_depth", "site", "candidates"]
+EDGE_COLUMNS = ["source", "target", "call_name", "edge_type", "resolved", "state", "confidence", "start_line", "inside_loop_depth", "site", "candidates", "candidate_class"]
 
 
 _local: dict[str, str] = {}
@@ -78,55 +78,66 @@ def call_sites(blocks: DataFrame) -> DataFrame:
     )
 
 
+def _class_of(scope: str, *parts: Column | str) -> Column:
+    """Key of a set of definitions: those of one name in one scope; null where a part is."""
+    return F.concat(F.lit(scope), *[F.concat(F.lit("\x1f"), p) for p in parts])
+
+
+def definitions(blocks: DataFrame) -> DataFrame:
+    """(candidate_class, target): each analysable block in the classes that calls may mean: by name, by file and name, by module and name, by class and name, by full name."""
+    known = blocks.filter(is_analyzable()).select(
+        node_id().alias("target"), "name", "qualified_name", "file_path", module_name(F.col("file_path")).alias("module"), _class_prefix(F.col("qualified_name")).alias("own_class"), "ordinal").distinct()
+    keys = F.array(_class_of("name", "name"), _class_of("file", "file_path", "name"), _class_of("module", "module", "name"), _class_of("class", "own_class", "name"))
+    by_name = known.select("target", F.explode(keys).alias("candidate_class")).filter("candidate_class IS NOT NULL").distinct()
+    last = known.filter("qualified_name <> ''").groupBy("qualified_name").agg(F.max(F.struct("file_path", "ordinal", "target"))["target"].alias("target"))  # of one full name the last stands
+    return by_name.select("candidate_class", "target").unionByName(last.select(_class_of("full", "qualified_name").alias("candidate_class"), "target"))
+
+
 def resolve(blocks: DataFrame) -> DataFrame:
-    """Call edges. One target: resolved; several by name: ambiguous, without target; none, empty or dynamic: unresolved."""
+    """Call edges. One target: resolved; several by name: ambiguous, without target; none, empty or dynamic: unresolved.
+
+    A call looks into up to five classes of definitions, best first, and the first that holds another block decides. Classes carry their number of
+    definitions and two of them, which settle every case, so the work grows with calls and definitions, not with their pairs; an edge names
+    its class (candidate_class) and how many of it were meant (candidates), and candidates_of() lists them.
+    """
     calls = call_sites(blocks)
-    known = blocks.filter(is_analyzable()).select(
-        node_id().alias("target"), F.col("name").alias("t_name"), F.col("qualified_name").alias("t_qualified"), F.col("file_path").alias("t_file"),
-        module_name(F.col("file_path")).alias("t_module"), _class_prefix(F.col("qualified_name")).alias("t_class"), F.col("ordinal").alias("t_ordinal"))
-    live = calls.filter((F.coalesce("call_name", F.lit("")) != "") & ~F.coalesce("is_dynamic", F.lit(False)))
-    key = ["source", "site"]
+    names = blocks.filter(is_analyzable()).select(node_id().alias("source"), F.col("name").alias("own_name")).dropDuplicates(["source"])
+    live = calls.join(names, "source").filter((F.coalesce("call_name", F.lit("")) != "") & ~F.coalesce("is_dynamic", F.lit(False)))
     alias = lambda i: F.coalesce(i["alias"], i["name"])
-    imported = live.withColumn("by_receiver", F.try_element_at(F.filter("imports", lambda i: alias(i) == F.col("receiver")), F.lit(-1)))
-    imported = imported.withColumn("by_name", F.when(F.col("by_receiver").isNull(), F.try_element_at(F.filter("imports", lambda i: alias(i) == F.col("call_name")), F.lit(-1))))
+    live = live.withColumn("by_receiver", F.try_element_at(F.filter("imports", lambda i: alias(i) == F.col("receiver")), F.lit(-1)))
+    live = live.withColumn("by_name", F.when(F.col("by_receiver").isNull(), F.try_element_at(F.filter("imports", lambda i: alias(i) == F.col("call_name")), F.lit(-1))))
     last = lambda m: F.element_at(F.split(m, r"\."), -1)
-    from_module = imported.select(
-        *key,
-        last(F.coalesce(F.nullif(F.col("by_receiver.module"), F.lit("")), F.col("by_receiver.name"), F.col("by_name.module"))).alias("t_module"),
-        F.when(F.col("by_receiver").isNotNull(), F.col("call_name")).otherwise(F.col("by_name.name")).alias("t_name"),
-    ).filter("t_module IS NOT NULL")
-    from_any = imported.filter("by_name IS NOT NULL").select(*key, F.col("by_name.name").alias("t_name"))
-    w = W.partitionBy("t_qualified").orderBy(F.desc("t_file"), F.desc("t_ordinal"))
-    last_qualified = known.filter("t_qualified <> ''").withColumn("_n", F.row_number().over(w)).filter("_n = 1").select("target", "t_qualified")
-    other = F.col("source") != F.col("target")
-    same_name = (F.col("call_name") == F.col("t_name"))
-    found = [
-        live.filter((F.col("receiver") == "self") & F.col("own_class").isNotNull()).join(known, (F.col("own_class") == F.col("t_class")) & (F.col("call_name") == F.col("t_name"))).select(*key, "target", F.lit(0).alias("priority")),
-        from_module.join(known, ["t_module", "t_name"]).select(*key, "target", F.lit(1).alias("priority")),
-        from_any.join(known, "t_name").select(*key, "target", F.lit(1).alias("priority")),
-        live.join(last_qualified, F.col("hint") == F.col("t_qualified")).filter(other).select(*key, "target", F.lit(2).alias("priority")),
-        live.join(known, (F.col("call_name") == F.col("t_name")) & (F.col("file_path") == F.col("t_file"))).filter(other).select(*key, "target", F.lit(3).alias("priority")),
-    ]
-    tagged = found[0]
-    for f in found[1:]:
-        tagged = tagged.unionByName(f)
-    tagged = cut(tagged)
-    # only calls that nothing nearer settles meet the definitions of their name in the whole project
-    rest = live.join(tagged.select(*key).distinct(), key, "left_anti")
-    tagged = tagged.unionByName(rest.join(known, same_name).filter(other).select(*key, "target", F.lit(4).alias("priority")))
-    by_priority = tagged.groupBy(*key, "priority").agg(F.array_sort(F.collect_set("target")).alias("candidates"))
-    best = by_priority.groupBy(*key).agg(F.min_by("candidates", "priority").alias("candidates"), F.min("priority").alias("priority"))
-    out = calls.join(best, key, "left")
-    n = F.size(F.coalesce("candidates", F.array().cast("array<string>")))
-    state = F.when(n == 0, "unresolved").when((n == 1) | (F.col("priority") == 0), "resolved").otherwise("ambiguous")
-    single = n == 1
+    module = last(F.coalesce(F.nullif(F.col("by_receiver.module"), F.lit("")), F.col("by_receiver.name")))
+    self_call = F.col("own_name") == F.col("call_name")  # the calling block is one of the definitions of that name, and not meant
+    look = lambda n, key, less: F.struct(F.lit(n).alias("priority"), key.alias("candidate_class"), less.alias("less"))
+    none = F.lit(False)
+    looks = F.array(
+        look(0, F.when(F.col("receiver") == "self", _class_of("class", "own_class", "call_name")), none),
+        look(1, F.when(F.col("by_receiver").isNotNull(), _class_of("module", module, "call_name")).otherwise(_class_of("name", "by_name.name")), none),
+        look(2, _class_of("full", "hint"), none), look(3, _class_of("file", "file_path", "call_name"), self_call), look(4, _class_of("name", "call_name"), self_call),
+    )
+    key = ["source", "site"]
+    sets = definitions(blocks).groupBy("candidate_class").agg(F.count("*").alias("n"), F.min("target").alias("first"), F.max("target").alias("last"))
+    met = live.select(*key, F.explode(looks).alias("look")).select(*key, "look.*").filter("candidate_class IS NOT NULL").join(sets, "candidate_class")
+    met = met.withColumn("less", F.col("less") | ((F.col("priority") == 2) & (F.col("first") == F.col("source"))))
+    met = met.withColumn("candidates", (F.col("n") - F.col("less").cast("long")).cast("int")).filter("candidates > 0")
+    single = F.when(F.col("candidates") == 1, F.when(F.col("less") & (F.col("first") == F.col("source")), F.col("last")).otherwise(F.col("first")))
+    best = met.select(*key, F.struct("priority", "candidate_class", "candidates", single.alias("target")).alias("best")).groupBy(*key).agg(F.min("best").alias("best"))
+    out = calls.join(best, key, "left").withColumn("n", F.coalesce("best.candidates", F.lit(0)))
+    state = F.when(F.col("n") == 0, "unresolved").when((F.col("n") == 1) | (F.col("best.priority") == 0), "resolved").otherwise("ambiguous")
+    resolved = F.col("n") == 1
     return out.select(
-        "source", F.when(single, F.col("candidates")[0]).alias("target"), "call_name", F.lit("CALLS").alias("edge_type"), single.alias("resolved"), state.alias("state"),
-        F.when(single, "high").otherwise("low").alias("confidence"), "start_line", "end_line", F.coalesce("depth", F.lit(0)).alias("inside_loop_depth"), "site",
-        F.coalesce("candidates", F.array().cast("array<string>")).alias("candidates"),
+        "source", "best.target", "call_name", F.lit("CALLS").alias("edge_type"), resolved.alias("resolved"), state.alias("state"), F.when(resolved, "high").otherwise("low").alias("confidence"),
+        "start_line", "end_line", F.coalesce("depth", F.lit(0)).alias("inside_loop_depth"), "site", F.col("n").alias("candidates"), "best.candidate_class",
     )
 
 
+def candidates_of(edges: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(source, site, target): every definition that some chosen edges may mean. A row for each pair: choose the edges first."""
+    wanted = edges.filter("candidate_class IS NOT NULL").select("source", "site", "candidate_class")
+    return wanted.join(definitions(blocks), "candidate_class").filter("source <> target OR candidate_class LIKE 'class%' OR candidate_class LIKE 'module%'").select("source", "site", "target")
+
+
 def file_node() -> Column:
     return F.concat(F.lit("file:"), F.col("file_path"))
 

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..operators import classify, graph, scoring
 from ..operators.blocks import is_analyzable, node_id
@@ -77,10 +78,16 @@ def analyse_tree(spark: SparkSession, root: str, **options) -> Analysis:
 
 
 def overlapping(selection: DataFrame, taken: DataFrame) -> DataFrame:
-    """Selections (file_path, start_line, end_line) that overlap a taken range of the same file."""
-    s, t = selection.alias("s"), taken.alias("t")
-    near = (F.col("s.file_path") == F.col("t.file_path")) & (F.greatest("s.start_line", "t.start_line") <= F.least("s.end_line", "t.end_line"))
-    return s.join(t, near, "left_semi")
+    """Selections (file_path, start_line, end_line) that overlap a taken range of the same file.
+
+    A sweep through each file: among the taken ranges that begin no later than a selection ends, the furthest end decides. Ranges are sorted, not paired.
+    """
+    kept = F.struct(*selection.columns)
+    marks = selection.filter("start_line IS NOT NULL AND end_line IS NOT NULL").select("file_path", F.col("end_line").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("reach"), kept.alias("row"))
+    ranges = taken.filter("start_line IS NOT NULL AND end_line IS NOT NULL").select("file_path", F.col("start_line").alias("at"), F.lit(0).alias("kind"), F.col("end_line").cast("long").alias("reach"))
+    sweep = W.partitionBy("file_path").orderBy("at", "kind").rowsBetween(W.unboundedPreceding, W.currentRow)
+    swept = marks.unionByName(ranges, allowMissingColumns=True).withColumn("furthest", F.max("reach").over(sweep))
+    return swept.filter((F.col("kind") == 1) & (F.col("furthest") >= F.col("row.start_line"))).select("row.*")
 
 
 def live_only(cached: DataFrame, blocks: DataFrame) -> DataFrame:

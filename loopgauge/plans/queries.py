@@ -1,6 +1,6 @@
 """Queries over the supplied tables, one for each operator shape, and the same in DuckDB SQL.
 
-Code analysis queries run over SNIPPETS, a small corpus of our own that stands in both engines as literal rows.
+Code analysis queries make source texts from rows of a table: a copy of SNIPPETS for each, or templates filled by columns (source_queries).
 """
 
 from __future__ import annotations
@@ -94,31 +94,39 @@ def _degree_sql(c: str) -> str:
 _LABELS = ["O(1)", " o( N ^2 ) ", "O(n²)", "o(nlogn)", "O(N!)", "cubic", "", "O(2^n)", "O(log n)", None]
 
 
-def _labels(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(c,) for c in (*lattice.CLASSES, "unknown", "N/A")], "c string")
+_ALL = (*lattice.CLASSES, "unknown", "N/A")
+_PRODUCTS = "CASE {} WHEN 0 THEN 'O(1)' WHEN 1 THEN 'O(log n)' WHEN 2 THEN 'O(log n)' WHEN 10 THEN 'O(n)' WHEN 11 THEN 'O(n log n)' WHEN 20 THEN 'O(n^2)' WHEN 21 THEN 'O(n^2 log n)' WHEN 30 THEN 'O(n^3)' END"
+
+
+def _list_sql(values) -> str:
+    return "[" + ", ".join("NULL" if v is None else "'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+def _pick(values, at):
+    """The value at a row's position (from 0) in a short list."""
+    return F.array(*[F.lit(v) for v in values])[at.cast("int")]
 
 
 @query(f"""
-SELECT a.c AS a, b.c AS b, CASE {_degree_sql('a.c')} + {_degree_sql('b.c')}
-  WHEN 0 THEN 'O(1)' WHEN 1 THEN 'O(log n)' WHEN 2 THEN 'O(log n)' WHEN 10 THEN 'O(n)' WHEN 11 THEN 'O(n log n)' WHEN 20 THEN 'O(n^2)'
-  WHEN 21 THEN 'O(n^2 log n)' WHEN 30 THEN 'O(n^3)' END AS product,
-  CASE WHEN {_rank_sql('b.c')} >= 0 AND {_rank_sql('b.c')} > {_rank_sql('a.c')} THEN b.c ELSE a.c END AS larger
-FROM {_values([(c,) for c in (*lattice.CLASSES, 'unknown', 'N/A')], 'c').replace(' AS t(c)', ' AS a(c)')}, {_values([(c,) for c in (*lattice.CLASSES, 'unknown', 'N/A')], 'c').replace(' AS t(c)', ' AS b(c)')}
+WITH p AS (SELECT {_list_sql(_ALL)}[(l_partkey % 11) + 1] AS a, {_list_sql(_ALL)}[(l_suppkey % 11) + 1] AS b FROM lineitem)
+SELECT a, b, {_PRODUCTS.format(f"{_degree_sql('a')} + {_degree_sql('b')}")} AS product, CASE WHEN {_rank_sql('b')} >= 0 AND {_rank_sql('b')} > {_rank_sql('a')} THEN b ELSE a END AS larger, count(*) AS n FROM p GROUP BY ALL
 """)
 def class_multiply_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Products and maxima of all pairs of classes (a fixed table of 11 x 11)."""
-    a = _labels(spark).withColumn("b", F.explode(F.array(*[F.lit(c) for c in (*lattice.CLASSES, "unknown", "N/A")]))).withColumnRenamed("c", "a")
-    return a.select("a", "b", lattice.multiply("a", "b").alias("product"), lattice.class_max("a", "b").alias("larger"))
+    """Products and maxima of two classes of each line item, by part and supplier."""
+    pairs = table(spark, sf_dir, "lineitem").select(_pick(_ALL, F.col("l_partkey") % 11).alias("a"), _pick(_ALL, F.col("l_suppkey") % 11).alias("b"))
+    return pairs.select("a", "b", lattice.multiply("a", "b").alias("product"), lattice.class_max("a", "b").alias("larger")).groupBy("a", "b", "product", "larger").agg(F.count("*").alias("n"))
 
 
 @query(f"""
 SELECT raw, CASE WHEN trim(raw) IN {tuple(lattice.CLASSES)} THEN trim(raw) ELSE coalesce(CASE lower(replace(trim(raw), ' ', ''))
- {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in lattice.SPELLINGS.items())} END, 'unknown') END AS label
-FROM {_values([(x,) for x in _LABELS], 'raw')}
+ {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in lattice.SPELLINGS.items())} END, 'unknown') END AS label, count(*) AS n
+FROM (SELECT {_list_sql(_LABELS)}[(o_orderkey % 10) + 1] || CASE WHEN o_custkey % 3 = 0 THEN ' ' WHEN o_custkey % 3 = 1 THEN '' ELSE o_orderstatus END AS raw FROM orders) GROUP BY ALL
 """)
 def class_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Classes from free labels."""
-    return spark.createDataFrame([(x,) for x in _LABELS], "raw string").select("raw", lattice.normalise("raw").alias("label"))
+    """Classes from free labels: one for each order, some with a space or the order's status behind it."""
+    end = F.when(F.col("o_custkey") % 3 == 0, " ").when(F.col("o_custkey") % 3 == 1, "").otherwise(F.col("o_orderstatus"))
+    raw = table(spark, sf_dir, "orders").select(F.concat(_pick(_LABELS, F.col("o_orderkey") % 10), end).alias("raw"))
+    return raw.select("raw", lattice.normalise("raw").alias("label")).groupBy("raw", "label").agg(F.count("*").alias("n"))
 
 
 _PRIORITY_CLASS = {"1-URGENT": "O(n!)", "2-HIGH": "O(n^2)", "3-MEDIUM": "O(n)", "4-NOT SPECIFIED": "unknown", "5-LOW": "O(1)"}
@@ -194,18 +202,30 @@ def regex_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.groupBy("call_name").agg(F.count("*").alias("n"), F.count_distinct("page_id").alias("pages"))
 
 
-@query(f"SELECT id, hit, CASE {' '.join(f'WHEN hit = {lattice.CLASSES.index(d.result) * 100 - i} THEN {chr(39)}{d.name}{chr(39)}' for i, d in enumerate(patterns.DETECTORS))} END AS pattern FROM (SELECT id, {patterns.best_hit_sql('code')} AS hit FROM {_values(SNIPPETS, 'id, code')})")
+#: What the detectors say of each snippet, by hand.
+_BEST = [
+    ("O(log n)", "binary_search"), ("O(n^2)", "dependent_nested_loop"), ("O(n log n)", "sort_then_scan"), ("O(n)", "two_pointers"), ("O(n)", "two_pointers"),
+    ("O(n)", "linear_while_pointer"), (None, None), (None, None), ("O(n^2)", "dependent_nested_loop"), (None, None),
+]
+
+
+@query(f"SELECT p_partkey, {_list_sql([n for _, n in _BEST])}[(p_partkey % 10) + 1] AS pattern, {_list_sql([c for c, _ in _BEST])}[(p_partkey % 10) + 1] AS complexity FROM part")
 def pattern_best_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best pattern of each snippet."""
+    """The best pattern of a snippet for each part, the part's name in a comment behind it."""
+    code = F.concat(_pick([c for _, c in SNIPPETS], F.col("p_partkey") % 10), F.lit("\n# "), "p_name")
     hit = patterns.best_hit(F.col("code"), F.lit(0), F.lit(0), F.lit(False))
-    return spark.createDataFrame(SNIPPETS, "id int, code string").withColumn("best", hit).select("id", (F.col("best.rank") * 100 + F.col("best.preference")).alias("hit"), F.col("best.pattern").alias("pattern"))
+    return table(spark, sf_dir, "part").select("p_partkey", code.alias("code")).withColumn("best", hit).select("p_partkey", F.col("best.pattern").alias("pattern"), F.col("best.complexity").alias("complexity"))
 
 
-@query(f"SELECT doc_id, hit FROM (SELECT doc_id, {patterns.best_hit_sql('text')} AS hit FROM documents WHERE text IS NOT NULL) WHERE hit IS NOT NULL")
+@query("""
+SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'binary_search' WHEN doc_id % 3 = 1 THEN 'dependent_nested_loop' END AS pattern FROM documents WHERE text IS NOT NULL AND doc_id % 3 < 2
+""")
 def pattern_hits_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R1-R7 over every text."""
-    hit = patterns.best_hit(F.col("text"), F.lit(0), F.lit(0), F.lit(False))
-    return table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", hit.alias("best")).filter("best IS NOT NULL").select("doc_id", (F.col("best.rank") * 100 + F.col("best.preference")).alias("hit"))
+    """R1-R7 over every text, two thirds of which end in a piece of code."""
+    docs = table(spark, sf_dir, "documents").filter("text IS NOT NULL")
+    code = F.concat("text", F.when(F.col("doc_id") % 3 == 0, "\n" + SNIPPETS[0][1]).when(F.col("doc_id") % 3 == 1, "\n" + SNIPPETS[1][1]).otherwise(""))
+    hit = patterns.best_hit(code, F.lit(0), F.lit(0), F.lit(False))
+    return docs.select("doc_id", hit.alias("best")).filter("best IS NOT NULL").select("doc_id", F.col("best.pattern").alias("pattern"))
 
 
 @query("""
@@ -283,7 +303,7 @@ def resolve_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = as_blocks(called, stable_id=text_of("s:", "s_suppkey"), name=F.col("f"), qualified_name=F.col("f"), file_path=text_of("n", "s_nationkey"), ordinal=F.col("s_suppkey")).unionByName(
         as_blocks(calling, stable_id=text_of("c:", "c_custkey"), name=text_of("c", "c_custkey"), qualified_name=text_of("c", "c_custkey"), file_path=text_of("n", "c_nationkey"), ordinal=F.col("c_custkey"), call_sites=one_call(F.col("f")))
     )
-    return graph.resolve(blocks).select("source", "target", "state", "confidence", F.size("candidates").cast("bigint").alias("candidates"))
+    return graph.resolve(blocks).select("source", "target", "state", "confidence", F.col("candidates").cast("bigint").alias("candidates"))
 
 
 @query("SELECT doc_id, source FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
@@ -379,7 +399,7 @@ def called_by_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Callers by bare name: suppliers that call a nation's name, which its customers bear."""
     supplier, customer = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "customer")
     blocks = as_blocks(supplier, block_id=text_of("s", "s_suppkey"), name=text_of("s", "s_suppkey"), calls=F.array(text_of("n", "s_nationkey"))).unionByName(as_blocks(customer, block_id=text_of("c", "c_custkey"), name=text_of("n", "c_nationkey")))
-    return callers(blocks).select("block_id", F.size("called_by").cast("bigint").alias("n_callers"), F.col("called_by")[0].alias("first_caller"))
+    return callers(blocks).select("block_id", "n_callers", "first_caller")
 
 
 @query("SELECT a.n_nationkey AS source, min(b.n_nationkey) AS component FROM nation a JOIN nation b USING (n_regionkey) GROUP BY 1")
@@ -400,41 +420,57 @@ CALLING = [
 ]
 
 
-def _corpus(spark: SparkSession, snippets=SNIPPETS) -> DataFrame:
-    return spark.createDataFrame([(f"pkg/s{i}.py", "python", code) for i, code in snippets], "file_path string, language string, content string")
+#: Names in the snippets that call each other; each copy of the corpus has its own.
+_NAMES = "find|pairs|scan|two|window|step|plain|both|nothing|run|Box|total|size|outer|ping|pong|use"
+
+
+def _corpus(rows: DataFrame, key: str, snippets) -> DataFrame:
+    """Python files: a copy of the snippets for each row, names and folder marked by its key."""
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(code).alias("code")) for i, code in snippets])).alias("s")
+    mark = F.col(key).cast("string")
+    rows = rows.select(key).repartition(rows.sparkSession.sparkContext.defaultParallelism, key)  # few bytes a row, and much work
+    code = F.regexp_replace(F.col("s.code"), F.lit(rf"\b({_NAMES})\b"), F.concat(F.lit("$1_"), "mark"))
+    return rows.select(mark.alias("mark"), each).select(F.concat(F.lit("pkg"), "mark", F.lit("/s"), F.col("s.i").cast("string"), F.lit(".py")).alias("file_path"), F.lit("python").alias("language"), code.alias("content"))
 
 
 @query(f"""
-SELECT * FROM {_values([('find', 'O(log n)', 'high'), ('pairs', 'O(n^2)', 'medium'), ('scan', 'O(n log n)', 'high'), ('two', 'O(n)', 'high'), ('window', 'O(n)', 'high'), ('step', 'O(n)', 'medium'),
- ('plain', 'O(1)', 'high'), ('éwhile', 'O(1)', 'high'), ('both', 'O(n^2)', 'medium'), ('nothing', 'O(1)', 'high')], 'name, complexity, confidence')}
+SELECT name || '_' || s_suppkey AS name, complexity, confidence FROM supplier, {_values([('find', 'O(log n)', 'high'), ('pairs', 'O(n^2)', 'medium'), ('scan', 'O(n log n)', 'high'), ('two', 'O(n)', 'high'), ('window', 'O(n)', 'high'), ('step', 'O(n)', 'medium'),
+ ('plain', 'O(1)', 'high'), ('éwhile', 'O(1)', 'high'), ('both', 'O(n^2)', 'medium'), ('nothing', 'O(1)', 'high')], 'name, complexity, confidence')} WHERE name <> 'éwhile'
 """)
 def classify_local(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Classes of the snippets by the local rules."""
-    blocks = extract(_corpus(spark))
+    """Classes of a copy of the snippets for each supplier by the local rules."""
+    blocks = extract(_corpus(table(spark, sf_dir, "supplier"), "s_suppkey", [s for s in SNIPPETS if s[0] != 8]))
     return classify.local_rules(classify.features(blocks)).select("name", "complexity", "confidence")
 
 
 @query(f"""
-SELECT 'pkg/' || file || '.py' AS file_path, qualified_name, kind, complexity, confidence, false AS needs_review, rule FROM {_values([
+SELECT 'pkg' || n_nationkey || '/' || file || '.py' AS file_path, CASE WHEN qualified_name LIKE '%.%' THEN replace(qualified_name, '.', '_' || n_nationkey || '.') || '_' || n_nationkey ELSE qualified_name || '_' || n_nationkey END AS qualified_name,
+ kind, complexity, confidence, false AS needs_review, rule FROM nation, {_values([
     ('s1', 'find', 'function', 'O(log n)', 'high', 'pattern'), ('s2', 'pairs', 'function', 'O(n^2)', 'medium', 'pattern'), ('s3', 'scan', 'function', 'O(n log n)', 'medium', 'pattern'),
     ('s4', 'two', 'function', 'O(n)', 'high', 'pattern'), ('s5', 'window', 'function', 'O(n)', 'high', 'pattern'), ('s6', 'step', 'function', 'O(n)', 'medium', 'pattern'),
-    ('s7', 'plain', 'function', 'O(1)', 'high', 'constant'), ('s8', 'éwhile', 'function', 'O(1)', 'high', 'constant'), ('s9', 'both', 'function', 'O(n^2)', 'medium', 'pattern'),
+    ('s7', 'plain', 'function', 'O(1)', 'high', 'constant'), ('s9', 'both', 'function', 'O(n^2)', 'medium', 'pattern'),
     ('s10', 'nothing', 'function', 'O(1)', 'high', 'constant'), ('s11', 'run', 'function', 'O(n)', 'high', 'one_loop'), ('s12', 'Box', 'class', 'N/A', 'high', 'container'),
     ('s12', 'Box.total', 'method', 'O(1)', 'high', 'constant'), ('s12', 'Box.size', 'method', 'O(1)', 'high', 'constant'), ('s13', 'outer', 'function', 'O(n log n)', 'high', 'constant'),
     ('s14', 'ping', 'function', 'O(1)', 'high', 'constant'), ('s14', 'pong', 'function', 'O(1)', 'high', 'constant')], 'file, qualified_name, kind, complexity, confidence, rule')}
 """)
 def analyse_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole analysis of the snippets with their graph."""
-    done = analyse_files(_corpus(spark, SNIPPETS + CALLING)).joined()
+    """The whole analysis of a copy of the snippets for each nation, with their graph."""
+    done = analyse_files(_corpus(table(spark, sf_dir, "nation"), "n_nationkey", [s for s in SNIPPETS + CALLING if s[0] != 8])).joined()
     return done.select("file_path", "qualified_name", "kind", "complexity", "confidence", "needs_review", "rule")
 
 
 @query(f"""
-SELECT 'pkg/' || block AS block_id, called_by FROM {_values([
-    ('s2.py:pairs', 'pkg/s11.py:run'), ('s7.py:plain', 'pkg/s13.py:outer'), ('s12.py:Box.total', 'pkg/s12.py:Box'), ('s12.py:Box.size', 'pkg/s12.py:Box,pkg/s12.py:Box.total'),
-    ('s14.py:ping', 'pkg/s14.py:pong'), ('s14.py:pong', 'pkg/s14.py:ping')], 'block, called_by')}
+SELECT 'pkg' || s_suppkey || '/' || replace(block, '#', '_' || s_suppkey) AS block_id, n_callers::BIGINT AS n_callers, 'pkg' || s_suppkey || '/' || replace(first_caller, '#', '_' || s_suppkey) AS first_caller FROM supplier, {_values([
+    ('s2.py:pairs#', 1, 's11.py:run#'), ('s7.py:plain#', 1, 's13.py:outer#'), ('s12.py:Box#.total#', 1, 's12.py:Box#'), ('s12.py:Box#.size#', 2, 's12.py:Box#'),
+    ('s14.py:ping#', 1, 's14.py:pong#'), ('s14.py:pong#', 1, 's14.py:ping#')], 'block, n_callers, first_caller')}
 """)
 def called_by(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J1, A1 on blocks: who calls a block's name."""
-    names = extract(_corpus(spark, SNIPPETS + CALLING)).withColumn("block_id", F.concat("file_path", F.lit(":"), "qualified_name"))
-    return callers(names).select("block_id", F.array_join("called_by", ",").alias("called_by"))
+    """J1, A1 on blocks: how many blocks call a block's name, in a copy of the snippets for each supplier."""
+    names = extract(_corpus(table(spark, sf_dir, "supplier"), "s_suppkey", [s for s in SNIPPETS + CALLING if s[0] != 8])).withColumn("block_id", F.concat("file_path", F.lit(":"), "qualified_name"))
+    return callers(names).select("block_id", "n_callers", "first_caller")
+
+
+from . import source_queries  # noqa: E402
+
+QUERIES |= source_queries.QUERIES
+ORACLE_SQL |= source_queries.ORACLE_SQL

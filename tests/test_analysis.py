@@ -48,7 +48,45 @@ def test_ambiguous_names(spark):
     rows = [("x.py", "python", "def go(o):\n    o.f()\n"), ("y.py", "python", "class A:\n    def f(self):\n        pass\n"), ("z.py", "python", "class B:\n    def f(self):\n        pass\n")]
     blocks = pb.extract(spark.createDataFrame(rows, "file_path string, language string, content string"))
     (e,) = graph.resolve(blocks).filter("call_name = 'f' AND start_line = 2").collect()
-    assert (e.state, e.resolved, e.target, len(e.candidates), e.confidence) == ("ambiguous", False, None, 2, "low")
+    assert (e.state, e.resolved, e.target, e.candidates, e.confidence) == ("ambiguous", False, None, 2, "low")
+
+
+def test_hot_names_are_never_paired(spark):
+    """20,000 definitions of a name and 20,000 calls of it: what goes through the joins grows with their sum."""
+    from loopgauge.operators import blocks as ops
+    from loopgauge.plans.queries import as_blocks, one_call
+
+    n = 20_000
+    ids = spark.range(n)
+    rows = as_blocks(ids, stable_id=F.concat(F.lit("d"), "id"), block_id=F.concat(F.lit("d"), "id"), name=F.lit("get"), qualified_name=F.concat(F.lit("C"), "id", F.lit(".get")), file_path=F.concat(F.lit("d"), "id", F.lit(".py")), ordinal=F.col("id"))
+    rows = rows.unionByName(as_blocks(ids, stable_id=F.concat(F.lit("c"), "id"), block_id=F.concat(F.lit("c"), "id"), name=F.concat(F.lit("f"), "id"), qualified_name=F.concat(F.lit("f"), "id"), file_path=F.concat(F.lit("c"), "id", F.lit(".py")), ordinal=F.col("id"), calls=F.array(F.lit("get")), call_sites=one_call(F.lit("get"))))
+    rows = graph.cut(rows)
+    edges = graph.cut(graph.resolve(rows))
+    assert [tuple(r) for r in edges.groupBy("state", "target", "candidates", "candidate_class").count().collect()] == [("ambiguous", None, n, "name\x1fget", n)]
+    some = edges.filter("source = 'c7'")
+    assert graph.candidates_of(some, rows).count() == n
+    assert [tuple(r) for r in ops.callers(rows).groupBy("n_callers", "first_caller").count().collect()] == [(n, "c0", n)]
+    (one,) = ops.called_by(rows, spark.createDataFrame([("d5",)], "block_id string")).collect()
+    assert len(one.called_by) == n
+
+
+def test_calls_of_a_name_that_the_caller_bears(spark):
+    code = {"a.py": "def go(x):\n    x.go()\n", "b.py": "def go(y):\n    return y\n", "c.py": "def other(z):\n    z.other()\n    go(z)\n"}
+    blocks = pb.extract(project_files(spark, code))
+    name = {r.stable_id: r.file_path for r in blocks.collect()}
+    got = {(name[r.source], r.call_name): (r.state, name.get(r.target), r.candidates) for r in graph.resolve(blocks).collect()}
+    assert got == {("a.py", "go"): ("resolved", "b.py", 1), ("c.py", "other"): ("unresolved", None, 0), ("c.py", "go"): ("resolved", "b.py", 1)}  # of one full name the last stands
+
+
+def test_overlaps_by_a_sweep(spark):
+    rng = __import__("random").Random(4)
+    make = lambda n: [(f"f{rng.randrange(3)}", a, a + rng.randrange(6)) for a in (rng.randrange(80) for _ in range(n))]
+    chosen, taken = make(60), make(20)
+    frame = lambda rows: spark.createDataFrame(rows, "file_path string, start_line int, end_line int")
+    got = sorted(tuple(r) for r in project.overlapping(frame(chosen), frame(taken)).collect())
+    assert got == sorted(s for s in chosen if any(t[0] == s[0] and max(s[1], t[1]) <= min(s[2], t[2]) for t in taken)) and 0 < len(got) < 60
+    many = spark.range(300_000).select(F.lit("one").alias("file_path"), (F.col("id") * 4).alias("start_line"), (F.col("id") * 4 + 1).alias("end_line"))
+    assert project.overlapping(many.withColumn("end_line", F.col("end_line") + F.when(F.col("start_line") % 8 == 0, 3).otherwise(0)), many.filter("start_line % 8 = 4")).count() == 300_000
 
 
 def test_cycles_and_levels(spark, analysis):
