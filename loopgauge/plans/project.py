@@ -69,7 +69,9 @@ def analyse_files(
     if store is not None:
         kept = results.join(keys, "node").withColumn("created_at", F.unix_micros(F.current_timestamp()) / 1e6)
         store.save_results(kept)
-        store.replace("results", live_only(store.read("results"), blocks))
+        gone = store.read("results").join(blocks.filter(is_analyzable()).select(node_id().alias("node")), "node", "left_anti").select("node")
+        if not gone.isEmpty():
+            store.delete("results", gone, "node")
     return Analysis(blocks, edges, results.unionByName(classify.skipped(blocks)), run.computed, len(run.sent))
 
 

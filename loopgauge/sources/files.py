@@ -35,9 +35,10 @@ def kept(path: Column, ignored: tuple[str, ...] = IGNORED) -> Column:
 
 
 def decoded(raw: DataFrame, ignored: tuple[str, ...] = IGNORED) -> DataFrame:
-    """Files from (path, content binary): known language, no ignored folder, valid UTF-8. The rest is left out."""
+    """Files from (path, content binary, and modificationTime if there is one): known language, no ignored folder, valid UTF-8. The rest is left out."""
+    when = [F.col("modificationTime").alias("modified")] if "modificationTime" in raw.columns else []
     return (
-        raw.select(F.col("path").alias("file_path"), language(F.col("path")).alias("language"), "content")
+        raw.select(F.col("path").alias("file_path"), language(F.col("path")).alias("language"), "content", *when)
         .filter(F.col("language").isNotNull() & kept(F.col("file_path"), ignored))
         .withColumn("content", F.try_validate_utf8(F.col("content").cast("string"))).filter(F.col("content").isNotNull())
     )
@@ -45,4 +46,4 @@ def decoded(raw: DataFrame, ignored: tuple[str, ...] = IGNORED) -> DataFrame:
 
 def scan(spark: SparkSession, root: str, ignored: tuple[str, ...] = IGNORED) -> DataFrame:
     """All source files under root; sort by file_path where an order matters."""
-    return decoded(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "content"), ignored)
+    return decoded(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "content", "modificationTime"), ignored)

@@ -1,13 +1,15 @@
 """Tables of an analysis on disk as Parquet: keep-latest upserts, replacement, deletion, runs and the result cache.
 
-A write goes to a new version folder and becomes current when its name is added to the versions log (a Spark text write), so a lost executor never leaves a
-half-written table.
+A write goes to a folder of its own and counts once its commit is in the table's log, so a lost executor never leaves a half-written table.
 """
 
 from __future__ import annotations
 
+import json
+import os
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,44 +31,138 @@ def without(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return rows.join(ids.select(key), key, "left_anti")
 
 
+class Conflict(RuntimeError):
+    """Another writer has committed first."""
+
+
 class Store:
-    """Tables in a folder; each has a log of versions."""
+    """Tables in a folder. Each is a log of numbered commits: replacements, upserts and deletions, each with a folder of its own rows.
+
+    A write costs what it brings: an upsert adds its rows and a deletion its ids, and reading merges them, newest first. After MERGE such commits
+    a table is written anew. A commit is a small file that is created only if its number is free, so of two writers each gets a number and neither is lost.
+    """
+
+    #: Commits that reading merges at most, before a writer puts one table in their place.
+    MERGE = 16
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _versions(self, name: str) -> DataFrame:
-        return self.spark.read.schema("at long, folder string").json(f"{self.root}/{name}/versions")
+    def _fs(self, path: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
     def exists(self, name: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/versions")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        fs, path = self._fs(f"{self.root}/{name}/log")
+        return fs.exists(path)
 
-    def read(self, name: str) -> DataFrame | None:
+    def _log(self, name: str) -> list[tuple[int, dict]]:
+        """Commits from the last replacement on."""
         if not self.exists(name):
-            return None
-        folder = self._versions(name).orderBy(F.desc("at")).first().folder
-        return self.spark.read.parquet(f"{self.root}/{name}/{folder}")
+            return []
+        rows = self.spark.read.text(f"{self.root}/{name}/log", wholetext=True).select("_metadata.file_name", "value").collect()
+        log = sorted((int(r.file_name), json.loads(r.value)) for r in rows)
+        last = max((i for i, (_, c) in enumerate(log) if c["kind"] == "replace"), default=0)
+        return log[last:]
+
+    def _commit(self, name: str, number: int, commit: dict) -> None:
+        """Creates the commit's file, or raises Conflict where the number is taken."""
+        fs, path = self._fs(f"{self.root}/{name}/log/{number:012d}")
+        data = json.dumps(commit)
+        fs.mkdirs(path.getParent())
+        if fs.getScheme() == "file":  # Hadoop's own local files know no exclusive creation
+            target = path.toUri().getPath()
+            beside = f"{os.path.dirname(os.path.dirname(target))}/.{uuid.uuid4().hex}"
+            with open(beside, "w") as f:
+                f.write(data)
+            try:
+                os.link(beside, target)
+            except FileExistsError as e:
+                raise Conflict(f"{name}: commit {number} is taken") from e
+            finally:
+                os.remove(beside)
+            return
+        try:
+            out = fs.create(path, False)
+        except Py4JJavaError as e:
+            if not fs.exists(path):
+                raise
+            raise Conflict(f"{name}: commit {number} is taken") from e
+        out.write(bytearray(data.encode()))
+        out.close()
+
+    def _add(self, name: str, rows: DataFrame, **commit) -> int:
+        """Writes rows and commits them under the next free number."""
+        folder = f"d-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.root}/{name}/{folder}")
+        while True:
+            log = self._log(name)
+            number = log[-1][0] + 1 if log else 1
+            try:
+                self._commit(name, number, {**commit, "folder": folder})
+                return number
+            except Conflict:
+                continue
+
+    def _rows(self, name: str, commit: dict) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/{name}/{commit['folder']}")
+
+    def read(self, name: str) -> DataFrame | None:
+        return self._merged(name, self._log(name))
+
+    def _merged(self, name: str, log: list[tuple[int, dict]]) -> DataFrame | None:
+        state, fresh = None, []  # fresh: upserts of the same keys that no deletion parts
+
+        def merged() -> DataFrame:
+            if not fresh:
+                return state
+            keys = fresh[0][1]["keys"]
+            parts = ([state.withColumn("_at", F.lit(0).cast("long"))] if state is not None else []) + [self._rows(name, c).withColumn("_at", F.lit(n).cast("long")) for n, c in fresh]
+            whole = parts[0]
+            for p in parts[1:]:
+                whole = whole.unionByName(p, allowMissingColumns=True)
+            columns = [c for c in whole.columns if c != "_at"]
+            return whole.groupBy(*keys).agg(F.max_by(F.struct(*columns), "_at").alias("_row")).select("_row.*")
+
+        for n, c in log:
+            if fresh and (c["kind"] != "upsert" or c["keys"] != fresh[0][1]["keys"]):
+                state, fresh = merged(), []
+            if c["kind"] == "replace":
+                state = self._rows(name, c)
+            elif c["kind"] == "upsert":
+                fresh.append((n, c))
+            elif state is not None:
+                state = state.limit(0) if c["everything"] else without(state, self._rows(name, c), c["key"])
+        return merged()
 
     def replace(self, name: str, rows: DataFrame) -> None:
-        at = (self._versions(name).agg(F.max("at")).first()[0] or 0) + 1 if self.exists(name) else 1
-        folder = f"v{at}-{uuid.uuid4().hex[:8]}"
-        rows.write.parquet(f"{self.root}/{name}/{folder}")
-        self.spark.createDataFrame([(at, folder)], "at long, folder string").coalesce(1).write.mode("append").json(f"{self.root}/{name}/versions")
+        self._add(name, rows, kind="replace")
 
     def upsert(self, name: str, rows: DataFrame, keys: list[str]) -> None:
         """New rows win over stored ones of the same key; of equal new keys one stays."""
-        old, fresh = self.read(name), rows.dropDuplicates(keys)
-        if old is not None:
-            fresh = old.join(fresh.select(*keys), keys, "left_anti").unionByName(fresh, allowMissingColumns=True)
-        self.replace(name, fresh)
+        self._add(name, rows.dropDuplicates(keys), kind="upsert", keys=keys)
+        self.compact(name)
 
     def delete(self, name: str, ids: DataFrame | None, key: str) -> None:
         """Deletes the rows with these ids; without ids, or with none, all rows."""
-        old = self.read(name)
-        if old is not None:
+        if self.exists(name):
             everything = ids is None or ids.limit(1).count() == 0
-            self.replace(name, old.limit(0) if everything else without(old, ids, key))
+            rows = self.spark.createDataFrame([], "none int") if everything else ids.select(key).distinct()
+            self._add(name, rows, kind="delete", key=key, everything=everything)
+            self.compact(name)
+
+    def compact(self, name: str, least: int | None = None) -> None:
+        """Puts one table in the place of the commits, if there are more than `least`; a commit that comes in between wins."""
+        log = self._log(name)
+        if len(log) <= (self.MERGE if least is None else least):
+            return
+        folder = f"d-{uuid.uuid4().hex}"
+        self._merged(name, log).write.parquet(f"{self.root}/{name}/{folder}")
+        try:
+            self._commit(name, log[-1][0] + 1, {"kind": "replace", "folder": folder})
+        except Conflict:
+            fs, path = self._fs(f"{self.root}/{name}/{folder}")
+            fs.delete(path, True)
 
     def delete_files(self, paths: DataFrame) -> None:
         """Deletes files (file_path) and all that hangs on them: blocks, their features and edges, then results and reviews of blocks that are gone."""
@@ -88,7 +184,8 @@ class Store:
     def save_index(self, files: DataFrame, blocks: DataFrame, run_id: str) -> None:
         """Files, blocks without their text, and features apart."""
         wrong = blocks.groupBy("file_path").agg(F.max("error_state").alias("has_error"))
-        self.upsert("files", files.drop("content").join(wrong, "file_path", "left").withColumns({"has_error": F.coalesce("has_error", F.lit(False)), "run_id": F.lit(run_id)}), ["file_path"])
+        facts = files.withColumns({"size": F.octet_length("content").cast("long"), "content_hash": F.sha1("content")})
+        self.upsert("files", facts.drop("content").join(wrong, "file_path", "left").withColumns({"has_error": F.coalesce("has_error", F.lit(False)), "run_id": F.lit(run_id)}), ["file_path"])
         inside = blocks.join(files.select("file_path").distinct(), "file_path", "left_semi")
         facts = ["parameters", "calls", "loop_count", "max_loop_depth", "loops", "call_sites", "branches", "container_operations", "imports", "defined_symbols", "local_symbols"]
         self.upsert("blocks", inside.drop("source", *facts).withColumn("run_id", F.lit(run_id)), ["stable_id"])

@@ -15,7 +15,7 @@ def watch(spark: SparkSession, root: str, store: Store, checkpoint: str, availab
     raw = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").load(root)
 
     def save(batch: DataFrame, number: int) -> None:
-        files = decoded(batch.select("path", "content"))
+        files = decoded(batch.select("path", "content", "modificationTime"))
         store.save_index(files, extract(files), f"stream-{number}")
 
     writer = raw.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
