@@ -152,18 +152,28 @@ class Graph:
     def of(cls, blocks: DataFrame, edges: DataFrame) -> Graph:
         edges = graph.cut(edges)
         cycles = graph.cut(graph.strongly_connected(edges.filter("edge_type = 'CALLS' AND resolved")))
-        facts = graph.cut(features(blocks, edges, cycles).dropDuplicates(["node"]))
+        facts = graph.cut(both_ways(features(blocks, edges, cycles).dropDuplicates(["node"])))
         flow = graph.flow_of(blocks, edges, cycles)
         return cls(facts, graph.cut(edges.filter("edge_type = 'CALLS'").join(flow, ["source", "target"], "left_semi")), flow)
 
 
+def both_ways(facts: DataFrame) -> DataFrame:
+    """facts with what the local rules say of each block, `quiet` without and `busy` with known calls into the project: the rules look at nothing else of the callees."""
+    verdict = F.struct("complexity", "confidence", "needs_review", "rule", "flags")
+    quiet = local_rules(facts.withColumn("_flags", F.col("base_flags"))).withColumn("quiet", verdict)
+    again = quiet.drop("complexity", "confidence", "needs_review", "rule", "flags", "hit").withColumn("base_flags", F.col("_flags"))
+    busy = local_rules(again, F.lit(1)).withColumn("busy", verdict)
+    return busy.drop("complexity", "confidence", "needs_review", "rule", "flags", "hit").withColumnRenamed("_flags", "base_flags")
+
+
 def evaluate(now: DataFrame, calls: DataFrame, known: DataFrame | None) -> DataFrame:
-    """RESULT of facts `now`, given the results (node, complexity) of the blocks they call."""
+    """Results of facts `now` of both_ways(), given the results (node, complexity) of the blocks they call."""
     if known is None:
         costs = now.select("node", F.lit(0).alias("project_calls"), F.lit(None).cast("string").alias("callee_max"), F.lit(False).alias("no_product"), F.lit(False).alias("has_while"))
     else:
         costs = call_costs(now, calls.join(now.select(F.col("node").alias("source")), "source", "left_semi"), known)
-    return merge(local_rules(now.join(costs, "node", "left"), F.col("project_calls")))
+    local = now.join(costs, "node", "left").withColumn("v", F.when(F.coalesce("project_calls", F.lit(0)) > 0, F.col("busy")).otherwise(F.col("quiet")))
+    return merge(local.select("*", "v.*"))
 
 
 def settled(done: DataFrame, sent: list[str]) -> DataFrame:
@@ -208,7 +218,9 @@ class Run:
                 told = flow.join(self._other(known), "target", "left_semi").select(F.col("source").alias("node")) if known.parts else changed
                 todo = graph.cut(here.join(changed.unionByName(told), "node", "left_semi"))
                 known.add(self.old.join(here.join(todo, "node", "left_anti"), "node", "left_semi"))
-            known.add(self._level(facts.join(todo, "node", "left_semi"), known.read()))
+            seen = Observation()
+            known.add(self._level(facts.join(todo, "node", "left_semi"), known.read()).observe(seen, F.count("*").alias("n")))
+            self.computed += seen.get.get("n") or 0
         return known.read()
 
     def _other(self, known: graph.Growing) -> DataFrame:
@@ -216,15 +228,16 @@ class Run:
         now = known.read().select("node", "complexity").join(self.before, "node", "left")
         return now.filter(~(F.coalesce("known", F.lit(False)) & F.col("complexity").eqNullSafe(F.col("was")))).select(F.col("node").alias("target"))
 
-    def _level(self, now: DataFrame, known: DataFrame) -> DataFrame:
-        seen = Observation()
-        done = graph.cut(evaluate(now, self.found.calls, known).observe(seen, F.count("*").alias("n")))
-        self.computed += seen.get["n"]
+    def _level(self, now: DataFrame, known: DataFrame | None) -> DataFrame:
+        """Results of a level; how many are counted when they are written."""
+        done = evaluate(now, self.found.calls, known)
         if not self.fallback:
             return done.select(*RESULT, F.lit("rule").alias("analyzer_kind"))
-        left = self.budget - len(self.sent)
-        now_sent = [r.node for r in done.filter(needs_scoring()).orderBy("file_path", "ordinal").limit(left).select("node").collect()] if left > 0 else []
-        self.sent += now_sent
+        left, now_sent = self.budget - len(self.sent), []
+        if left > 0:
+            done = graph.cut(done)
+            now_sent = [r.node for r in done.filter(needs_scoring()).orderBy("file_path", "ordinal").limit(left).select("node").collect()]
+            self.sent += now_sent
         return settled(done, now_sent)
 
 
