@@ -1,9 +1,12 @@
 """Quality, language and licenses."""
 
 import re
+import struct
 import zlib
 
 import numpy as np
+import xxhash
+import zstandard
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -185,3 +188,61 @@ def test_repeated_ids_do_not_swell_the_fit(spark, monkeypatch):
     got = quality.scored(docs, quality.fit(docs, labels)).groupBy((F.col("doc_id") % 2).alias("good")).agg(F.avg("score").alias("s")).collect()
     by = {r.good: r.s for r in got}
     assert by[1] > 0.7 > 0.3 > by[0]
+
+
+def ungated(text):
+    """Labels and best confidence by trying every rule at every place, and comparing every pair of intervals."""
+    words = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", bytes(c + 32 if 65 <= c <= 90 else c for c in (text or "").encode("utf-8", "replace")))
+    line = b" " + b" ".join(words) + b" "
+    hits = []
+    for i, rule in enumerate(SCANNER.rules):
+        at = 0
+        while m := rule.regex.search(line, at):
+            hits.append((rule.priority, -m[0].count(b" "), line[: m.start()].count(b" ") - 1, i, line[: m.end()].count(b" ") - 1))
+            at = m.start() + 1 if rule.priority == 0 else m.end()
+    kept = []
+    for priority, _, first, i, last in sorted(hits):
+        if priority == 0 or not any(a <= first and last <= z for a, z, _ in kept):
+            kept.append((first, last, i))
+    return sorted({SCANNER.rules[i].label for _, _, i in kept}), max((SCANNER.rules[i].confidence for _, _, i in kept), default=0.0)
+
+
+def test_op3_against_an_ungated_scan(spark, sf):
+    texts = {r.doc_id: r.text for r in common.table(spark, sf, "documents").collect()}
+    rows = licenses.op3(spark, sf).collect()
+    assert len(rows) == len(texts) and len({r.labels for r in rows}) > 2
+    for r in rows:
+        labels, score = ungated(texts[r.doc_id])
+        assert (r.labels, r.score) == (",".join(labels), score)
+
+
+@given(st.lists(st.sampled_from(PARTS), max_size=10).map(" ".join))
+def test_labels_of_any_text(text):
+    got = SCANNER.scan(text)
+    assert sorted({d[2] for d in got["detections"]} | {b[1] for b in got["base"]}) == ungated(text)[0]
+
+
+def spark_hash(*values):
+    """Spark's xxhash64 of whole numbers: each value's hash is the seed of the next; short ones are 4 bytes."""
+    h = 42
+    for v, short in values:
+        h = xxhash.xxh64_intdigest(struct.pack("<i" if short else "<q", v), seed=h)
+    return h - 2**64 if h >= 2**63 else h
+
+
+def test_op1_against_a_plain_run(spark, sf):
+    texts = {r.doc_id: r.text for r in common.table(spark, SF, "documents").collect()}
+    labels = [(r.doc_id, r.quality) for r in common.table(spark, SF, "labels").collect() if not held(r.doc_id) and r.quality in (0, 1)]
+    half = lambda salt: [(d, q) for d, q in labels if spark_hash((d, False)) % 2 == salt]
+    samples = {q: [p for *_, p in sorted((spark_hash((d, False), (i, True)), d, i, p) for d, k in half(0) if k == q and d in texts for i, p in enumerate(quality.blocks(texts[d])))] for q in (0, 1)}
+    coders = {}
+    for q, parts in samples.items():
+        assert 0 < len(parts) <= quality.DICT_BLOCKS
+        coders[q] = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(quality.build_dictionary(parts)), write_content_size=False, write_checksum=False, write_dict_id=False)
+    gain = lambda t: sum(len(coders[0].compress(p)) - len(coders[1].compress(p)) for p in quality.blocks(t)) / max(1, len((t or "").encode()))
+    x = np.array([[gain(texts[d]), q] for d, q in half(1) if d in texts])
+    a, b = quality.fit_curve(x[:, 0], x[:, 1].astype(int))
+    rows = quality.op1(spark, SF).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert abs(r.score - 1 / (1 + np.exp(-(a + b * gain(texts[r.doc_id]))))) < 1e-6
