@@ -185,8 +185,13 @@ def settled(done: DataFrame, sent: list[str]) -> DataFrame:
     )
 
 
+def _classes(ranks: DataFrame) -> DataFrame:
+    """(node, complexity) of (node, value), values being ranks; null below 0."""
+    return ranks.select("node", F.when(F.col("value") >= 0, F.array(*[F.lit(c) for c in lattice.CLASSES])[F.col("value")]).alias("complexity"))
+
+
 class Run:
-    """Results of a graph, level by level: callees before callers.
+    """Results of a graph, callees before callers: all at once, or level by level where a budget or an old run goes by the order.
 
     fallback: uncertain blocks get a conservative class at once, and callers see it; the first `budget` of them in processing order (level, then place in the source)
     keep the rules' class and are left in `sent` for an estimator. old: results of the last run of the same nodes; those that are `usable` are taken.
@@ -200,7 +205,9 @@ class Run:
             before = graph.cut(old.select(*RESULT, "analyzer_kind", "usable").dropDuplicates(["node"]))
             self.old, self.before = before.filter("usable").drop("usable"), before.select("node", F.col("complexity").alias("was"), F.lit(True).alias("known"))
 
-    def results(self) -> DataFrame:
+    def results(self) -> DataFrame | None:
+        if self.old is None and not self.budget:
+            return self._at_once()
         facts, flow = self.found.facts, self.found.flow
         nodes = facts.select("node")
         changed = nodes
@@ -223,6 +230,36 @@ class Run:
             self.computed += seen.get.get("n") or 0
         return known.read()
 
+    def _outcome(self, now: DataFrame, calls: DataFrame, known: DataFrame | None) -> DataFrame:
+        done = evaluate(now, calls, known)
+        return settled(done, []) if self.fallback else done.select(*RESULT, F.lit("rule").alias("analyzer_kind"))
+
+    def _at_once(self) -> DataFrame | None:
+        """Results of all blocks: they look at nothing but the ranks of the classes they call, so ranks alone go through the graph, chains of calls in one step."""
+        facts, calls = self.found.facts, self.found.calls
+        ranks = graph.settle(facts.select("node"), self.found.flow, self._ranks, self._choices, lambda step, then: F.transform(then, lambda x: step[x + 1]), lambda step, value: step[value + 1])
+        if ranks is None:
+            return None
+        self.computed = facts.count()
+        return graph.cut(self._outcome(facts, calls, _classes(ranks)))
+
+    def _ranks(self, ready: DataFrame, known: DataFrame | None) -> DataFrame:
+        now = self.found.facts.join(ready, "node", "left_semi")
+        return self._outcome(now, self.found.calls, None if known is None else _classes(known)).select("node", lattice.rank("complexity").alias("value"))
+
+    def _choices(self, waiting: DataFrame, known: DataFrame | None) -> DataFrame:
+        """(node, step): the rank of each block waiting for one callee, for each rank that this may get, from none (-1) on: blocks and callees are tried once for each."""
+        ranks = F.explode(F.sequence(F.lit(-1), F.lit(len(lattice.CLASSES) - 1))).alias("r")
+        tried = waiting.select("node", F.col("target").alias("open"), ranks)
+        marked = lambda c: F.concat(c, F.lit("\x01"), F.col("r").cast("string"))
+        now = self.found.facts.join(tried, "node").withColumn("node", marked(F.col("node"))).drop("open", "r")
+        calls = self.found.calls.join(tried.withColumnRenamed("node", "source"), "source").withColumn("target", F.when(F.col("target") == F.col("open"), marked(F.col("target"))).otherwise(F.col("target")))
+        calls = calls.withColumn("source", marked(F.col("source"))).drop("open", "r")
+        guessed = waiting.select(F.col("target")).distinct().select("target", ranks).select(marked(F.col("target")).alias("node"), F.col("r").alias("value"))
+        done = self._outcome(now, calls, _classes(guessed if known is None else guessed.unionByName(known)))
+        tries = F.struct(F.regexp_extract("node", "\x01(-?[0-9]+)$", 1).cast("int").alias("r"), lattice.rank("complexity").alias("value"))
+        return done.groupBy(F.regexp_replace("node", "\x01-?[0-9]+$", "").alias("node")).agg(F.transform(F.array_sort(F.collect_list(tries)), lambda x: x["value"]).alias("step"))
+
     def _other(self, known: graph.Growing) -> DataFrame:
         """(target): blocks whose class is not what it was, or was not known."""
         now = known.read().select("node", "complexity").join(self.before, "node", "left")

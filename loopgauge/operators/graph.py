@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -189,10 +190,49 @@ def sites_of_edges(blocks: DataFrame, edges: DataFrame) -> DataFrame:
     return in_order(edges.filter("edge_type = 'CALLS'"), sites, ["source", "call_name"], [F.col("site")], [F.col("at")])
 
 
+def along(links: DataFrame, compose: Callable[[Column, Column], Column]) -> DataFrame:
+    """links (node, target, step), one for each node, after each has gone on along the links that follow it: target is then a node without a link, step the
+    composition of the steps on the way. Each round doubles the length. On rings of links no target is the last; there it ends once the steps stay, which must be
+    the smallest of something then.
+    """
+    links, before = cut(links.select("node", "target", "step")), None
+    while True:
+        on = links.select(F.col("node").alias("target"), F.col("target").alias("far"), F.col("step").alias("then"))
+        further, step = F.col("far").isNotNull(), F.when(F.col("far").isNotNull(), compose(F.col("step"), F.col("then"))).otherwise(F.col("step"))
+        seen = Observation()
+        moved = links.join(on, "target", "left").withColumn("next", step).observe(seen, F.count_if(further).alias("n"), F.count_if(~F.col("next").eqNullSafe(F.col("step"))).alias("changed"))
+        links = cut(moved.select("node", F.coalesce("far", "target").alias("target"), F.col("next").alias("step")))
+        n = seen.get.get("n")
+        if not n or (n == before and not seen.get.get("changed")):
+            return links
+        before = n
+
+
+def lone(edges: DataFrame, node: str = "source", other: str = "target") -> DataFrame:
+    """(node, target) of nodes with one edge."""
+    ends = edges.groupBy(F.col(node).alias("node")).agg(F.count("*").alias("n"), F.max(other).alias("target"))
+    return ends.filter("n = 1").select("node", "target")
+
+
+def leading_on(edges: DataFrame) -> DataFrame:
+    """Edges (source, target) from whose target a cycle is reached. Nodes without a way out go, and with them all that hang on one by a chain of nodes with one way out."""
+    while True:
+        ends = cut(edges.select(F.col("target").alias("node")).distinct().join(edges.select(F.col("source").alias("node")), "node", "left_anti"))
+        if ends.isEmpty():
+            return edges
+        chains = along(lone(edges).withColumn("step", F.lit(0)), F.least)
+        dead = ends.unionByName(chains.join(ends.withColumnRenamed("node", "target"), "target", "left_semi").select("node"))
+        edges = cut(edges.join(dead.withColumnRenamed("node", "target"), "target", "left_anti").select("source", "target"))
+
+
+def turned(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("target").alias("source"), F.col("source").alias("target"))
+
+
 def strongly_connected(edges: DataFrame) -> DataFrame:
     """(node, component) of nodes on cycles of edges (source, target): groups of several nodes and self loops; component is the smallest node.
 
-    Rounds of colouring. The smallest label that reaches each node goes forward along the edges; among nodes of one
+    What no cycle leads to or from goes first. Then rounds of colouring: the smallest label that reaches each node goes forward along the edges; among nodes of one
     label those that reach the label's node form a component. Edges between different labels lie on no cycle and go, so
     the rest is smaller in every round and done when no edge is left.
     """
@@ -200,15 +240,13 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
     out = left.filter("source = target").select(F.col("source").alias("node"), F.col("source").alias("component"))
     left = left.filter("source <> target")
     while True:
-        # a node without way in or out is on no cycle
-        left = cut(left.join(left.select(F.col("source").alias("target")).distinct(), "target", "left_semi").join(left.select(F.col("target").alias("source")).distinct(), "source", "left_semi").select("source", "target"))
+        left = turned(leading_on(turned(leading_on(cut(left)))))
         if left.isEmpty():
             break
         colour = spread(left, left.select(F.explode(F.array("source", "target")).alias("node")).distinct().withColumn("label", F.col("node")))
         of = lambda end, name: colour.select(F.col("node").alias(end), F.col("label").alias(name))
         same = cut(left.join(of("source", "a"), "source").join(of("target", "b"), "target").filter("a = b").select("source", "target"))
-        back = same.select(F.col("target").alias("source"), F.col("source").alias("target"))
-        reached = spread(back, colour.select("node", F.when(F.col("node") == F.col("label"), F.col("node")).alias("label"))).filter("label IS NOT NULL")
+        reached = spread(turned(same), colour.select("node", F.when(F.col("node") == F.col("label"), F.col("node")).alias("label"))).filter("label IS NOT NULL")
         several = reached.join(reached.groupBy("label").agg(F.count("*").alias("n")).filter("n > 1"), "label")
         out = cut(out.unionByName(several.select("node", F.col("label").alias("component"))))
         done = reached.select("node")
@@ -217,15 +255,63 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
 
 
 def spread(edges: DataFrame, values: DataFrame) -> DataFrame:
-    """values (node, label) after the smallest label has gone along all edges (source, target) as far as it gets: a table for each step."""
+    """values (node, label) after the smallest label has gone along all edges (source, target) as far as it gets.
+
+    Chains of nodes with one way in are taken at once: each has the smallest label on the way from the chain's head, and the head's. The heads get theirs by a round for each step between them.
+    """
     values = cut(values)
+    chains = cut(along(lone(edges, "target", "source").join(values.withColumnRenamed("label", "step"), "node"), F.least))
+    heads = values.join(chains, "node", "left_anti")
+    # a chain's members pass on the smallest label on their way at once, the head's follows
+    ends = cut(edges.join(chains.select(F.col("node").alias("target")), "target", "left_anti").join(chains.select(F.col("node").alias("source"), F.col("target").alias("head"), "step"), "source", "left"))
+    first = ends.groupBy(F.col("target").alias("node")).agg(F.min("step").alias("step"))
+    top = cut(heads.join(first, "node", "left").select("node", F.least("label", "step").alias("label")))
+    between = cut(ends.select(F.coalesce("head", "source").alias("source"), "target").distinct())
     while True:
-        offers = edges.join(values.select(F.col("node").alias("source"), F.col("label").alias("offer")), "source").groupBy(F.col("target").alias("node")).agg(F.min("offer").alias("offer"))
+        offers = between.join(top.select(F.col("node").alias("source"), F.col("label").alias("offer")), "source").groupBy(F.col("target").alias("node")).agg(F.min("offer").alias("offer"))
         better = F.coalesce(F.col("offer") < F.col("label"), F.col("label").isNull() & F.col("offer").isNotNull())
         seen = Observation()
-        values = cut(values.join(offers, "node", "left").observe(seen, F.count_if(better).alias("n")).select("node", F.least("label", "offer").alias("label")))
+        top = cut(top.join(offers, "node", "left").observe(seen, F.count_if(better).alias("n")).select("node", F.least("label", "offer").alias("label")))
         if not seen.get.get("n"):
-            return values
+            break
+    inner = chains.join(top.withColumnRenamed("node", "target"), "target", "left").select("node", F.least("step", "label").alias("label"))
+    return cut(top.unionByName(inner))
+
+
+def settle(
+    nodes: DataFrame, flow: DataFrame, value: Callable[[DataFrame, DataFrame | None], DataFrame], choice: Callable[[DataFrame, DataFrame | None], DataFrame],
+    compose: Callable[[Column, Column], Column], apply: Callable[[Column, Column], Column],
+) -> DataFrame | None:
+    """(node, value) of nodes that depend on those they call, by edges (source, target) without cycles; none without nodes.
+
+    value(ready, known): values of nodes (node) whose callees are all known. choice(open, known): for nodes that wait for one callee (node, target), what their value
+    depends on that one's by: (node, step). apply(step, value) is that value, compose(step, then) the step over two links. Each round does
+    the nodes whose callees are known, and joins chains of nodes that wait for one callee each to a single step, so a chain takes as many rounds as its length has binary digits.
+    """
+    left, known, hung = cut(nodes.select("node").distinct()), Growing(nodes.sparkSession), None
+    inside = lambda end: left.select(F.col("node").alias(end))
+    waiting = cut(flow.join(inside("source"), "source", "left_semi").join(inside("target"), "target", "left_semi").select("source", "target").distinct())
+    while not left.isEmpty():
+        ready = cut(left.join(waiting.select(F.col("source").alias("node")), "node", "left_anti"))
+        if ready.isEmpty():
+            raise ValueError("the edges have a cycle")
+        new = cut(value(ready, known.read()).select("node", "value"))
+        if hung is not None:
+            freed = hung.join(new.select(F.col("node").alias("target"), "value"), "target")
+            new = cut(new.unionByName(freed.select("node", apply(F.col("step"), F.col("value")).alias("value"))))
+            hung = cut(hung.join(new.select("node"), "node", "left_anti"))
+        known.add(new)
+        left = cut(left.join(new, "node", "left_anti"))
+        waiting = cut(waiting.join(new.select(F.col("node").alias("target")), "target", "left_anti").select("source", "target"))
+        chained = cut(lone(waiting))
+        behind = chained.select("node") if hung is None else chained.select("node").unionByName(hung.select("node"))
+        if chained.join(behind.withColumnRenamed("node", "target"), "target", "left_semi").isEmpty():
+            continue
+        steps = chained.join(choice(chained, known.read()), "node").select("node", "target", "step")
+        hung = along(steps if hung is None else steps.unionByName(hung.select("node", "target", "step")), compose)
+        left = cut(left.join(chained, "node", "left_anti"))
+        waiting = cut(waiting.join(chained.select(F.col("node").alias("source")), "source", "left_anti").select("source", "target"))
+    return known.read()
 
 
 def upward(edges: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -257,41 +343,37 @@ def flow_of(blocks: DataFrame, edges: DataFrame, cycles: DataFrame) -> DataFrame
 def levels_of(nodes: DataFrame, flow: DataFrame) -> DataFrame:
     """(node, level) of nodes, callees before callers, by edges (source, target) without cycles between them."""
     inner = flow.join(nodes.select(F.col("node").alias("source")), "source", "left_semi").join(nodes.select(F.col("node").alias("target")), "target", "left_semi")
-    return _levels(nodes.select("node"), cut(inner), 0)[0]
+    inner = cut(inner.select("source", "target").distinct())
+
+    def above(some: DataFrame, known: DataFrame | None) -> DataFrame:
+        """(node, least): one more than the highest level of the known callees."""
+        if known is None:
+            return some.select("node", F.lit(0).alias("least"))
+        calls = inner.join(known.select(F.col("node").alias("target"), "value"), "target").groupBy(F.col("source").alias("node")).agg((F.max("value") + 1).alias("least"))
+        return some.join(calls, "node", "left").select("node", F.coalesce("least", F.lit(0)).alias("least"))
+
+    found = settle(
+        nodes, inner, lambda ready, known: above(ready, known).withColumnRenamed("least", "value"),
+        lambda open_, known: above(open_, known).select("node", F.struct("least", F.lit(1).alias("more")).alias("step")),
+        lambda step, then: F.struct(F.greatest(step["least"], then["least"] + step["more"]).alias("least"), (step["more"] + then["more"]).alias("more")),
+        lambda step, value: F.greatest(step["least"], value + step["more"]),
+    )
+    return nodes.select("node", F.lit(0).alias("level")) if found is None else found.select("node", F.col("value").alias("level"))
 
 
 def processing_levels(blocks: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(levels, deps). levels: (node, level), callees before callers. deps: (source, target) that a result can flow along.
 
-    Nodes whose callees are all placed get the next level. What is left lies on or above a cycle and is handled in source order: only callees that
-    come earlier there count, so the remaining edges have no cycle and are levelled the same way.
+    Nodes on no cycle and above none get their levels first. The others follow in source order: only callees that come earlier there count, so the remaining edges have no cycle.
     """
-    nodes = cut(blocks.filter(is_analyzable()).select(node_id().alias("node"), "file_path", "ordinal").dropDuplicates(["node"]))
-    flow = edges.filter("edge_type = 'CALLS' AND resolved AND target IS NOT NULL").select("source", "target").distinct()
-    flow = cut(flow.join(nodes.select(F.col("node").alias("source")), "source", "left_semi").join(nodes.select(F.col("node").alias("target")), "target", "left_semi"))
-    placed, free, level = _levels(nodes.select("node"), flow, 0)
-    rest = nodes.join(placed, "node", "left_anti")
-    if free:
-        order = cut(rest.select("node", F.struct("file_path", "ordinal").alias("pos")))
-        a, b = (order.select(F.col("node").alias(x), F.col("pos").alias(p)) for x, p in (("source", "ps"), ("target", "pt")))
-        inner = flow.join(a, "source").join(b, "target")
-        forward = cut(inner.filter("pt < ps").select("source", "target"))
-        late, _, _ = _levels(rest.select("node"), forward, level)
-        flow = cut(flow.join(inner.select("source", "target"), ["source", "target"], "left_anti").unionByName(forward))
-        placed = placed.unionByName(late)
-    return cut(placed), flow
-
-
-def _levels(nodes: DataFrame, flow: DataFrame, level: int) -> tuple[DataFrame, int, int]:
-    """(levelled nodes, how many could not be levelled, next level)."""
-    nodes, waiting, placed = cut(nodes), flow, None
-    while True:
-        ready = cut(nodes.join(waiting.select(F.col("source").alias("node")).distinct(), "node", "left_anti"))
-        n = ready.count()
-        now = ready.select("node", F.lit(level).alias("level"))
-        placed = now if placed is None else placed.unionByName(now)
-        if not n:
-            return cut(placed), nodes.count(), level
-        nodes = cut(nodes.join(ready, "node", "left_anti"))
-        waiting = cut(waiting.join(ready.withColumnRenamed("node", "target"), "target", "left_anti").select("source", "target"))
-        level += 1
+    nodes = cut(blocks.filter(is_analyzable()).select(node_id().alias("node")).distinct())
+    calls = edges.filter("edge_type = 'CALLS' AND resolved")
+    cycles = cut(strongly_connected(calls.join(nodes.select(F.col("node").alias("source")), "source", "left_semi").join(nodes.select(F.col("node").alias("target")), "target", "left_semi")))
+    flow = flow_of(blocks, edges, cycles)
+    if cycles.isEmpty():
+        return levels_of(nodes, flow), flow
+    stuck = upward(calls.filter("target IS NOT NULL").join(nodes.select(F.col("node").alias("source")), "source", "left_semi"), cycles)
+    placed = cut(levels_of(nodes.join(stuck, "node", "left_anti"), flow))
+    top = placed.agg(F.max("level")).first()[0]
+    late = levels_of(stuck, flow).select("node", (F.col("level") + F.lit(0 if top is None else top + 1)).alias("level"))
+    return placed.unionByName(late), flow
