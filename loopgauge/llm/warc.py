@@ -2,8 +2,8 @@
 
 1. Every scan task writes its rows as response records into one gzip stream (a monolithic file).
 2. The keys (payload digest, page) of those records meet in one join that names for each record the page
-   whose record it revisits, if any; payloads are never shuffled.
-3. The normaliser inflates each file once, rewrites every record as a gzip member of its own (revisits without
+   whose record it revisits, if any, in which a page that stands very often stays where it is; payloads are never shuffled.
+3. The normaliser inflates each file once, one gzip member or several, a piece at a time, rewrites every record as a gzip member of its own (revisits without
    payload) and writes a sidecar index of offsets.
 4. Reading goes through the index, member by member.
 
@@ -75,6 +75,26 @@ class Records:
             raise ValueError("the archive ends inside a record")
 
 
+def inflated(src):
+    """The bytes of a gzip file of one or more members, in pieces of at most CHUNK; zeros may follow a member."""
+    inflate, begun = zlib.decompressobj(31), False
+    while data := src.read(CHUNK):
+        while data:
+            if not begun and not (data := data.lstrip(b"\0")):
+                break
+            begun = True
+            if piece := inflate.decompress(data, CHUNK):
+                yield piece
+            data = inflate.unconsumed_tail
+            if inflate.eof:
+                data, inflate, begun = inflate.unused_data, zlib.decompressobj(31), False
+    if begun:
+        if piece := inflate.flush():
+            yield piece
+        if not inflate.eof:
+            raise ValueError("the gzip stream is cut short")
+
+
 def payload_of(block: bytes) -> bytes:
     return block[block.index(b"\r\n\r\n") + 4 :]
 
@@ -119,14 +139,14 @@ def normalise(files: DataFrame, folder: str) -> DataFrame:
             for source, revisits in zip(b["file"].to_pylist(), b["revisits"].to_pylist(), strict=True):
                 refers, n, at = {r["seq"]: r["refers_to"] for r in revisits}, 0, 0
                 name = source.replace("whole-", "records-").removesuffix(".warc.gz") + f"-{uuid.uuid4().hex[:8]}.warc.gz"
-                inflate, records = zlib.decompressobj(31), Records()
+                records = Records()
                 with (
                     fs.open_input_stream(f"{base}/whole/{source}", compression=None) as src,
                     fs.open_output_stream(f"{base}/{name}", compression=None) as out,
                     fs.open_output_stream(f"{base}/{name}.idx", compression=None) as index,
                 ):
-                    while data := src.read(CHUNK):
-                        for head, block in records.feed(inflate.decompress(data)):
+                    for piece in inflated(src):
+                        for head, block in records.feed(piece):
                             page, digest, size = _number(head["WARC-Page-Id"]), head["WARC-Payload-Digest"][5:], int(head["WARC-Payload-Length"])
                             kind, payload = ("revisit", b"") if n in refers else ("response", payload_of(block))
                             packer = zlib.compressobj(LEVEL_MEMBER, zlib.DEFLATED, 31)
@@ -135,8 +155,6 @@ def normalise(files: DataFrame, folder: str) -> DataFrame:
                             index.write(json.dumps({"offset": at, "length": len(member), "uri": head["WARC-Target-URI"], "type": kind}).encode() + b"\n")
                             n, at = n + 1, at + len(member)
                     records.close()
-                    if not inflate.eof:
-                        raise ValueError("the gzip stream is cut short")
                 yield pa.RecordBatch.from_pydict({"file": [name], "records": [n], "bytes": [at]})
 
     return files.mapInArrow(run, "file string, records long, bytes long")
@@ -179,8 +197,8 @@ def archived(pages: DataFrame) -> DataFrame:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
     keys = common.stored(write_whole(pages, folder), "warc-keys")
     big = keys.filter(F.col("size") >= MIN_REVISIT)
-    keepers = big.groupBy("digest", "size").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).filter("n > 1").select("digest", "size", "keeper")
-    revisits = big.join(keepers, ["digest", "size"]).filter(~F.col("page_id").eqNullSafe(F.col("keeper")))
+    keepers = common.stored(big.groupBy("digest", "size").agg(F.max("page_id").alias("keeper"), F.count("*").alias("times")).filter("times > 1"), "warc-keepers")
+    revisits = common.join_repeated(big, keepers, ["digest", "size"]).filter(~F.col("page_id").eqNullSafe(F.col("keeper")))
     by_file = revisits.groupBy("file").agg(F.collect_list(F.struct("seq", F.col("keeper").alias("refers_to"))).alias("revisits"))
     files = keys.groupBy("file").agg(F.count("*").alias("n")).join(by_file, "file", "left")
     none = F.expr("CAST(array() AS ARRAY<STRUCT<seq: BIGINT, refers_to: BIGINT>>)")

@@ -63,6 +63,28 @@ def test_records_in_any_pieces(payloads, step):
     assert got == payloads
 
 
+@given(st.lists(st.binary(max_size=3000), max_size=5), st.integers(1, 90), st.integers(0, 3))
+def test_members_of_a_stream_are_all_inflated(parts, step, zeros):
+    import gzip
+    import io
+    from unittest import mock
+
+    data = b"".join(gzip.compress(p) + bytes(zeros) for p in parts)
+    with mock.patch.object(warc, "CHUNK", step):
+        pieces = list(warc.inflated(io.BytesIO(data)))
+        assert b"".join(pieces) == b"".join(parts) and all(len(p) <= step for p in pieces)
+        if parts and not zeros:
+            with pytest.raises(ValueError):
+                list(warc.inflated(io.BytesIO(data[:-3])))
+
+
+def test_a_page_that_stands_very_often(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "HOT", 4)  # above a fourth of all rows
+    rows = [(i, "u", "hot" * 500 if i % 2 else f"{i // 6} " * 500) for i in range(60)]
+    got = same_as_sql(spark, spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "p"))
+    assert sum(r[4] == 59 for r in got) == 29
+
+
 def crc_by_bits(data, poly, width):
     c = 0
     for x in data:
