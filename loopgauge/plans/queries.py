@@ -217,15 +217,20 @@ def pattern_best_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", code.alias("code")).withColumn("best", hit).select("p_partkey", F.col("best.pattern").alias("pattern"), F.col("best.complexity").alias("complexity"))
 
 
-@query("""
-SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'binary_search' WHEN doc_id % 3 = 1 THEN 'dependent_nested_loop' END AS pattern FROM documents WHERE text IS NOT NULL AND doc_id % 3 < 2
+def _pattern_sql(hit: str) -> str:
+    return f"CASE {hit} " + " ".join(f"WHEN {lattice.CLASSES.index(d.result) * 100 - i} THEN '{d.name}'" for i, d in enumerate(patterns.DETECTORS)) + " END"
+
+
+@query(f"""
+SELECT doc_id, hit, code_hit, {_pattern_sql('code_hit')} AS pattern FROM (
+ SELECT doc_id, {patterns.best_hit_sql('text')} AS hit, {patterns.best_hit_sql('code')} AS code_hit FROM (SELECT doc_id, text, text || chr(10) || {_list_sql([c for _, c in SNIPPETS])}[(doc_id % 10) + 1] AS code FROM documents WHERE text IS NOT NULL))
 """)
 def pattern_hits_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R1-R7 over every text, two thirds of which end in a piece of code."""
-    docs = table(spark, sf_dir, "documents").filter("text IS NOT NULL")
-    code = F.concat("text", F.when(F.col("doc_id") % 3 == 0, "\n" + SNIPPETS[0][1]).when(F.col("doc_id") % 3 == 1, "\n" + SNIPPETS[1][1]).otherwise(""))
-    hit = patterns.best_hit(code, F.lit(0), F.lit(0), F.lit(False))
-    return docs.select("doc_id", hit.alias("best")).filter("best IS NOT NULL").select("doc_id", F.col("best.pattern").alias("pattern"))
+    """R1-R7 over every text, by itself and with a snippet behind it: the best hit of each (rank * 100 + preference), null for none."""
+    docs = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", "text", F.concat("text", F.lit("\n"), _pick([c for _, c in SNIPPETS], F.col("doc_id") % 10)).alias("code"))
+    best = lambda c: patterns.best_hit(F.col(c), F.lit(0), F.lit(0), F.lit(False))
+    number = lambda c: F.col(f"{c}.rank") * 100 + F.col(f"{c}.preference")
+    return docs.select("doc_id", best("text").alias("own"), best("code").alias("best")).select("doc_id", number("own").alias("hit"), number("best").alias("code_hit"), F.col("best.pattern").alias("pattern"))
 
 
 @query("""
