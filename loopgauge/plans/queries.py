@@ -13,6 +13,7 @@ from pyspark.sql.types import ArrayType, BooleanType
 
 from ..functions import lattice, patterns, text
 from ..operators import classify, graph, report
+from ..operators.blocks import called_by as blocks_called_by
 from ..operators.blocks import callers
 from ..sources import store
 from ..sources.python_blocks import KEYWORDS, block_schema, extract
@@ -465,14 +466,17 @@ def analyse_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-SELECT 'pkg' || s_suppkey || '/' || replace(block, '#', '_' || s_suppkey) AS block_id, n_callers::BIGINT AS n_callers, 'pkg' || s_suppkey || '/' || replace(first_caller, '#', '_' || s_suppkey) AS first_caller FROM supplier, {_values([
-    ('s2.py:pairs#', 1, 's11.py:run#'), ('s7.py:plain#', 1, 's13.py:outer#'), ('s12.py:Box#.total#', 1, 's12.py:Box#'), ('s12.py:Box#.size#', 2, 's12.py:Box#'),
-    ('s14.py:ping#', 1, 's14.py:pong#'), ('s14.py:pong#', 1, 's14.py:ping#')], 'block, n_callers, first_caller')}
+SELECT 'pkg' || s_suppkey || '/' || replace(block, '#', '_' || s_suppkey) AS block_id, n_callers::BIGINT AS n_callers, 'pkg' || s_suppkey || '/' || replace(first_caller, '#', '_' || s_suppkey) AS first_caller,
+ replace(replace(called_by, '@', 'pkg' || s_suppkey || '/'), '#', '_' || s_suppkey) AS called_by FROM supplier, {_values([
+    ('s2.py:pairs#', 1, 's11.py:run#', '@s11.py:run#'), ('s7.py:plain#', 1, 's13.py:outer#', '@s13.py:outer#'), ('s12.py:Box#.total#', 1, 's12.py:Box#', '@s12.py:Box#'), ('s12.py:Box#.size#', 2, 's12.py:Box#', '@s12.py:Box#,@s12.py:Box#.total#'),
+    ('s14.py:ping#', 1, 's14.py:pong#', '@s14.py:pong#'), ('s14.py:pong#', 1, 's14.py:ping#', '@s14.py:ping#')], 'block, n_callers, first_caller, called_by')}
 """)
 def called_by(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J1, A1 on blocks: how many blocks call a block's name, in a copy of the snippets for each supplier."""
-    names = extract(_corpus(table(spark, sf_dir, "supplier"), "s_suppkey", [s for s in SNIPPETS + CALLING if s[0] != 8])).withColumn("block_id", F.concat("file_path", F.lit(":"), "qualified_name"))
-    return callers(names).select("block_id", "n_callers", "first_caller")
+    """J1, A1 on blocks: which blocks call a block's name, how many and the first, in a copy of all snippets for each supplier."""
+    names = extract(_corpus(table(spark, sf_dir, "supplier"), "s_suppkey", SNIPPETS + CALLING)).select(F.concat("file_path", F.lit(":"), "qualified_name").alias("block_id"), "name", "calls")
+    names = graph.cut(names)  # parsed once
+    counted = callers(names).select("block_id", "n_callers", "first_caller")
+    return counted.join(blocks_called_by(names, names).withColumn("called_by", F.array_join("called_by", ",")), "block_id", "left")
 
 
 from . import source_queries  # noqa: E402

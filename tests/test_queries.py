@@ -47,3 +47,12 @@ def test_hits_of_every_text_itself(spark, tmp_path):
     code_hit, doc_id, hit, pattern = zip(*got)
     assert {p for p in pattern if p != "None"} == {d.name for d in patterns.DETECTORS}
     assert {d for d, h in zip(doc_id, hit) if h != "None"} == {str(10 * i + k) for i in (3, 4, 5, 6, 7, 8) for k in range(10)}
+
+
+def test_callers_are_listed(spark, tmp_path):
+    import pyarrow as pa
+
+    got, wanted = both(spark, tmp_path, "called_by", supplier=pa.table({"s_suppkey": [3, 27]}))
+    assert got == wanted and len(got) == 12
+    lists = {r[0]: r[1] for r in got}  # block_id, called_by
+    assert lists["pkg27/s12.py:Box_27.size_27"] == "pkg27/s12.py:Box_27,pkg27/s12.py:Box_27.total_27"
