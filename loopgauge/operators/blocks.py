@@ -14,6 +14,11 @@ ALWAYS = ("function", "method", "lambda", "constructor", "selection", "top_level
 LEGACY = ("function_definition", "function_declaration", "method_definition", "method_declaration", "function_item", "constructor_declaration", "lambda_expression")
 
 
+def by_key(df: DataFrame) -> DataFrame:
+    """A side of a join that shuffles by its keys. An analysis has many joins over its own tables, and each that broadcast one would send it through the driver."""
+    return df.hint("merge")
+
+
 def is_analyzable() -> Column:
     return F.coalesce(~F.col("is_container"), F.lit(True)) & ~F.col("kind").isin(*NEVER) & F.col("kind").isin(*ALWAYS, *LEGACY)
 
@@ -45,14 +50,14 @@ def callers(blocks: DataFrame) -> DataFrame:
     """(block_id, name, n_callers, first_caller) of blocks whose name another block calls: the callers of a name are counted once for all blocks that bear it."""
     rows = caller_rows(blocks)
     first = rows.groupBy("name").agg(F.count("*").alias("n"), F.min("caller").alias("first"))
-    second = rows.join(first, "name").filter("caller <> first").groupBy("name").agg(F.min("caller").alias("second"))
+    second = rows.join(by_key(first), "name").filter("caller <> first").groupBy("name").agg(F.min("caller").alias("second"))
     own = blocks.select("block_id", "name", F.array_contains("calls", F.col("name")).alias("calls_itself"))
-    each = own.join(first, "name").join(second, "name", "left").withColumn("itself", F.coalesce("calls_itself", F.lit(False)).cast("long"))
+    each = own.join(by_key(first), "name").join(by_key(second), "name", "left").withColumn("itself", F.coalesce("calls_itself", F.lit(False)).cast("long"))
     found = each.select("block_id", "name", (F.col("n") - F.col("itself")).alias("n_callers"), F.when((F.col("itself") == 1) & (F.col("first") == F.col("block_id")), F.col("second")).otherwise(F.col("first")).alias("first_caller"))
     return found.filter("n_callers > 0")
 
 
 def called_by(blocks: DataFrame, chosen: DataFrame) -> DataFrame:
     """(block_id, called_by): sorted ids of other blocks that call the name of each chosen block (block_id). The lists are as long as a name has callers: choose the blocks first."""
-    wanted = blocks.join(chosen.select("block_id").distinct(), "block_id", "left_semi").select("block_id", "name")
-    return wanted.join(caller_rows(blocks), "name").filter("caller <> block_id").groupBy("block_id").agg(F.array_sort(F.collect_set("caller")).alias("called_by"))
+    wanted = blocks.join(by_key(chosen.select("block_id").distinct()), "block_id", "left_semi").select("block_id", "name")
+    return wanted.join(by_key(caller_rows(blocks)), "name").filter("caller <> block_id").groupBy("block_id").agg(F.array_sort(F.collect_set("caller")).alias("called_by"))

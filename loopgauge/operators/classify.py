@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 
 from ..functions import lattice, patterns
 from . import graph
-from .blocks import is_analyzable, node_id
+from .blocks import by_key, is_analyzable, node_id
 
 RULES_VERSION = "rules-1"
 _NONE = "CAST(array() AS ARRAY<STRING>)"
@@ -42,9 +42,9 @@ def features(blocks: DataFrame, edges: DataFrame | None = None, recursive: DataF
         per = edges.filter("edge_type = 'CALLS'").groupBy(F.col("source").alias("node")).agg(
             F.collect_set("call_name").alias("edge_names"), F.collect_set(F.when(open_edge, F.col("call_name"))).alias("unresolved"),
             F.collect_set(F.when(open_edge & (F.col("inside_loop_depth") > 0), F.col("call_name"))).alias("loop_edges"), F.count_if(open_edge).cast("int").alias("unresolved_count"))
-        b = b.join(per, "node", "left")
+        b = b.join(by_key(per), "node", "left")
         b = b.withColumns({c: F.coalesce(c, F.expr(_NONE)) for c in ("edge_names", "unresolved", "loop_edges")} | {"unresolved_count": F.coalesce("unresolved_count", F.lit(0))})
-    b = b.join(recursive.select("node", F.lit(True).alias("on_cycle")), "node", "left") if recursive is not None else b.withColumn("on_cycle", F.lit(False))
+    b = b.join(by_key(recursive.select("node", F.lit(True).alias("on_cycle"))), "node", "left") if recursive is not None else b.withColumn("on_cycle", F.lit(False))
     unknown = F.filter(F.array_except("calls", "edge_names"), lambda n: n != F.col("name"))
     b = b.withColumns({
         "on_cycle": F.coalesce("on_cycle", F.lit(False)), "unknown_names": unknown,
@@ -113,7 +113,7 @@ def call_costs(blocks: DataFrame, flow: DataFrame, known: DataFrame) -> DataFram
     ranked = known.filter(lattice.is_ranked("complexity")).select(F.col("node").alias("target"), F.col("complexity").alias("callee"))
     w = W.partitionBy("source", "call_name").orderBy(F.desc("site"))
     placed = flow.filter("resolved AND target IS NOT NULL").withColumn("last_start", F.first("start_line").over(w)).withColumn("last_end", F.first("end_line").over(w))
-    rows = placed.join(ranked, "target").join(blocks.select(F.col("node").alias("source"), "loops"), "source").withColumn("around", loop_cost(F.col("last_start"), F.col("last_end")))
+    rows = placed.join(by_key(ranked), "target").join(by_key(blocks.select(F.col("node").alias("source"), "loops")), "source").withColumn("around", loop_cost(F.col("last_start"), F.col("last_end")))
     cost = F.when(F.col("last_start").isNull() | (F.size(F.filter("loops", lambda x: (x["start_line"] <= F.col("last_start")) & (F.col("last_end") <= x["end_line"]))) == 0), F.col("callee")).otherwise(lattice.multiply("around.cost", "callee"))
     rows = rows.withColumn("cost", cost)
     return rows.groupBy(F.col("source").alias("node")).agg(
@@ -154,7 +154,7 @@ class Graph:
         cycles = graph.cut(graph.strongly_connected(edges.filter("edge_type = 'CALLS' AND resolved")))
         facts = graph.cut(both_ways(features(blocks, edges, cycles).dropDuplicates(["node"])))
         flow = graph.flow_of(blocks, edges, cycles)
-        return cls(facts, graph.cut(edges.filter("edge_type = 'CALLS'").join(flow, ["source", "target"], "left_semi")), flow)
+        return cls(facts, graph.cut(edges.filter("edge_type = 'CALLS'").join(by_key(flow), ["source", "target"], "left_semi")), flow)
 
 
 def both_ways(facts: DataFrame) -> DataFrame:
@@ -171,8 +171,8 @@ def evaluate(now: DataFrame, calls: DataFrame, known: DataFrame | None) -> DataF
     if known is None:
         costs = now.select("node", F.lit(0).alias("project_calls"), F.lit(None).cast("string").alias("callee_max"), F.lit(False).alias("no_product"), F.lit(False).alias("has_while"))
     else:
-        costs = call_costs(now, calls.join(now.select(F.col("node").alias("source")), "source", "left_semi"), known)
-    local = now.join(costs, "node", "left").withColumn("v", F.when(F.coalesce("project_calls", F.lit(0)) > 0, F.col("busy")).otherwise(F.col("quiet")))
+        costs = call_costs(now, calls.join(by_key(now.select(F.col("node").alias("source"))), "source", "left_semi"), known)
+    local = now.join(by_key(costs), "node", "left").withColumn("v", F.when(F.coalesce("project_calls", F.lit(0)) > 0, F.col("busy")).otherwise(F.col("quiet")))
     return merge(local.select("*", "v.*"))
 
 
@@ -212,21 +212,21 @@ class Run:
         nodes = facts.select("node")
         changed = nodes
         if self.old is not None:
-            changed = graph.cut(nodes.join(self.old, "node", "left_anti"))
+            changed = graph.cut(nodes.join(by_key(self.old), "node", "left_anti"))
             nodes = graph.upward(flow, changed)  # no other block can get another class
         levels = graph.levels_of(nodes, flow)
         known = graph.Growing(facts.sparkSession)
         if self.old is not None:
-            known.add(self.old.join(nodes, "node", "left_anti"))
+            known.add(self.old.join(by_key(nodes), "node", "left_anti"))
         for (level,) in levels.select("level").distinct().orderBy("level").collect():  # as many as the longest chain of calls among them
             here = levels.filter(F.col("level") == level).select("node")
             todo = here
             if self.old is not None:
-                told = flow.join(self._other(known), "target", "left_semi").select(F.col("source").alias("node")) if known.parts else changed
-                todo = graph.cut(here.join(changed.unionByName(told), "node", "left_semi"))
-                known.add(self.old.join(here.join(todo, "node", "left_anti"), "node", "left_semi"))
+                told = flow.join(by_key(self._other(known)), "target", "left_semi").select(F.col("source").alias("node")) if known.parts else changed
+                todo = graph.cut(here.join(by_key(changed.unionByName(told)), "node", "left_semi"))
+                known.add(self.old.join(by_key(here.join(by_key(todo), "node", "left_anti")), "node", "left_semi"))
             seen = Observation()
-            known.add(self._level(facts.join(todo, "node", "left_semi"), known.read()).observe(seen, F.count("*").alias("n")))
+            known.add(self._level(facts.join(by_key(todo), "node", "left_semi"), known.read()).observe(seen, F.count("*").alias("n")))
             self.computed += seen.get.get("n") or 0
         return known.read()
 
@@ -244,7 +244,7 @@ class Run:
         return graph.cut(self._outcome(facts, calls, _classes(ranks)))
 
     def _ranks(self, ready: DataFrame, known: DataFrame | None) -> DataFrame:
-        now = self.found.facts.join(ready, "node", "left_semi")
+        now = self.found.facts.join(by_key(ready), "node", "left_semi")
         return self._outcome(now, self.found.calls, None if known is None else _classes(known)).select("node", lattice.rank("complexity").alias("value"))
 
     def _choices(self, waiting: DataFrame, known: DataFrame | None) -> DataFrame:
@@ -252,8 +252,8 @@ class Run:
         ranks = F.explode(F.sequence(F.lit(-1), F.lit(len(lattice.CLASSES) - 1))).alias("r")
         tried = waiting.select("node", F.col("target").alias("open"), ranks)
         marked = lambda c: F.concat(c, F.lit("\x01"), F.col("r").cast("string"))
-        now = self.found.facts.join(tried, "node").withColumn("node", marked(F.col("node"))).drop("open", "r")
-        calls = self.found.calls.join(tried.withColumnRenamed("node", "source"), "source").withColumn("target", F.when(F.col("target") == F.col("open"), marked(F.col("target"))).otherwise(F.col("target")))
+        now = self.found.facts.join(by_key(tried), "node").withColumn("node", marked(F.col("node"))).drop("open", "r")
+        calls = self.found.calls.join(by_key(tried.withColumnRenamed("node", "source")), "source").withColumn("target", F.when(F.col("target") == F.col("open"), marked(F.col("target"))).otherwise(F.col("target")))
         calls = calls.withColumn("source", marked(F.col("source"))).drop("open", "r")
         guessed = waiting.select(F.col("target")).distinct().select("target", ranks).select(marked(F.col("target")).alias("node"), F.col("r").alias("value"))
         done = self._outcome(now, calls, _classes(guessed if known is None else guessed.unionByName(known)))
@@ -262,7 +262,7 @@ class Run:
 
     def _other(self, known: graph.Growing) -> DataFrame:
         """(target): blocks whose class is not what it was, or was not known."""
-        now = known.read().select("node", "complexity").join(self.before, "node", "left")
+        now = known.read().select("node", "complexity").join(by_key(self.before), "node", "left")
         return now.filter(~(F.coalesce("known", F.lit(False)) & F.col("complexity").eqNullSafe(F.col("was")))).select(F.col("node").alias("target"))
 
     def _level(self, now: DataFrame, known: DataFrame | None) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .blocks import is_analyzable, node_id
+from .blocks import by_key, is_analyzable, node_id
 
 EDGE_COLUMNS = ["source", "target", "call_name", "edge_type", "resolved", "state", "confidence", "start_line", "inside_loop_depth", "site", "candidates", "candidate_class"]
 
@@ -103,7 +103,7 @@ def resolve(blocks: DataFrame) -> DataFrame:
     """
     calls = call_sites(blocks)
     names = blocks.filter(is_analyzable()).select(node_id().alias("source"), F.col("name").alias("own_name")).dropDuplicates(["source"])
-    live = calls.join(names, "source").filter((F.coalesce("call_name", F.lit("")) != "") & ~F.coalesce("is_dynamic", F.lit(False)))
+    live = calls.join(by_key(names), "source").filter((F.coalesce("call_name", F.lit("")) != "") & ~F.coalesce("is_dynamic", F.lit(False)))
     alias = lambda i: F.coalesce(i["alias"], i["name"])
     live = live.withColumn("by_receiver", F.try_element_at(F.filter("imports", lambda i: alias(i) == F.col("receiver")), F.lit(-1)))
     live = live.withColumn("by_name", F.when(F.col("by_receiver").isNull(), F.try_element_at(F.filter("imports", lambda i: alias(i) == F.col("call_name")), F.lit(-1))))
@@ -119,12 +119,12 @@ def resolve(blocks: DataFrame) -> DataFrame:
     )
     key = ["source", "site"]
     sets = definitions(blocks).groupBy("candidate_class").agg(F.count("*").alias("n"), F.min("target").alias("first"), F.max("target").alias("last"))
-    met = live.select(*key, F.explode(looks).alias("look")).select(*key, "look.*").filter("candidate_class IS NOT NULL").join(sets, "candidate_class")
+    met = live.select(*key, F.explode(looks).alias("look")).select(*key, "look.*").filter("candidate_class IS NOT NULL").join(by_key(sets), "candidate_class")
     met = met.withColumn("less", F.col("less") | ((F.col("priority") == 2) & (F.col("first") == F.col("source"))))
     met = met.withColumn("candidates", (F.col("n") - F.col("less").cast("long")).cast("int")).filter("candidates > 0")
     single = F.when(F.col("candidates") == 1, F.when(F.col("less") & (F.col("first") == F.col("source")), F.col("last")).otherwise(F.col("first")))
     best = met.select(*key, F.struct("priority", "candidate_class", "candidates", single.alias("target")).alias("best")).groupBy(*key).agg(F.min("best").alias("best"))
-    out = calls.join(best, key, "left").withColumn("n", F.coalesce("best.candidates", F.lit(0)))
+    out = calls.join(by_key(best), key, "left").withColumn("n", F.coalesce("best.candidates", F.lit(0)))
     state = F.when(F.col("n") == 0, "unresolved").when((F.col("n") == 1) | (F.col("best.priority") == 0), "resolved").otherwise("ambiguous")
     resolved = F.col("n") == 1
     return out.select(
@@ -136,7 +136,7 @@ def resolve(blocks: DataFrame) -> DataFrame:
 def candidates_of(edges: DataFrame, blocks: DataFrame) -> DataFrame:
     """(source, site, target): every definition that some chosen edges may mean. A row for each pair: choose the edges first."""
     wanted = edges.filter("candidate_class IS NOT NULL").select("source", "site", "candidate_class")
-    return wanted.join(definitions(blocks), "candidate_class").filter("source <> target OR candidate_class LIKE 'class%' OR candidate_class LIKE 'module%'").select("source", "site", "target")
+    return wanted.join(by_key(definitions(blocks)), "candidate_class").filter("source <> target OR candidate_class LIKE 'class%' OR candidate_class LIKE 'module%'").select("source", "site", "target")
 
 
 def file_node() -> Column:
@@ -147,7 +147,7 @@ def contains_edges(blocks: DataFrame) -> DataFrame:
     """File to block and parent to block."""
     from_file = blocks.select(file_node().alias("source"), node_id().alias("target"))
     parents = blocks.filter("stable_id <> ''").select(F.col("stable_id").alias("source")).distinct()
-    from_parent = blocks.filter("parent_id IS NOT NULL").select(F.col("parent_id").alias("source"), node_id().alias("target")).join(parents, "source", "left_semi")
+    from_parent = blocks.filter("parent_id IS NOT NULL").select(F.col("parent_id").alias("source"), node_id().alias("target")).join(by_key(parents), "source", "left_semi")
     return from_file.unionByName(from_parent).withColumns({"edge_type": F.lit("CONTAINS"), "resolved": F.lit(True), "confidence": F.lit("high")})
 
 
@@ -169,19 +169,19 @@ def structure(blocks: DataFrame, edges: DataFrame) -> DataFrame:
 def callees(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Targets of the resolved calls of nodes (node)."""
     calls = edges.filter("edge_type = 'CALLS' AND resolved")
-    return calls.join(nodes.select(F.col("node").alias("source")), "source", "left_semi").select("source", "target").distinct()
+    return calls.join(by_key(nodes.select(F.col("node").alias("source"))), "source", "left_semi").select("source", "target").distinct()
 
 
 def callers(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Sources of the resolved calls to nodes (node)."""
     calls = edges.filter("edge_type = 'CALLS' AND resolved")
-    return calls.join(nodes.select(F.col("node").alias("target")), "target", "left_semi").select("source", "target").distinct()
+    return calls.join(by_key(nodes.select(F.col("node").alias("target"))), "target", "left_semi").select("source", "target").distinct()
 
 
 def in_order(left: DataFrame, right: DataFrame, keys: list[str], left_order: list[Column], right_order: list[Column]) -> DataFrame:
     """The k-th row of left beside the k-th of right for each value of keys, with column k (from 1); rows without a partner go."""
     number = lambda df, order: df.withColumn("k", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
-    return number(left, left_order).join(number(right, right_order), [*keys, "k"])
+    return number(left, left_order).join(by_key(number(right, right_order)), [*keys, "k"])
 
 
 def sites_of_edges(blocks: DataFrame, edges: DataFrame) -> DataFrame:
@@ -200,7 +200,7 @@ def along(links: DataFrame, compose: Callable[[Column, Column], Column]) -> Data
         on = links.select(F.col("node").alias("target"), F.col("target").alias("far"), F.col("step").alias("then"))
         further, step = F.col("far").isNotNull(), F.when(F.col("far").isNotNull(), compose(F.col("step"), F.col("then"))).otherwise(F.col("step"))
         seen = Observation()
-        moved = links.join(on, "target", "left").withColumn("next", step).observe(seen, F.count_if(further).alias("n"), F.count_if(~F.col("next").eqNullSafe(F.col("step"))).alias("changed"))
+        moved = links.join(by_key(on), "target", "left").withColumn("next", step).observe(seen, F.count_if(further).alias("n"), F.count_if(~F.col("next").eqNullSafe(F.col("step"))).alias("changed"))
         links = cut(moved.select("node", F.coalesce("far", "target").alias("target"), F.col("next").alias("step")))
         n = seen.get.get("n")
         if not n or (n == before and not seen.get.get("changed")):
@@ -217,12 +217,12 @@ def lone(edges: DataFrame, node: str = "source", other: str = "target") -> DataF
 def leading_on(edges: DataFrame) -> DataFrame:
     """Edges (source, target) from whose target a cycle is reached. Nodes without a way out go, and with them all that hang on one by a chain of nodes with one way out."""
     while True:
-        ends = cut(edges.select(F.col("target").alias("node")).distinct().join(edges.select(F.col("source").alias("node")), "node", "left_anti"))
+        ends = cut(edges.select(F.col("target").alias("node")).distinct().join(by_key(edges.select(F.col("source").alias("node"))), "node", "left_anti"))
         if ends.isEmpty():
             return edges
         chains = along(lone(edges).withColumn("step", F.lit(0)), F.least)
-        dead = ends.unionByName(chains.join(ends.withColumnRenamed("node", "target"), "target", "left_semi").select("node"))
-        edges = cut(edges.join(dead.withColumnRenamed("node", "target"), "target", "left_anti").select("source", "target"))
+        dead = ends.unionByName(chains.join(by_key(ends.withColumnRenamed("node", "target")), "target", "left_semi").select("node"))
+        edges = cut(edges.join(by_key(dead.withColumnRenamed("node", "target")), "target", "left_anti").select("source", "target"))
 
 
 def turned(edges: DataFrame) -> DataFrame:
@@ -245,12 +245,12 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
             break
         colour = spread(left, left.select(F.explode(F.array("source", "target")).alias("node")).distinct().withColumn("label", F.col("node")))
         of = lambda end, name: colour.select(F.col("node").alias(end), F.col("label").alias(name))
-        same = cut(left.join(of("source", "a"), "source").join(of("target", "b"), "target").filter("a = b").select("source", "target"))
+        same = cut(left.join(by_key(of("source", "a")), "source").join(by_key(of("target", "b")), "target").filter("a = b").select("source", "target"))
         reached = spread(turned(same), colour.select("node", F.when(F.col("node") == F.col("label"), F.col("node")).alias("label"))).filter("label IS NOT NULL")
-        several = reached.join(reached.groupBy("label").agg(F.count("*").alias("n")).filter("n > 1"), "label")
+        several = reached.join(by_key(reached.groupBy("label").agg(F.count("*").alias("n")).filter("n > 1")), "label")
         out = cut(out.unionByName(several.select("node", F.col("label").alias("component"))))
         done = reached.select("node")
-        left = same.join(done.withColumnRenamed("node", "source"), "source", "left_anti").join(done.withColumnRenamed("node", "target"), "target", "left_anti").select("source", "target")
+        left = same.join(by_key(done.withColumnRenamed("node", "source")), "source", "left_anti").join(by_key(done.withColumnRenamed("node", "target")), "target", "left_anti").select("source", "target")
     return out.groupBy("node").agg(F.min("component").alias("component"))
 
 
@@ -260,21 +260,21 @@ def spread(edges: DataFrame, values: DataFrame) -> DataFrame:
     Chains of nodes with one way in are taken at once: each has the smallest label on the way from the chain's head, and the head's. The heads get theirs by a round for each step between them.
     """
     values = cut(values)
-    chains = cut(along(lone(edges, "target", "source").join(values.withColumnRenamed("label", "step"), "node"), F.least))
-    heads = values.join(chains, "node", "left_anti")
+    chains = cut(along(lone(edges, "target", "source").join(by_key(values.withColumnRenamed("label", "step")), "node"), F.least))
+    heads = values.join(by_key(chains), "node", "left_anti")
     # a chain's members pass on the smallest label on their way at once, the head's follows
-    ends = cut(edges.join(chains.select(F.col("node").alias("target")), "target", "left_anti").join(chains.select(F.col("node").alias("source"), F.col("target").alias("head"), "step"), "source", "left"))
+    ends = cut(edges.join(by_key(chains.select(F.col("node").alias("target"))), "target", "left_anti").join(by_key(chains.select(F.col("node").alias("source"), F.col("target").alias("head"), "step")), "source", "left"))
     first = ends.groupBy(F.col("target").alias("node")).agg(F.min("step").alias("step"))
-    top = cut(heads.join(first, "node", "left").select("node", F.least("label", "step").alias("label")))
+    top = cut(heads.join(by_key(first), "node", "left").select("node", F.least("label", "step").alias("label")))
     between = cut(ends.select(F.coalesce("head", "source").alias("source"), "target").distinct())
     while True:
-        offers = between.join(top.select(F.col("node").alias("source"), F.col("label").alias("offer")), "source").groupBy(F.col("target").alias("node")).agg(F.min("offer").alias("offer"))
+        offers = between.join(by_key(top.select(F.col("node").alias("source"), F.col("label").alias("offer"))), "source").groupBy(F.col("target").alias("node")).agg(F.min("offer").alias("offer"))
         better = F.coalesce(F.col("offer") < F.col("label"), F.col("label").isNull() & F.col("offer").isNotNull())
         seen = Observation()
-        top = cut(top.join(offers, "node", "left").observe(seen, F.count_if(better).alias("n")).select("node", F.least("label", "offer").alias("label")))
+        top = cut(top.join(by_key(offers), "node", "left").observe(seen, F.count_if(better).alias("n")).select("node", F.least("label", "offer").alias("label")))
         if not seen.get.get("n"):
             break
-    inner = chains.join(top.withColumnRenamed("node", "target"), "target", "left").select("node", F.least("step", "label").alias("label"))
+    inner = chains.join(by_key(top.withColumnRenamed("node", "target")), "target", "left").select("node", F.least("step", "label").alias("label"))
     return cut(top.unionByName(inner))
 
 
@@ -290,27 +290,27 @@ def settle(
     """
     left, known, hung = cut(nodes.select("node").distinct()), Growing(nodes.sparkSession), None
     inside = lambda end: left.select(F.col("node").alias(end))
-    waiting = cut(flow.join(inside("source"), "source", "left_semi").join(inside("target"), "target", "left_semi").select("source", "target").distinct())
+    waiting = cut(flow.join(by_key(inside("source")), "source", "left_semi").join(by_key(inside("target")), "target", "left_semi").select("source", "target").distinct())
     while not left.isEmpty():
-        ready = cut(left.join(waiting.select(F.col("source").alias("node")), "node", "left_anti"))
+        ready = cut(left.join(by_key(waiting.select(F.col("source").alias("node"))), "node", "left_anti"))
         if ready.isEmpty():
             raise ValueError("the edges have a cycle")
         new = cut(value(ready, known.read()).select("node", "value"))
         if hung is not None:
-            freed = hung.join(new.select(F.col("node").alias("target"), "value"), "target")
+            freed = hung.join(by_key(new.select(F.col("node").alias("target"), "value")), "target")
             new = cut(new.unionByName(freed.select("node", apply(F.col("step"), F.col("value")).alias("value"))))
-            hung = cut(hung.join(new.select("node"), "node", "left_anti"))
+            hung = cut(hung.join(by_key(new.select("node")), "node", "left_anti"))
         known.add(new)
-        left = cut(left.join(new, "node", "left_anti"))
-        waiting = cut(waiting.join(new.select(F.col("node").alias("target")), "target", "left_anti").select("source", "target"))
+        left = cut(left.join(by_key(new), "node", "left_anti"))
+        waiting = cut(waiting.join(by_key(new.select(F.col("node").alias("target"))), "target", "left_anti").select("source", "target"))
         chained = cut(lone(waiting))
         behind = chained.select("node") if hung is None else chained.select("node").unionByName(hung.select("node"))
-        if chained.join(behind.withColumnRenamed("node", "target"), "target", "left_semi").isEmpty():
+        if chained.join(by_key(behind.withColumnRenamed("node", "target")), "target", "left_semi").isEmpty():
             continue
-        steps = chained.join(choice(chained, known.read()), "node").select("node", "target", "step")
+        steps = chained.join(by_key(choice(chained, known.read())), "node").select("node", "target", "step")
         hung = along(steps if hung is None else steps.unionByName(hung.select("node", "target", "step")), compose)
-        left = cut(left.join(chained, "node", "left_anti"))
-        waiting = cut(waiting.join(chained.select(F.col("node").alias("source")), "source", "left_anti").select("source", "target"))
+        left = cut(left.join(by_key(chained), "node", "left_anti"))
+        waiting = cut(waiting.join(by_key(chained.select(F.col("node").alias("source"))), "source", "left_anti").select("source", "target"))
     return known.read()
 
 
@@ -318,8 +318,8 @@ def upward(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(node): seeds and all nodes that reach one along edges (source, target); each round goes on from the nodes that the last one added."""
     reached = fresh = cut(seeds.select("node").distinct())
     while True:
-        more = edges.join(fresh.withColumnRenamed("node", "target"), "target", "left_semi").select(F.col("source").alias("node")).distinct()
-        fresh = cut(more.join(reached, "node", "left_anti"))
+        more = edges.join(by_key(fresh.withColumnRenamed("node", "target")), "target", "left_semi").select(F.col("source").alias("node")).distinct()
+        fresh = cut(more.join(by_key(reached), "node", "left_anti"))
         if fresh.isEmpty():
             return reached
         reached = cut(reached.unionByName(fresh))
@@ -330,27 +330,27 @@ def flow_of(blocks: DataFrame, edges: DataFrame, cycles: DataFrame) -> DataFrame
     them only callees that come earlier count."""
     nodes = cut(blocks.filter(is_analyzable()).select(node_id().alias("node"), F.struct("file_path", "ordinal").alias("pos")).groupBy("node").agg(F.min("pos").alias("pos")))
     calls = edges.filter("edge_type = 'CALLS' AND resolved AND target IS NOT NULL").select("source", "target").distinct()
-    calls = cut(calls.join(nodes.select(F.col("node").alias("source")), "source", "left_semi").join(nodes.select(F.col("node").alias("target")), "target", "left_semi"))
+    calls = cut(calls.join(by_key(nodes.select(F.col("node").alias("source"))), "source", "left_semi").join(by_key(nodes.select(F.col("node").alias("target"))), "target", "left_semi"))
     stuck = upward(calls, cycles)
     if stuck.isEmpty():
         return calls
-    late = nodes.join(stuck, "node")
+    late = nodes.join(by_key(stuck), "node")
     a, b = (late.select(F.col("node").alias(x), F.col("pos").alias(p)) for x, p in (("source", "ps"), ("target", "pt")))
-    backward = calls.join(a, "source").join(b, "target").filter("pt >= ps").select("source", "target")
-    return cut(calls.join(backward, ["source", "target"], "left_anti"))
+    backward = calls.join(by_key(a), "source").join(by_key(b), "target").filter("pt >= ps").select("source", "target")
+    return cut(calls.join(by_key(backward), ["source", "target"], "left_anti"))
 
 
 def levels_of(nodes: DataFrame, flow: DataFrame) -> DataFrame:
     """(node, level) of nodes, callees before callers, by edges (source, target) without cycles between them."""
-    inner = flow.join(nodes.select(F.col("node").alias("source")), "source", "left_semi").join(nodes.select(F.col("node").alias("target")), "target", "left_semi")
+    inner = flow.join(by_key(nodes.select(F.col("node").alias("source"))), "source", "left_semi").join(by_key(nodes.select(F.col("node").alias("target"))), "target", "left_semi")
     inner = cut(inner.select("source", "target").distinct())
 
     def above(some: DataFrame, known: DataFrame | None) -> DataFrame:
         """(node, least): one more than the highest level of the known callees."""
         if known is None:
             return some.select("node", F.lit(0).alias("least"))
-        calls = inner.join(known.select(F.col("node").alias("target"), "value"), "target").groupBy(F.col("source").alias("node")).agg((F.max("value") + 1).alias("least"))
-        return some.join(calls, "node", "left").select("node", F.coalesce("least", F.lit(0)).alias("least"))
+        calls = inner.join(by_key(known.select(F.col("node").alias("target"), "value")), "target").groupBy(F.col("source").alias("node")).agg((F.max("value") + 1).alias("least"))
+        return some.join(by_key(calls), "node", "left").select("node", F.coalesce("least", F.lit(0)).alias("least"))
 
     found = settle(
         nodes, inner, lambda ready, known: above(ready, known).withColumnRenamed("least", "value"),
@@ -368,12 +368,12 @@ def processing_levels(blocks: DataFrame, edges: DataFrame) -> tuple[DataFrame, D
     """
     nodes = cut(blocks.filter(is_analyzable()).select(node_id().alias("node")).distinct())
     calls = edges.filter("edge_type = 'CALLS' AND resolved")
-    cycles = cut(strongly_connected(calls.join(nodes.select(F.col("node").alias("source")), "source", "left_semi").join(nodes.select(F.col("node").alias("target")), "target", "left_semi")))
+    cycles = cut(strongly_connected(calls.join(by_key(nodes.select(F.col("node").alias("source"))), "source", "left_semi").join(by_key(nodes.select(F.col("node").alias("target"))), "target", "left_semi")))
     flow = flow_of(blocks, edges, cycles)
     if cycles.isEmpty():
         return levels_of(nodes, flow), flow
-    stuck = upward(calls.filter("target IS NOT NULL").join(nodes.select(F.col("node").alias("source")), "source", "left_semi"), cycles)
-    placed = cut(levels_of(nodes.join(stuck, "node", "left_anti"), flow))
+    stuck = upward(calls.filter("target IS NOT NULL").join(by_key(nodes.select(F.col("node").alias("source"))), "source", "left_semi"), cycles)
+    placed = cut(levels_of(nodes.join(by_key(stuck), "node", "left_anti"), flow))
     top = placed.agg(F.max("level")).first()[0]
     late = levels_of(stuck, flow).select("node", (F.col("level") + F.lit(0 if top is None else top + 1)).alias("level"))
     return placed.unionByName(late), flow

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..operators import classify, graph, scoring
-from ..operators.blocks import is_analyzable, node_id
+from ..operators.blocks import by_key, is_analyzable, node_id
 from ..sources import files as sources
 from ..sources.python_blocks import extract
 from ..sources.store import Store, result_keys
@@ -38,7 +38,7 @@ class Analysis:
 
     def joined(self) -> DataFrame:
         """Blocks with their results, the input of operators.report."""
-        return self.blocks.withColumn("node", node_id()).join(self.results, "node", "left")
+        return self.blocks.withColumn("node", node_id()).join(by_key(self.results), "node", "left")
 
 
 def analyse_files(
@@ -63,13 +63,13 @@ def analyse_files(
         return Analysis(blocks, edges, classify.skipped(blocks), 0)
     if run.sent:
         sent = found.facts.filter(F.col("node").isin(run.sent))
-        better = graph.cut(scoring.score(sent.join(results.drop("analyzer_kind"), "node"), estimator, len(run.sent)))
-        results = results.join(better.select("node"), "node", "left_anti").unionByName(better.join(results.select("node", "rule", "flags"), "node"), allowMissingColumns=True)
+        better = graph.cut(scoring.score(sent.join(by_key(results.drop("analyzer_kind")), "node"), estimator, len(run.sent)))
+        results = results.join(by_key(better.select("node")), "node", "left_anti").unionByName(better.join(by_key(results.select("node", "rule", "flags")), "node"), allowMissingColumns=True)
     results = graph.cut(results)
     if store is not None:
-        kept = results.join(keys, "node").withColumn("created_at", F.unix_micros(F.current_timestamp()) / 1e6)
+        kept = results.join(by_key(keys), "node").withColumn("created_at", F.unix_micros(F.current_timestamp()) / 1e6)
         store.save_results(kept)
-        gone = store.read("results").join(blocks.filter(is_analyzable()).select(node_id().alias("node")), "node", "left_anti").select("node")
+        gone = store.read("results").join(by_key(blocks.filter(is_analyzable()).select(node_id().alias("node"))), "node", "left_anti").select("node")
         if not gone.isEmpty():
             store.delete("results", gone, "node")
     return Analysis(blocks, edges, results.unionByName(classify.skipped(blocks)), run.computed, len(run.sent))

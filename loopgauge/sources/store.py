@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..operators.blocks import by_key
 
 #: Fixed value: version of JSON caches that are read.
 CACHE_VERSION = 2
@@ -167,7 +168,7 @@ class Store:
     def delete_files(self, paths: DataFrame) -> None:
         """Deletes files (file_path) and all that hangs on them: blocks, their features and edges, then results and reviews of blocks that are gone."""
         blocks = self.read("blocks")
-        gone = blocks.join(paths.select("file_path"), "file_path", "left_semi").select("stable_id") if blocks is not None else None
+        gone = blocks.join(by_key(paths.select("file_path")), "file_path", "left_semi").select("stable_id") if blocks is not None else None
         if gone is not None and gone.limit(1).count():
             self.replace("deleted", gone.distinct())  # the ids outlive the tables they came from
             ids = self.read("deleted")
@@ -185,8 +186,8 @@ class Store:
         """Files, blocks without their text, and features apart."""
         wrong = blocks.groupBy("file_path").agg(F.max("error_state").alias("has_error"))
         facts = files.withColumns({"size": F.octet_length("content").cast("long"), "content_hash": F.sha1("content")})
-        self.upsert("files", facts.drop("content").join(wrong, "file_path", "left").withColumns({"has_error": F.coalesce("has_error", F.lit(False)), "run_id": F.lit(run_id)}), ["file_path"])
-        inside = blocks.join(files.select("file_path").distinct(), "file_path", "left_semi")
+        self.upsert("files", facts.drop("content").join(by_key(wrong), "file_path", "left").withColumns({"has_error": F.coalesce("has_error", F.lit(False)), "run_id": F.lit(run_id)}), ["file_path"])
+        inside = blocks.join(by_key(files.select("file_path").distinct()), "file_path", "left_semi")
         facts = ["parameters", "calls", "loop_count", "max_loop_depth", "loops", "call_sites", "branches", "container_operations", "imports", "defined_symbols", "local_symbols"]
         self.upsert("blocks", inside.drop("source", *facts).withColumn("run_id", F.lit(run_id)), ["stable_id"])
         self.upsert("block_features", inside.select("stable_id", *facts), ["stable_id"])
@@ -210,7 +211,7 @@ class Store:
             kept = self.spark.createDataFrame([], f"{NO_RESULTS}, created_at double")
         last = keep_latest(kept, ["node"], "created_at").withColumnRenamed("cache_key", "last_key")
         usable = (F.col("last_key") == F.col("cache_key")) & F.col("complexity").isNotNull() & (F.col("complexity") != "unknown") & (F.col("analyzer_kind") != "llm_error")
-        return wanted.select("node", "cache_key").join(last, "node").withColumn("usable", F.coalesce(usable, F.lit(False)))
+        return wanted.select("node", "cache_key").join(by_key(last), "node").withColumn("usable", F.coalesce(usable, F.lit(False)))
 
 
     def cached(self, wanted: DataFrame) -> DataFrame:
@@ -219,7 +220,7 @@ class Store:
         if kept is None:
             return wanted.limit(0)
         usable = kept.filter("complexity IS NOT NULL AND complexity <> 'unknown' AND analyzer_kind <> 'llm_error'")
-        return wanted.join(keep_latest(usable, ["node", "cache_key"], "created_at"), ["node", "cache_key"])
+        return wanted.join(by_key(keep_latest(usable, ["node", "cache_key"], "created_at")), ["node", "cache_key"])
 
 
 def dependency_hash(edges: DataFrame) -> DataFrame:
@@ -252,7 +253,7 @@ def result_keys(facts: DataFrame, calls: DataFrame, versions: list[str], model:
     kind = calls.select("call_name", "target", "site", "start_line", "end_line").schema
     one = text.canonical(F.struct(*kind.names), kind)
     deps = calls.groupBy(F.col("source").alias("node")).agg(F.array_sort(F.collect_list(one)).alias("deps"))
-    all_ = facts.join(deps, "node", "left").withColumn("_seen", F.struct(*[(F.array_sort(c) if t.startswith("array") else F.col(c)).alias(c) for c, t in facts.select(*_OUTSIDE).dtypes]))
+    all_ = facts.join(by_key(deps), "node", "left").withColumn("_seen", F.struct(*[(F.array_sort(c) if t.startswith("array") else F.col(c)).alias(c) for c, t in facts.select(*_OUTSIDE).dtypes]))
     outside = text.canonical(F.col("_seen"), all_.schema["_seen"].dataType)
     all_ = all_.withColumn("dependency_hash", F.sha1(F.concat_ws("|", outside, F.array_join(F.coalesce("deps", F.array()), "|"))))
     return cache_key(all_, versions, model).select("node", "dependency_hash", "cache_key")

@@ -94,3 +94,23 @@ def test_classes_at_once_equal_those_level_by_level(spark, monkeypatch, fallback
     assert once.computed == len(got) == found.facts.count() and seen[0] < 70
     nothing = spark.createDataFrame([], "node string, complexity string, confidence string, needs_review boolean, rule string, flags array<string>, analyzer_kind string, usable boolean")
     assert got == rows(classify.Run(found, fallback, old=nothing).results())
+
+
+def test_tables_of_an_analysis_meet_by_shuffles(spark, tmp_path, monkeypatch):
+    """No step of an analysis with a store plans to send one of its tables through the driver, small as these are."""
+    from pyspark.sql import functions as F
+
+    from loopgauge.sources.store import Store
+
+    plans, cut = [], graph.cut
+    planned = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    monkeypatch.setattr(graph, "cut", lambda df: plans.append(planned(df)) or cut(df))
+    code = {"a": "def a(n):\n    b(n)\n", "b": "def b(n):\n    for i in range(n):\n        c(i)\n", "c": "def c(n):\n    return 1\n", "d": "def d(n):\n    return e(n)\n", "e": "def e(n):\n    return d(n)\n"}
+    files = spark.createDataFrame([(f"{k}.py", "python", v) for k, v in code.items()], "file_path string, language string, content string")
+    store = Store(spark, f"file://{tmp_path}/store")
+    project.analyse_files(files, store=store)
+    second = project.analyse_files(files.withColumn("content", F.replace("content", F.lit("return 1"), F.lit("return sorted(n)"))), store=store).joined()
+    plans.append(planned(second))
+    assert sum("SortMergeJoin" in p for p in plans) > 20
+    assert not [p for p in plans if "Broadcast" in p]
+    assert {r.name: r.complexity for r in second.collect()} == {"a": "O(n^2 log n)", "b": "O(n^2 log n)", "c": "O(n log n)", "d": "O(1)", "e": "O(1)"}
