@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -67,29 +69,47 @@ DETECTORS = (
 )
 
 
-def best_hit(code: Column, loop_count: Column, max_loop_depth: Column, has_sorting: Column) -> Column:
-    """struct(pattern, class, confidence, flag) of the best detector, or null."""
+#: A match of these begins with the text named here, in any case, or one character before it: nothing before its first place needs a search.
+HEADS = {WHILE: "while", FOR: "for", MID: "mid", WHILE_BOUND: "while", WHILE_BOUNDS: "while", LEFT_STEP: "left", SORT_CALL: "sort"}
+#: A match of these holds one of the texts.
+PARTS = {NARROWING: ("mid",), BOUND_STEP: ("+=", "-="), POINTER_STEP: ("+=", "-="), RANGE_OF_NAME: ("range",), RANGE_WITH_COLON: ("range",)}
+
+
+def _found(pattern: str, code: Column, low: Column) -> Column:
+    """code.rlike(pattern), with searches of long texts spared. low: code in lower case."""
+    onward = lambda mark, text: F.substring(code, F.greatest(F.locate(mark, text) - 2, F.lit(1)), F.length(code))
+    if pattern in HEADS:
+        head = HEADS[pattern]
+        tail = F.when(F.length(low) == F.length(code), onward(head, low)).otherwise(code)  # one letter (U+0130) gets longer in lower case, places differ then
+        return F.contains(low, F.lit(head)) & tail.rlike(pattern)
+    if pattern in (RANGE_OF_NAME, RANGE_WITH_COLON):
+        return F.contains(low, F.lit("range")) & code.rlike(pattern)
+    # mostly found behind the loop's word; the letter in front keeps the cut from looking like the beginning of a word
+    found = F.concat(F.lit("_"), onward("while", code)).rlike(pattern) | code.rlike(pattern)
+    return reduce(or_, [F.contains(low, F.lit(x)) for x in PARTS[pattern]]) & found if pattern in PARTS else found
+
+
+def _best(code: Column, low: Column, loop_count: Column, max_loop_depth: Column, has_sorting: Column) -> Column:
     conditions = {
         "true": F.lit(True),
         "nested": (max_loop_depth >= 2) | (F.length(code) - F.length(F.replace(code, F.lit("for "), F.lit(""))) >= 8),
-        "sorted_scan": (has_sorting | (F.contains(code, F.lit("sort")) & code.rlike(SORT_CALL))) & ((loop_count >= 1) | code.rlike(FOR)),
+        "sorted_scan": (has_sorting | _found(SORT_CALL, code, low)) & ((loop_count >= 1) | _found(FOR, code, low)),
     }
-    hits, low = [], F.lower(code)
-    for i, d in enumerate(DETECTORS):
-        ok = F.lit(True)
-        for w in d.words:
-            ok = ok & F.contains(low, F.lit(w))
-        ok = ok & conditions[d.condition]
-        for p in d.needs:
-            ok = ok & code.rlike(p)
-        for p in d.lacks:
-            ok = ok & ~code.rlike(p)
+    hits = []
+    for i, d in sorted(enumerate(DETECTORS), key=lambda x: (-lattice.CLASSES.index(x[1].result), x[0])):
+        tests = [F.contains(low, F.lit(w)) for w in d.words] + [conditions[d.condition]] + [_found(p, code, low) for p in d.needs] + [~_found(p, code, low) for p in d.lacks]
         hit = F.struct(
             F.lit(lattice.CLASSES.index(d.result)).alias("rank"), F.lit(-i).alias("preference"), F.lit(d.name).alias("pattern"),
             F.lit(d.result).alias("complexity"), F.lit(d.confidence).alias("confidence"), F.lit(d.flag).cast("string").alias("flag"),
         )
-        hits.append(F.when(ok, hit))
-    return F.array_max(F.filter(F.array(*hits), lambda x: x.isNotNull()))
+        hits.append(F.when(reduce(and_, tests), hit))
+    return F.coalesce(*hits)
+
+
+def best_hit(code: Column, loop_count: Column, max_loop_depth: Column, has_sorting: Column) -> Column:
+    """struct(pattern, class, confidence, flag) of the best detector, or null. Detectors are tried from the best on, and none after the first that matches."""
+    seen = F.array(F.struct(code.alias("code"), F.lower(code).alias("low")))  # a lambda's variable is computed once
+    return F.transform(seen, lambda s: _best(s["code"], s["low"], loop_count, max_loop_depth, has_sorting))[0]
 
 
 def best_hit_sql(code: str, loop_count: str = "0", max_loop_depth: str = "0", has_sorting: str = "false") -> str:

@@ -151,3 +151,29 @@ def test_damage_stays_in_its_function(data):
 def test_any_text_gives_blocks(code):
     for b in pb.blocks("x.py", code):
         assert 1 <= b["start_line"] <= b["end_line"] and 0 <= b["start_byte"] <= b["end_byte"] <= len(code.encode())
+
+
+def test_spared_searches_find_the_same(spark):
+    """Each regex where _found() looks for it, on texts whose cut falls next to words, steps, capitals and a letter that grows in lower case."""
+    import itertools
+
+    words = ["", "while", "awhile", "WHILE left <", "\u0130\u0130\u0130\u0130 while low < high", " += 1", "i+=1", "left", "MiD =", "= mid", "\u00e9", "for x in range(n)", "for", ".sort(", "xsorted (", "r -="]
+    texts = [sep.join(x) for x in itertools.product(words, repeat=3) for sep in ("", " ")]
+    df = spark.createDataFrame([(t,) for t in texts], "code string").repartition(4)
+    for p in [*patterns.HEADS, *patterns.PARTS, patterns.BOUND_WORD]:
+        needs_loop = p in (patterns.NARROWING, patterns.BOUND_STEP, patterns.POINTER_STEP, patterns.BOUND_WORD)  # looked for only where WHILE is found
+        rows = df.filter(F.col("code").rlike(patterns.WHILE)) if needs_loop else df
+        n, wrong = rows.select(F.count_if(F.col("code").rlike(p)), F.count_if(patterns._found(p, F.col("code"), F.lower("code")) != F.col("code").rlike(p))).first()
+        assert n > 0 and wrong == 0 or p == patterns.RANGE_WITH_COLON, p
+
+
+def test_long_prose_before_code_is_not_searched_by_every_regex(spark):
+    """100 texts of 100,000 words with a loop at their end: the regexes skip the prose."""
+    import time
+
+    code = F.concat(F.repeat(F.lit("lorem "), 100_000), F.lit("\nwhile low < high:\n    mid = low\n    low = mid\n"), F.col("id").cast("string"))
+    best = patterns.best_hit(code, F.lit(0), F.lit(0), F.lit(False))["pattern"].alias("p")
+    spark.range(1).select(best).collect()
+    began = time.time()
+    assert {r.p for r in spark.range(0, 100, 1, 4).select(best).collect()} == {"binary_search"}
+    assert time.time() - began < 8
